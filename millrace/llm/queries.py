@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing
+from . import exact_dedup, language_id, licenses, mixing, packing, tool_calls, url_filter
 from .common import table, text_of
 
 
@@ -21,10 +21,29 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, documents=docs.count())
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out())
+    model = language_id.train(docs.filter("not held_out"))
+    return language_id.identify(docs, model, keep=("doc_id", "held_out"))
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.turns_as_calls(table(spark, sf_dir, "conversations"))
+    return tool_calls.link(calls, results, tool_calls.TURN_TOOLS)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.memberships(table(spark, sf_dir, "documents"), largest=True)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known(spark))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sizes = docs.select(F.concat_ws(":", "doc_id", F.xxhash64(text_of())).alias("row"), "doc_id", "source", mixing.words().alias("size"))
@@ -33,8 +52,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_best_fit_packing, op7_exact_dedup, op10_mixing)}
-
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_url_filter, op4_language_id, op5_chat_formatting, op7_exact_dedup, op8_license_scan, op10_mixing)}
+
+
+OP5_SQL = """
+WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS t, coalesce(role, '') = 'assistant' AS answers FROM conversations),
+r AS (
+  SELECT m.conv_id, m.turn, CASE WHEN m.answers THEN 'result' ELSE 'call' END AS kind, m.role, m.t,
+         'turn-' || (CASE WHEN m.answers THEN m.turn - 1 ELSE m.turn END)::varchar AS call_id,
+         CASE WHEN m.answers THEN coalesce(NOT p.answers, false) ELSE coalesce(n.answers, false) END AS linked,
+         row_number() OVER (PARTITION BY m.conv_id ORDER BY m.turn) - 1 AS position
+  FROM m LEFT JOIN m p ON m.conv_id = p.conv_id AND p.turn = m.turn - 1 LEFT JOIN m n ON m.conv_id = n.conv_id AND n.turn = m.turn + 1)
+SELECT conv_id, turn, kind, call_id, linked, CASE WHEN kind = 'result' AND NOT linked THEN 'no call' ELSE '' END AS problems, position,
+       CASE WHEN kind = 'result' THEN '{"content":' || to_json(t)::varchar || ',"id":"' || call_id || '","turn":' || turn || ',"type":"result"}'
+            WHEN role = 'user' THEN '{"arguments":{"text":' || to_json(t)::varchar || ',"words":' || len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) || '},"id":"' || call_id || '","tool":"ask","turn":' || turn || ',"type":"call"}'
+            ELSE '{"arguments":{"text":' || to_json(t)::varchar || '},"id":"' || call_id || '","tool":"configure","turn":' || turn || ',"type":"call"}' END AS json
+FROM r
+"""
 
 OP7_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
@@ -44,5 +78,30 @@ FROM d
 """
 
 
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _canonical_sql(text: str) -> str:
+    sql = f"trim(regexp_replace(regexp_replace(lower({text}), {_quoted(licenses.COPYRIGHT_LINES)}, ' ', 'g'), {_quoted(licenses.NO_WORD)}, ' ', 'g'))"
+    edges = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
+    equal = f"replace({sql}, ' ', '  ')"
+    for variant, word in licenses.SPELLINGS:
+        equal = f"regexp_replace({equal}, {_quoted(edges[0] + variant.replace(' ', '  ') + edges[1])}, {_quoted(chr(92) + '1' + word.replace(' ', '  ') + chr(92) + '2')}, 'g')"
+    return f"replace({equal}, '  ', ' ')"
+
+
+OP8_SQL = f"""
+WITH k AS (SELECT sha256({_canonical_sql('t')}) AS digest, min(license) AS license FROM (VALUES {', '.join(f'({_quoted(a)}, {_quoted(b)})' for a, b in licenses.LICENSES)}) v(license, t) GROUP BY 1),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+u AS (SELECT r, doc_id, 0 AS line, t FROM d UNION ALL SELECT r, doc_id, 1, unnest(string_split(t, chr(10))) FROM d),
+c AS (SELECT r, doc_id, line, {_canonical_sql('t')} AS t FROM u WHERE line = 0 OR trim(t) <> ''),
+f AS (SELECT r, doc_id, line, sha256(t) AS digest, CASE WHEN t <> '' THEN license END AS license FROM c LEFT JOIN k ON sha256(t) = digest)
+SELECT doc_id, max(digest) FILTER (line = 0) AS canonical_sha256, max(license) FILTER (line = 0) AS license, count(license) FILTER (line = 1) AS license_lines,
+       coalesce(string_agg(DISTINCT license, ',' ORDER BY license) FILTER (line = 1), '') AS line_licenses
+FROM f GROUP BY r, doc_id
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op7_exact_dedup": OP7_SQL}
+    return {"op5_chat_formatting": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_license_scan": OP8_SQL}
