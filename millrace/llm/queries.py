@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, licenses, mixing, packing, tool_calls, url_filter
+from . import exact_dedup, fingerprints, language_id, licenses, mixing, packing, tool_calls, url_filter
 from .common import table, text_of
 
 
@@ -15,6 +15,21 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fingerprints.with_next(table(spark, sf_dir, "documents"))
+    edited = docs.withColumn("edited", fingerprints.half_edited(F.col("text"), F.col("next_text")))
+    signed = edited.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "signature", "next_signature", fingerprints.fingerprint(F.col("edited")).alias("edited_signature"))
+    return signed.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        fingerprints.written(F.col("signature")).alias("fingerprint"),
+        fingerprints.written(F.col("edited_signature")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("signature"), F.col("edited_signature")).alias("near_edited"),
+        fingerprints.likeness(F.col("signature"), F.col("next_signature")).alias("near_next"),
+    )
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     pieces = packing.token_pieces(docs, tokenizer_path()).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -52,7 +67,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_url_filter, op4_language_id, op5_chat_formatting, op7_exact_dedup, op8_license_scan, op10_mixing)}
+    return {f.__name__: f for f in (op1_order_minhash, op2_best_fit_packing, op3_url_filter, op4_language_id, op5_chat_formatting, op7_exact_dedup, op8_license_scan, op10_mixing)}
 
 
 OP5_SQL = """
