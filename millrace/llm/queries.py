@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, language_id, licenses, mixing, packing, tool_calls, url_filter
+from . import exact_dedup, fingerprints, language_id, licenses, mixing, ngram_join, packing, tool_calls, url_filter
 from .common import table, text_of
 
 
@@ -59,6 +59,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.known(spark))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sizes = docs.select(F.concat_ws(":", "doc_id", F.xxhash64(text_of())).alias("row"), "doc_id", "source", mixing.words().alias("size"))
@@ -67,7 +71,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_order_minhash, op2_best_fit_packing, op3_url_filter, op4_language_id, op5_chat_formatting, op7_exact_dedup, op8_license_scan, op10_mixing)}
+    return {f.__name__: f for f in (op1_order_minhash, op2_best_fit_packing, op3_url_filter, op4_language_id, op5_chat_formatting, op7_exact_dedup, op8_license_scan, op9_ngram_jaccard, op10_mixing)}
 
 
 OP5_SQL = """
