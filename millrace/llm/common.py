@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written_table(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the folder of checkpoints, read again."""
+    checkpointed(df.limit(0))
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def text_of(column: str = "text") -> Column:
     """The text, a null one as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -246,12 +246,14 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", keep: tuple
     A text that is null or has no letter is `und` with score 0, as is every text if there is no model.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
+    source = text if text in keep else "_text"
+    extra = [] if text in keep else [F.col(text).alias("_text")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in stream:
-            texts = batch.column("_text").to_pylist()
+            texts = [t or "" for t in batch.column(source).to_pylist()]
             langs, scores = [NONE] * len(texts), [0.0] * len(texts)
             for a, b in _parts(texts) if model else ():
                 w, post = marginals(model, texts[a:b])
@@ -262,7 +264,7 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", keep: tuple
                     langs[a + i], scores[a + i] = model.languages[best[i]], float(min(1.0, total[i, best[i]] / words[i]))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 
-    return df.select(*keep, text_of(text).alias("_text")).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return df.select(*keep, *extra).mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
 def spans(df: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, join_unique, text_of
+from .common import NULL_ID, checkpointed, connected_components, join_unique, text_of
 
 #: Words of a shingle; sets link if 100 * intersection >= LEAST * union.
 N, LEAST = 5, 75
@@ -359,3 +359,9 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", c
     component = F.coalesce("component_id", "doc_id")
     null = lambda c: F.when(c != last, c)
     return out.select(null(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), null(component).alias("component_id"))
+
+
+def survivors(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of df whose doc_id is the smallest of its group: one document of each. Rows that share a doc_id stay or go together."""
+    found = near_duplicates(df, text, doc_id).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"))
+    return df.withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))).join(found, "_id", "left_semi").select(*df.columns)
