@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, language_id, licenses, mixing, ngram_join, packing, tool_calls, url_filter
+from . import exact_dedup, fingerprints, language_id, licenses, mixing, ngram_join, packing, suffix_dedup, tool_calls, url_filter
 from .common import table, text_of
 
 
@@ -51,6 +51,12 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls.link(calls, results, tool_calls.TURN_TOOLS)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.cleaned(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["behind"] - x["first"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.memberships(table(spark, sf_dir, "documents"), largest=True)
 
@@ -71,7 +77,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_order_minhash, op2_best_fit_packing, op3_url_filter, op4_language_id, op5_chat_formatting, op7_exact_dedup, op8_license_scan, op9_ngram_jaccard, op10_mixing)}
+    return {f.__name__: f for f in (op1_order_minhash, op2_best_fit_packing, op3_url_filter, op4_language_id, op5_chat_formatting, op6_suffix_dedup, op7_exact_dedup, op8_license_scan, op9_ngram_jaccard, op10_mixing)}
 
 
 OP5_SQL = """
