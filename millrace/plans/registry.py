@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from . import operators, relational
+
+MODULES: list = [operators, relational]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
