@@ -57,7 +57,12 @@ def cascade(df: DataFrame, text: str, model: Callable[[pd.Series], pd.DataFrame]
 
 def entities(df: DataFrame, key: str = "id", text: str = "text", types=ENTITIES) -> DataFrame:
     """(key, entity_type, entity_value, ordinal, context): every match of every pattern, types in their order."""
-    found = [F.transform(F.regexp_extract_all(F.col(text), F.lit(f"({p})" if g == 0 else p), F.lit(1)), lambda v, t=t: F.struct(F.lit(t).alias("entity_type"), F.trim(v).alias("entity_value"))) for t, p, g in types]
+
+    def of(kind: str, pattern: str, group: int) -> Column:
+        values = F.regexp_extract_all(F.col(text), F.lit(f"({pattern})" if group == 0 else pattern), F.lit(1))
+        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("entity_type"), F.trim(v).alias("entity_value")))
+
+    found = [of(*t) for t in types]
     rows = df.select(key, F.col(text).alias("_text"), F.posexplode(F.concat(*found)).alias("ordinal", "_e"))
     return rows.select(key, "_e.entity_type", "_e.entity_value", "ordinal", T.context(F.col("_text"), F.col("_e.entity_value")).alias("context"))
 

@@ -51,7 +51,7 @@ def components(edges: DataFrame) -> DataFrame:
         jump = new.select(F.col("node").alias("c"), F.col("c").alias("cc"))
         new = new.join(jump, "c", "left").select("node", F.least("c", F.coalesce("cc", "c")).alias("component"))
         new = new.checkpoint() if not both.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty() else new.persist()
-        if new.join(labels, "node").filter(new.component != labels.component).isEmpty():
+        if new.join(labels.withColumnRenamed("component", "before"), "node").filter("component <> before").isEmpty():
             return new
         labels = new
 
