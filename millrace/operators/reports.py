@@ -1,0 +1,38 @@
+"""Reports of analysed posts: conclusion, evidence, entities by type, advice, training samples."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Advice by label, and for labels without any.
+ADVICE = {"诈骗": ("冻结关联账号", "提示用户风险"), "引流": ("屏蔽外链与联系方式", "限制私信"), "作弊": ("回滚异常数据", "加强设备指纹校验"), "账号黑产": ("封禁批量账号", "加强实名核验"), "工具交易": ("下架工具信息", "监控工具传播"), "内容违规": ("删除违规内容", "处罚发布账号"), "直播违规": ("中断直播", "限制开播权限")}
+DEFAULT_ADVICE = ("人工复核", "持续监控")
+
+
+def entities_by_type(entities: DataFrame, key: str = "raw_id") -> DataFrame:
+    """(key, entity_type, values): distinct values in the order in which they first occur."""
+    first = entities.groupBy(key, "entity_type", "entity_value").agg(F.min("ordinal").alias("o"))
+    return first.groupBy(key, "entity_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "entity_value"))), lambda x: x["entity_value"]).alias("values"))
+
+
+def advice(label: Column, contacts: Column, gang: Column) -> Column:
+    """The label's advice, one item for each distinct contact value, one for a gang."""
+    known = F.create_map(*(x for k, v in ADVICE.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    base = F.coalesce(known[label], F.array(*map(F.lit, DEFAULT_ADVICE)))
+    more = F.transform(F.array_distinct(F.coalesce(contacts, F.expr("cast(array() as array<string>)"))), lambda c: F.concat(F.lit("处置线索: "), c))
+    return F.concat(base, more, F.when(gang, F.array(F.lit("开展团伙扩线"))).otherwise(F.expr("cast(array() as array<string>)")))
+
+
+def report(posts: DataFrame, entities: DataFrame, evidence: DataFrame) -> DataFrame:
+    """posts (raw_id, label, risk_score, risk_level, related) with title, summary, top evidence and advice."""
+    spans = evidence.groupBy("raw_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("start", "evidence"))), lambda x: x["evidence"]), 1, 5).alias("evidence"))
+    contacts = entities.filter(F.col("entity_type").isin("wechat", "url")).groupBy("raw_id").agg(F.array_sort(F.collect_set("entity_value")).alias("_contacts"))
+    out = posts.join(spans, "raw_id", "left").join(contacts, "raw_id", "left")
+    summary = F.format_string("%s，风险等级 %s，风险分 %s，证据 %d 条", "label", "risk_level", F.col("risk_score").cast("string"), F.coalesce(F.size("evidence"), F.lit(0)))
+    return out.select("raw_id", F.concat(F.lit("风险研判: "), "label").alias("title"), summary.alias("summary"), F.coalesce("evidence", F.expr("cast(array() as array<string>)")).alias("evidence"), advice(F.col("label"), F.col("_contacts"), F.col("related") >= 2).alias("disposal_advice"))
+
+
+def training_samples(posts: DataFrame, least: float = 0.85) -> DataFrame:
+    """(text, label, source) of posts that are sure enough to teach."""
+    return posts.filter((F.col("confidence") >= least) & F.col("label").isNotNull() & (F.coalesce("text", F.lit("")) != "")).select("text", "label", F.lit("rule").alias("source"))

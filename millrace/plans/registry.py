@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import operators, relational
+from . import extras, operators, relational
 
-MODULES: list = [operators, relational]
+MODULES: list = [operators, relational, extras]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
