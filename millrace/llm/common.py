@@ -44,13 +44,18 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def most_cold(total: int, most_hot: int = 1000) -> int:
+    """Rows up to which a key isn't hot; keys with more number most_hot at most."""
+    return max(1000, -(-total // most_hot))
+
+
 def join_unique(big: DataFrame, small: DataFrame, key: str, weight: str, total: int, how: str = "inner", most_hot: int = 1000) -> DataFrame:
     """Joins on a key that is unique in small although few keys may hold most rows of big.
 
     weight is small's column with the rows that the key has in big, total their sum. Keys with over a most_hot-th of all rows
     number most_hot at most: they alone are broadcast. The others are joined by a shuffle, where no key is large.
     """
-    least = max(1000, -(-total // most_hot))
+    least = most_cold(total, most_hot)
     rest = [c for c in small.columns if c != key]
     hot = small.filter(F.col(weight) > least).select(key, F.struct(*rest).alias("_hot"))
     cold = small.filter(F.col(weight) <= least).select(key, F.struct(*rest).alias("_cold"))

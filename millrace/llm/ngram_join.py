@@ -10,22 +10,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, checkpointed, connected_components, join_unique, text_of
+from .common import NULL_ID, checkpointed, connected_components, join_unique, most_cold, text_of
 
 #: Words of a shingle; sets link if 100 * intersection >= LEAST * union.
 N, LEAST = 5, 75
-#: Bits of a set's bitmap; counters of the frequency sketch and counters of a block of it.
-BITS, COUNTERS, BLOCK = 2048, 1 << 22, 1 << 12
+#: Bits of a set's bitmap at least; counters of the frequency sketch and counters of a block of it.
+LEAST_BITS, COUNTERS, BLOCK = 256, 1 << 22, 1 << 12
 #: Identifiers up to which a set of documents is broadcast (8 bytes each).
 MOST_BROADCAST = 2_000_000
 CHUNK = 4 << 20  # bytes of text at a time
 
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
+_random = np.random.default_rng(20240229)
+#: By place in a word (modulo 64) and byte; upper-case ASCII letters as lower-case ones, white space as nothing.
+TABLE = _random.integers(0, 1 << 63, (64, 256), np.uint64) * np.uint64(2) + np.uint64(1)
+TABLE[:, 65:91] = TABLE[:, 97:123]
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-_random = np.random.default_rng(20240229)
-TABLE = _random.integers(0, 1 << 63, 64 * 256, np.uint64) * np.uint64(2) + np.uint64(1)
+TABLE[:, SPACE] = 0
+TABLE = TABLE.ravel()
 TURNS = _random.integers(0, 1 << 63, N + 1, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -58,44 +60,43 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _sets(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     docs = len(bounds) - 1
     word = ~SPACE[raw]
-    before = np.empty_like(word)
-    before[1:] = word[:-1]
-    before[:1] = False
-    first = word & ~before
+    first = word.copy()
+    first[1:] &= ~word[:-1]
     inner = bounds[1:-1]
     inner = inner[inner < len(raw)]
     first[inner] = word[inner]  # a word ends with its text
     start = np.flatnonzero(first)
     if not len(start):
         return np.zeros(0, np.uint64), np.zeros(docs, np.int64)
-    letters = np.flatnonzero(word)
-    of_word = np.cumsum(first)[letters] - 1
-    place = letters - start[of_word]
-    h = TABLE[((place & 63) << 8) | LOWER[raw[letters]]]
-    if (place > 63).any():
-        h = h * ((place >> 6).astype(np.uint64) * np.uint64(2) + np.uint64(1))
-    words = mix(np.add.reduceat(h, np.searchsorted(letters, start)))
+    here = np.arange(len(raw), dtype=np.int32)
+    place = here - np.maximum.accumulate(np.where(first, here, 0))
+    h = TABLE[((place & 63) << 8) | raw]
+    long = word & (place > 63)
+    if long.any():
+        h[long] *= (place[long] >> 6).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    words = mix(np.add.reduceat(h, start))
     doc = np.searchsorted(bounds, start, "right") - 1
     counts = np.bincount(doc, minlength=docs)
     ends = np.cumsum(counts)
     n = len(words)
     left = np.repeat(ends, counts) - np.arange(n)  # words from here to the end of the text
-    shingle = np.zeros(n, np.uint64)
-    for j in range(N):
-        ok = left > j
-        shingle[ok] += mix(words[np.flatnonzero(ok) + j] * TURNS[j])
+    shingle = words * TURNS[0]
+    for j in range(1, N):
+        shingle[: n - j] += words[j:] * TURNS[j]
     keep = left >= N
-    short = np.flatnonzero((counts > 0) & (counts < N))
-    heads = ends[short] - counts[short]
-    keep[heads] = True
-    shingle[heads] += counts[short].astype(np.uint64) * TURNS[N]
-    shingle, doc = mix(shingle[keep]), doc[keep]
-    order = np.argsort(shingle, kind="stable")
-    order = order[np.argsort(doc[order], kind="stable")]
-    shingle, doc = shingle[order], doc[order]
+    for d in np.flatnonzero((counts > 0) & (counts < N)).tolist():
+        head = ends[d] - counts[d]
+        keep[head] = True
+        shingle[head : head + 1] = (words[head : ends[d]] * TURNS[: counts[d]]).sum() + counts[d : d + 1].astype(np.uint64) * TURNS[N]
+    shingle, counts = mix(shingle[keep]), np.bincount(doc[keep], minlength=docs)
+    ends = np.cumsum(counts)
+    for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True):
+        shingle[a:b].sort()
     new = np.ones(len(shingle), bool)
-    new[1:] = (shingle[1:] != shingle[:-1]) | (doc[1:] != doc[:-1])
-    return shingle[new], np.bincount(doc[new], minlength=docs)
+    new[1:] = shingle[1:] != shingle[:-1]
+    heads = (ends - counts)[counts > 0]
+    new[heads] = True
+    return shingle[new], np.bincount(np.repeat(np.arange(docs), counts)[new], minlength=docs)
 
 
 def set_keys(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,9 +109,26 @@ def set_keys(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def bitmaps(hashes: np.ndarray, starts: np.ndarray) -> list[bytes]:
-    out = np.zeros((len(starts) - 1, BITS), bool)
-    out[np.repeat(np.arange(len(starts) - 1), np.diff(starts)), (hashes >> np.uint64(20)).astype(np.int64) % BITS] = True
-    return [x.tobytes() for x in np.packbits(out, axis=1)]
+    """A bitmap of each set, of a power of 2 of bits: at least LEAST_BITS and three to an element."""
+    out = []
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        bits = np.zeros(max(LEAST_BITS, 1 << (3 * (b - a)).bit_length()), bool)
+        bits[(hashes[a:b] >> np.uint64(20)) % np.uint64(len(bits))] = True
+        out.append(np.packbits(bits).tobytes())
+    return out
+
+
+def most_shared(x: bytes, n: int, y: bytes, m: int) -> int:
+    """Elements that sets of n and m can have in common by their bitmaps; a longer one is folded to the other's length.
+
+    An element whose bit the other set lacks is in no intersection, so as many elements at least as such bits are missing.
+    """
+    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(p) > len(q):
+        p = p[: len(p) // 2] | p[len(p) // 2 :]
+    while len(q) > len(p):
+        q = q[: len(q) // 2] | q[len(q) // 2 :]
+    return min(n - int(np.bitwise_count(p & ~q).sum()), m - int(np.bitwise_count(q & ~p).sum()))
 
 
 def probe_length(n):
@@ -118,11 +136,6 @@ def probe_length(n):
     return n - -(-LEAST * n // 100) + 1
 
 
-def index_length(n):
-    """The same towards sets at least as large."""
-    return n - -(-2 * LEAST * n // (100 + LEAST)) + 1
-
-
 def sets_of(docs: DataFrame, counters: int) -> DataFrame:
     """(kind, doc_id, n, a, b, bitmap): a row of kind 0 for each document, and of kind 1 for blocks of each task's frequency sketch.
 
@@ -131,16 +144,21 @@ def sets_of(docs: DataFrame, counters: int) -> DataFrame:
     names = ["kind", "doc_id", "n", "a", "b", "bitmap"]
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(counters, np.uint32)
+        sketch, held, waiting = np.zeros(counters, np.uint32), [], 0
         for batch in stream:
             for at in range(0, len(batch), 1000):
                 part = batch.slice(at, 1000)
                 hashes, starts = shingle_sets(part.column("text"))
                 n = np.diff(starts)
                 a, b = set_keys(hashes, starts)
-                for i in range(0, len(hashes), 1 << 20):
-                    sketch += np.bincount((hashes[i : i + (1 << 20)] & np.uint64(counters - 1)).astype(np.int64), minlength=counters).astype(np.uint32)
+                held.append((hashes & np.uint64(counters - 1)).astype(np.int64))
+                waiting += len(hashes)
+                if waiting > counters:
+                    sketch += np.bincount(np.concatenate(held), minlength=counters).astype(np.uint32)
+                    held, waiting = [], 0
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int8)), part.column("doc_id"), pa.array(n), pa.array(a), pa.array(b), pa.array(bitmaps(hashes, starts), pa.binary())], names)
+        if held:
+            sketch += np.bincount(np.concatenate(held), minlength=counters).astype(np.uint32)
         full = np.flatnonzero(sketch.reshape(-1, BLOCK).any(axis=1))
         for i in range(0, len(full), 64):
             some = full[i : i + 64]
@@ -169,74 +187,106 @@ def frequency_classes(blocks: DataFrame, counters: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(token, node, n, low): the shingles of each set's probe prefix; low marks those of its index prefix.
+    """(token, node, n, place, weight): the shingles of each set's probe prefix and their places in it, from 0.
 
     All sets order their shingles alike, rare ones first: by the sketch's class, then by hash. So a passage that many documents
-    share comes into a prefix only if there is hardly anything else. A task gives a set that it meets again only once.
+    share comes into a prefix only if there is hardly anything else. A token is the class (5 bits) and 59 bits of the hash, so it
+    sorts in that order. weight is 100 times the mean class of all the set's shingles: in a family of near copies it is highest for
+    the set that the others were made from. A task gives a set that it meets again only once.
     """
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, mask, seen = shared.value, np.uint64(len(shared.value) - 1), set()
+        classes, mask, seen = np.minimum(shared.value, 31).astype(np.uint64) << np.uint64(59), np.uint64(len(shared.value) - 1), set()
         for batch in stream:
             for at in range(0, len(batch), 1000):
                 hashes, starts = shingle_sets(batch.column("text").slice(at, 1000))
                 a, _ = set_keys(hashes, starts)
                 n = np.diff(starts)
-                fresh = np.zeros(len(n), bool)
+                fresh = []
                 for i, key in enumerate(a.tolist()):
                     if n[i] and key not in seen:
-                        fresh[i] = True
+                        fresh.append(i)
                         seen.add(key)
                 if len(seen) > 1_000_000:
                     seen = set()
-                doc = np.repeat(np.arange(len(n)), n)
-                level = classes[(hashes & mask).astype(np.int64)]
-                order = np.lexsort((hashes, level, doc))
-                rank = np.arange(len(hashes)) - np.repeat(starts[:-1], n)
-                keep = fresh[doc] & (rank < probe_length(n)[doc])
-                doc, rank = doc[keep], rank[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[order][keep].view(np.int64)), pa.array(a[doc]), pa.array(n[doc]), pa.array(rank < index_length(n)[doc])], ["token", "node", "n", "low"])
+                tokens = classes[(hashes & mask).astype(np.int64)] | (hashes >> np.uint64(5))
+                fresh = np.array(fresh, np.int64)
+                many = probe_length(n[fresh])
+                total = np.concatenate([[0], np.cumsum(tokens >> np.uint64(59), dtype=np.int64)])
+                weight = (100 * (total[starts[fresh + 1]] - total[starts[fresh]]) // np.maximum(n[fresh], 1)).astype(np.int32)
+                parts = []
+                for s, e, k in zip(starts[fresh].tolist(), starts[fresh + 1].tolist(), many.tolist(), strict=True):
+                    tokens[s:e].sort()
+                    parts.append(tokens[s : s + k])
+                if parts:
+                    place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.repeat(a[fresh], many)), pa.array(np.repeat(n[fresh], many)), pa.array(place.astype(np.int32)), pa.array(np.repeat(weight, many))], ["token", "node", "n", "place", "weight"])
+
+    return docs.mapInArrow(run, "token long, node long, n long, place int, weight int")
+
 
-    return docs.mapInArrow(run, "token long, node long, n long, low boolean")
+#: Shared tokens before a token that its row names, so that a pair is found at the first token it shares and rarely once more.
+BEFORE = 4
 
 
-def cross_pairs(tokens: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, low: np.ndarray, groups: np.ndarray) -> np.ndarray:
-    """Pairs (smaller, larger) of nodes of different groups that share a token and whose sizes allow a link; rows sorted by token, size.
+def cross_pairs(token: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.ndarray, label: np.ndarray, *before: np.ndarray) -> np.ndarray:
+    """Pairs (a, b), a < b, of nodes with different labels that share a token and may link; rows are sorted by token.
 
-    The largest group of a token is only paired with the others, so a family of near copies that is one group already costs
-    nothing. Of a pair, the smaller set must have the token in its index prefix.
+    The first token that a pair shares leaves it no more than the rest of either set, so the pair is dropped where a rest is too
+    small. It is also dropped if it shares one of the tokens before, as it has been found there. Within a token, nodes of the
+    commonest label are only paired with the others: a family of near copies that is one group already costs nothing.
     """
+    none = np.zeros((0, 2), np.int64)
+    if not len(token):
+        return none
+    head = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    size = np.diff(np.r_[head, len(token)])
+    mixed = np.minimum.reduceat(label, head) != np.maximum.reduceat(label, head)
     out = []
-    edges = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1], True]) if len(tokens) else np.zeros(1, int)
-    for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        g = groups[s:e]
-        if e - s < 2 or (g == g[0]).all():
-            continue
-        values, inverse, counts = np.unique(g, return_inverse=True, return_counts=True)
-        main = inverse == counts.argmax()
-        rest = np.flatnonzero(~main)
-        n, v, f = sizes[s:e], nodes[s:e], low[s:e]
-        for left, right in ((np.flatnonzero(main & f), rest), (rest[f[rest]], np.arange(e - s))):
-            # right partners: at least as large, by place among equals
-            n_right = n[right]
-            first = np.searchsorted(right, left, "right")
-            last = np.searchsorted(n_right, n[left] * 100 // LEAST, "right")
-            many = np.maximum(last - first, 0)
-            for k in range(0, len(left), 4096):
-                m = many[k : k + 4096]
-                i = np.repeat(left[k : k + 4096], m)
-                j = right[np.repeat(first[k : k + 4096] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
-                ok = g[i] != g[j]
-                out.append(np.stack([v[i[ok]], v[j[ok]]], 1))
-    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+
+    def found(i: np.ndarray, j: np.ndarray) -> None:
+        least = LEAST * (n[i] + n[j])
+        ok = (label[i] != label[j]) & ((100 + LEAST) * (n[i] - place[i]) >= least) & ((100 + LEAST) * (n[j] - place[j]) >= least)
+        i, j = i[ok], j[ok]
+        again = np.zeros(len(i), bool)
+        for x in before:
+            for y in before:
+                again |= (x[i] == y[j]) & (x[i] != 0)
+        i, j = i[~again], j[~again]
+        out.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1))
+
+    few = np.repeat(mixed & (size <= 64), size)
+    rows = np.flatnonzero(few)
+    for d in range(1, int(size[mixed & (size <= 64)].max(initial=1))):
+        rows = rows[rows + d < len(token)]
+        rows = rows[token[rows] == token[rows + d]]
+        found(rows, rows + d)
+    for s, m in zip(head[mixed & (size > 64)].tolist(), size[mixed & (size > 64)].tolist(), strict=True):
+        _, which, counts = np.unique(label[s : s + m], return_inverse=True, return_counts=True)
+        main = which == counts.argmax()
+        most, rest = s + np.flatnonzero(main), s + np.flatnonzero(~main)
+        for left, right, later in ((rest, most, False), (rest, rest, True)):
+            step = max(1, (1 << 20) // max(1, len(right)))
+            for k in range(0, len(left), step):
+                i = np.repeat(left[k : k + step], len(right))
+                j = np.tile(right, len(left[k : k + step]))
+                if later:
+                    i, j = i[i < j], j[i < j]
+                found(i, j)
+            if len(out) > 64:
+                out[:] = [np.unique(np.concatenate(out), axis=0)]
+    return np.unique(np.concatenate(out), axis=0) if out else none
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) that cross_pairs() finds in rows (token, node, n, low, label)."""
+    """Pairs (a, b) that cross_pairs() finds in rows (token, node, n, place, label)."""
+    names = ["token", "node", "n", "place", "label", *(f"before{k}" for k in range(1, BEFORE + 1))]
+    own = Window.partitionBy("node").orderBy("token")
+    rows = rows.withColumns({f"before{k}": F.coalesce(F.lag("token", k).over(own), F.lit(0)) for k in range(1, BEFORE + 1)})
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held, n = [], 0
 
         def found(columns):
             pairs = cross_pairs(*columns)
@@ -244,41 +294,40 @@ def candidates(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + (1 << 16), 0]), pa.array(pairs[i : i + (1 << 16), 1])], ["a", "b"])
 
         for batch in stream:
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "node", "n", "low", "label")]
-            if held:
-                columns = [np.concatenate([x, y]) for x, y in zip(held, columns, strict=True)]
-            whole = int(np.searchsorted(columns[0], columns[0][-1])) if len(columns[0]) else 0  # the last token may go on
-            yield from found([c[:whole] for c in columns])
-            held = [c[whole:] for c in columns]
+            held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+            n += len(batch)
+            if n >= 100_000:
+                columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+                whole = int(np.searchsorted(columns[0], columns[0][-1]))  # the last token may go on
+                yield from found([c[:whole] for c in columns])
+                held = [[c[whole:] for c in columns]]
+                n = len(columns[0]) - whole if whole else 0
         if held:
-            yield from found(held)
+            yield from found([np.concatenate(x) for x in zip(*held, strict=True)])
 
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(partitions, "token").sortWithinPartitions("token", "n", "node").mapInArrow(run, "a long, b long").distinct()
+    return rows.select(*names).repartition(partitions, "token").sortWithinPartitions("token").mapInArrow(run, "a long, b long").distinct()
 
 
 def attach(pairs: DataFrame, key: str, table: DataFrame, columns: dict[str, str]) -> DataFrame:
     """pairs with columns of a table that has each key once; a key of many pairs is joined apart."""
-    weights = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("_w"))
-    side = table.select(F.col("node").alias(key), *(F.col(a).alias(b) for a, b in columns.items())).join(weights, key)
-    return join_unique(pairs, side, key, "_w", pairs.count()).drop("_w")
+    total = pairs.count()
+    side = table.select(F.col("node").alias(key), *(F.col(a).alias(b) for a, b in columns.items()))
+    weights = checkpointed(pairs.groupBy(key).agg(F.count(F.lit(1)).alias("_w")))
+    if weights.filter(F.col("_w") > most_cold(total)).isEmpty():
+        return pairs.join(side, key)
+    return join_unique(pairs, side.join(weights, key), key, "_w", total).drop("_w")
 
 
 def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose sizes and bitmaps allow a link.
-
-    An element whose bit the other set lacks is in no intersection, so as many elements at least as such bits are missing.
-    """
+    """Those pairs (a, b) whose sizes and bitmaps allow a link."""
     both = attach(attach(pairs, "a", nodes, {"n": "n_a", "bitmap": "bits_a"}), "b", nodes, {"n": "n_b", "bitmap": "bits_b"})
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            if not len(batch):
-                continue
-            x, y = (np.stack([np.frombuffer(v.as_py(), np.uint64) for v in batch.column(c)]) for c in ("bits_a", "bits_b"))
-            n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-            most = np.minimum(n - np.bitwise_count(x & ~y).sum(axis=1), m - np.bitwise_count(y & ~x).sum(axis=1))
-            yield batch.select(["a", "b"]).filter(pa.array((100 + LEAST) * most >= LEAST * (n + m)))
+            rows = zip(batch.column("bits_a"), batch.column("n_a").to_pylist(), batch.column("bits_b"), batch.column("n_b").to_pylist(), strict=True)
+            ok = [(100 + LEAST) * most_shared(x.as_py(), n, y.as_py(), m) >= LEAST * (n + m) for x, n, y, m in rows]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -307,13 +356,16 @@ def linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in stream:
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
-                (x, s), (y, t) = shingle_sets(part.column("text_a")), shingle_sets(part.column("text_b"))
+                sets = []
+                for node, text in (("a", "text_a"), ("b", "text_b")):  # each node's set once
+                    _, first, which = np.unique(part.column(node).to_numpy(), return_index=True, return_inverse=True)
+                    hashes, starts = shingle_sets(part.column(text).take(pa.array(first)))
+                    sets.append([hashes[starts[k] : starts[k + 1]] for k in which.tolist()])
                 ok = []
-                for i in range(len(part)):
-                    p, q = x[s[i] : s[i + 1]], y[t[i] : t[i + 1]]
+                for p, q in zip(*sets, strict=True):
                     place = np.searchsorted(q, p)
                     same = int((q[np.minimum(place, len(q) - 1)] == p).sum()) if len(q) else 0
-                    ok.append(100 * same >= LEAST * (len(p) + len(q) - same))
+                    ok.append((100 + LEAST) * same >= LEAST * (len(p) + len(q)))
                 yield part.select(["a", "b"]).filter(pa.array(ok))
 
     return both.mapInArrow(run, "a long, b long")
@@ -324,10 +376,10 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", c
 
     1. Equal sets become one node (128 bits tell them apart), with its size and bitmap, so that copies are never paired.
     2. Each set's prefix, rare shingles first, goes to the tiles (shingle, size band): sets that link share one.
-    3. In a tile every set is compared with one of them, its pivot; links found make groups. Families of near copies, whatever
-       their size, collapse here with as many comparisons as members.
-    4. What shares a shingle across groups, with sizes that allow a link, is compared: bitmaps bound the overlap from above, the
-       survivors' sorted sets are intersected.
+    3. In a tile every set is compared with one of them, its pivot, likely the one that the others were made from; links found make
+       groups. Families of near copies, whatever their size, collapse here with as many comparisons as members.
+    4. What shares a shingle across groups, with sizes and places in the prefix that allow a link, is compared: bitmaps bound the
+       overlap from above, the survivors' sorted sets are intersected.
     5. The links' connected components; each gets its smallest doc_id.
 
     Texts without words are empty sets and linked with nothing, so a row's component is its own doc_id. A null doc_id is larger
@@ -342,13 +394,15 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", c
     band = F.floor(F.log("n") / F.log(F.lit(100 / LEAST)) + 1e-9)
     by_token, by_tile = Window.partitionBy("token"), Window.partitionBy("token", "band")
     tiles = prefixes(docs, levels).withColumn("band", band).withColumns({"_low": F.min("node").over(by_token), "_high": F.max("node").over(by_token)}).filter("_low <> _high")
-    tiles = checkpointed(tiles.withColumn("pivot", F.min("node").over(by_tile)).select("token", "node", "n", "low", "pivot").distinct())
+    tiles = tiles.withColumn("pivot", F.max(F.struct("weight", "node")).over(by_tile)["node"])
+    tiles = checkpointed(tiles.select("token", "node", "n", "place", "pivot").distinct())
     stars = tiles.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     first = checkpointed(linked(checkpointed(stars), docs, nodes))
-    groups = checkpointed(connected_components(first.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
-    labelled = tiles.drop("pivot").join(groups.select(F.col("id").alias("node"), F.col("component").alias("_label")), "node", "left")
-    labelled = labelled.select("token", "node", "n", "low", F.coalesce("_label", "node").alias("label"))
-    second = checkpointed(linked(checkpointed(candidates(labelled)), docs, nodes))
+    groups = checkpointed(connected_components(first.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("id").alias("node"), F.col("component").alias("_label")))
+    few = groups.limit(MOST_BROADCAST // 4 + 1).count() <= MOST_BROADCAST // 4
+    labelled = tiles.drop("pivot").join(F.broadcast(groups) if few else groups, "node", "left").select("token", "node", "n", "place", F.coalesce("_label", "node").alias("label"))
+    mixed = labelled.withColumns({"_low": F.min("label").over(by_token), "_high": F.max("label").over(by_token)}).filter("_low <> _high").drop("_low", "_high")
+    second = checkpointed(linked(checkpointed(candidates(mixed)), docs, nodes))
     components = connected_components(first.union(second).select(F.col("a").alias("src"), F.col("b").alias("dst")))
     placed = checkpointed(nodes.select("node", "owner").join(components.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node")))
     least = placed.groupBy("component").agg(F.min("owner").alias("component_id"))

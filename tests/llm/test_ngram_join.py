@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from millrace.llm import queries
-from millrace.llm.ngram_join import bitmaps, cross_pairs, index_length, near_duplicates, probe_length, shingle_sets
+from millrace.llm.ngram_join import bitmaps, cross_pairs, most_shared, near_duplicates, probe_length, shingle_sets
 
 
 def direct_set(text):
@@ -81,28 +81,32 @@ def test_sets():
 def test_bitmaps_bound_and_prefixes_suffice():
     r = random.Random(4)
     for _ in range(300):
-        n, m = r.randint(1, 60), r.randint(1, 60)
+        n, m = r.choice(((1, 60), (1, 60), (90, 400), (400, 90), (300, 700)))
+        n, m = r.randint(1, n), r.randint(1, m)
         shared = r.randint(0, min(n, m))
         a = np.array(sorted(r.sample(range(1 << 62), n)), np.uint64)
         b = np.unique(np.concatenate([a[:shared], np.array(r.sample(range(1 << 62), m - shared), np.uint64)]))
-        x, y = (np.frombuffer(v, np.uint64) for v in bitmaps(np.concatenate([a, b]), np.array([0, n, n + m])))
-        assert shared <= n - np.bitwise_count(x & ~y).sum() and shared <= m - np.bitwise_count(y & ~x).sum()
+        x, y = bitmaps(np.concatenate([a, b]), np.array([0, n, n + m]))
+        assert shared <= most_shared(x, n, y, m) <= min(n, m)
         if 100 * shared >= 75 * (n + m - shared):
             (small, large) = (a, b) if n <= m else (b, a)
-            assert set(small[: index_length(len(small))].tolist()) & set(large[: probe_length(len(large))].tolist())
-
-
-def test_cross_pairs_against_all_pairs():
-    r = np.random.default_rng(5)
-    for _ in range(60):
-        k = int(r.integers(0, 40))
-        token, n, node, low = np.sort(r.integers(0, 3, k)), r.integers(1, 12, k), r.permutation(1000)[:k], r.random(k) < 0.6
-        order = np.lexsort((node, n, token))
-        n, node, low = n[order], node[order], low[order]
-        label = node % 4
-        got = {tuple(x) for x in cross_pairs(token, node, n, low, label).tolist()}
-        want = {(node[i], node[j]) for i in range(k) for j in range(i + 1, k) if token[i] == token[j] and low[i] and label[i] != label[j] and 4 * n[i] >= 3 * n[j]}
-        assert got == want
+            assert set(small[: probe_length(len(small))].tolist()) & set(large[: probe_length(len(large))].tolist())
+
+
+def test_cross_pairs_find_every_pair_that_links_across_labels():
+    r = random.Random(5)
+    for trial in range(60):
+        base = r.sample(range(1, 10**6), 90)
+        sets = [sorted({*r.sample(base, r.randint(20, 90)), *r.sample(range(10**6, 2 * 10**6), r.randint(0, 9))}) for _ in range(r.choice((5, 30, 90)))]
+        labels = [r.choice((0, 0, 0, i)) for i in range(len(sets))]
+        rows = sorted((t, i, len(x), k, labels[i], *[x[k - b] if k >= b else 0 for b in (1, 2, 3, 4)]) for i, x in enumerate(sets) for k, t in enumerate(x[: probe_length(len(x))]))
+        got = [tuple(x) for x in cross_pairs(*(np.array(c, np.int64) for c in zip(*rows, strict=True))).tolist()]
+        assert len(got) == len(set(got)) and all(a < b and labels[a] != labels[b] for a, b in got)
+        for b, y in enumerate(sets):
+            for a, x in enumerate(sets[:b]):
+                same = len({*x} & {*y})
+                if labels[a] != labels[b] and 100 * same >= 75 * (len(x) + len(y) - same):
+                    assert (a, b) in got
 
 
 def test_against_all_pairs(spark, make):
