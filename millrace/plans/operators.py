@@ -256,12 +256,12 @@ def cooccur_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cooccurrences(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("raw_id"), F.col("l_linenumber").alias("ordinal"), F.col("l_partkey").alias("value")))
 
 
-@query("SELECT l_orderkey, count(DISTINCT l_suppkey) AS members, substr(md5(string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), ',' ORDER BY CAST(l_suppkey AS VARCHAR))), 1, 12) AS cluster FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_orderkey, CAST(count(DISTINCT l_suppkey) AS INTEGER) AS members, substr(md5(string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), ',' ORDER BY CAST(l_suppkey AS VARCHAR))), 1, 12) AS cluster FROM lineitem GROUP BY l_orderkey")
 def cluster_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cluster_ids(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey")
 
 
-@query("WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, b.vec_id, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(CAST(q.e AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) DESC, b.vec_id) AS rank FROM q JOIN embeddings b ON q.query_id <> b.vec_id) SELECT query_id, vec_id, rank FROM s WHERE rank <= 5")
+@query("WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, b.vec_id, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(CAST(q.e AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) DESC, b.vec_id) AS rank FROM q JOIN embeddings b ON q.query_id <> b.vec_id) SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM s WHERE rank <= 5")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return vectors.top_k(e.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), e).select("query_id", "vec_id", "rank")
@@ -302,7 +302,7 @@ def hitl_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warehouse.apply_annotations(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), log, "c_custkey", "c_mktsegment")
 
 
-@query("SELECT raw_id, version, is_latest FROM (SELECT user_id AS raw_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 THEN 1 ELSE 0 END AS is_latest FROM events) x")
+@query("SELECT raw_id, CAST(version AS INTEGER) AS version, is_latest FROM (SELECT user_id AS raw_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 THEN 1 ELSE 0 END AS is_latest FROM events) x")
 def versioned_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warehouse.versioned(table(spark, sf_dir, "events"), "user_id", "ts", "event_id").select(F.col("user_id").alias("raw_id"), "version", "is_latest")
 

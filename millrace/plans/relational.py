@@ -28,13 +28,13 @@ SHARED = {
     "label_counts": f"WITH {LATEST} SELECT risk_label, count(*) AS cnt FROM latest GROUP BY risk_label",
     "label_distribution": f"WITH {LATEST} SELECT coalesce(risk_label, 'unclassified') AS label, count(*) AS cnt FROM latest GROUP BY risk_label",
     "platform_distribution": f"WITH {RAW} SELECT platform, count(*) AS cnt FROM raw GROUP BY platform ORDER BY cnt DESC, platform LIMIT 12",
-    "label_risk_stats": f"WITH {LATEST} SELECT risk_label AS label, count(*) AS cnt, round(avg(risk_score), 4) AS avg_score, sum(CASE WHEN risk_level IN ('high', 'critical') THEN 1 ELSE 0 END) AS high_cnt FROM latest GROUP BY risk_label ORDER BY cnt DESC, label LIMIT 12",
-    "platform_stats": f"WITH {LATEST}, {RAW} SELECT platform, count(*) AS cnt, round(avg(coalesce(risk_score, 0)), 4) AS avg_score, sum(CASE WHEN risk_level IN ('high', 'critical') THEN 1 ELSE 0 END) AS high_cnt FROM raw LEFT JOIN latest ON latest.raw_id = raw.id GROUP BY platform ORDER BY high_cnt DESC, cnt DESC, platform LIMIT 12",
+    "label_risk_stats": f"WITH {LATEST} SELECT risk_label AS label, count(*) AS cnt, round(avg(risk_score), 4) AS avg_score, CAST(sum(CASE WHEN risk_level IN ('high', 'critical') THEN 1 ELSE 0 END) AS BIGINT) AS high_cnt FROM latest GROUP BY risk_label ORDER BY cnt DESC, label LIMIT 12",
+    "platform_stats": f"WITH {LATEST}, {RAW} SELECT platform, count(*) AS cnt, round(avg(coalesce(risk_score, 0)), 4) AS avg_score, CAST(sum(CASE WHEN risk_level IN ('high', 'critical') THEN 1 ELSE 0 END) AS BIGINT) AS high_cnt FROM raw LEFT JOIN latest ON latest.raw_id = raw.id GROUP BY platform ORDER BY high_cnt DESC, cnt DESC, platform LIMIT 12",
     "daily_trend": f"SELECT CAST({DAY} AS VARCHAR(10)) AS day, count(*) AS cnt, count(*) FILTER (WHERE value >= 50) AS high_cnt FROM {{events}} WHERE {DAY} > DATE '2024-01-16' AND {DAY} <= DATE '2024-01-30' GROUP BY {DAY}",
     "hot_terms": "SELECT event_type AS term, count(*) AS cnt, coalesce(max(CASE WHEN value > 90 THEN props END), '') AS meaning, min(event_id) AS first_id FROM {events} GROUP BY event_type ORDER BY cnt DESC, term LIMIT 15",
     "status_counts": "SELECT o_orderstatus AS status, count(*) AS cnt FROM {orders} GROUP BY o_orderstatus",
-    "derived_totals": "SELECT sum(cnt) AS total, sum(CASE WHEN status IN ('O', 'P') THEN cnt ELSE 0 END) AS pending, count(*) AS statuses FROM (SELECT o_orderstatus AS status, count(*) AS cnt FROM {orders} GROUP BY o_orderstatus) s",
-    "olap_stats": f"WITH {LATEST} SELECT count(*) AS total, count(*) FILTER (WHERE raw_id % 30 = 0) AS today, count(*) FILTER (WHERE risk_level IN ('high', 'critical')) AS high, sum(version) AS entity_sum FROM latest",
+    "derived_totals": "SELECT CAST(sum(cnt) AS BIGINT) AS total, CAST(sum(CASE WHEN status IN ('O', 'P') THEN cnt ELSE 0 END) AS BIGINT) AS pending, count(*) AS statuses FROM (SELECT o_orderstatus AS status, count(*) AS cnt FROM {orders} GROUP BY o_orderstatus) s",
+    "olap_stats": f"WITH {LATEST} SELECT count(*) AS total, count(*) FILTER (WHERE raw_id % 30 = 0) AS today, count(*) FILTER (WHERE risk_level IN ('high', 'critical')) AS high, CAST(sum(version) AS BIGINT) AS entity_sum FROM latest",
     "level_breakdown": f"WITH {LATEST} SELECT risk_level, count(*) AS cnt, round(avg(risk_score), 4) AS avg_score FROM latest GROUP BY risk_level",
     "max_version": f"WITH {ANALYSIS} SELECT raw_id, max(version) AS version FROM analysis GROUP BY raw_id",
     "entity_pivot": "SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS clicks, count(*) FILTER (WHERE event_type = 'view') AS views, count(*) FILTER (WHERE event_type = 'purchase') AS purchases FROM {events} GROUP BY user_id",
@@ -48,14 +48,14 @@ SHARED = {
     "latest_inner_join": f"WITH {LATEST}, {RAW} SELECT raw.id, platform, risk_label, risk_level, risk_score FROM raw JOIN latest ON latest.raw_id = raw.id",
     "entity_raw_join": "SELECT e.event_id, e.event_type, c.c_mktsegment AS segment FROM {events} e JOIN {customer} c ON e.user_id = c.c_custkey",
     "latest_by_time_per_row": f"WITH {ANALYSIS}, {RAW}, n AS (SELECT raw_id, risk_label, risk_score, row_number() OVER (PARTITION BY raw_id ORDER BY version DESC, id DESC) AS k FROM analysis) SELECT raw.id, n.risk_label, n.risk_score FROM raw LEFT JOIN n ON n.raw_id = raw.id AND n.k = 1",
-    "id_list_rows": f"WITH {RAW} SELECT id, platform, length(content) AS n FROM raw WHERE id IN (3, 5, 8, 13, 21, 34, 55, 89, 144)",
+    "id_list_rows": f"WITH {RAW} SELECT id, platform, CAST(length(content) AS BIGINT) AS n FROM raw WHERE id IN (3, 5, 8, 13, 21, 34, 55, 89, 144)",
     "wide_mart": f"WITH {LATEST}, {RAW}, e AS (SELECT o_custkey % 1000 AS raw_id, count(*) FILTER (WHERE o_orderstatus = 'F') AS phones, count(*) FILTER (WHERE o_orderstatus = 'O') AS urls, count(*) AS entities FROM {{orders}} GROUP BY 1) SELECT raw.id, platform, channel, risk_label, risk_score, coalesce(phones, 0) AS phones, coalesce(urls, 0) AS urls, coalesce(entities, 0) AS entities FROM raw LEFT JOIN latest ON latest.raw_id = raw.id LEFT JOIN e ON e.raw_id = raw.id",
     "unseen_import_rows": "SELECT e.event_id, e.user_id FROM {events} e WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = e.user_id) AND NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = e.event_id)",
     "known_import_rows": "SELECT e.event_id FROM {events} e WHERE EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = e.event_id)",
     "star_revenue": "SELECT n.n_name AS nation, count(*) AS lines, CAST(sum(CAST(l.l_extendedprice AS DECIMAL(18, 2)) * CAST(1 - l.l_discount AS DECIMAL(4, 2))) AS DOUBLE) AS revenue FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey JOIN {region} r ON n.n_regionkey = r.r_regionkey GROUP BY n.n_name",
     "supplier_part_levels": "SELECT s.s_name AS supplier, count(DISTINCT l.l_partkey) AS parts, max(p.p_size) AS largest FROM {lineitem} l JOIN {supplier} s ON l.l_suppkey = s.s_suppkey JOIN {part} p ON l.l_partkey = p.p_partkey GROUP BY s.s_name",
     # windows
-    "version_history": f"WITH {ANALYSIS} SELECT raw_id, id, row_number() OVER (PARTITION BY raw_id ORDER BY version, id) AS new_version, CASE WHEN row_number() OVER (PARTITION BY raw_id ORDER BY version DESC, id DESC) = 1 THEN 1 ELSE 0 END AS latest FROM analysis",
+    "version_history": f"WITH {ANALYSIS} SELECT raw_id, id, CAST(row_number() OVER (PARTITION BY raw_id ORDER BY version, id) AS BIGINT) AS new_version, CASE WHEN row_number() OVER (PARTITION BY raw_id ORDER BY version DESC, id DESC) = 1 THEN 1 ELSE 0 END AS latest FROM analysis",
     "latest_per_key": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM {events}) x WHERE k = 1",
     "earlier_counts": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {events}",
     "first_exit_turn": "WITH x AS (SELECT conv_id, min(turn) AS first_exit FROM {conversations} WHERE lower(text) LIKE '%reth%' AND role = 'user' GROUP BY conv_id) SELECT c.conv_id, c.turn, c.role FROM {conversations} c LEFT JOIN x ON c.conv_id = x.conv_id WHERE x.first_exit IS NULL OR c.turn <= x.first_exit",
@@ -90,7 +90,7 @@ SHARED = {
     "shared_contact_accounts": "WITH p AS (SELECT DISTINCT o_custkey AS account, l_partkey AS contact, o_orderkey AS item FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey WHERE l_partkey <= 40) SELECT a.account AS a1, b.account AS a2, a.contact, count(DISTINCT a.item) + count(DISTINCT b.item) AS strength FROM p a JOIN p b ON a.contact = b.contact AND a.account < b.account GROUP BY a.account, b.account, a.contact ORDER BY strength DESC, a1, a2, contact LIMIT 100",
     "gang_members": "SELECT DISTINCT o_custkey AS member, l_partkey AS contact FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey WHERE l_partkey IN (5, 10)",
     "merged_entities": "SELECT concat(event_type, ':', CAST(user_id AS VARCHAR(20))) AS uuid, event_type AS type, user_id AS value, min(ts) AS first_seen, count(*) AS source_count FROM {events} GROUP BY event_type, user_id",
-    "conversation_shape": "SELECT conv_id, count(*) AS turns, count(*) FILTER (WHERE role = 'user') AS user_turns, max(turn) AS last_turn, sum(length(text)) AS chars FROM {conversations} GROUP BY conv_id",
+    "conversation_shape": "SELECT conv_id, count(*) AS turns, count(*) FILTER (WHERE role = 'user') AS user_turns, max(turn) AS last_turn, CAST(sum(length(text)) AS BIGINT) AS chars FROM {conversations} GROUP BY conv_id",
 }
 
 

@@ -31,3 +31,10 @@ def sql_rows(sql, sf_dir):
 def spark_rows(df):
     names = sorted(df.columns)
     return names, sorted(tuple(map(plain, r)) for r in df.select(*names).collect())
+
+
+def sql_types(sql, sf_dir):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    return {d[0]: str(d[1]) for d in con.execute(sql).description}

@@ -1,5 +1,5 @@
 import pytest
-from oracle_check import spark_rows, sql_rows
+from oracle_check import spark_rows, sql_rows, sql_types
 
 from millrace.plans import registry
 
@@ -14,3 +14,13 @@ def test_query_against_sql(name, spark, sf_dir):
         expected_names, expected = sql_rows(ORACLE[name], sf_dir)
         assert names == expected_names
         assert rows == expected
+
+
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_types_are_those_of_the_sql(name, spark):
+    small = "/root/testdata/sf0.001"
+    got = {f.name: TYPES[f.dataType.simpleString()] for f in QUERIES[name](spark, small).schema}
+    assert got == sql_types(ORACLE[name], small)
