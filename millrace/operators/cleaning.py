@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.emoji import emojis, translate
 from ..functions.rules import BOILERPLATE, DEFAULT, LOW_VALUE, PENALTIES, RulePack
 
 PLATFORMS = ("weibo", "zhihu", "tieba", "douyin", "xiaohongshu", "xianyu", "qq_group")
@@ -143,7 +144,9 @@ def clean(df: DataFrame, pack: RulePack = DEFAULT) -> DataFrame:
     media = ~embedded & (placeholder | ((stripped != "") & (F.length(rest) <= 2)))
     system = qq & T.contains_any(F.coalesce("author_username", F.lit("")), QQ_AUTHORS)
     out = df.withColumns({"_embedded": embedded, "is_media_only": media & ~system, "_system": system, "_filtered": platform_filter(F.col("platform"), raw, pack)})
-    out = out.withColumn("clean_text", T.normalize(F.col("_filtered.text")))
+    has_emoji = F.size(emojis(raw)) > 0
+    said = F.when(has_emoji & F.col("_filtered.reason").isNull(), translate(F.col("_filtered.text"))).otherwise(F.col("_filtered.text"))
+    out = out.withColumn("clean_text", T.normalize(said))
     t = F.col("clean_text")
     out = out.withColumns({"simhash": T.simhash64(t), "content_md5": F.md5(t), "_score": noise_score(t, pack), "priority": priority(t, pack), "content_role": content_role(t, F.col("author_username"), pack)})
     out = out.withColumn("_relevance", relevance(t, F.col("content_role"), F.col("source_keyword"), pack))
