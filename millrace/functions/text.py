@@ -18,6 +18,11 @@ def fold(c: Column, steps, use: Callable) -> Column:
     return reduce(use, steps, c)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def contains_any(c: Column, words) -> Column:
     """Whether any of the words occurs: one alternation, so one scan of the text."""
     return F.rlike(c, F.lit("|".join(quote(w) for w in words)))
@@ -79,11 +84,15 @@ def strip_boilerplate(c: Column, platform: str) -> Column:
     if platform == "weibo":
         return F.regexp_replace(out, "#([^#]+)#", "[话题:$1]")
     most = {"douyin": 3, "xiaohongshu": 5}.get(platform)
-    if most:
-        tags = F.regexp_extract_all(out, F.lit(r"(#[^\s#]+)"), F.lit(1))
-        capped = F.aggregate(F.slice(tags, most + 1, F.greatest(F.size(tags) - most, F.lit(0))), out, lambda t, h: F.replace(t, h, F.lit("")))
-        return F.regexp_replace(F.when(F.size(tags) > 5, capped).otherwise(out), r"#([^\s#]+)", "[话题:$1]")
-    return out
+    if not most:
+        return out
+
+    def capped(found: Column) -> Column:
+        tags, body = found["tags"], found["body"]
+        fewer = F.aggregate(F.slice(tags, most + 1, F.greatest(F.size(tags) - most, F.lit(0))), body, lambda t, h: F.replace(t, h, F.lit("")))
+        return F.regexp_replace(F.when(F.size(tags) > 5, fewer).otherwise(body), r"#([^\s#]+)", "[话题:$1]")
+
+    return let(out, lambda t: let(F.struct(t.alias("body"), F.regexp_extract_all(t, F.lit(r"(#[^\s#]+)"), F.lit(1)).alias("tags")), capped))
 
 
 def emoji_density(c: Column) -> Column:
@@ -154,7 +163,7 @@ def simhash64(c: Column) -> Column:
     """A bit is set if more hashes have it than not."""
     one = lambda h, i: F.call_function("shiftright", h, i).bitwiseAND(F.lit(1).cast("long"))
     of = lambda hs: F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, i: F.when(2 * F.aggregate(hs, F.lit(0).cast("long"), lambda n, h: n + one(h, i)) > F.size(hs), acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))).otherwise(acc))
-    return F.element_at(F.transform(F.array(token_hashes(c)), of), 1)
+    return let(token_hashes(c), of)
 
 
 def simhash_hex(h: Column) -> Column:

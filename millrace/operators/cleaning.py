@@ -42,10 +42,14 @@ def ad_noise(c: Column, pack: RulePack = DEFAULT) -> Column:
 
 def platform_filter(platform: Column, c: Column, pack: RulePack = DEFAULT) -> Column:
     """struct(text, reason): the text without the platform's boilerplate, and why it is noise, or null."""
-    common = T.apply_common(c)
-    body = common
-    for p in BOILERPLATE:
-        body = F.when(platform == p, T.normalize_whitespace(T.strip_boilerplate(common, p))).otherwise(body)
+
+    def stripped(common: Column) -> Column:
+        body = common
+        for p in BOILERPLATE:
+            body = F.when(platform == p, T.normalize_whitespace(T.strip_boilerplate(common, p))).otherwise(body)
+        return body
+
+    body = T.let(T.apply_common(c), stripped)
 
     def judged(t: Column) -> Column:
         system = (
@@ -57,7 +61,7 @@ def platform_filter(platform: Column, c: Column, pack: RulePack = DEFAULT) -> Co
         )
         return F.struct(t.alias("text"), F.coalesce(system, low_value(t), F.concat(F.lit("广告噪声: "), ad_noise(t, pack))).alias("reason"))
 
-    return F.element_at(F.transform(F.array(body), judged), 1)
+    return T.let(body, judged)
 
 
 def noise_score(c: Column, pack: RulePack = DEFAULT) -> Column:
@@ -119,7 +123,7 @@ def relevance(c: Column, role: Column, keyword: Column | None = None, pack: Rule
 
     contact = sum((F.rlike(c, F.lit(p)).cast("int") for p in pack.contacts), F.lit(0))
     found = F.struct(T.hits(c, pack.strong).alias("strong"), T.hits(c, pack.weak).alias("weak"), T.hits(c, pack.actions).alias("action"), T.hits(c, pack.warnings).alias("warning"), contact.alias("contact"))
-    return F.element_at(F.transform(F.array(found), judged), 1)
+    return T.let(found, judged)
 
 
 def priority(c: Column, pack: RulePack = DEFAULT) -> Column:
