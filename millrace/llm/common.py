@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -40,6 +41,29 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def freed() -> None:
+    """Gives memory that a task no longer needs back to the system, as Python workers live on for the next stages."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def freeing(run):
+    """A function for mapInArrow that frees memory when its task ends."""
+
+    def all_batches(stream):
+        yield from run(stream)
+        freed()
+
+    return all_batches
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -62,7 +86,9 @@ def join_unique(big: DataFrame, small: DataFrame, key: str, weight: str, total:
     marked = big.join(F.broadcast(hot), key, "left")
     # a row that has found its hot key needs no other: a null key never matches, and null keys are dealt out by a random salt
     loose = marked.withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key))).withColumn("_salt", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*[c for c in big.columns if c != key]), F.lit(65536)).cast("int")))
-    joined = loose.join(cold.withColumnRenamed(key, "_key").withColumn("_salt", F.lit(0)), ["_key", "_salt"], "left")
+    # always 0, but not a literal: with one, Spark would deal by the key alone and bring all null keys to one task
+    zero = F.pmod(F.xxhash64("_key"), F.lit(1)).cast("int")
+    joined = loose.join(cold.withColumnRenamed(key, "_key").withColumn("_salt", zero), ["_key", "_salt"], "left")
     found = F.coalesce(F.col("_hot"), F.col("_cold"))
     out = joined.withColumn("_found", found)
     if how == "inner":

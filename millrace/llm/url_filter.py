@@ -111,7 +111,13 @@ def judge(df: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", orde
     held = F.pmod(F.xxhash64("_string"), F.lit(FOLDS)) == 0
     strings = checkpointed(judged.groupBy("_string").agg(F.count(F.lit(1)).alias("n"), *(F.count_if((F.col("action") == a) & ~held).alias(a) for a in ("allow", "block")), *(F.count_if((F.col("action") == a) & held).alias(f"held_{a}") for a in ("allow", "block"))))
     padded = F.concat(F.lit("\x02" * order), "_string", F.lit("\x03"))
-    places = strings.withColumn("gram", F.explode(F.transform(F.sequence(F.lit(1), F.length("_string") + 1), lambda i: F.substr(padded, i, F.lit(order + 1)))))
+    # every string gives some forty rows, so the few partitions that it was gathered in become as many as a shuffle has
+    dealt = strings.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_string")
+    # by pieces, as finding a place in a string takes as long as the string is up to there
+    n, piece = F.length("_string") + 1, 256
+    inside = lambda c: F.sequence(F.lit(1), F.least(F.lit(piece), n - c + 1))
+    cut = lambda c: F.element_at(F.transform(F.array(F.substr(padded, c, F.lit(piece + order))), lambda s: F.transform(inside(c), lambda i: F.substr(s, i, F.lit(order + 1)))), 1)
+    places = dealt.withColumn("gram", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), n, F.lit(piece)), cut))))
     grams = checkpointed(places.groupBy("gram").agg(F.count(F.lit(1)).alias("rows"), *(F.sum(c).alias(c) for c in ("n", "allow", "block"))))
     scores = gram_scores(grams, order).join(grams.select("gram", "rows"), "gram").select("gram", "rows", "score")
     total = grams.agg(F.sum("rows")).first()[0] or 0
