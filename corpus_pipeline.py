@@ -27,8 +27,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = language_id.train(docs.filter(~language_id.held_out()))
     if model is None:
         return docs.filter(F.rlike(F.coalesce("text", F.lit("")), F.lit(r"\p{L}")))
-    judged = language_id.identify(docs, model, keep=tuple(docs.columns))
-    return judged.filter((F.col("lang_pred") != language_id.NONE) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    judged = language_id.identify(docs, model, keep=tuple(docs.columns), names=("__lang", "__score"))
+    return judged.filter((F.col("__lang") != language_id.NONE) & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_unique, text_of
+from .common import freeing, join_unique, text_of
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -169,7 +169,7 @@ def owners(df: DataFrame, text: str = "text", owner: str = "doc_id", largest: bo
         yield from batches(trie.entries(), lambda x: {"text_sha256": hashlib.sha256(x[0]).hexdigest(), "owner": x[1], "copies": x[2]}, [("text_sha256", pa.string()), ("owner", pa.int64()), ("copies", pa.int64())])
 
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.mapInArrow(combine, OWNED).repartition(partitions, "n", "h").mapInArrow(own, "text_sha256 string, owner long, copies long")
+    return rows.mapInArrow(freeing(combine), OWNED).repartition(partitions, "n", "h").mapInArrow(freeing(own), "text_sha256 string, owner long, copies long")
 
 
 def memberships(df: DataFrame, text: str = "text", doc_id: str = "doc_id", largest: bool = False) -> DataFrame:
@@ -188,7 +188,7 @@ def survivors(df: DataFrame, text: str = "text", doc_id: str = "doc_id", largest
     """The rows of df that stay, one for each distinct text, all columns untouched."""
     from pyspark.sql import Window
 
-    groups = owners(df, text, doc_id, largest).select(F.coalesce("owner", F.lit(-(2**63))).alias("_id"), F.col("text_sha256").alias("_sha"))
-    marked = df.withColumns({"_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))), "_sha": F.sha2(text_of(text), 256)})
-    once = Window.partitionBy("_id", "_sha").orderBy(F.lit(0))
-    return marked.join(groups, ["_id", "_sha"], "left_semi").withColumn("_n", F.row_number().over(once)).filter("_n = 1").select(*df.columns)
+    groups = owners(df, text, doc_id, largest).select(F.coalesce("owner", F.lit(-(2**63))).alias("__id"), F.col("text_sha256").alias("__sha"))
+    marked = df.withColumns({"__id": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))), "__sha": F.sha2(text_of(text), 256)})
+    once = Window.partitionBy("__id", "__sha").orderBy(F.lit(0))
+    return marked.join(groups, ["__id", "__sha"], "left_semi").withColumn("__n", F.row_number().over(once)).filter("__n = 1").select(*df.columns)

@@ -11,13 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import freeing, text_of
 
 #: Hashed n-gram and affix features, words of a chain, documents a language to learn from (at most), languages (at most).
 BUCKETS, CHAIN, PER_LANGUAGE, LANGUAGES = 1 << 17, 128, 200, 256
 #: No language: the text is null or has no letter.
 NONE = "und"
-CHUNK = 1 << 20  # characters at a time
+CHUNK = 1 << 18  # characters at a time
 
 
 @lru_cache(1)
@@ -239,15 +239,15 @@ def marginals(model: Model, texts: list[str]) -> tuple[Words, np.ndarray]:
     return w, forward_backward(model.emissions(w), model.transitions, *chains(w.doc, len(texts)))
 
 
-def identify(df: DataFrame, model: Model | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in keep, lang_pred and score for each row of df, from the text alone.
+def identify(df: DataFrame, model: Model | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns in keep, lang_pred and score (by the names given) for each row of df, from the text alone.
 
     Every word of the text gets a language by forward-backward; lang_pred has most of the words' marginals, score is its share.
     A text that is null or has no letter is `und` with score 0, as is every text if there is no model.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    source = text if text in keep else "_text"
-    extra = [] if text in keep else [F.col(text).alias("_text")]
+    source = text if text in keep else "__text"
+    extra = [] if text in keep else [F.col(text).alias("__text")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,9 +262,9 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", keep: tuple
                 best = total.argmax(axis=1)
                 for i in np.flatnonzero(words):
                     langs[a + i], scores[a + i] = model.languages[best[i]], float(min(1.0, total[i, best[i]] / words[i]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, *names])
 
-    return df.select(*keep, *extra).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return df.select(*keep, *extra).mapInArrow(freeing(run), f"{schema}, `{names[0]}` string, `{names[1]}` double")
 
 
 def spans(df: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -285,7 +285,7 @@ def spans(df: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id
                 mean = np.add.reduceat(post.max(axis=1), new) / size if len(new) else []
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array([ids[a + d] for d in w.doc[new]], pa.int64()), "first_word": pa.array(new - first[w.doc[new]], pa.int64()), "words": pa.array(size, pa.int64()), "lang": pa.array([model.languages[x] for x in best[new]], pa.string()), "probability": pa.array(mean, pa.float64())})
 
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).mapInArrow(run, "doc_id long, first_word long, words long, lang string, probability double")
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).mapInArrow(freeing(run), "doc_id long, first_word long, words long, lang string, probability double")
 
 
 def held_out(doc_id: str = "doc_id"):

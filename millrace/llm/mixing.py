@@ -116,9 +116,9 @@ def mixed_rows(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source
 
     Rows that repeat both doc_id and text count each, and their copies are given as copies of one of them.
     """
-    marked = df.withColumn("_row", F.concat_ws(":", F.col(doc_id).cast("string"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
-    sizes = marked.select(F.col("_row").alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(text).alias("size"))
-    copies = mix(sizes, **how).groupBy(F.col("row").alias("_row")).agg(F.sum("copies").alias("_copies")).filter("_copies > 0")
-    first = Window.partitionBy("_row").orderBy(F.lit(0))
-    once = marked.withColumn("_later", F.lag(F.lit(True)).over(first)).filter("_later is null")
-    return once.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*df.columns)
+    marked = df.withColumn("__row", F.concat_ws(":", F.col(doc_id).cast("string"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
+    sizes = marked.select(F.col("__row").alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(text).alias("size"))
+    copies = mix(sizes, **how).groupBy(F.col("row").alias("__row")).agg(F.sum("copies").alias("__copies")).filter("__copies > 0")
+    first = Window.partitionBy("__row").orderBy(F.lit(0))
+    once = marked.withColumn("__later", F.lag(F.lit(True)).over(first)).filter("__later is null")
+    return once.join(copies, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*df.columns)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, checkpointed, connected_components, join_unique, most_cold, text_of
+from .common import NULL_ID, checkpointed, connected_components, freeing, join_unique, most_cold, text_of
 
 #: Words of a shingle; sets link if 100 * intersection >= LEAST * union.
 N, LEAST = 5, 75
@@ -18,7 +18,7 @@ N, LEAST = 5, 75
 LEAST_BITS, COUNTERS, BLOCK = 256, 1 << 22, 1 << 12
 #: Identifiers up to which a set of documents is broadcast (8 bytes each).
 MOST_BROADCAST = 2_000_000
-CHUNK = 4 << 20  # bytes of text at a time
+CHUNK = 1 << 20  # bytes of text at a time
 
 _random = np.random.default_rng(20240229)
 #: By place in a word (modulo 64) and byte; upper-case ASCII letters as lower-case ones, white space as nothing.
@@ -146,14 +146,14 @@ def sets_of(docs: DataFrame, counters: int) -> DataFrame:
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, held, waiting = np.zeros(counters, np.uint32), [], 0
         for batch in stream:
-            for at in range(0, len(batch), 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
                 hashes, starts = shingle_sets(part.column("text"))
                 n = np.diff(starts)
                 a, b = set_keys(hashes, starts)
                 held.append((hashes & np.uint64(counters - 1)).astype(np.int64))
                 waiting += len(hashes)
-                if waiting > counters:
+                if waiting > counters // 4:
                     sketch += np.bincount(np.concatenate(held), minlength=counters).astype(np.uint32)
                     held, waiting = [], 0
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int8)), part.column("doc_id"), pa.array(n), pa.array(a), pa.array(b), pa.array(bitmaps(hashes, starts), pa.binary())], names)
@@ -166,7 +166,7 @@ def sets_of(docs: DataFrame, counters: int) -> DataFrame:
             zero = pa.array(np.zeros(len(some), np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some), np.int8)), pa.array(some.astype(np.int64)), zero, zero, zero, pa.array(packed, pa.binary())], names)
 
-    return docs.mapInArrow(run, "kind byte, doc_id long, n long, a long, b long, bitmap binary")
+    return docs.mapInArrow(freeing(run), "kind byte, doc_id long, n long, a long, b long, bitmap binary")
 
 
 def frequency_classes(blocks: DataFrame, counters: int) -> np.ndarray:
@@ -199,8 +199,8 @@ def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, mask, seen = np.minimum(shared.value, 31).astype(np.uint64) << np.uint64(59), np.uint64(len(shared.value) - 1), set()
         for batch in stream:
-            for at in range(0, len(batch), 1000):
-                hashes, starts = shingle_sets(batch.column("text").slice(at, 1000))
+            for at in range(0, len(batch), 500):
+                hashes, starts = shingle_sets(batch.column("text").slice(at, 500))
                 a, _ = set_keys(hashes, starts)
                 n = np.diff(starts)
                 fresh = []
@@ -223,7 +223,7 @@ def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                     place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.repeat(a[fresh], many)), pa.array(np.repeat(n[fresh], many)), pa.array(place.astype(np.int32)), pa.array(np.repeat(weight, many))], ["token", "node", "n", "place", "weight"])
 
-    return docs.mapInArrow(run, "token long, node long, n long, place int, weight int")
+    return docs.mapInArrow(freeing(run), "token long, node long, n long, place int, weight int")
 
 
 #: Shared tokens before a token that its row names, so that a pair is found at the first token it shares and rarely once more.
@@ -306,7 +306,7 @@ def candidates(rows: DataFrame) -> DataFrame:
             yield from found([np.concatenate(x) for x in zip(*held, strict=True)])
 
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select(*names).repartition(partitions, "token").sortWithinPartitions("token").mapInArrow(run, "a long, b long").distinct()
+    return rows.select(*names).repartition(partitions, "token").sortWithinPartitions("token").mapInArrow(freeing(run), "a long, b long").distinct()
 
 
 def attach(pairs: DataFrame, key: str, table: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -329,7 +329,7 @@ def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             ok = [(100 + LEAST) * most_shared(x.as_py(), n, y.as_py(), m) >= LEAST * (n + m) for x, n, y, m in rows]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(freeing(run), "a long, b long")
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -343,7 +343,7 @@ def texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
             keys = set_keys(*shingle_sets(batch.column("text")))[0]
             yield batch.filter(pa.array(keys == batch.column("node").to_numpy()))
 
-    return found.select("node", "text").mapInArrow(run, "node long, text string").groupBy("node").agg(F.min("text").alias("text"))
+    return found.select("node", "text").mapInArrow(freeing(run), "node long, text string").groupBy("node").agg(F.min("text").alias("text"))
 
 
 def linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -368,7 +368,7 @@ def linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
                     ok.append((100 + LEAST) * same >= LEAST * (len(p) + len(q)))
                 yield part.select(["a", "b"]).filter(pa.array(ok))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(freeing(run), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", counters: int = COUNTERS) -> DataFrame:
@@ -417,5 +417,5 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", c
 
 def survivors(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of df whose doc_id is the smallest of its group: one document of each. Rows that share a doc_id stay or go together."""
-    found = near_duplicates(df, text, doc_id).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"))
-    return df.withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))).join(found, "_id", "left_semi").select(*df.columns)
+    found = near_duplicates(df, text, doc_id).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"))
+    return df.withColumn("__id", F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))).join(found, "__id", "left_semi").select(*df.columns)

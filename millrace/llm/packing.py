@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import freeing, text_of
 
 LENGTH, END = 1024, 2
 
@@ -58,7 +58,7 @@ def token_pieces(df: DataFrame, tokenizer: str, text: str = "text", doc_id: str
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names)
 
     types, names = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()], ["doc_id", "piece", "start", "length", "ids"]
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).mapInArrow(tokenize, "doc_id long, piece int, start long, length long, ids binary")
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).mapInArrow(freeing(tokenize), "doc_id long, piece int, start long, length long, ids binary")
 
 
 def best_fit(sizes: list[int], capacity: int, open_bins: int) -> tuple[list[int], list[int]]:

@@ -11,9 +11,9 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, checkpointed, text_of, written_table
+from .common import NULL_ID, checkpointed, freeing, text_of, written_table
 
-CHUNK = 4 << 20  # bytes of text at a time
+CHUNK = 1 << 20  # bytes of text at a time
 BATCHES, HOT, MOST_BITS = 4, 20_000, 1 << 27
 
 _random = np.random.default_rng(77)
@@ -144,7 +144,7 @@ def suffix_array(docs: DataFrame, shape: Shape) -> DataFrame:
                 key, first, n = np.unique(b.key, return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n), pa.array(ids[at + b.doc[first]]), pa.array(b.q[first] - bounds[b.doc[first]])], ["key", "n", "doc_id", "place"])
 
-    return merged(docs.select("doc_id", "text").mapInArrow(run, "key long, n long, doc_id long, place long"))
+    return merged(docs.select("doc_id", "text").mapInArrow(freeing(run), "key long, n long, doc_id long, place long"))
 
 
 def merged(rows: DataFrame) -> DataFrame:
@@ -274,7 +274,7 @@ def contexts(docs: DataFrame, bits: np.ndarray, shape: Shape) -> DataFrame:
                         ["key", "doc_id", "h", "q", "low", "high", "context"],
                     )
 
-    return docs.mapInArrow(run, CONTEXT)
+    return docs.mapInArrow(freeing(run), CONTEXT)
 
 
 def string_keys(key: np.ndarray, low: np.ndarray, high: np.ndarray, around: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -355,7 +355,7 @@ def repeated(rows: DataFrame, hot: DataFrame, shape: Shape, most: int = HOT) ->
             if len(t):
                 yield from resolve(t)
 
-    found = dealt.mapInArrow(run, "string long, again boolean, doc_id long, h long, first long, behind long")
+    found = dealt.mapInArrow(freeing(run), "string long, again boolean, doc_id long, h long, first long, behind long")
     if hot.isEmpty():
         return found.select("doc_id", "h", "first", "behind")
     found = written_table(found)
@@ -408,4 +408,4 @@ def cleaned(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shape: Sh
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("behind", pa.int64())]))), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
     joined = docs.join(by_row, ["doc_id", "h"], "left").select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), F.encode("text", "UTF-8").alias("body"), "found")
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<first: long, behind: long>>, kept binary")
+    return joined.mapInArrow(freeing(cut), "doc_id long, n_bytes long, spans array<struct<first: long, behind: long>>, kept binary")
