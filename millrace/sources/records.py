@@ -152,3 +152,27 @@ def phrase_time(c: Column, now: Column) -> Column:
         ts(F.when(n(month) > F.month(now) + 1, F.year(now) - 1).otherwise(F.year(now)), n(month), n(month, 2), n(month, 3), n(month, 4)),
         day(now, today), back(r"(\d+)分钟前", "MINUTE"), back(r"(\d+)小时前", "HOUR"), day(F.timestamp_add("DAY", F.lit(-1), now), yesterday), back(r"(\d+)秒前", "SECOND"), ts(n(date), n(date, 2), n(date, 3)), now,
     )
+
+
+#: Identifiers, counts and lists of parsed records that go into a raw row's metadata.
+META_IDS = ("thread_id", "weibo_id", "question_id", "note_id", "aweme_id", "bar_name")
+META_COUNTS = ("reply_count", "reposts_count", "comments_count", "attitudes_count", "voteup_count", "like_count", "collect_count", "share_count", "comment_count", "play_count", "duration")
+META_LISTS = ("topics", "tags", "image_list", "hashtags")
+
+
+def raw_rows(df: DataFrame, platform: str, keyword: str = "") -> DataFrame:
+    """Parsed records as raw rows; metadata has the keyword, the identifiers, counts other than 0 and lists that aren't empty (as JSON)."""
+    there = set(df.columns)
+    entries = [F.struct(F.lit("keyword").alias("k"), F.lit(keyword).alias("v"), F.lit(True).alias("ok"))]
+    entries += [F.struct(F.lit(c).alias("k"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("v"), F.lit(True).alias("ok")) for c in META_IDS if c in there]
+    entries += [F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v"), (F.coalesce(F.col(c), F.lit(0)) != 0).alias("ok")) for c in META_COUNTS if c in there]
+    entries += [F.struct(F.lit(c).alias("k"), F.to_json(c).alias("v"), (F.coalesce(F.size(c), F.lit(0)) > 0).alias("ok")) for c in META_LISTS if c in there]
+    metadata = F.map_from_entries(F.transform(F.filter(F.array(*entries), lambda e: e["ok"]), lambda e: F.struct(e["k"], e["v"])))
+    channel = F.coalesce(F.col("bar_name"), F.lit("")) if platform == "tieba" and "bar_name" in there else F.lit(keyword)
+    images = _strings(F.col("image_list")) if "image_list" in there else F.expr("cast(array() as array<string>)")
+    media = media_urls(images, F.col("video_cover_url")) if "video_cover_url" in there else images
+    return df.select(
+        F.lit(platform).alias("source_platform"), F.coalesce("source_url", F.lit("")).alias("source_url"), channel.alias("source_channel"), F.lit(keyword).alias("source_keyword"), F.coalesce("author_uid", F.lit("")).alias("author_id"),
+        F.coalesce("author_username", F.lit("")).alias("author_name"), F.coalesce("content_type", F.lit("text")).alias("content_type"), F.coalesce("content_raw", F.lit("")).alias("content_raw"), F.lit("RAW_COLLECTED").alias("raw_status"),
+        media.alias("media_urls"), media_hash(media).alias("media_hash"), metadata.alias("metadata"),
+    )

@@ -80,3 +80,19 @@ def test_chat_and_files(spark, tmp_path):
     table = tmp_path / "s.csv"
     table.write_text("slang,normalized_meaning\nt,m\n")
     assert [tuple(r) for r in files.slang_dictionary(spark, str(table), "csv").collect()] == [("t", "m", None, "manual")]
+
+
+def test_raw_rows(spark):
+    r = records.raw_rows(parsed(spark, "douyin", content_raw="c", aweme_id="9", like_count=0, share_count=2, hashtags=["h"], image_list=["i"], video_cover_url="v"), "douyin", "k").first()
+    assert r.metadata == {"keyword": "k", "aweme_id": "9", "share_count": "2", "hashtags": '["h"]', "image_list": '["i"]'}
+    assert (r.media_urls, r.source_channel, len(r.media_hash)) == (["i", "v"], "k", 12)
+    assert records.raw_rows(parsed(spark, "tieba", bar_name="b"), "tieba").first().source_channel == "b"
+
+
+def test_sql_functions(spark):
+    from millrace.functions.sql import register
+
+    register(spark)
+    rows = spark.sql("SELECT e.* FROM VALUES ('mail a@b.co ip 1.2.3.4 微信: abcde1') p(t), LATERAL extract_entities(t) e").collect()
+    assert [(r.entity_type, r.entity_value) for r in rows] == [("wechat", "abcde1"), ("email", "a@b.co"), ("domain", "b.co"), ("ip", "1.2.3.4")]
+    assert spark.sql("SELECT defang_url('http://a.b/c') d, normalize_whitespace(' a　b ') n").first() == ("hxxp[://]a[.]b/c", "a b")
