@@ -117,12 +117,13 @@ def judge(df: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", orde
     n, piece = F.length("_string") + 1, 256
     inside = lambda c: F.sequence(F.lit(1), F.least(F.lit(piece), n - c + 1))
     cut = lambda c: F.element_at(F.transform(F.array(F.substr(padded, c, F.lit(piece + order))), lambda s: F.transform(inside(c), lambda i: F.substr(s, i, F.lit(order + 1)))), 1)
-    places = dealt.withColumn("gram", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), n, F.lit(piece)), cut))))
+    # a digest stands for the string, which would else be repeated with each of its grams
+    places = dealt.select(F.md5("_string").alias("_digest"), "n", "allow", "block", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), n, F.lit(piece)), cut))).alias("gram"))
     grams = checkpointed(places.groupBy("gram").agg(F.count(F.lit(1)).alias("rows"), *(F.sum(c).alias(c) for c in ("n", "allow", "block"))))
     scores = gram_scores(grams, order).join(grams.select("gram", "rows"), "gram").select("gram", "rows", "score")
     total = grams.agg(F.sum("rows")).first()[0] or 0
-    by_place = join_unique(places.select("_string", "gram"), scores, "gram", "rows", total)
-    scored = checkpointed(by_place.groupBy("_string").agg(F.avg("score").alias("score")).join(strings, "_string"))
+    by_place = join_unique(places.select("_digest", "gram"), scores, "gram", "rows", total)
+    scored = checkpointed(by_place.groupBy("_digest").agg(F.avg("score").alias("score")).join(strings.withColumn("_digest", F.md5("_string")), "_digest"))
     bins = scored.withColumn("_bin", F.round(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), F.col("score"))) / STEP)).groupBy("_bin").agg(F.sum("held_allow").alias("allow"), F.sum("held_block").alias("block")).collect()
     least = threshold([(r["_bin"] * STEP, a, r[a]) for r in bins for a in ("allow", "block") if r[a]])
     rows = df.count()
