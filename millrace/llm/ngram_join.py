@@ -282,7 +282,7 @@ def cross_pairs(token: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.nd
 def candidates(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) that cross_pairs() finds in rows (token, node, n, place, label)."""
     names = ["token", "node", "n", "place", "label", *(f"before{k}" for k in range(1, BEFORE + 1))]
-    own = Window.partitionBy("node").orderBy("token")
+    own = Window.partitionBy("node").orderBy("place")  # tokens sort as unsigned numbers, which a long of Spark's does not
     rows = rows.withColumns({f"before{k}": F.coalesce(F.lag("token", k).over(own), F.lit(0)) for k in range(1, BEFORE + 1)})
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

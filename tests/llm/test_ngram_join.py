@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from millrace.llm import queries
-from millrace.llm.ngram_join import bitmaps, cross_pairs, most_shared, near_duplicates, probe_length, shingle_sets
+from millrace.llm.ngram_join import bitmaps, candidates, cross_pairs, most_shared, near_duplicates, probe_length, shingle_sets
 
 
 def direct_set(text):
@@ -109,6 +109,16 @@ def test_cross_pairs_find_every_pair_that_links_across_labels():
                     assert (a, b) in got
 
 
+def test_candidates_with_classes_on_both_sides_of_16(spark):
+    for low, high in ((10, 16), (3, 31), (15, 20), (2, 9), (17, 30)):
+        rows = []
+        for node in (1, 2):
+            tokens = sorted([*(1 << 59 | 1000 * node + k for k in range(14)), *(low << 59 | k + 1 for k in range(10)), *(high << 59 | k + 1 for k in range(76))])
+            shared = [(t, place) for place, t in enumerate(tokens[: probe_length(100)]) if t >> 59 > 1]
+            rows += [(t - (t >> 63 << 64), node, 100, place, node) for t, place in shared]
+        assert [tuple(r) for r in candidates(spark.createDataFrame(rows, "token long, node long, n long, place int, label long")).collect()] == [(1, 2)]
+
+
 def test_against_all_pairs(spark, make):
     for seed in (1, 2):
         rows = family(seed)
