@@ -82,7 +82,7 @@ def _sets(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     left = np.repeat(ends, counts) - np.arange(n)  # words from here to the end of the text
     shingle = words * TURNS[0]
     for j in range(1, N):
-        shingle[: n - j] += words[j:] * TURNS[j]
+        shingle[: max(0, n - j)] += words[j:] * TURNS[j]
     keep = left >= N
     for d in np.flatnonzero((counts > 0) & (counts < N)).tolist():
         head = ends[d] - counts[d]

@@ -78,6 +78,13 @@ def test_sets():
     assert sorted(map(sorted, where.values())) == sorted(map(sorted, named.values()))
 
 
+def test_sets_of_few_words():
+    for words in range(6):
+        text = " ".join("abcde"[:words])
+        for texts in ([text], [text, ""], ["", text], [text, "a b"], ["x" * (1 << 20), text, "y" * (1 << 20)]):
+            assert np.diff(shingle_sets(pa.array(texts))[1]).tolist() == [len(direct_set(t)) for t in texts]
+
+
 def test_bitmaps_bound_and_prefixes_suffice():
     r = random.Random(4)
     for _ in range(300):
