@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -15,20 +16,29 @@ from .common import freeing, text_of
 LENGTH, END = 1024, 2
 
 
-def encoder(path: str):
+def encoder(path: str, added: bool = False):
     """text -> ids of the byte-level BPE in a tokenizers JSON file.
 
-    The ids are those of `tokenizers` with add_special_tokens=False, in which special tokens' strings are ordinary text (a test
-    compares them). The file's vocabulary is run by tiktoken, four times as fast: ids of a byte-level BPE are its merge ranks.
+    With added, the ids are those of `tokenizers` with add_special_tokens=False, which gives the file's added tokens their own ids
+    where their strings stand in the text. Without, they are those with encode_special_tokens=True too: such strings are ordinary
+    text (tests compare both). The file's vocabulary is run by tiktoken, four times as fast: ids of a byte-level BPE are its merge
+    ranks. Added tokens that are more than a plain string, or begin with another one, are left to `tokenizers`.
     """
     import tiktoken
 
     model = json.loads(open(path, encoding="utf-8").read())
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-    special = {x["content"] for x in model.get("added_tokens", ())}
+    special = {x["content"]: x["id"] for x in model.get("added_tokens", ())}
+    if added and (any(x.get(k) for x in model.get("added_tokens", ()) for k in ("single_word", "lstrip", "rstrip", "normalized")) or any(x != y and x.startswith(y) for x in special for y in special)):
+        from tokenizers import Tokenizer
+
+        slow = Tokenizer.from_file(path)
+        return lambda text: slow.encode(text, add_special_tokens=False).ids
     ranks = {bytes(byte_of[c] for c in token): rank for token, rank in model["model"]["vocab"].items() if token not in special}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    if added and special:
+        return partial(tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special).encode, allowed_special="all")
     return tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
@@ -41,7 +51,7 @@ def token_pieces(df: DataFrame, tokenizer: str, text: str = "text", doc_id: str
     """
 
     def tokenize(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, added=True)
         for batch in stream:
             out, held = [[], [], [], [], []], 0
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):

@@ -40,6 +40,20 @@ def test_ids_are_those_of_tokenizers():
         assert fast(text) == slow.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_with_added_tokens_are_those_of_tokenizers(make):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    slow, fast = Tokenizer.from_file(path), encoder(path, added=True)
+    texts = ["", "a b", "a<|endoftext|>b", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext|", "\n <|endoftext|>'s", "x  <|endoftext|>", "É<|endoftext|>日本語" * 900]
+    want = [slow.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[2] == [64, 50256, 65] and [fast(t) for t in texts] == want
+    got = {}
+    for r in token_pieces(make(list(enumerate(texts))), path).orderBy("doc_id", "piece").collect():
+        got.setdefault(r.doc_id, []).extend(np.frombuffer(r.ids, "<u4").tolist())
+    assert [got[i] for i in range(len(texts))] == [[*ids, 2] for ids in want]
+
+
 def test_round_trip(make):
     from tokenizers import Tokenizer
 
