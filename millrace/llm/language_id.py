@@ -203,14 +203,15 @@ def fit(texts: list[str], langs: list[str], rounds: int = 60, rate: float = 0.15
 
 
 def labelled(df: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> DataFrame:
-    """(text, lang): at most per_language texts of each of the `languages` commonest labels, drawn by a hash of the text.
+    """(text, lang): at most per_language distinct texts of each of the `languages` commonest labels, drawn by a hash of the text.
 
-    This bounds what the classifier is fitted on, and the driver holds; nothing else is sampled.
+    Copies count once, so that they neither thin out a language's sample nor fill it. This bounds what the classifier is fitted on, and the driver holds; nothing else is sampled.
     """
-    known = df.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
-    drawn = known.join(F.broadcast(counts), "lang").withColumn("_u", F.pmod(F.xxhash64("text"), F.lit(1 << 30)))
-    drawn = drawn.filter(F.col("_u") < F.lit(2.0 * per_language * (1 << 30)) / F.col("count"))
+    known = df.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("_h"))
+    texts = known.groupBy("lang", "_h").count()
+    counts = texts.groupBy("lang").agg(F.sum("count").alias("_rows"), F.count(F.lit(1)).alias("_texts")).orderBy(F.desc("_rows"), "lang").limit(languages)
+    drawn = known.join(F.broadcast(counts), "lang").withColumn("_u", F.pmod("_h", F.lit(1 << 30)))
+    drawn = drawn.filter(F.col("_u") < F.lit(2.0 * per_language * (1 << 30)) / F.col("_texts")).select("lang", "text", "_u").distinct()
     return drawn.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_u", "text"))).filter(f"_n <= {per_language}").select("text", "lang")
 
 

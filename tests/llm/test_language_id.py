@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 
 from millrace.llm import queries
-from millrace.llm.language_id import chains, fit, forward_backward, identify, spans, train
+from millrace.llm.language_id import chains, fit, forward_backward, identify, labelled, spans, train
 
 
 def test_forward_backward_against_all_paths():
@@ -43,6 +43,14 @@ def test_code_switched_text(spark, make):
     assert identify(docs, train(make([]))).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_sample_is_of_distinct_texts(make):
+    distinct = {"en": ["the word %d" % i for i in range(6)], "de": ["das Wort %d" % i for i in range(3)], "fr": ["le mot"], "it": ["una parola %d" % i for i in range(8)]}
+    rows = [(0, t, lang) for lang, texts in distinct.items() for t in texts for _ in range(200 if lang != "it" or t == texts[0] else 1)]
+    got = [(r.lang, r.text) for r in labelled(make(rows), per_language=4).collect()]
+    assert len(got) == len(set(got)) and all(t in distinct[lang] for lang, t in got)
+    assert {lang: sum(x == lang for x, _ in got) for lang in distinct} == {"en": 4, "de": 3, "fr": 1, "it": 4}
+
+
 def test_query_on_held_out_documents(spark, sf_dir):
     langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang").collect()}
     rows = queries.op4_language_id(spark, sf_dir).collect()
