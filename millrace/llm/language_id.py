@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -13,8 +14,13 @@ from pyspark.sql import functions as F
 
 from .common import freeing, text_of
 
-#: Hashed n-gram and affix features, words of a chain, documents a language to learn from (at most), languages (at most).
+#: Hashed n-gram and affix features, words of a chain, documents a language to learn from (at most), languages (at most): with more
+#: labels, the rarest are not learned and never predicted.
 BUCKETS, CHAIN, PER_LANGUAGE, LANGUAGES = 1 << 17, 128, 200, 256
+#: Characters of all texts to learn from; a language has an equal part of them.
+CHARACTERS = 4_000_000
+#: Words times languages that learning holds at a time.
+CELLS = 1 << 21
 #: No language: the text is null or has no letter.
 NONE = "und"
 CHUNK = 1 << 18  # characters at a time
@@ -172,27 +178,30 @@ def fit(texts: list[str], langs: list[str], rounds: int = 60, rate: float = 0.15
     k = len(names)
     model = Model(names, np.zeros((BUCKETS, k), np.float32), lexicon, np.zeros((len(lexicon) + 1, k), np.float32), np.zeros((k, k)))
     in_lexicon = model.in_lexicon(keys)
-    starts, lengths = chains(np.zeros(len(order), int), 1)
-    inner = np.ones(len(order), bool)
-    inner[starts] = False
+    inner = np.arange(len(order)) % CHAIN != 0
     observed = np.zeros((k, k))
     np.add.at(observed, (label[np.flatnonzero(inner) - 1], label[inner]), 1)
-    hot = np.zeros((len(order), k))
-    hot[np.arange(len(order)), label] = 1
     params = [model.weights, model.lexicon_weights, model.transitions]
-    moments = [(np.zeros_like(p, float), np.zeros_like(p, float)) for p in params]
+    moments = [(np.zeros(p.shape, np.float32), np.zeros(p.shape, np.float32)) for p in params]
     owner = np.repeat(np.arange(len(keys)), spans)
+    block = max(1, CELLS // (k * CHAIN)) * CHAIN  # words of whole chains
     for step in range(1, rounds + 1):
-        post, pairs = forward_backward(model.emissions(distinct)[word], model.transitions, starts, lengths, edges=True)
-        error = post - hot
-        per_word = np.stack([np.bincount(word, error[:, j], len(keys)) for j in range(k)], 1)
-        slope = np.zeros((BUCKETS, k))
+        emissions = model.emissions(distinct)
+        per_word, pairs = np.zeros((len(keys), k), np.float32), np.zeros((k, k))
+        for a in range(0, len(order), block):
+            some = word[a : a + block]
+            post, moved = forward_backward(emissions[some], model.transitions, *chains(np.zeros(len(some), int), 1), edges=True)
+            post[np.arange(len(some)), label[a : a + block]] -= 1
+            pairs += moved
+            for j in range(k):
+                per_word[:, j] += np.bincount(some, post[:, j], len(keys))
+        slope, by_word = np.zeros((BUCKETS, k), np.float32), np.zeros((len(lexicon) + 1, k), np.float32)
         for j in range(k):
             for buckets in distinct.grams:
                 slope[:, j] += np.bincount(buckets, per_word[owner, j], BUCKETS)
             for buckets in distinct.affixes:
                 slope[:, j] += np.bincount(buckets, per_word[:, j], BUCKETS)
-        by_word = np.stack([np.bincount(in_lexicon, per_word[:, j], len(lexicon) + 1) for j in range(k)], 1)
+            by_word[:, j] = np.bincount(in_lexicon, per_word[:, j], len(lexicon) + 1)
         by_word[-1] = 0
         for p, g, (m, v) in zip(params, (slope, by_word, pairs - observed), moments, strict=True):
             g = g / len(order) + decay * p
@@ -202,23 +211,39 @@ def fit(texts: list[str], langs: list[str], rounds: int = 60, rate: float = 0.15
     return model
 
 
-def labelled(df: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> DataFrame:
+def labelled(df: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES, characters: int = CHARACTERS) -> DataFrame:
     """(text, lang): at most per_language distinct texts of each of the `languages` commonest labels, drawn by a hash of the text.
 
-    Copies count once, so that they neither thin out a language's sample nor fill it. This bounds what the classifier is fitted on, and the driver holds; nothing else is sampled.
+    Copies count once, so that they neither thin out a language's sample nor fill it. A language's texts end with the one that
+    brings them to its part of `characters`; of a text longer than that part, so much is learned from. This bounds what the
+    classifier is fitted on, in texts and in characters; nothing else is sampled.
     """
     known = df.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("_h"))
     texts = known.groupBy("lang", "_h").count()
     counts = texts.groupBy("lang").agg(F.sum("count").alias("_rows"), F.count(F.lit(1)).alias("_texts")).orderBy(F.desc("_rows"), "lang").limit(languages)
+    counts = counts.withColumn("_part", F.floor(F.lit(characters) / F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))).cast("int"))
     drawn = known.join(F.broadcast(counts), "lang").withColumn("_u", F.pmod("_h", F.lit(1 << 30)))
-    drawn = drawn.filter(F.col("_u") < F.lit(2.0 * per_language * (1 << 30)) / F.col("_texts")).select("lang", "text", "_u").distinct()
-    return drawn.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_u", "text"))).filter(f"_n <= {per_language}").select("text", "lang")
+    drawn = drawn.filter(F.col("_u") < F.lit(2.0 * per_language * (1 << 30)) / F.col("_texts")).select("lang", F.expr("left(text, _part)").alias("text"), "_u", "_part").distinct()
+    order = Window.partitionBy("lang").orderBy("_u", "text")
+    first = drawn.withColumn("_n", F.row_number().over(order)).filter(f"_n <= {per_language}")
+    before = F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return first.withColumn("_before", before).filter("_before < _part").select("text", "lang")
 
 
 def train(df: DataFrame, **how) -> Model | None:
-    """A model from the rows of df that have text and lang, or None if there are none."""
-    sample = sorted(map(tuple, labelled(df, **how).collect()))
-    return fit([t for t, _ in sample], [x for _, x in sample])
+    """A model from the rows of df that have text and lang, or None if there are none.
+
+    The sample, which labelled() bounds, is fitted in one task; the driver gets the model alone.
+    """
+
+    def learn(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = sorted((t, x) for batch in stream for t, x in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True))
+        model = fit([t for t, _ in sample], [x for _, x in sample])
+        if model is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    found = labelled(df, **how).repartition(1).mapInArrow(freeing(learn), "model binary").collect()
+    return pickle.loads(found[0].model) if found else None
 
 
 def _parts(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -244,7 +269,8 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", keep: tuple
     """The columns in keep, lang_pred and score (by the names given) for each row of df, from the text alone.
 
     Every word of the text gets a language by forward-backward; lang_pred has most of the words' marginals, score is its share.
-    A text that is null or has no letter is `und` with score 0, as is every text if there is no model.
+    Of equally probable languages the first by name is given. A text that is null or has no letter is `und` with score 0, as is
+    every text if there is no model.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     source = text if text in keep else "__text"

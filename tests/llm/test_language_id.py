@@ -51,6 +51,20 @@ def test_sample_is_of_distinct_texts(make):
     assert {lang: sum(x == lang for x, _ in got) for lang in distinct} == {"en": 4, "de": 3, "fr": 1, "it": 4}
 
 
+def test_sample_is_bounded_in_characters_too(make):
+    rows = [(i, f"word{i} " * 500, "en") for i in range(9)] + [(20, "wort " * 100_000, "de"), (21, "ohne", None), (22, None, "de")]
+    got = labelled(make(rows), characters=20_000).collect()
+    assert all(len(r.text) <= 10_000 for r in got) and {r.lang for r in got} == {"en", "de"}
+    assert sum(len(r.text) for r in got if r.lang == "en") < 20_000
+    assert train(make(rows), characters=20_000).languages == ["de", "en"]
+
+
+def test_ties_give_the_first_language(make):
+    model = fit(["word here", "word here"], ["en", "de"])
+    (row,) = identify(make([(1, "word here")]), model).collect()
+    assert row.lang_pred == "de" and row.score >= 0.5 - 1e-9
+
+
 def test_query_on_held_out_documents(spark, sf_dir):
     langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang").collect()}
     rows = queries.op4_language_id(spark, sf_dir).collect()
