@@ -6,7 +6,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words everywhere: runs of anything but ASCII white space.
@@ -19,21 +19,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Writes df to the folder of spark.checkpoint.dir, shared by all executors, and cuts its lineage there."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of checkpoints: that of spark.checkpoint.dir. Only a local session, as in tests, may go without that setting."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Writes df to the folder of spark.checkpoint.dir, shared by all executors, and cuts its lineage there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def written_table(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the folder of checkpoints, read again."""
-    checkpointed(df.limit(0))
-    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_table(table: DataFrame) -> None:
+    """Removes the files of a table that written_table() gave."""
+    spark = table.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def one_of_each(df: DataFrame, *keys: str) -> DataFrame:
+    """One row of df for each combination of the keys, nulls alike: the one with the least hash of all its columns.
+
+    Rows meet on the map side first, so a key that very many rows have is no large group.
+    """
+    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.groupBy(*keys).agg(F.min_by(row, F.xxhash64(*hashed)).alias("__one")).select("__one.*")
+
+
+def running(df: DataFrame, order: list, sums: dict) -> DataFrame:
+    """df with the running sum of each of `sums` (name to column), rows in an order without ties; no task has all rows.
+
+    Rows are dealt by ranges of the order and summed within; of each range only its totals are summed over the ranges, of which
+    there are as many as partitions.
+    """
+    ranged = checkpointed(df.withColumns({f"__{n}": c for n, c in sums.items()}).repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    so_far = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("__range").agg(*(F.sum(f"__{n}").alias(f"__t_{n}") for n in sums))
+    before = totals.select("__range", *(F.coalesce(F.sum(f"__t_{n}").over(so_far), F.lit(0)).alias(f"__b_{n}") for n in sums))
+    inside = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = ranged.withColumns({n: F.sum(f"__{n}").over(inside) for n in sums}).join(F.broadcast(before), "__range")
+    return out.withColumns({n: F.col(n) + F.col(f"__b_{n}") for n in sums}).select(*df.columns, *sums)
 
 
 def text_of(column: str = "text") -> Column:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freeing, text_of
+from .common import freeing, text_of, written_table
 
 LENGTH, END = 1024, 2
 
@@ -107,24 +107,26 @@ def best_fit(sizes: list[int], capacity: int, open_bins: int) -> tuple[list[int]
     return bins, offsets
 
 
-def pack(pieces: DataFrame, size: str = "length", key: tuple[str, ...] = ("doc_id", "piece"), capacity: int = LENGTH, open_bins: int = 1024, per_group: int = 16384, documents: int | None = None) -> DataFrame:
+def pack(pieces: DataFrame, size: str = "length", capacity: int = LENGTH, open_bins: int = 1024, per_group: int = 16384) -> DataFrame:
     """pieces with sequence_id and offset: a place in a sequence of `capacity`, gapless from 0.
 
-    Pieces are dealt by a hash of their key into groups of about `per_group`, so that no task holds more, whatever the input. In a
-    group they arrive in the order of that hash, as random an order as best fit likes, and repeat on a rerun. Full pieces need no
-    bin and get their place without a shuffle's group growing. documents: an estimate of the rows, counted if not given.
+    The pieces are written once. A full one needs no bin and is a sequence of its own, numbered below 0. Every other is dealt by
+    its row, not by any of its columns, to one of groups of about `per_group`, whatever rows repeat or are null; in a group they
+    arrive in a random order, as best fit likes.
     """
-    n = pieces.count() if documents is None else documents
-    groups = max(1, -(-n // per_group))
-    fields = [f.name for f in pieces.schema.fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    dealt = pieces.withColumn("_order", F.xxhash64(*key)).withColumn("_group", F.pmod(F.xxhash64(F.lit("group"), *key), F.lit(groups)))
+    pieces = written_table(pieces).withColumn("_row", F.monotonically_increasing_id())
+    full, short = pieces.filter(F.col(size) >= capacity), pieces.filter(F.col(size) < capacity)
+    groups = max(1, -(-short.count() // per_group))
+    fields = [f.name for f in pieces.schema.fields if f.name != "_row"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields if f.name != "_row")
+    dealt = short.withColumn("_order", F.xxhash64("_row")).withColumn("_group", F.pmod(F.xxhash64(F.lit("group"), "_row"), F.lit(groups)))
 
     def place(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("_order", "ascending"), *((k, "ascending") for k in key)])
+        table = table.sort_by([("_order", "ascending"), ("_row", "ascending")])
         group = table.column("_group")[0].as_py()
         bins, offsets = best_fit(table.column(size).to_pylist(), capacity, open_bins)
         out = table.select(fields)
         return out.append_column("sequence_id", pa.array([group << 32 | b for b in bins], pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
 
-    return dealt.groupBy("_group").applyInArrow(place, f"{schema}, sequence_id long, offset long")
+    alone = full.select(*fields, (-1 - F.col("_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return alone.union(dealt.groupBy("_group").applyInArrow(place, f"{schema}, sequence_id long, offset long"))

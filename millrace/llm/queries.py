@@ -33,7 +33,7 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     pieces = packing.token_pieces(docs, tokenizer_path()).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return packing.pack(pieces, documents=docs.count())
+    return packing.pack(pieces)
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,6 +72,15 @@ def test_round_trip(make):
     assert pack(token_pieces(docs.limit(0), queries.tokenizer_path())).count() == 0
 
 
+def test_rows_without_identifier_are_dealt_over_groups(spark, make):
+    docs = make([(None, f"text {i % 3} " * (i % 50)) for i in range(400)] + [(None, "long " * 4000)] * 3)
+    rows = pack(token_pieces(docs, queries.tokenizer_path()), per_group=50).collect()
+    short = [r for r in rows if r.length < 1024]
+    assert len({r.sequence_id >> 32 for r in short}) > 4 and all(r.sequence_id < 0 and r.offset == 0 for r in rows if r.length == 1024)
+    assert sum(r.piece == 0 for r in rows) == 403 and len({r.sequence_id for r in rows if r.length == 1024}) == len(rows) - len(short)
+    full_places(rows)
+
+
 def full_places(rows):
     by = {}
     for r in rows:
@@ -95,7 +104,6 @@ def test_query_is_gapless_tight_and_repeats(spark, sf_dir):
     assert sequences <= 1.02 * -(-sum(r.length for r in rows) // 1024)
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
     slow = Tokenizer.from_file(queries.tokenizer_path())
-    slow.encode_special_tokens = True
     ids = {d: np.array([*slow.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for d, t in texts.items()}
     assert {r.doc_id for r in rows} == set(texts)
     for r in rows:
