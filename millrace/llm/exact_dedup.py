@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freeing, join_unique, text_of
+from .common import NULL_ID, freeing, join_unique, one_of_each, text_of, written_table
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -178,17 +178,17 @@ def memberships(df: DataFrame, text: str = "text", doc_id: str = "doc_id", large
     kept holds for the rows whose doc_id is the group's keep_id; rows that repeat both text and doc_id are therefore all kept
     here, and survivors() leaves one of them. A group in which every doc_id is null has keep_id null and is kept.
     """
-    groups = owners(df, text, doc_id, largest).select("text_sha256", F.col("owner").alias("keep_id"), F.col("copies").alias("group_size"))
+    groups = written_table(owners(df, text, doc_id, largest).select("text_sha256", F.col("owner").alias("keep_id"), F.col("copies").alias("group_size")))
     docs = df.select(F.col(doc_id).alias("doc_id"), F.sha2(text_of(text), 256).alias("text_sha256"))
     joined = join_unique(docs, groups, "text_sha256", "group_size", df.count())
     return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def survivors(df: DataFrame, text: str = "text", doc_id: str = "doc_id", largest: bool = False) -> DataFrame:
-    """The rows of df that stay, one for each distinct text, all columns untouched."""
-    from pyspark.sql import Window
+    """The rows of df that stay, one for each distinct text, all columns untouched.
 
-    groups = owners(df, text, doc_id, largest).select(F.coalesce("owner", F.lit(-(2**63))).alias("__id"), F.col("text_sha256").alias("__sha"))
-    marked = df.withColumns({"__id": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))), "__sha": F.sha2(text_of(text), 256)})
-    once = Window.partitionBy("__id", "__sha").orderBy(F.lit(0))
-    return marked.join(groups, ["__id", "__sha"], "left_semi").withColumn("__n", F.row_number().over(once)).filter("__n = 1").select(*df.columns)
+    Of rows that repeat both text and doc_id, the one whose columns have the least hash stays, on every run.
+    """
+    groups = owners(df, text, doc_id, largest).select(F.coalesce("owner", F.lit(NULL_ID)).alias("__id"), F.col("text_sha256").alias("__sha"))
+    marked = df.withColumns({"__id": F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)), "__sha": F.sha2(text_of(text), 256)})
+    return one_of_each(marked, "__id", "__sha").join(groups, ["__id", "__sha"], "left_semi").select(*df.columns)
