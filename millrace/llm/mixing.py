@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed
+from .common import WORD, checkpointed, join_unique, one_of_each, running, written_table
 
 WEIGHTS, TOTAL, MOST = (5, 2, 1), 1.5, 2.0
 
@@ -23,20 +23,22 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float =
     Sources in order of code points, null last, take the weights in turn. Together they get `total` times all sizes; a target
     stops at `most` times its source's size and the excess goes to the others by weight, until none is above. So a target is
     min(most * size, weight * level) for one level: with sources in order of size / weight, those before some place are capped
-    and the rest share what is left, which one running sum finds. The table has a row for each source, no document.
+    and the rest share what is left, which running sums find. The table has a row for each source; no task has all of them.
     """
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("documents"))
-    everything = Window.partitionBy(F.lit(0))
-    ranked = by_source.withColumn("_rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
-    weighted = ranked.withColumn("_weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("_rank") % len(weights) + 1).cast("int")).cast("double")).withColumn("_cap", F.lit(most) * F.col("source_size"))
-    order = Window.orderBy(F.col("_cap") / F.col("_weight"), "_rank")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(0, Window.unboundedFollowing)
-    level = (F.lit(total) * F.sum("source_size").over(everything) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("_weight").over(after)
-    # the level of the first source that isn't capped by its own level; of none: every source is at its cap
-    marked = weighted.withColumn("_level", level).withColumn("_level", F.when(F.col("_cap") > F.col("_weight") * F.col("_level"), F.col("_level")))
-    found = marked.withColumn("_level", F.first("_level", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return found.select("source", "source_size", "documents", F.least(F.col("_cap"), F.coalesce(F.col("_weight") * F.col("_level"), F.col("_cap"))).alias("target"))
+    # a null source is its own key, last in order; no string is equal to it
+    keyed = by_source.withColumn("_null", F.col("source").isNull())
+    ranked = running(keyed, [F.col("_null"), F.col("source")], {"_rank": F.lit(1).cast("long")})
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("_rank") - 1) % len(weights) + 1).cast("int")).cast("double")
+    weighted = ranked.withColumn("_weight", weight).withColumn("_cap", F.lit(most) * F.col("source_size")).withColumn("_ratio", F.col("_cap") / F.col("_weight"))
+    summed = checkpointed(running(weighted, [F.col("_ratio"), F.col("_rank")], {"_caps": F.col("_cap"), "_weights": F.col("_weight")}))
+    sizes_all, weights_all = summed.agg(F.sum("source_size"), F.sum("_weight")).first()
+    # the level if this source and all behind it shared what those before leave; of the first that its own level doesn't cap, it is the level
+    left = F.lit(float(total * (sizes_all or 0))) - (F.col("_caps") - F.col("_cap"))
+    levels = summed.withColumn("_level", left / (F.lit(float(weights_all or 0)) - F.col("_weights") + F.col("_weight")))
+    level = levels.filter(F.col("_cap") > F.col("_weight") * F.col("_level")).agg(F.min_by("_level", F.struct("_ratio", "_rank"))).first()[0]
+    target = F.col("_cap") if level is None else F.least(F.col("_cap"), F.col("_weight") * F.lit(level))
+    return summed.select("source", "source_size", "documents", target.alias("target"))
 
 
 def pivotal(p: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -78,10 +80,10 @@ def mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOT
     All randomness is a hash of row and seed. Documents without words are taken as any other and count nothing.
     """
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    sizes = written_table(sizes)
     per_source = checkpointed(targets(sizes, weights, total, most))
-    spark = sizes.sparkSession
-    hot = F.broadcast(per_source) if per_source.count() <= 100_000 else per_source
-    rows = sizes.join(hot, sizes.source.eqNullSafe(per_source.source)).drop(per_source.source)
+    named = F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
+    rows = join_unique(sizes.withColumn("_source", named), per_source.withColumn("_source", named).drop("source"), "_source", "documents", sizes.count())
     rows = rows.withColumn("_due", due).withColumn("copies", F.floor("_due").cast("long")).withColumn("_p", F.col("_due") - F.floor("_due"))
     rows = rows.withColumn("_groups", F.ceil(F.col("documents") / per_group)).withColumn("_u", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30))
     kept = ["row", "doc_id", "source", "size", "source_size", "target", "copies"]
@@ -114,11 +116,10 @@ def mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOT
 def mixed_rows(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", **how) -> DataFrame:
     """The rows of df, each as often as the mix takes it; columns as before.
 
-    Rows that repeat both doc_id and text count each, and their copies are given as copies of one of them.
+    Rows that repeat both doc_id and text count each, and their copies are given as copies of the one whose columns have the least
+    hash.
     """
     marked = df.withColumn("__row", F.concat_ws(":", F.col(doc_id).cast("string"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
     sizes = marked.select(F.col("__row").alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(text).alias("size"))
     copies = mix(sizes, **how).groupBy(F.col("row").alias("__row")).agg(F.sum("copies").alias("__copies")).filter("__copies > 0")
-    first = Window.partitionBy("__row").orderBy(F.lit(0))
-    once = marked.withColumn("__later", F.lag(F.lit(True)).over(first)).filter("__later is null")
-    return once.join(copies, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*df.columns)
+    return one_of_each(marked, "__row").join(copies, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*df.columns)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from millrace.llm import queries
-from millrace.llm.mixing import mix, pivotal, targets
+from millrace.llm.mixing import mix, mixed_rows, pivotal, targets
 
 
 def filled(sizes, weights=(5, 2, 1), total=1.5, most=2.0):
@@ -58,6 +58,14 @@ def test_tree_of_groups(spark):
         assert abs(r["sum(taken)"] - r["max(target)"]) < 0.01 * r["max(target)"]
 
 
+def test_rows_of_odd_documents(make):
+    docs = make([(1, None), (2, "a b c", None, None), (2, "a b c", None, None), (None, "d e f"), (3, ""), (4, "g h", "x", "t")])
+    out = mixed_rows(docs)
+    assert out.columns == docs.columns and {r.text for r in out.collect()} <= {None, "", "a b c", "d e f", "g h"}
+    assert sorted(map(str, out.collect())) == sorted(map(str, mixed_rows(docs.repartition(3)).collect()))
+    assert mixed_rows(docs.limit(0)).count() == 0
+
+
 def test_query(spark, sf_dir):
     out = queries.op10_mixing(spark, sf_dir).collect()
     assert sorted(map(tuple, out)) == sorted(map(tuple, queries.op10_mixing(spark, sf_dir).collect()))
