@@ -10,14 +10,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, checkpointed, connected_components, freeing, join_unique, most_cold, text_of
+from .common import WORD, checkpointed, connected_components, freeing, join_unique, most_cold, one_of_each, text_of
+from .filters import bitset, has
 
 #: Words of a shingle; sets link if 100 * intersection >= LEAST * union.
 N, LEAST = 5, 75
 #: Bits of a set's bitmap at least; counters of the frequency sketch and counters of a block of it.
 LEAST_BITS, COUNTERS, BLOCK = 256, 1 << 22, 1 << 12
-#: Identifiers up to which a set of documents is broadcast (8 bytes each).
-MOST_BROADCAST = 2_000_000
+#: Rows up to which a set of documents or groups is broadcast (24 bytes each); beyond, it is shuffled.
+MOST_BROADCAST = 200_000
+#: Stands for a null doc_id, which is larger than any other.
+LAST_ID = 2**63 - 1
+#: Sets of a token that meet in one tile.
+TILE = 2048
 CHUNK = 1 << 20  # bytes of text at a time
 
 _random = np.random.default_rng(20240229)
@@ -137,11 +142,11 @@ def probe_length(n):
 
 
 def sets_of(docs: DataFrame, counters: int) -> DataFrame:
-    """(kind, doc_id, n, a, b, bitmap): a row of kind 0 for each document, and of kind 1 for blocks of each task's frequency sketch.
+    """(kind, doc_id, h, n, a, b, bitmap): a row of kind 0 for each document, and of kind 1 for blocks of each task's frequency sketch.
 
     A block counts, for BLOCK counters, the shingles that hash to them; doc_id is its number and bitmap the packed counts.
     """
-    names = ["kind", "doc_id", "n", "a", "b", "bitmap"]
+    names = ["kind", "doc_id", "h", "n", "a", "b", "bitmap"]
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, held, waiting = np.zeros(counters, np.uint32), [], 0
@@ -156,7 +161,7 @@ def sets_of(docs: DataFrame, counters: int) -> DataFrame:
                 if waiting > counters // 4:
                     sketch += np.bincount(np.concatenate(held), minlength=counters).astype(np.uint32)
                     held, waiting = [], 0
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int8)), part.column("doc_id"), pa.array(n), pa.array(a), pa.array(b), pa.array(bitmaps(hashes, starts), pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int8)), part.column("doc_id"), part.column("h"), pa.array(n), pa.array(a), pa.array(b), pa.array(bitmaps(hashes, starts), pa.binary())], names)
         if held:
             sketch += np.bincount(np.concatenate(held), minlength=counters).astype(np.uint32)
         full = np.flatnonzero(sketch.reshape(-1, BLOCK).any(axis=1))
@@ -164,9 +169,9 @@ def sets_of(docs: DataFrame, counters: int) -> DataFrame:
             some = full[i : i + 64]
             packed = [zlib.compress(sketch[k * BLOCK : (k + 1) * BLOCK].tobytes(), 1) for k in some]
             zero = pa.array(np.zeros(len(some), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some), np.int8)), pa.array(some.astype(np.int64)), zero, zero, zero, pa.array(packed, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some), np.int8)), pa.array(some.astype(np.int64)), zero, zero, zero, zero, pa.array(packed, pa.binary())], names)
 
-    return docs.mapInArrow(freeing(run), "kind byte, doc_id long, n long, a long, b long, bitmap binary")
+    return docs.mapInArrow(freeing(run), "kind byte, doc_id long, h long, n long, a long, b long, bitmap binary")
 
 
 def frequency_classes(blocks: DataFrame, counters: int) -> np.ndarray:
@@ -186,15 +191,16 @@ def frequency_classes(blocks: DataFrame, counters: int) -> np.ndarray:
     return out
 
 
-def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
+def prefixes(docs: DataFrame, levels: np.ndarray, wanted: np.ndarray | None = None) -> DataFrame:
     """(token, node, n, place, weight): the shingles of each set's probe prefix and their places in it, from 0.
 
     All sets order their shingles alike, rare ones first: by the sketch's class, then by hash. So a passage that many documents
     share comes into a prefix only if there is hardly anything else. A token is the class (5 bits) and 59 bits of the hash, so it
     sorts in that order. weight is 100 times the mean class of all the set's shingles: in a family of near copies it is highest for
-    the set that the others were made from. A task gives a set that it meets again only once.
+    the set that the others were made from. A task gives a set that it meets again only once. wanted is a bit set of the tokens
+    to give, all if there is none.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+    shared, bits = docs.sparkSession.sparkContext.broadcast(levels), docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, mask, seen = np.minimum(shared.value, 31).astype(np.uint64) << np.uint64(59), np.uint64(len(shared.value) - 1), set()
@@ -221,7 +227,11 @@ def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                     parts.append(tokens[s : s + k])
                 if parts:
                     place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.repeat(a[fresh], many)), pa.array(np.repeat(n[fresh], many)), pa.array(place.astype(np.int32)), pa.array(np.repeat(weight, many))], ["token", "node", "n", "place", "weight"])
+                    token, node, size, weight = np.concatenate(parts), np.repeat(a[fresh], many), np.repeat(n[fresh], many), np.repeat(weight, many)
+                    if bits.value is not None:
+                        some = has(bits.value, token)
+                        token, node, size, place, weight = token[some], node[some], size[some], place[some], weight[some]
+                    yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(node), pa.array(size), pa.array(place.astype(np.int32)), pa.array(weight)], ["token", "node", "n", "place", "weight"])
 
     return docs.mapInArrow(freeing(run), "token long, node long, n long, place int, weight int")
 
@@ -230,24 +240,26 @@ def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
 BEFORE = 4
 
 
-def cross_pairs(token: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.ndarray, label: np.ndarray, *before: np.ndarray) -> np.ndarray:
-    """Pairs (a, b), a < b, of nodes with different labels that share a token and may link; rows are sorted by token.
+def cross_pairs(tile: np.ndarray, side: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.ndarray, label: np.ndarray, *before: np.ndarray) -> np.ndarray:
+    """Pairs (a, b), a < b, of nodes with different labels that share a tile and may link; rows are sorted by tile.
+
+    All rows of a tile have the same token. Those of sides 0 and 1 are only paired across, those of side -1 with each other.
 
     The first token that a pair shares leaves it no more than the rest of either set, so the pair is dropped where a rest is too
     small. It is also dropped if it shares one of the tokens before, as it has been found there. Within a token, nodes of the
     commonest label are only paired with the others: a family of near copies that is one group already costs nothing.
     """
     none = np.zeros((0, 2), np.int64)
-    if not len(token):
+    if not len(tile):
         return none
-    head = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-    size = np.diff(np.r_[head, len(token)])
+    head = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
+    size = np.diff(np.r_[head, len(tile)])
     mixed = np.minimum.reduceat(label, head) != np.maximum.reduceat(label, head)
     out = []
 
     def found(i: np.ndarray, j: np.ndarray) -> None:
         least = LEAST * (n[i] + n[j])
-        ok = (label[i] != label[j]) & ((100 + LEAST) * (n[i] - place[i]) >= least) & ((100 + LEAST) * (n[j] - place[j]) >= least)
+        ok = (label[i] != label[j]) & ((side[i] < 0) | (side[i] != side[j])) & ((100 + LEAST) * (n[i] - place[i]) >= least) & ((100 + LEAST) * (n[j] - place[j]) >= least)
         i, j = i[ok], j[ok]
         again = np.zeros(len(i), bool)
         for x in before:
@@ -259,8 +271,8 @@ def cross_pairs(token: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.nd
     few = np.repeat(mixed & (size <= 64), size)
     rows = np.flatnonzero(few)
     for d in range(1, int(size[mixed & (size <= 64)].max(initial=1))):
-        rows = rows[rows + d < len(token)]
-        rows = rows[token[rows] == token[rows + d]]
+        rows = rows[rows + d < len(tile)]
+        rows = rows[tile[rows] == tile[rows + d]]
         found(rows, rows + d)
     for s, m in zip(head[mixed & (size > 64)].tolist(), size[mixed & (size > 64)].tolist(), strict=True):
         _, which, counts = np.unique(label[s : s + m], return_inverse=True, return_counts=True)
@@ -279,9 +291,32 @@ def cross_pairs(token: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.nd
     return np.unique(np.concatenate(out), axis=0) if out else none
 
 
-def candidates(rows: DataFrame) -> DataFrame:
+def tiled(rows: DataFrame, most: int = TILE) -> DataFrame:
+    """rows (token, node, n, place, label) of tokens that several labels have, with tile and side.
+
+    A token's rows are one tile if they number `most` at most. Else those of its commonest label, which aren't compared with each
+    other, are cut into blocks, as are the rest; a tile is a block of the first kind and one of the second (sides 1 and 0), or two
+    of the second (or one with itself: side -1). So every pair of labels meets in exactly one tile, and no tile is large.
+    """
+    by_label = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
+    tokens = by_label.groupBy("token").agg(F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    tokens = checkpointed(tokens.select("token", "m", F.col("top.label").alias("main"), F.col("top.c").alias("c")))
+    total = tokens.agg(F.sum("m")).first()[0] or 0
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / most)).cast("int")
+    dealt = join_unique(rows, tokens, "token", "m", total).withColumns({"_a": blocks(F.col("c")), "_b": blocks(F.col("m") - F.col("c"))})
+    hashed = F.xxhash64("node", F.lit("tile"))
+    i, j = F.pmod(hashed, F.col("_a")).cast("int"), F.pmod(hashed, F.col("_b")).cast("int")
+    tile = lambda number, side: F.struct(number.cast("long").alias("tile"), side.cast("int").alias("side"))
+    of_main = F.transform(F.sequence(F.lit(0), F.col("_b") - 1), lambda k: tile(i * F.col("_b") + k, F.lit(1)))
+    with_main = F.transform(F.sequence(F.lit(0), F.col("_a") - 1), lambda k: tile(k * F.col("_b") + j, F.lit(0)))
+    among = F.transform(F.sequence(F.lit(0), F.col("_b") - 1), lambda k: tile(-1 - F.least(j, k) * F.col("_b") - F.greatest(j, k), F.when(j == k, -1).when(j < k, 0).otherwise(1)))
+    where = F.when(F.col("m") <= most, F.array(tile(F.lit(0), F.lit(-1)))).when(F.col("label") == F.col("main"), of_main).otherwise(F.concat(with_main, among))
+    return dealt.withColumn("_t", F.explode(where)).select(*rows.columns, "_t.tile", "_t.side")
+
+
+def candidates(rows: DataFrame, most: int = TILE) -> DataFrame:
     """Pairs (a, b) that cross_pairs() finds in rows (token, node, n, place, label)."""
-    names = ["token", "node", "n", "place", "label", *(f"before{k}" for k in range(1, BEFORE + 1))]
+    names = ["token", "tile", "side", "node", "n", "place", "label", *(f"before{k}" for k in range(1, BEFORE + 1))]
     own = Window.partitionBy("node").orderBy("place")  # tokens sort as unsigned numbers, which a long of Spark's does not
     rows = rows.withColumns({f"before{k}": F.coalesce(F.lag("token", k).over(own), F.lit(0)) for k in range(1, BEFORE + 1)})
 
@@ -289,7 +324,9 @@ def candidates(rows: DataFrame) -> DataFrame:
         held, n = [], 0
 
         def found(columns):
-            pairs = cross_pairs(*columns)
+            token, tile, *rest = columns
+            new = np.r_[False, (token[1:] != token[:-1]) | (tile[1:] != tile[:-1])] if len(token) else np.zeros(0, bool)
+            pairs = cross_pairs(np.cumsum(new), *rest)
             for i in range(0, len(pairs), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + (1 << 16), 0]), pa.array(pairs[i : i + (1 << 16), 1])], ["a", "b"])
 
@@ -298,7 +335,8 @@ def candidates(rows: DataFrame) -> DataFrame:
             n += len(batch)
             if n >= 100_000:
                 columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-                whole = int(np.searchsorted(columns[0], columns[0][-1]))  # the last token may go on
+                other = np.flatnonzero((columns[0] != columns[0][-1]) | (columns[1] != columns[1][-1]))
+                whole = int(other[-1]) + 1 if len(other) else 0  # the last tile may go on
                 yield from found([c[:whole] for c in columns])
                 held = [[c[whole:] for c in columns]]
                 n = len(columns[0]) - whole if whole else 0
@@ -306,7 +344,8 @@ def candidates(rows: DataFrame) -> DataFrame:
             yield from found([np.concatenate(x) for x in zip(*held, strict=True)])
 
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select(*names).repartition(partitions, "token").sortWithinPartitions("token").mapInArrow(freeing(run), "a long, b long").distinct()
+    dealt = tiled(rows, most).select(*names).repartition(partitions, "token", "tile").sortWithinPartitions("token", "tile")
+    return dealt.mapInArrow(freeing(run), "a long, b long").distinct()
 
 
 def attach(pairs: DataFrame, key: str, table: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -334,9 +373,9 @@ def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, text) for the wanted nodes, each once."""
-    need = checkpointed(wanted.join(nodes.select("node", F.col("owner").alias("doc_id")), "node"))
+    need = checkpointed(wanted.join(nodes.select("node", F.col("owner.doc_id").alias("doc_id"), F.col("owner.h").alias("h")), "node"))
     few = need.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    found = docs.join(F.broadcast(need) if few else need, "doc_id")
+    found = docs.join(F.broadcast(need) if few else need, ["doc_id", "h"])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:  # a doc_id may have several texts
@@ -371,6 +410,33 @@ def linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.mapInArrow(freeing(run), "a long, b long")
 
 
+def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", counters: int = COUNTERS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, n, a) for each row of df, and (node, owner, component) for each distinct set; see near_duplicates().
+
+    h is a hash of the text, a the node of a set that isn't empty; owner is the least (doc_id, h) of a node's rows. A null doc_id is
+    2^63 - 1.
+    """
+    docs = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.xxhash64(text_of(text)).alias("h"), text_of(text).alias("text"))
+    found = checkpointed(sets_of(docs, counters))
+    own = found.filter("kind = 0").select("doc_id", "h", "n", "a", "b", "bitmap")
+    levels = frequency_classes(found.filter("kind = 1"), counters)
+    nodes = checkpointed(own.filter("n > 0").groupBy(F.col("a").alias("node"), "b", "n").agg(F.min(F.struct("doc_id", "h")).alias("owner"), F.first("bitmap").alias("bitmap")).drop("b"))
+    # which tokens several nodes have, by partial sums; their rows, few, are then cut anew
+    common = checkpointed(prefixes(docs, levels).groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select(F.col("token").alias("key")))
+    band = F.floor(F.log("n") / F.log(F.lit(100 / LEAST)) + 1e-9)
+    rows = checkpointed(prefixes(docs, levels, bitset(common, common.count())).distinct().withColumn("tile", F.xxhash64("token", band)))
+    tiles = rows.groupBy("tile").agg(F.max(F.struct("weight", "node")).alias("top"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("tile", "m", F.col("top.node").alias("pivot"))
+    stars = join_unique(rows.select("node", "tile"), tiles, "tile", "m", rows.count()).filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    first = checkpointed(linked(checkpointed(stars), docs, nodes))
+    groups = checkpointed(connected_components(first.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("id").alias("node"), F.col("component").alias("_label")))
+    few = groups.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    labelled = checkpointed(rows.join(F.broadcast(groups) if few else groups, "node", "left").select("token", "node", "n", "place", F.coalesce("_label", "node").alias("label")))
+    second = checkpointed(linked(checkpointed(candidates(labelled)), docs, nodes))
+    components = connected_components(first.union(second).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    placed = nodes.select("node", "owner").join(components.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return own.select("doc_id", "h", "n", F.when(F.col("n") > 0, F.col("a")).alias("a")), checkpointed(placed)
+
+
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", counters: int = COUNTERS) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of df; exact: no link between sets is missed, none is added.
 
@@ -379,43 +445,31 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", c
     3. In a tile every set is compared with one of them, its pivot, likely the one that the others were made from; links found make
        groups. Families of near copies, whatever their size, collapse here with as many comparisons as members.
     4. What shares a shingle across groups, with sizes and places in the prefix that allow a link, is compared: bitmaps bound the
-       overlap from above, the survivors' sorted sets are intersected.
+       overlap from above, the survivors' sorted sets are intersected. A shingle that many sets share is cut into tiles of blocks.
     5. The links' connected components; each gets its smallest doc_id.
 
     Texts without words are empty sets and linked with nothing, so a row's component is its own doc_id. A null doc_id is larger
     than any other and null again in the result. Rows with the same doc_id are judged each by its own text.
     """
-    last = 2**63 - 1
-    docs = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(last)).alias("doc_id"), text_of(text).alias("text"))
-    found = checkpointed(sets_of(docs, counters))
-    own = found.filter("kind = 0").select("doc_id", "n", "a", "b", "bitmap")
-    levels = frequency_classes(found.filter("kind = 1"), counters)
-    nodes = checkpointed(own.filter("n > 0").groupBy(F.col("a").alias("node"), "b", "n").agg(F.min("doc_id").alias("owner"), F.first("bitmap").alias("bitmap")).drop("b"))
-    band = F.floor(F.log("n") / F.log(F.lit(100 / LEAST)) + 1e-9)
-    by_token, by_tile = Window.partitionBy("token"), Window.partitionBy("token", "band")
-    tiles = prefixes(docs, levels).withColumn("band", band).withColumns({"_low": F.min("node").over(by_token), "_high": F.max("node").over(by_token)}).filter("_low <> _high")
-    tiles = tiles.withColumn("pivot", F.max(F.struct("weight", "node")).over(by_tile)["node"])
-    tiles = checkpointed(tiles.select("token", "node", "n", "place", "pivot").distinct())
-    stars = tiles.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    first = checkpointed(linked(checkpointed(stars), docs, nodes))
-    groups = checkpointed(connected_components(first.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("id").alias("node"), F.col("component").alias("_label")))
-    few = groups.limit(MOST_BROADCAST // 4 + 1).count() <= MOST_BROADCAST // 4
-    labelled = tiles.drop("pivot").join(F.broadcast(groups) if few else groups, "node", "left").select("token", "node", "n", "place", F.coalesce("_label", "node").alias("label"))
-    mixed = labelled.withColumns({"_low": F.min("label").over(by_token), "_high": F.max("label").over(by_token)}).filter("_low <> _high").drop("_low", "_high")
-    second = checkpointed(linked(checkpointed(candidates(mixed)), docs, nodes))
-    components = connected_components(first.union(second).select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    placed = checkpointed(nodes.select("node", "owner").join(components.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node")))
-    least = placed.groupBy("component").agg(F.min("owner").alias("component_id"))
-    # of the nodes only those that are in a component of several, or stand for copies, have another smallest doc_id than a row's own
+    own, placed = classes(df, text, doc_id, counters)
+    least = placed.groupBy("component").agg(F.min("owner.doc_id").alias("component_id"))
     by_node = placed.join(least, "component").select(F.col("node").alias("a"), "component_id").join(own.groupBy("a").agg(F.count(F.lit(1)).alias("_w")), "a")
-    rows = own.select("doc_id", "n", F.when(F.col("n") > 0, F.col("a")).alias("a"))
-    out = join_unique(rows, by_node, "a", "_w", df.count(), how="left")
+    out = join_unique(own.select("doc_id", "n", "a"), by_node, "a", "_w", df.count(), how="left")
     component = F.coalesce("component_id", "doc_id")
-    null = lambda c: F.when(c != last, c)
+    null = lambda c: F.when(c != LAST_ID, c)
     return out.select(null(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), null(component).alias("component_id"))
 
 
 def survivors(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of df whose doc_id is the smallest of its group: one document of each. Rows that share a doc_id stay or go together."""
-    found = near_duplicates(df, text, doc_id).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"))
-    return df.withColumn("__id", F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))).join(found, "__id", "left_semi").select(*df.columns)
+    """One row of df for each group of near copies, and every row without words.
+
+    The row with the smallest doc_id stays, a null one being larger than any other; of its rows with different texts that with the
+    least hash of the text, and of those that repeat both the one whose columns have the least hash. Rows are told by doc_id and
+    text, so that nothing stays because it shares the doc_id of another row that does.
+    """
+    _, placed = classes(df, text, doc_id)
+    stay = placed.groupBy("component").agg(F.min("owner").alias("one")).select(F.col("one.doc_id").alias("__id"), F.col("one.h").alias("__h"))
+    has_words = F.rlike(text_of(text), F.lit(WORD))
+    marked = df.withColumns({"__id": F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)), "__h": F.xxhash64(text_of(text))})
+    one = one_of_each(marked.filter(has_words), "__id", "__h").join(stay, ["__id", "__h"], "left_semi")
+    return one.select(*df.columns).union(df.filter(~has_words))

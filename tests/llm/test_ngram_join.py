@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from millrace.llm import queries
-from millrace.llm.ngram_join import bitmaps, candidates, cross_pairs, most_shared, near_duplicates, probe_length, shingle_sets
+from millrace.llm.ngram_join import bitmaps, candidates, cross_pairs, most_shared, near_duplicates, probe_length, shingle_sets, survivors
 
 
 def direct_set(text):
@@ -106,7 +106,7 @@ def test_cross_pairs_find_every_pair_that_links_across_labels():
         base = r.sample(range(1, 10**6), 90)
         sets = [sorted({*r.sample(base, r.randint(20, 90)), *r.sample(range(10**6, 2 * 10**6), r.randint(0, 9))}) for _ in range(r.choice((5, 30, 90)))]
         labels = [r.choice((0, 0, 0, i)) for i in range(len(sets))]
-        rows = sorted((t, i, len(x), k, labels[i], *[x[k - b] if k >= b else 0 for b in (1, 2, 3, 4)]) for i, x in enumerate(sets) for k, t in enumerate(x[: probe_length(len(x))]))
+        rows = sorted((t, -1, i, len(x), k, labels[i], *[x[k - b] if k >= b else 0 for b in (1, 2, 3, 4)]) for i, x in enumerate(sets) for k, t in enumerate(x[: probe_length(len(x))]))
         got = [tuple(x) for x in cross_pairs(*(np.array(c, np.int64) for c in zip(*rows, strict=True))).tolist()]
         assert len(got) == len(set(got)) and all(a < b and labels[a] != labels[b] for a, b in got)
         for b, y in enumerate(sets):
@@ -126,6 +126,26 @@ def test_candidates_with_classes_on_both_sides_of_16(spark):
         assert [tuple(r) for r in candidates(spark.createDataFrame(rows, "token long, node long, n long, place int, label long")).collect()] == [(1, 2)]
 
 
+def test_tiles_of_any_size_give_the_same_pairs(spark):
+    r = random.Random(9)
+    base = r.sample(range(1, 10**6), 40)
+    sets = [sorted(r.sample(base, r.randint(25, 40))) for _ in range(40)]
+    rows = [(t, i, len(x), k, r.choice((0, 0, i)) if i % 3 else 0) for i, x in enumerate(sets) for k, t in enumerate(x[: probe_length(len(x))])]
+    label = {i: c for _, i, _, _, c in rows}
+    df = spark.createDataFrame([(t, i, n, k, label[i]) for t, i, n, k, _ in rows], "token long, node long, n long, place int, label long")
+    whole = sorted(map(tuple, candidates(df).collect()))
+    assert whole and all(sorted(map(tuple, candidates(df, most).collect())) == whole for most in (1, 3, 16))
+
+
+def test_survivors_are_told_by_row(make):
+    same, other = "a b c d e f g", "q r s t u v w"
+    docs = make([(None, same), (4, same), (None, other), (6, None), (6, " "), (6, same + " h"), (8, other), (8, other), (8, "1 2 3 4 5 6"), (9, "1 2 3 4 5 6")])
+    left = survivors(docs)
+    assert left.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in left.collect()) == [("4", same), ("6", " "), ("6", "None"), ("8", "1 2 3 4 5 6"), ("8", other)]
+    assert survivors(docs.limit(0)).count() == 0
+
+
 def test_against_all_pairs(spark, make):
     for seed in (1, 2):
         rows = family(seed)
