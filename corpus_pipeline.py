@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import exact_dedup, language_id, mixing, ngram_join, packing
-from millrace.llm.common import table, written_table
+from millrace.llm.common import drop_table, table, written_table
 from millrace.llm.queries import tokenizer_path
 
 #: A document's language must take this share of its words. Chance gives 1 / languages at least, so text in one of the learned
@@ -37,7 +37,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the one with the smallest doc_id."""
+    """Of each group of near copies, the row with the smallest doc_id; documents without words, which have no copies, all stay."""
     return ngram_join.survivors(docs)
 
 
@@ -49,7 +49,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their places in sequences of 1024 tokens, as op2 gives them."""
     pieces = packing.token_pieces(docs, tokenizer_path()).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return packing.pack(pieces, documents=docs.count())
+    return packing.pack(pieces)
 
 
 STAGES = [
@@ -65,7 +65,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = written_table(stage(spark, docs, sf_dir))
+        if before is not None:
+            drop_table(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
