@@ -57,8 +57,10 @@ def one_of_each(df: DataFrame, *keys: str) -> DataFrame:
     Rows meet on the map side first, so a key that very many rows have is no large group.
     """
     hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    return df.groupBy(*keys).agg(F.min_by(row, F.xxhash64(*hashed)).alias("__one")).select("__one.*")
+    rest = [c for c in df.columns if c not in keys]
+    row = F.struct(*[F.col(f"`{c}`") for c in rest])
+    # the keys go out as they are, so that a join by them needs no other shuffle
+    return df.groupBy(*keys).agg(F.min_by(row, F.xxhash64(*hashed)).alias("__one")).select(*keys, *[F.col(f"__one.`{c}`") for c in rest])
 
 
 def running(df: DataFrame, order: list, sums: dict) -> DataFrame:
