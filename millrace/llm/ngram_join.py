@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, connected_components, freeing, join_unique, most_cold, one_of_each, text_of
+from .common import WORD, checkpointed, connected_components, drop_table, freeing, join_unique, most_cold, one_of_each, text_of, written_table
 from .filters import bitset, has
 
 #: Words of a shingle; sets link if 100 * intersection >= LEAST * union.
@@ -292,7 +292,7 @@ def cross_pairs(tile: np.ndarray, side: np.ndarray, node: np.ndarray, n: np.ndar
 
 
 def tiled(rows: DataFrame, most: int = TILE) -> DataFrame:
-    """rows (token, node, n, place, label) of tokens that several labels have, with tile and side.
+    """rows (token, node, n, place, label) of tokens that several labels have, with BEFORE such tokens before, tile and side.
 
     A token's rows are one tile if they number `most` at most. Else those of its commonest label, which aren't compared with each
     other, are cut into blocks, as are the rest; a tile is a block of the first kind and one of the second (sides 1 and 0), or two
@@ -303,7 +303,10 @@ def tiled(rows: DataFrame, most: int = TILE) -> DataFrame:
     tokens = checkpointed(tokens.select("token", "m", F.col("top.label").alias("main"), F.col("top.c").alias("c")))
     total = tokens.agg(F.sum("m")).first()[0] or 0
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / most)).cast("int")
-    dealt = join_unique(rows, tokens, "token", "m", total).withColumns({"_a": blocks(F.col("c")), "_b": blocks(F.col("m") - F.col("c"))})
+    # shared tokens before a row's own: tokens sort as unsigned numbers, which a long of Spark's does not, so by place
+    own = Window.partitionBy("node").orderBy("place")
+    before = {f"before{k}": F.coalesce(F.lag("token", k).over(own), F.lit(0)) for k in range(1, BEFORE + 1)}
+    dealt = join_unique(rows, tokens, "token", "m", total).withColumns(before).withColumns({"_a": blocks(F.col("c")), "_b": blocks(F.col("m") - F.col("c"))})
     hashed = F.xxhash64("node", F.lit("tile"))
     i, j = F.pmod(hashed, F.col("_a")).cast("int"), F.pmod(hashed, F.col("_b")).cast("int")
     tile = lambda number, side: F.struct(number.cast("long").alias("tile"), side.cast("int").alias("side"))
@@ -311,14 +314,12 @@ def tiled(rows: DataFrame, most: int = TILE) -> DataFrame:
     with_main = F.transform(F.sequence(F.lit(0), F.col("_a") - 1), lambda k: tile(k * F.col("_b") + j, F.lit(0)))
     among = F.transform(F.sequence(F.lit(0), F.col("_b") - 1), lambda k: tile(-1 - F.least(j, k) * F.col("_b") - F.greatest(j, k), F.when(j == k, -1).when(j < k, 0).otherwise(1)))
     where = F.when(F.col("m") <= most, F.array(tile(F.lit(0), F.lit(-1)))).when(F.col("label") == F.col("main"), of_main).otherwise(F.concat(with_main, among))
-    return dealt.withColumn("_t", F.explode(where)).select(*rows.columns, "_t.tile", "_t.side")
+    return dealt.withColumn("_t", F.explode(where)).select(*rows.columns, *before, "_t.tile", "_t.side")
 
 
 def candidates(rows: DataFrame, most: int = TILE) -> DataFrame:
     """Pairs (a, b) that cross_pairs() finds in rows (token, node, n, place, label)."""
     names = ["token", "tile", "side", "node", "n", "place", "label", *(f"before{k}" for k in range(1, BEFORE + 1))]
-    own = Window.partitionBy("node").orderBy("place")  # tokens sort as unsigned numbers, which a long of Spark's does not
-    rows = rows.withColumns({f"before{k}": F.coalesce(F.lag("token", k).over(own), F.lit(0)) for k in range(1, BEFORE + 1)})
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -417,21 +418,25 @@ def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", counters:
     2^63 - 1.
     """
     docs = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.xxhash64(text_of(text)).alias("h"), text_of(text).alias("text"))
-    found = checkpointed(sets_of(docs, counters))
+    found = written_table(sets_of(docs, counters))
     own = found.filter("kind = 0").select("doc_id", "h", "n", "a", "b", "bitmap")
     levels = frequency_classes(found.filter("kind = 1"), counters)
     nodes = checkpointed(own.filter("n > 0").groupBy(F.col("a").alias("node"), "b", "n").agg(F.min(F.struct("doc_id", "h")).alias("owner"), F.first("bitmap").alias("bitmap")).drop("b"))
     # which tokens several nodes have, by partial sums; their rows, few, are then cut anew
     common = checkpointed(prefixes(docs, levels).groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select(F.col("token").alias("key")))
     band = F.floor(F.log("n") / F.log(F.lit(100 / LEAST)) + 1e-9)
-    rows = checkpointed(prefixes(docs, levels, bitset(common, common.count())).distinct().withColumn("tile", F.xxhash64("token", band)))
+    # by node, as its columns then take next to no room in the table
+    table = written_table(prefixes(docs, levels, bitset(common, common.count())).distinct().sortWithinPartitions("node", "place"))
+    rows = table.withColumn("tile", F.xxhash64("token", band))
     tiles = rows.groupBy("tile").agg(F.max(F.struct("weight", "node")).alias("top"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("tile", "m", F.col("top.node").alias("pivot"))
     stars = join_unique(rows.select("node", "tile"), tiles, "tile", "m", rows.count()).filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     first = checkpointed(linked(checkpointed(stars), docs, nodes))
     groups = checkpointed(connected_components(first.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("id").alias("node"), F.col("component").alias("_label")))
     few = groups.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    labelled = checkpointed(rows.join(F.broadcast(groups) if few else groups, "node", "left").select("token", "node", "n", "place", F.coalesce("_label", "node").alias("label")))
+    labelled = written_table(table.join(F.broadcast(groups) if few else groups, "node", "left").select("token", "node", "n", "place", F.coalesce("_label", "node").alias("label")))
+    drop_table(table)
     second = checkpointed(linked(checkpointed(candidates(labelled)), docs, nodes))
+    drop_table(labelled)
     components = connected_components(first.union(second).select(F.col("a").alias("src"), F.col("b").alias("dst")))
     placed = nodes.select("node", "owner").join(components.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     return own.select("doc_id", "h", "n", F.when(F.col("n") > 0, F.col("a")).alias("a")), checkpointed(placed)
