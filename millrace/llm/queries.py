@@ -52,9 +52,10 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffix_dedup.cleaned(table(spark, sf_dir, "documents"))
+    # over 50 words of a passage that documents share have 256 bytes at least, unless they are shorter than five letters on average
+    out = suffix_dedup.cleaned(table(spark, sf_dir, "documents"), shape=suffix_dedup.Shape(passage=256))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["behind"] - x["first"])
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "shares_passage")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,6 +65,34 @@ def test_against_counting_all_strings(make, shape, batches, most):
     assert found(cleaned(make(rows), shape=shape, batches=batches, most=most)) == direct(rows, shape.length)
 
 
+@pytest.mark.parametrize(("shape", "batches", "most"), [(Shape(40, 4, 24), 2, 20000), (Shape(40, 4, 24), 3, 2), (Shape(31, 8, 20), 1, 20000)])
+def test_passages_that_documents_share(make, shape, batches, most):
+    r = random.Random(shape.length)
+    text = lambda n: "".join(r.choices("abcdefgh", k=n))
+    passages = [text(n) for n in (shape.passage - 1, shape.passage, shape.passage + 1, shape.length - 1, shape.length, 3 * shape.length)]
+    rows = corpus(3, shape.passage) + [(100 + 2 * i + j, text(r.randint(0, 60)) + f"<{j}" + p + f"{j}>" + text(r.randint(0, 60))) for i, p in enumerate(passages) for j in range(2)]
+    own = text(50)
+    rows += [(300, own + text(9) + own), (301, passages[3][: shape.passage] + text(5) + passages[3][: shape.passage])]
+    out = cleaned(make(rows), shape=shape, batches=batches, most=most)
+    assert found(out) == direct(rows, shape.length)
+    holders = {}
+    for d, t in rows:
+        b = (t or "").encode()
+        for i in range(len(b) - shape.passage + 1):
+            holders.setdefault(b[i : i + shape.passage], set()).add(d)
+    want = {d for x in holders.values() if len(x) > 1 for d in x}
+    assert {x.doc_id for x in out.collect() if x.shares_passage} == want and {102, 103, 301} <= want and not {100, 300} & want
+
+
+def test_planted_strings_of_399_400_and_401_bytes(make):
+    r = random.Random(8)
+    text = lambda n: "".join(r.choices("abcdefghij ", k=n))
+    planted = {n: text(n) for n in (255, 256, 399, 400, 401)}
+    rows = [(n * 10 + j, f"{j}" + text(700) + f"<{j}" + p + f"{j}>" + text(300)) for n, p in planted.items() for j in (1, 2)]
+    got = {x.doc_id: (x.n_bytes - len(x.kept), x.shares_passage) for x in cleaned(make(rows), shape=Shape(passage=256)).collect()}
+    assert got == {n * 10 + j: (n if n >= 400 else 0, n >= 256) for n in planted for j in (1, 2)}
+
+
 def test_levels_are_those_of_a_binary_counter(spark):
     docs = spark.createDataFrame([(i, "abcdefgh" * 9 + str(i)) for i in range(10)], "doc_id long, text string")
     family = IndexFamily(spark, Shape(24, 4))
