@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, connected_components, drop_table, freeing, join_unique, most_cold, one_of_each, text_of, written_table
+from .common import WORD, checkpointed, connected_components, drop_table, freeing, join_unique, one_of_each, text_of, written_table
 from .filters import bitset, has
 
 #: Words of a shingle; sets link if 100 * intersection >= LEAST * union.
@@ -22,7 +22,7 @@ MOST_BROADCAST = 200_000
 #: Stands for a null doc_id, which is larger than any other.
 LAST_ID = 2**63 - 1
 #: Sets of a token that meet in one tile.
-TILE = 2048
+TILE = 512
 CHUNK = 1 << 20  # bytes of text at a time
 
 _random = np.random.default_rng(20240229)
@@ -350,13 +350,8 @@ def candidates(rows: DataFrame, most: int = TILE) -> DataFrame:
 
 
 def attach(pairs: DataFrame, key: str, table: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """pairs with columns of a table that has each key once; a key of many pairs is joined apart."""
-    total = pairs.count()
-    side = table.select(F.col("node").alias(key), *(F.col(a).alias(b) for a, b in columns.items()))
-    weights = checkpointed(pairs.groupBy(key).agg(F.count(F.lit(1)).alias("_w")))
-    if weights.filter(F.col("_w") > most_cold(total)).isEmpty():
-        return pairs.join(side, key)
-    return join_unique(pairs, side.join(weights, key), key, "_w", total).drop("_w")
+    """pairs with columns of a table that has each key once. Where a key has many pairs, adaptive execution splits its partition."""
+    return pairs.join(table.select(F.col("node").alias(key), *(F.col(a).alias(b) for a, b in columns.items())), key)
 
 
 def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -242,7 +242,7 @@ def contexts(docs: DataFrame, bits: np.ndarray, shape: Shape) -> DataFrame:
             for at, raw, bounds in chunks(batch.column("text")):
                 b = blocks(raw, bounds, shape)
                 some = np.flatnonzero(has(shared.value, b.key))
-                some = some[np.argsort(b.key[some], kind="stable")]
+                some = some[np.argsort(b.key[some])]
                 for i in range(0, len(some), 20_000):
                     k = some[i : i + 20_000]
                     q, low, high, doc = b.q[k], b.low[k], b.high[k], b.doc[k]
@@ -328,7 +328,7 @@ def repeated(rows: DataFrame, hot: DataFrame, shape: Shape, most: int = HOT) ->
                     continue
                 e += e0
                 s = string_keys(left, right, key, r, e, length, shape)
-                order = np.argsort(s, kind="stable")
+                order = np.argsort(s)
                 s, r, e = s[order], r[order], e[order]
                 same = s[1:] == s[:-1]
                 first = np.r_[True, ~same]
