@@ -21,10 +21,10 @@ def normal_status(c):
 
 
 class Engine:
-    """Tables are Parquet folders under root, each version in a folder of its own; a table's current version is in its pointer file.
+    """Tables are Parquet folders under root, each version in a numbered folder of its own; the highest whole one is the table.
 
-    A change writes the whole new version first and then moves the pointer, so a reader sees the old or the new one and a lost
-    executor only repeats tasks. as_of stands for now wherever a time is written, so that runs can be repeated.
+    A change writes the whole next version, which counts once its files are committed, so a reader sees the old or the new one and
+    a lost executor only repeats tasks. One writer at a time: a second one with the same number fails instead of overwriting. as_of stands for now wherever a time is written, so that runs can be repeated.
     """
 
     def __init__(self, spark: SparkSession, root: str, pack: RulePack = DEFAULT):
@@ -32,26 +32,27 @@ class Engine:
 
     # -- tables --
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/current"
-
-    def _exists(self, path: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+    def _versions(self, name: str) -> list[int]:
+        """Numbers of the versions that are whole: Spark's committer leaves _SUCCESS in a folder when all its files are there."""
+        top = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        fs = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(top):
+            return []
+        folders = [x.getPath() for x in fs.listStatus(top)]
+        return sorted(int(p.getName()[1:]) for p in folders if p.getName().startswith("v") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
     def table(self, name: str) -> DataFrame:
         """A table; an empty one if it was never written."""
-        if not self._exists(self._pointer(name)):
+        versions = self._versions(name)
+        if not versions:
             return self.spark.createDataFrame([], WAREHOUSE[name])
-        version = self.spark.read.text(self._pointer(name)).first()[0]
-        return self.spark.read.schema(WAREHOUSE[name]).parquet(f"{self.root}/{name}/{version}")
+        return self.spark.read.schema(WAREHOUSE[name]).parquet(f"{self.root}/{name}/v{versions[-1]:012d}")
 
     def write(self, name: str, df: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
+        version = f"v{(self._versions(name) or [0])[-1] + 1:012d}"
         wanted = self.spark.createDataFrame([], WAREHOUSE[name]).schema
         columns = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted]
         df.select(*columns).write.parquet(f"{self.root}/{name}/{version}")
-        self.spark.createDataFrame([(version,)], "v string").coalesce(1).write.mode("overwrite").text(self._pointer(name))
 
     def append(self, name: str, df: DataFrame) -> None:
         self.write(name, self.table(name).unionByName(df, allowMissingColumns=True).select(*self.table(name).columns))
@@ -72,7 +73,10 @@ class Engine:
     def add_posts(self, posts: DataFrame, first_id: int, as_of: datetime.datetime, keyword: str = "") -> None:
         """Posts of the common schema as raw rows, those that the table has not yet by (platform, url)."""
         known = self.table("ods_raw_intel").select("source_platform", "source_url")
-        fresh = posts.withColumn("source_platform", F.col("platform")).join(known.filter("source_url <> ''").distinct(), ["source_platform", "source_url"], "left_anti").dropDuplicates(["source_platform", "source_url", "content_raw"])
+        fresh = posts.withColumn("source_platform", F.col("platform")).join(known.filter("source_url <> ''").distinct(), ["source_platform", "source_url"], "left_anti")
+        has_url = F.coalesce(F.col("source_url"), F.lit("")) != ""
+        # posts without a URL are different people's messages even where the text is the same, unless the author is too
+        fresh = fresh.filter(has_url).dropDuplicates(["source_platform", "source_url", "content_raw"]).unionByName(fresh.filter(~has_url).dropDuplicates(["source_platform", "author_uid", "group_id", "message_id", "content_raw"]))
         rows = fresh.select(
             (F.lit(first_id) + F.monotonically_increasing_id()).alias("id"), "source_platform", F.coalesce(F.nullif(F.col("group_id"), F.lit("")), F.col("platform")).alias("source_channel"), "source_url", F.lit(keyword).alias("source_keyword"),
             F.col("author_uid").alias("author_id"), F.col("author_username").alias("author_name"), F.lit(as_of).cast("timestamp_ntz").alias("collect_time"), "content_type", "content_raw", F.col("image_urls").alias("media_urls"), F.lit("RAW_COLLECTED").alias("raw_status"), "metadata",
@@ -156,9 +160,11 @@ class Engine:
         latest = self.table("dwd_intel_analysis").filter("is_latest = 1")
         if raw_id is not None:
             latest = latest.filter(F.col("raw_id") == raw_id)
-        spans = latest.select("raw_id", F.explode("evidence_spans").alias("s")).select("raw_id", "s.start", "s.evidence")
-        posts = latest.select("raw_id", F.col("risk_label").alias("label"), "risk_score", "risk_level", F.lit(0).alias("related"))
-        return reports.report(posts, self.table("dwd_entity"), spans)
+        spans = latest.select("raw_id", F.explode("evidence_spans").alias("s")).select("raw_id", "s.start", "s.evidence", "s.risk")
+        posts = latest.select("raw_id", F.col("risk_label").alias("label"), F.col("risk_sub_label").alias("sub_label"), "risk_score", "risk_level")
+        terms = self.table("dim_slang_dict").filter("status = 'active'").select("term", F.col("normalized_meaning").alias("meaning"))
+        slang = analysis.slang_meanings(self.preferred_text().join(posts.select("raw_id", "label"), "raw_id"), terms, "raw_id")
+        return reports.report(posts, self.table("dwd_entity"), spans, slang)
 
     # -- dictionary, annotations, jobs --
 

@@ -107,9 +107,10 @@ def preview(c: Column, n: int = 120) -> Column:
 
 def truncate_bytes(c: Column, most: int) -> Column:
     """The longest prefix of whole characters of at most `most` UTF-8 bytes."""
-    chars = F.split(c, "")
-    sized = F.aggregate(chars, F.struct(F.lit(0).alias("bytes"), F.lit(0).alias("chars"), F.lit(False).alias("full")), lambda s, x: F.when(s["full"] | (s["bytes"] + F.octet_length(x) > most), F.struct(s["bytes"].alias("bytes"), s["chars"].alias("chars"), F.lit(True).alias("full"))).otherwise(F.struct((s["bytes"] + F.octet_length(x)).alias("bytes"), (s["chars"] + 1).alias("chars"), F.lit(False).alias("full"))))
-    return F.when(F.octet_length(c) <= most, c).otherwise(F.left(c, sized["chars"]))
+    # no more characters than bytes can fit, so of a long text only its first `most` are looked at
+    head = F.left(c, F.lit(most))
+    fits = F.filter(F.sequence(F.lit(0), F.least(F.length(head), F.lit(most))), lambda k: F.octet_length(F.left(head, k)) <= most)
+    return F.when(F.octet_length(c) <= most, c).otherwise(F.left(head, F.array_max(fits)))
 
 
 def context(c: Column, match: Column, around: int = 20) -> Column:

@@ -80,6 +80,15 @@ def dictionary_entities(df: DataFrame, terms: DataFrame, key: str = "id", text:
     return df.select(key, F.explode(pieces).alias("term")).join(terms, "term").select(key, "term", "meaning")
 
 
+def slang_meanings(df: DataFrame, terms: DataFrame, key: str = "id", text: str = "text", label: str = "label") -> DataFrame:
+    """(key, term, meaning, risk_category): the dictionary's terms (term, meaning) in a text, each once, under the text's label.
+
+    A term without a meaning has the characters around it instead.
+    """
+    found = dictionary_entities(df, terms, key, text).distinct().join(df.select(key, F.col(text).alias("_t"), F.col(label).alias("risk_category")), key)
+    return found.select(key, "term", F.coalesce(F.nullif(F.col("meaning"), F.lit("")), T.context(F.col("_t"), F.col("term"))).alias("meaning"), "risk_category")
+
+
 def first_entities(df: DataFrame, key: str = "id") -> DataFrame:
     """Of a text's entities with the same type and value the first."""
     w = Window.partitionBy(key, "entity_type", "entity_value").orderBy("ordinal")

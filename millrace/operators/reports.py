@@ -5,9 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Advice by label, and for labels without any.
-ADVICE = {"诈骗": ("冻结关联账号", "提示用户风险"), "引流": ("屏蔽外链与联系方式", "限制私信"), "作弊": ("回滚异常数据", "加强设备指纹校验"), "账号黑产": ("封禁批量账号", "加强实名核验"), "工具交易": ("下架工具信息", "监控工具传播"), "内容违规": ("删除违规内容", "处罚发布账号"), "直播违规": ("中断直播", "限制开播权限")}
-DEFAULT_ADVICE = ("人工复核", "持续监控")
+#: Advice by label and for other labels, as (action, detail, priority).
+ADVICE = {
+    "直播违规": (("关键词监控", "将相关关键词加入直播平台风险词库", "high"), ("账号监控", "对涉及账号进行持续行为监控", "high")),
+    "诈骗": (("诈骗模型更新", "将该样本加入诈骗识别模型训练集", "high"), ("资金链路追踪", "对涉及银行账号/支付账号进行关联排查", "critical")),
+    "引流": (("渠道封堵", "对引流微信/QQ号进行标记和举报", "high"), ("域名监控", "将引流域名加入黑名单", "medium")),
+    "作弊": (("行为特征入库", "提取作弊行为特征，更新风控规则", "high"), ("设备指纹", "关联作弊工具的设备指纹信息", "medium")),
+    "账号黑产": (("批量账号识别", "对同批次注册账号进行回溯排查", "critical"), ("实名验证加强", "针对可疑注册模式加强实名验证", "high")),
+    "工具交易": (("工具溯源", "对交易工具进行技术分析和特征提取", "high"), ("卖家追踪", "通过支付信息追踪工具卖家", "medium")),
+    "内容违规": (("内容清除", "对违规内容进行下架处理", "high"), ("发布者处置", "对发布者账号进行警告或封禁", "medium")),
+}
+DEFAULT_ADVICE = (("持续监控", "将该情报涉及的实体加入监控清单", "medium"), ("样本积累", "将该情报作为训练样本积累", "low"))
+LEVELS = {"high": "高危", "critical": "严重", "normal": "普通", "low": "低"}
+#: Entities of a training sample at most, spans and slang terms of a report at most.
+SAMPLE_ENTITIES, SPANS, SLANG = 20, 5, 10
+_ADVICE_TYPE = "array<struct<action: string, detail: string, priority: string>>"
 
 
 def entities_by_type(entities: DataFrame, key: str = "raw_id") -> DataFrame:
@@ -16,21 +28,59 @@ def entities_by_type(entities: DataFrame, key: str = "raw_id") -> DataFrame:
     return first.groupBy(key, "entity_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "entity_value"))), lambda x: x["entity_value"]).alias("values"))
 
 
-def advice(label: Column, contacts: Column, gang: Column) -> Column:
-    """The label's advice, one item for each distinct contact value, one for a gang."""
-    known = F.create_map(*(x for k, v in ADVICE.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-    base = F.coalesce(known[label], F.array(*map(F.lit, DEFAULT_ADVICE)))
-    more = F.transform(F.array_distinct(F.coalesce(contacts, F.expr("cast(array() as array<string>)"))), lambda c: F.concat(F.lit("处置线索: "), c))
-    return F.concat(base, more, F.when(gang, F.array(F.lit("开展团伙扩线"))).otherwise(F.expr("cast(array() as array<string>)")))
+def _item(action: Column, detail: Column, priority: str) -> Column:
+    return F.struct(action.alias("action"), detail.alias("detail"), F.lit(priority).alias("priority"))
 
 
-def report(posts: DataFrame, entities: DataFrame, evidence: DataFrame) -> DataFrame:
-    """posts (raw_id, label, risk_score, risk_level, related) with title, summary, top evidence and advice."""
-    spans = evidence.groupBy("raw_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("start", "evidence"))), lambda x: x["evidence"]), 1, 5).alias("evidence"))
-    contacts = entities.filter(F.col("entity_type").isin("wechat", "url")).groupBy("raw_id").agg(F.array_sort(F.collect_set("entity_value")).alias("_contacts"))
-    out = posts.join(spans, "raw_id", "left").join(contacts, "raw_id", "left")
-    summary = F.format_string("%s，风险等级 %s，风险分 %s，证据 %d 条", "label", "risk_level", F.col("risk_score").cast("string"), F.coalesce(F.size("evidence"), F.lit(0)))
-    return out.select("raw_id", F.concat(F.lit("风险研判: "), "label").alias("title"), summary.alias("summary"), F.coalesce("evidence", F.expr("cast(array() as array<string>)")).alias("evidence"), advice(F.col("label"), F.col("_contacts"), F.col("related") >= 2).alias("disposal_advice"))
+def advice(label: Column, entities: Column, gang: Column, case_id: Column) -> Column:
+    """The label's advice, one item for each distinct wechat or url entity in order, one for a gang: (action, detail, priority)."""
+    items = lambda xs: F.array(*(_item(F.lit(a), F.lit(d), p) for a, d, p in xs))
+    known = F.create_map(*(x for k, v in ADVICE.items() for x in (F.lit(k), items(v))))
+    mine = F.filter(F.coalesce(entities, F.expr("cast(array() as array<struct<type: string, value: string>>)")), lambda e: e["type"].isin("wechat", "url"))
+    of = lambda e: F.when(e["type"] == "wechat", _item(F.concat(F.lit("微信号标记: "), e["value"]), F.lit("将微信号加入高风险账号库，查询历史关联"), "high")).otherwise(_item(F.concat(F.lit("URL黑名单: "), F.left(e["value"], F.lit(60))), F.lit("将链接加入URL风险库，阻断访问"), "critical"))
+    more = F.transform(F.array_distinct(mine), of)
+    wider = F.array(_item(F.lit("团伙扩线"), F.concat(F.lit("该实体已关联案件 "), F.coalesce(case_id, F.lit("")), F.lit("，建议对案件中所有实体进行扩线排查")), "critical"))
+    return F.concat(F.coalesce(known[label], items(DEFAULT_ADVICE)), more, F.when(gang, wider).otherwise(F.expr(f"cast(array() as {_ADVICE_TYPE})")))
+
+
+def report(posts: DataFrame, entities: DataFrame, evidence: DataFrame, slang: DataFrame | None = None, cases: DataFrame | None = None) -> DataFrame:
+    """A report for each of posts (raw_id, label, sub_label, risk_score, risk_level).
+
+    (raw_id, title, conclusion, evidence, entities, slang_terms, gang_detected, graph_summary, disposal_advice): the first SPANS
+    spans in text order, entities (type, values) in the order of their first occurrence, the first SLANG of slang (raw_id, term,
+    meaning, risk_category), the case that cases (raw_id, case_id, related) gives, if any. A report has a row for each post; what
+    it holds of a post's evidence and entities is as much as the post has.
+    """
+    spans = evidence.groupBy("raw_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("start", "evidence", "risk"))), lambda x: F.struct(x["evidence"].alias("fragment"), x["risk"].alias("risk_dimension"))), 1, SPANS).alias("evidence"))
+    ordered = entities.groupBy("raw_id").agg(F.array_sort(F.collect_list(F.struct("ordinal" if "ordinal" in entities.columns else "entity_value", F.col("entity_type").alias("type"), F.col("entity_value").alias("value")))).alias("_o"))
+    listed = ordered.select("raw_id", F.transform("_o", lambda x: F.struct(x["type"].alias("type"), x["value"].alias("value"))).alias("_e"))
+    out = posts.join(spans, "raw_id", "left").join(listed, "raw_id", "left")
+    spark = posts.sparkSession
+    slang = spark.createDataFrame([], "raw_id long, term string, meaning string, risk_category string") if slang is None else slang
+    cases = spark.createDataFrame([], "raw_id long, case_id string, related long") if cases is None else cases
+    terms = slang.groupBy("raw_id").agg(F.slice(F.array_sort(F.collect_set(F.struct("term", "meaning", "risk_category"))), 1, SLANG).alias("slang_terms"))
+    out = out.join(terms, "raw_id", "left").join(cases.select("raw_id", "case_id", F.col("related").alias("_related")), "raw_id", "left")
+    gang = F.col("case_id").isNotNull()
+    level = F.coalesce(F.create_map(*(F.lit(x) for kv in LEVELS.items() for x in kv))[F.col("risk_level")], F.col("risk_level"))
+    sub = F.when(F.coalesce("sub_label", F.lit("")) != "", F.concat(F.lit("（"), "sub_label", F.lit("）"))).otherwise("")
+    conclusion = F.concat(F.lit("该情报经系统研判，判定为「"), "label", F.lit("」类黑灰产信息"), sub, F.lit("，风险等级为 "), level, F.lit("（评分 "), F.format_string("%.2f", F.col("risk_score").cast("double")), F.lit("）。"))
+    linked = F.concat(F.lit("该情报涉及实体与 "), F.col("_related").cast("string"), F.lit(" 个历史实体存在关联，已归入案件 "), F.col("case_id"))
+    types = F.array_distinct(F.transform("_e", lambda e: e["type"]))
+    grouped = F.transform(types, lambda t: F.struct(t.alias("type"), F.array_distinct(F.transform(F.filter("_e", lambda e: e["type"] == t), lambda e: e["value"])).alias("values")))
+    return out.select(
+        "raw_id", F.concat(F.lit("风险研判报告 — "), "label").alias("title"), conclusion.alias("conclusion"), F.coalesce("evidence", F.expr("cast(array() as array<struct<fragment: string, risk_dimension: string>>)")).alias("evidence"),
+        F.coalesce(grouped, F.expr("cast(array() as array<struct<type: string, values: array<string>>>)")).alias("entities"), F.coalesce("slang_terms", F.expr("cast(array() as array<struct<term: string, meaning: string, risk_category: string>>)")).alias("slang_terms"),
+        gang.alias("gang_detected"), F.when(gang, linked).otherwise("未发现与历史情报的直接关联。该情报涉及的实体均为首次出现。").alias("graph_summary"), advice(F.col("label"), F.col("_e"), gang, F.col("case_id")).alias("disposal_advice"),
+    )
+
+
+def report_samples(posts: DataFrame, entities: DataFrame, evidence: DataFrame) -> DataFrame:
+    """A training sample for each of posts (raw_id, text, label, sub_label): text, labels, what was found, in short."""
+    found = entities.groupBy("raw_id").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.col("entity_type").alias("type"), F.col("entity_value").alias("value")))), 1, SAMPLE_ENTITIES).alias("entities"), F.max(F.col("entity_type").isin("wechat", "qq", "phone")).alias("has_contact_entity"), F.max(F.col("entity_type") == "url").alias("has_url"))
+    spans = evidence.groupBy("raw_id").agg(F.count(F.lit(1)).alias("evidence_count"))
+    out = posts.join(found, "raw_id", "left").join(spans, "raw_id", "left")
+    none = F.expr("cast(array() as array<struct<type: string, value: string>>)")
+    return out.select("raw_id", F.coalesce("text", F.lit("")).alias("text"), F.concat_ws("_", F.coalesce("label", F.lit("")), F.coalesce("sub_label", F.lit(""))).alias("label"), F.col("label").alias("risk_label"), F.col("sub_label").alias("risk_sub_label"), F.coalesce("entities", none).alias("entities"), F.coalesce("evidence_count", F.lit(0)).alias("evidence_count"), F.coalesce("has_contact_entity", F.lit(False)).alias("has_contact_entity"), F.coalesce("has_url", F.lit(False)).alias("has_url"), F.lit("bgi_analysis").alias("source"))
 
 
 def training_samples(posts: DataFrame, least: float = 0.85) -> DataFrame:

@@ -14,16 +14,33 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def top_k(queries: DataFrame, base: DataFrame, k: int = 5, most_queries: int = 10_000) -> DataFrame:
+def _blocks(queries: DataFrame, most: int) -> list[DataFrame]:
+    """The queries as (query_id, _q), in blocks of about `most`, each small enough to broadcast."""
+    q = queries.select("query_id", F.col("embedding").alias("_q"))
+    blocks = max(1, -(-queries.count() // most))
+    return [q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) for i in range(blocks)]
+
+
+def top_k(queries: DataFrame, base: DataFrame, k: int = 5, block: int = 10_000) -> DataFrame:
     """(query_id, vec_id, rank, similarity): for each query (query_id, embedding) the k nearest of base (vec_id, embedding), exact.
 
-    A stated query set, at most most_queries, is broadcast against base in one pass; each task keeps its own k best of every query,
-    and only those are shuffled.
+    The stated queries go in blocks of about `block`, each broadcast against base in one pass; each task keeps its own k best of
+    every query, and only those are shuffled. Any number of queries is answered: base is passed once a block.
     """
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries; search in parts")
-    q = queries.select("query_id", F.col("embedding").alias("_q"))
-    scored = base.join(F.broadcast(q), F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", cosine(F.col("_q"), F.col("embedding")).alias("similarity"))
+    out = None
     # Spark keeps the first k rows of each query on the map side before the shuffle
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    for q in _blocks(queries, block):
+        scored = base.join(F.broadcast(q), F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", cosine(F.col("_q"), F.col("embedding")).alias("similarity"))
+        best = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        out = best if out is None else out.union(best)
+    return out
+
+
+def within(queries: DataFrame, base: DataFrame, distance: float, block: int = 10_000) -> DataFrame:
+    """(query_id, vec_id, distance) of all base vectors nearer to a query than a cosine distance; queries in blocks as in top_k()."""
+    out = None
+    for q in _blocks(queries, block):
+        near = base.join(F.broadcast(q), F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", (1 - cosine(F.col("_q"), F.col("embedding"))).alias("distance")).filter(F.col("distance") < distance)
+        out = near if out is None else out.union(near)
+    return out

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import analysis, graph, reports, safety, vectors
 from ..sources import records
 from ..streaming import ingest
-from .operators import CORPUS, table
+from .operators import _SCORES, CORPUS, _scored, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -75,10 +75,10 @@ def turns_until_exit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return safety.until_exit(table(spark, sf_dir, "conversations"), 5, ("reth", "Ouwh"), ("thn.{1,3}er",)).select("conv_id", "turn", "exit")
 
 
-@query("SELECT doc_id, octet_length(encode(left(text, 80))) > 60 AS cut, CASE WHEN octet_length(encode(left(text, 80))) <= 60 THEN left(text, 80) ELSE NULL END AS whole FROM documents")
+@query("SELECT doc_id, octet_length(encode(text)) > 60 AS cut, left(text, (SELECT max(k) FROM range(0, 61) t(k) WHERE octet_length(encode(left(text, k))) <= 60)::INTEGER) AS whole FROM documents")
 def byte_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").withColumn("t", T.truncate_bytes(F.left(F.col("text"), F.lit(80)), 60))
-    return d.select("doc_id", (F.col("t") != F.left(F.col("text"), F.lit(80))).alias("cut"), F.when(F.col("t") == F.left(F.col("text"), F.lit(80)), F.col("t")).alias("whole"))
+    d = table(spark, sf_dir, "documents").withColumn("t", T.truncate_bytes(F.col("text"), 60))
+    return d.select("doc_id", (F.col("t") != F.col("text")).alias("cut"), F.col("t").alias("whole"))
 
 
 @query()
@@ -91,7 +91,39 @@ def analysed_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = analysis.risk_score(posts.join(counts, "raw_id", "left").na.fill(0, ["contacts", "links", "tools", "slang"]).withColumn("related", F.lit(0)))
     spans = analysis.evidence(scored, "raw_id", "text", "label")
     out = reports.report(scored, found, spans)
-    return out.select("raw_id", "title", "summary", F.size("evidence").alias("spans"), F.array_join("disposal_advice", "; ").alias("advice"))
+    return out.select("raw_id", "title", "conclusion", F.size("evidence").alias("spans"), F.to_json("disposal_advice").alias("advice"), "graph_summary")
+
+
+@query(
+    f"""WITH {_SCORES}, l AS (SELECT *, CASE WHEN risk_score >= 0.85 THEN '严重' WHEN risk_score >= 0.65 THEN '高危' WHEN risk_score >= 0.35 THEN '普通' ELSE '低' END AS level FROM r)
+    SELECT doc_id AS raw_id, '风险研判报告 — ' || label AS title, '该情报经系统研判，判定为「' || label || '」类黑灰产信息' || CASE WHEN doc_id % 3 = 0 THEN '（高危组合）' ELSE '' END || '，风险等级为 ' || level AS conclusion,
+      CASE label WHEN '诈骗' THEN '诈骗模型更新:high;资金链路追踪:critical' ELSE '渠道封堵:high;域名监控:medium' END || CASE WHEN doc_id % 5 = 1 THEN ';微信号标记: wx' || doc_id || ':high' ELSE '' END || CASE WHEN doc_id % 7 = 0 THEN ';团伙扩线:critical' ELSE '' END AS advice,
+      CASE WHEN doc_id % 7 = 0 THEN '该情报涉及实体与 3 个历史实体存在关联，已归入案件 case-' || doc_id ELSE '未发现与历史情报的直接关联。该情报涉及的实体均为首次出现。' END AS graph_summary FROM l"""
+)
+def report_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    posts = _scored(spark, sf_dir).withColumns({"raw_id": i, "sub_label": F.when(i % 3 == 0, "高危组合")})
+    ids = table(spark, sf_dir, "documents").select(i.alias("raw_id"))
+    found = ids.filter("raw_id % 5 = 1").select("raw_id", F.lit("wechat").alias("entity_type"), F.concat(F.lit("wx"), "raw_id").alias("entity_value"), F.lit(0).alias("ordinal"))
+    cases = ids.filter("raw_id % 7 = 0").select("raw_id", F.concat(F.lit("case-"), "raw_id").alias("case_id"), F.lit(3).alias("related"))
+    spans = spark.createDataFrame([], "raw_id long, start int, evidence string, risk string")
+    out = reports.report(posts, found, spans, cases=cases)
+    advice = F.array_join(F.transform("disposal_advice", lambda a: F.concat_ws(":", a["action"], a["priority"])), ";")
+    return out.select("raw_id", "title", F.substring_index("conclusion", "（评分", 1).alias("conclusion"), advice.alias("advice"), "graph_summary")
+
+
+@query("WITH t AS (SELECT 'licensed' AS term, 'l' AS meaning UNION ALL SELECT 'reserved', '') SELECT doc_id AS id, term, CASE WHEN meaning <> '' THEN meaning ELSE substring(text, greatest(instr(text, term) - 20, 1), instr(text, term) + length(term) + 20 - greatest(instr(text, term) - 20, 1)) END AS meaning, lang AS risk_category FROM documents JOIN t ON contains(text, term)")
+def slang_meanings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = spark.createDataFrame([("licensed", "l"), ("reserved", "")], "term string, meaning string")
+    return analysis.slang_meanings(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id"), terms, label="lang")
+
+
+@query("SELECT doc_id AS raw_id, text, coalesce(lang, '') || '_s' AS label, regexp_matches(text, '[a-z]') AS has_url, doc_id % 4 AS evidence_count FROM documents")
+def report_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("raw_id"), "text", F.col("lang").alias("label"), F.lit("s").alias("sub_label"))
+    found = d.filter(F.rlike("text", F.lit("[a-z]"))).select("raw_id", F.lit("url").alias("entity_type"), F.lit("u").alias("entity_value"))
+    spans = d.select("raw_id", F.explode(F.sequence(F.lit(0), F.col("raw_id") % 4)).alias("k")).filter("k > 0")
+    return reports.report_samples(d, found, spans).select("raw_id", "text", "label", "has_url", "evidence_count")
 
 
 @query("SELECT doc_id AS raw_id, string_agg(v, ',' ORDER BY o) AS domains FROM (SELECT doc_id, v, min(o) AS o FROM (SELECT doc_id, unnest(l) AS v, unnest(range(len(l))) AS o FROM (SELECT doc_id, regexp_extract_all(text, '(?:[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?\\.)+[a-zA-Z]{2,}') AS l FROM documents) a) b GROUP BY doc_id, v) c GROUP BY doc_id")
@@ -104,8 +136,7 @@ def entities_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0) SELECT query_id, count(*) AS similar FROM q JOIN embeddings b ON q.query_id <> b.vec_id AND 1 - list_cosine_similarity(CAST(q.e AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) < 0.3 GROUP BY query_id")
 def vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"))
-    near = e.join(F.broadcast(q), F.col("query_id") != F.col("vec_id")).filter(1 - vectors.cosine(F.col("_q"), F.col("embedding")) < 0.3)
+    near = vectors.within(e.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), e, 0.3)
     return near.groupBy("query_id").agg(F.count(F.lit(1)).alias("similar"))
 
 

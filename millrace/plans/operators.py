@@ -84,7 +84,7 @@ _text("refang_url", lambda c: T.refang(T.defang_url(c)), "regexp_replace(url, '^
 _text("defang_ip", T.defang_ip, r"regexp_replace(text, '\b(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})\b', '\1[.]\2[.]\3[.]\4', 'g')")
 _text("text_preview", lambda c: T.preview(c, 150), "CASE WHEN length(trim(replace(text, chr(10), ' '))) > 150 THEN left(trim(replace(text, chr(10), ' ')), 150) || '...' ELSE trim(replace(text, chr(10), ' ')) END")
 _text("priority_mark", lambda c: cleaning.priority(c, CORPUS), f"CASE WHEN {any_sql('lower(text)', CORPUS.high_risk)} THEN 'high' ELSE 'normal' END")
-_text("low_value", lambda c: F.coalesce(cleaning.low_value(F.left(c, F.length(c) % 9)), F.lit("")), "CASE WHEN regexp_full_match(trim(left(text, length(text) % 9)), '[^一-鿿]{0,5}') THEN '无中文字符且过短' WHEN regexp_full_match(trim(left(text, length(text) % 9)), '[?？]+') THEN '纯问号' WHEN regexp_full_match(trim(left(text, length(text) % 9)), '[!！.。]+') THEN '纯标点符号' ELSE '' END")
+_text("low_value", lambda c: F.coalesce(cleaning.low_value(c), F.lit("")), "CASE WHEN regexp_full_match(trim(text), '[^一-鿿]{0,5}') THEN '无中文字符且过短' WHEN regexp_full_match(trim(text), '[?？]+') THEN '纯问号' WHEN regexp_full_match(trim(text), '[!！.。]+') THEN '纯标点符号' WHEN length(trim(text)) > 9 AND replace(trim(text), left(trim(text), 1), '') = '' THEN '单字符重复刷屏' ELSE '' END")
 _text("ad_noise", lambda c: F.coalesce(cleaning.ad_noise(c, CORPUS), F.lit("")), f"CASE WHEN {any_sql('text', CORPUS.signals)} OR (contains(text, 'onthe') AND regexp_matches(text, 'thonthe')) THEN '' WHEN contains(text, 'All rights') THEN 'All rights' WHEN contains(text, 'Released under') THEN 'Released under' ELSE '' END")
 
 ROLE_SQL = f"CASE WHEN {any_sql('text', CORPUS.police)} THEN 'police' WHEN {any_sql('text', CORPUS.victim)} THEN 'victim' WHEN {count_sql('text', CORPUS.media)} >= 2 THEN 'media' WHEN {any_sql('text', CORPUS.actors)} THEN 'actor' ELSE 'unknown' END"
@@ -129,7 +129,7 @@ def clean_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.clean(posts, CORPUS).select("id", "platform", "is_noise", "is_media_only", "content_role", "noise_score", "relevance_score", "priority", "content_md5")
 
 
-_ENTITY_TYPES = tuple(e for e in ENTITIES if e[0] in ("phone", "email", "domain", "ip"))
+_ENTITY_TYPES = ENTITIES
 _ENTITY_SQL = " UNION ALL ".join(f"SELECT doc_id AS id, '{t}' AS entity_type, unnest(regexp_extract_all(text, {q(p)}, {g})) AS entity_value FROM documents" for t, p, g in _ENTITY_TYPES)
 
 
@@ -224,15 +224,15 @@ def md5_exact_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy(F.md5("text").alias("content_md5")).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")).filter("copies > 1")
 
 
-_EDGES = "e AS (SELECT o_orderkey AS edge, o_custkey AS src, 1000000 + o_orderkey % 997 AS dst FROM orders WHERE o_orderkey % 7 = 0)"
+_EDGES = "e AS (SELECT o_orderkey AS edge, o_custkey AS src, 1000000 + o_orderkey % 997 AS dst FROM orders)"
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    e = table(spark, sf_dir, "orders").filter("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("edge"), F.col("o_custkey").alias("src"), (1000000 + F.col("o_orderkey") % 997).alias("dst"))
-    return e, e.select(F.col("src").alias("seed")).filter("seed % 50 = 1").distinct()
+    e = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("edge"), F.col("o_custkey").alias("src"), (1000000 + F.col("o_orderkey") % 997).alias("dst"))
+    return e, e.select(F.col("src").alias("seed")).filter("seed % 100 = 0").distinct()  # the stated seeds
 
 
-_BOTH = f"{_EDGES}, b AS (SELECT edge, src AS a, dst AS z FROM e UNION ALL SELECT edge, dst, src FROM e), s AS (SELECT DISTINCT src AS seed FROM e WHERE src % 50 = 1)"
+_BOTH = f"{_EDGES}, b AS (SELECT edge, src AS a, dst AS z FROM e UNION ALL SELECT edge, dst, src FROM e), s AS (SELECT DISTINCT src AS seed FROM e WHERE src % 100 = 0)"
 
 
 @query(f"WITH {_BOTH}, p AS (SELECT seed, z AS node, edge, 1 AS hops FROM s JOIN b ON a = seed), p2 AS (SELECT p.seed, b.z AS node, 2 AS hops FROM p JOIN b ON b.a = p.node AND b.edge <> p.edge) SELECT seed, node, min(hops) AS hops FROM (SELECT seed, node, hops FROM p UNION ALL SELECT * FROM p2) x WHERE seed <> node GROUP BY seed, node")
@@ -240,9 +240,9 @@ def neighbourhood_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.neighbourhood(*_edges(spark, sf_dir), hops=2)
 
 
-@query(f"WITH RECURSIVE {_BOTH}, w AS (SELECT seed, seed AS node, 0 AS length FROM s UNION SELECT w.seed, b.z, w.length + 1 FROM w JOIN b ON b.a = w.node WHERE w.length < 3) SELECT seed, node, min(length) AS length FROM w GROUP BY seed, node")
+@query(f"WITH RECURSIVE {_BOTH}, w AS (SELECT seed, seed AS node, 0 AS length FROM s UNION SELECT w.seed, b.z, w.length + 1 FROM w JOIN b ON b.a = w.node WHERE w.length < 6) SELECT seed, node, min(length) AS length FROM w GROUP BY seed, node")
 def shortest_path_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.shortest_lengths(*_edges(spark, sf_dir), most=3)
+    return graph.shortest_lengths(*_edges(spark, sf_dir), most=6)
 
 
 @query("WITH p AS (SELECT DISTINCT o_custkey AS member, l_partkey AS target FROM orders JOIN lineitem ON l_orderkey = o_orderkey) SELECT x.member AS a, y.member AS b, count(*) AS shared FROM p x JOIN p y ON x.target = y.target AND x.member < y.member GROUP BY 1, 2 HAVING count(*) >= 4")
@@ -307,12 +307,12 @@ def versioned_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warehouse.versioned(table(spark, sf_dir, "events"), "user_id", "ts", "event_id").select(F.col("user_id").alias("raw_id"), "version", "is_latest")
 
 
-@query("SELECT event_id, 'event' AS kind, event_type AS risk, 'z' AS extra FROM events")
+@query("SELECT event_id, 'event' AS kind, event_type AS risk, 'z' AS extra, 'extra,kind,risk' AS keys FROM events")
 def metadata_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.create_map(F.lit("kind"), F.lit("event"), F.lit("risk"), F.lit("none"))
     new = F.create_map(F.lit("risk"), F.col("event_type"), F.lit("extra"), F.lit("z"), F.lit("bad key!"), F.lit("x"))
     m = table(spark, sf_dir, "events").withColumn("m", warehouse.merge_maps(base, new))
-    return m.select("event_id", F.col("m")["kind"].alias("kind"), F.col("m")["risk"].alias("risk"), F.col("m")["extra"].alias("extra"))
+    return m.select("event_id", F.col("m")["kind"].alias("kind"), F.col("m")["risk"].alias("risk"), F.col("m")["extra"].alias("extra"), F.array_join(F.array_sort(F.map_keys("m")), ",").alias("keys"))
 
 
 @query("SELECT o_orderkey, CASE lower(trim(s)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LEGACY_STATUS.items()) + f" ELSE CASE WHEN upper(trim(s)) IN ({', '.join(map(q, STATUSES))}) THEN upper(trim(s)) ELSE 'RAW_COLLECTED' END END AS status FROM (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN ' Pending' WHEN 1 THEN 'success' WHEN 2 THEN 'Failed' WHEN 3 THEN 'odd' END AS s FROM orders) x")

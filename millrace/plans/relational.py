@@ -87,8 +87,8 @@ SHARED = {
     "level_labels": f"WITH {LATEST}, names AS (SELECT 'critical' AS code, 'Critical' AS label UNION ALL SELECT 'high', 'High' UNION ALL SELECT 'normal', 'Normal') SELECT raw_id, coalesce(label, risk_level) AS level_label FROM latest LEFT JOIN names ON names.code = latest.risk_level",
     "slang_or_risk_or": f"WITH {LATEST} SELECT raw_id, risk_score >= 0.55 AND risk_level IN ('high', 'critical') AS expand_graph, risk_score >= 0.6 AS search_similar FROM latest",
     # graphs
-    "shared_contact_accounts": "WITH p AS (SELECT DISTINCT o_custkey AS account, l_partkey AS contact, o_orderkey AS item FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey WHERE l_partkey <= 40) SELECT a.account AS a1, b.account AS a2, a.contact, count(DISTINCT a.item) + count(DISTINCT b.item) AS strength FROM p a JOIN p b ON a.contact = b.contact AND a.account < b.account GROUP BY a.account, b.account, a.contact ORDER BY strength DESC, a1, a2, contact LIMIT 100",
-    "gang_members": "SELECT DISTINCT o_custkey AS member, l_partkey AS contact FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey WHERE l_partkey IN (5, 10)",
+    "shared_contact_accounts": "WITH p AS (SELECT DISTINCT o_custkey AS account, l_partkey AS contact, o_orderkey AS item FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey) SELECT a.account AS a1, b.account AS a2, a.contact, count(DISTINCT a.item) + count(DISTINCT b.item) AS strength FROM p a JOIN p b ON a.contact = b.contact AND a.account < b.account GROUP BY a.account, b.account, a.contact ORDER BY strength DESC, a1, a2, contact LIMIT 100",
+    "gang_members": "WITH p AS (SELECT DISTINCT o_custkey AS member, l_partkey AS contact FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey) SELECT member, contact FROM p WHERE contact IN (SELECT contact FROM p GROUP BY contact HAVING count(*) >= 3)",
     "merged_entities": "SELECT concat(event_type, ':', CAST(user_id AS VARCHAR(20))) AS uuid, event_type AS type, user_id AS value, min(ts) AS first_seen, count(*) AS source_count FROM {events} GROUP BY event_type, user_id",
     "conversation_shape": "SELECT conv_id, count(*) AS turns, count(*) FILTER (WHERE role = 'user') AS user_turns, max(turn) AS last_turn, CAST(sum(length(text)) AS BIGINT) AS chars FROM {conversations} GROUP BY conv_id",
 }

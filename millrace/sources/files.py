@@ -62,7 +62,16 @@ def media_key(url):
 
 
 def new_rows(df: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows of df that known has neither by (platform, source_url) nor by (platform, message_id); of repeats in df the first."""
-    once = df.dropDuplicates(["platform", "source_url"]) if "source_url" in df.columns else df
-    left = once.join(known.select("platform", "source_url").filter("source_url <> ''").distinct(), ["platform", "source_url"], "left_anti")
-    return left.join(known.select("platform", "message_id").filter("message_id <> ''").distinct(), ["platform", "message_id"], "left_anti")
+    """Rows of df that known has neither by (platform, source_url) nor by (platform, message_id); of repeats in df one.
+
+    Rows without a URL, such as chat messages, are told by message_id alone; those with neither are all new.
+    """
+    has = lambda d, c: F.coalesce(F.col(c), F.lit("")) != "" if c in d.columns else F.lit(False)
+    left = df
+    for c in ("source_url", "message_id"):
+        if c in df.columns:
+            named = left.filter(has(df, c)).dropDuplicates(["platform", c])
+            if c in known.columns:
+                named = named.join(known.filter(has(known, c)).select("platform", c).distinct(), ["platform", c], "left_anti").select(*df.columns)
+            left = named.union(left.filter(~has(df, c)))
+    return left

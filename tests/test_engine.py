@@ -58,3 +58,19 @@ def test_dictionary_jobs_and_migration(spark, tmp_path):
     e.migrate(old)
     rows = {r.id: (r.raw_status, r.metadata["priority"]) for r in e.table("ods_raw_intel").collect()}
     assert rows == {1: ("RAW_COLLECTED", "high"), 2: ("RAW_COLLECTED", "normal")}
+
+
+def test_half_a_version_is_no_table(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    e.put_slang(spark.createDataFrame([("a", "m")], "term string, normalized_meaning string"), NOW)
+    (tmp_path / "dim_slang_dict" / "v000000000002").mkdir()
+    assert [r.term for r in e.table("dim_slang_dict").collect()] == ["a"]
+
+
+def test_top_k_in_blocks(spark):
+    from millrace.operators import vectors
+
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0 + i, 2.0]) for i in range(60)], "vec_id long, embedding array<float>")
+    q = df.withColumnRenamed("vec_id", "query_id")
+    rows = lambda block: sorted(map(tuple, vectors.top_k(q, df, 3, block).collect()))
+    assert len(rows(10_000)) == 180 and rows(7) == rows(10_000)

@@ -96,3 +96,10 @@ def test_sql_functions(spark):
     rows = spark.sql("SELECT e.* FROM VALUES ('mail a@b.co ip 1.2.3.4 微信: abcde1') p(t), LATERAL extract_entities(t) e").collect()
     assert [(r.entity_type, r.entity_value) for r in rows] == [("wechat", "abcde1"), ("email", "a@b.co"), ("domain", "b.co"), ("ip", "1.2.3.4")]
     assert spark.sql("SELECT defang_url('http://a.b/c') d, normalize_whitespace(' a　b ') n").first() == ("hxxp[://]a[.]b/c", "a b")
+
+
+def test_new_rows_without_a_url_are_told_by_message(spark):
+    known = spark.createDataFrame([("qq", "", "m0")], "platform string, source_url string, message_id string")
+    rows = [("qq", "", "m0", "a"), ("qq", "", "m1", "b"), ("qq", None, "m2", "c"), ("qq", None, "m2", "c"), ("qq", "", "", "d"), ("qq", "", None, "e"), ("x", "u", None, "f"), ("x", "u", None, "f")]
+    got = files.new_rows(spark.createDataFrame(rows, "platform string, source_url string, message_id string, text string"), known)
+    assert sorted(r.text for r in got.collect()) == ["b", "c", "d", "e", "f"]
