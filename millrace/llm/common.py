@@ -5,7 +5,10 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -88,8 +91,6 @@ def freed() -> None:
     import ctypes
     import gc
 
-    import pyarrow as pa
-
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
@@ -138,15 +139,61 @@ def join_unique(big: DataFrame, small: DataFrame, key: str, weight: str, total:
     return out.select(*big.columns, *[F.col(f"_found.{c}").alias(c) for c in rest])
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+#: Edges that one task contracts at a time, 16 bytes each.
+BLOCK_EDGES = 500_000
+
+
+def least_reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each end of the edges (u, v), and the smallest end that it reaches by them."""
+    ids, where = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = where[: len(u)], where[len(u) :]
+    label = np.arange(len(ids))
+    while True:
+        low, new = np.minimum(label[a], label[b]), label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            return ids, ids[label]
+        label = new
+
+
+def contracted(edges: DataFrame, block: int) -> DataFrame:
+    """(u, v): stars that connect what the edges (u, v) do. A task takes `block` of them at a time and makes them stars."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def stars() -> pa.RecordBatch:
+            ids, least = least_reached(*(np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("u", "v")))
+            leaf = ids != least
+            return pa.RecordBatch.from_arrays([pa.array(ids[leaf]), pa.array(least[leaf])], ["u", "v"])
+
+        for batch in stream:
+            if held and n + len(batch) > block:
+                yield stars()
+                held, n = [], 0
+            held.append(batch)
+            n += len(batch)
+        if held:
+            yield stars()
+
+    return edges.mapInArrow(freeing(run), "u long, v long")
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", block: int = BLOCK_EDGES) -> DataFrame:
     """(id, component): the smallest id that each end of an edge reaches. Ids without an edge are absent.
 
-    Alternates large-star and small-star steps (each is one shuffle of at most as many edges as before) until the edges are
-    stars; every round is checkpointed. A hub's edges leave it in the first rounds, as all of them point at the smallest id.
+    Blocks of edges become stars, each within a task. If there is more than one block, large-star and small-star steps (each is one
+    shuffle of at most as many edges as before) alternate until all edges are stars; every round is checkpointed. A hub's edges leave
+    it in the first rounds, as all of them point at the smallest id.
     """
-    e = checkpointed(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u <> v").distinct())
+    e = checkpointed(edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).filter("u <> v"))
+    blocks = max(1, -(-e.count() // block))
+    e = checkpointed(contracted(e.coalesce(blocks), block))
     last = None
-    while True:
+    while blocks > 1:
         both = e.union(e.select(F.col("v"), F.col("u")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
