@@ -14,6 +14,11 @@ K, BINS, TUPLE = 5, 64, 2
 #: A letter is a run of at most 24 code points without white space; of scripts without spaces, a code point.
 LETTERS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]|[^\s\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]{1,24}"
 
+#: The bits of an item that hold a k-mer's place in its text, enough for any array; those above hold the hash.
+PLACE = (1 << 31) - 1
+#: Parts that the rows without a doc_id are dealt to.
+SALTS = 256
+
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value worked out once however often it is used."""
@@ -37,39 +42,34 @@ def fingerprint(text: Column, k: int = K, bins: int = BINS, width: int = TUPLE)
     top = bins.bit_length() - 1
 
     def from_kmers(kmers: Column) -> Column:
-        bits = F.when(F.size(kmers) < 1 << 20, F.lit(20)).otherwise(F.lit(31))  # of an item, for the place in the text
-
-        def marked(x: Column, place: Column, low: Column) -> Column:
-            """x with its lowest bits replaced by the place."""
-            return F.call_function("shiftleft", F.call_function("shiftright", x, low), low).bitwiseOR(place.cast("long"))
+        place = lambda x: x.bitwiseAND(F.lit(PLACE)).cast("int")
+        marked = lambda x, i: x.bitwiseAND(F.lit(~PLACE)).bitwiseOR(i.cast("long"))
 
-        def numbered(low: Column) -> Column:
-            once = F.transform(kmers, lambda x, i: marked(F.xxhash64(x, F.lit(0)), i, low))
+        def numbered() -> Column:
+            once = F.transform(kmers, lambda x, i: marked(F.xxhash64(x, F.lit(0)), i))
 
             def runs(s: Column) -> Column:
-                same = lambda i, j: F.call_function("shiftright", at(s, i), low) == F.call_function("shiftright", at(s, j), low)
-                first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: (j == 0) | ~same(j, j - 1))
-                place = lambda j: at(s, j).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), low) - 1)
-                of_run = lambda a, b: F.transform(F.sequence(a, b - 1), lambda j: marked(F.xxhash64(at(kmers, place(a).cast("int")), j - a), place(j), low))
+                kmer = lambda j: at(kmers, place(at(s, j)))
+                first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: (j == 0) | (kmer(j) != kmer(j - 1)))
+                of_run = lambda a, b: F.transform(F.sequence(a, b - 1), lambda j: marked(F.xxhash64(kmer(j), j - a), place(at(s, j))))
                 return let(first, lambda f: F.flatten(F.zip_with(f, F.concat(F.slice(f, 2, F.size(f)), F.array(F.size(s))), of_run)))
 
-            repeats = let(F.sort_array(F.transform(kmers, lambda x, i: marked(x, i, low))), runs)
+            repeats = let(F.sort_array(F.transform(kmers, marked)), runs)
             return F.when(F.size(F.array_distinct(kmers)) == F.size(kmers), once).otherwise(repeats)
 
-        def select(items: Column, low: Column) -> Column:
+        def select(items: Column) -> Column:
             bin_of = lambda x: F.call_function("shiftright", x, F.lit(64 - top))
-            place = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), low) - 1)
 
             def elements(least: Column) -> Column:
                 first = F.filter(F.sequence(F.lit(0), F.size(least) - 1), lambda j: (j == 0) | (bin_of(at(least, j)) != bin_of(at(least, j - 1))))
                 mine = lambda j: F.filter(F.slice(least, j + 1, F.lit(width)), lambda x: bin_of(x) == bin_of(at(least, j)))
-                ordered = lambda j: F.transform(F.sort_array(F.transform(mine(j), place)), lambda p: at(kmers, p.cast("int")))
+                ordered = lambda j: F.transform(F.sort_array(F.transform(mine(j), place)), lambda p: at(kmers, p))
                 return F.transform(first, lambda j: F.call_function("shiftleft", bin_of(at(least, j)) + bins // 2, F.lit(32)).bitwiseOR(F.xxhash64(ordered(j)).bitwiseAND(F.lit(0xFFFFFFFF))))
 
             chosen = lambda s: F.filter(s, lambda x, j: (j < width) | (bin_of(x) != bin_of(at(s, j - width))))
             return let(F.sort_array(items), lambda s: let(chosen(s), elements))
 
-        return let(bits, lambda low: select(numbered(low), low))
+        return select(numbered())
 
     def from_letters(hashes: Column) -> Column:
         kmer = lambda i: F.xxhash64(*[at(hashes, i + j) for j in range(k)])
@@ -91,7 +91,7 @@ def written(signature: Column) -> Column:
 
 
 def neighbours(ids: DataFrame) -> DataFrame:
-    """(key, before, before_n) for a table (key, n) without repeats: the next higher key and its n; the highest has the lowest.
+    """ids, a table (key, n, ...) without repeats, with before and before_n: the next higher key and its n; the highest has the lowest.
 
     Keys are sorted by ranges; a key's neighbour is in its range, or it is the last of the range before, of which there are as many
     as partitions.
@@ -102,7 +102,7 @@ def neighbours(ids: DataFrame) -> DataFrame:
     ends = ends.select("_range", F.coalesce(F.lag("last").over(order), F.last("last").over(everything)).alias("_end"))
     inside = Window.partitionBy("_range").orderBy(F.desc("key"))
     found = ranged.withColumn("_own", F.lag(F.struct("key", "n")).over(inside)).join(F.broadcast(ends), "_range").withColumn("_before", F.coalesce("_own", "_end"))
-    return found.select("key", F.col("_before.key").alias("before"), F.col("_before.n").alias("before_n"))
+    return found.select(*(c for c in ids.columns if c != "n"), F.col("_before.key").alias("before"), F.col("_before.n").alias("before_n"))
 
 
 def with_next(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -110,18 +110,21 @@ def with_next(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
 
     next_text is the next text's first floor(n / 2) code points, n being those of the row's text. After the last comes the first,
     so a single document is its own next. Null texts count as empty; a null doc_id comes last. Of rows with the same doc_id each
-    has the next lower doc_id's document as next, which is the least of its texts if it has several.
+    has the next lower doc_id's document as next, which is the least of its texts if it has several. Rows without a doc_id, however
+    many, are dealt by their text to SALTS parts; the next that they are is the least text of the first part that has any.
 
     A text is shuffled once, by doc_id, and its half once more, to the document before: the first shuffle serves both sides.
     """
     base = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("key"), F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    edges = neighbours(base.groupBy("key").agg(F.max(F.length("text")).alias("n")))
+    base = base.withColumn("salt", F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(SALTS))).otherwise(0))
+    edges = neighbours(base.groupBy("key").agg(F.max(F.length("text")).alias("n"), F.min("salt").alias("salt")))
     base = base.withColumn("signature", fingerprint(F.col("text")))
-    one = Window.partitionBy("key").orderBy("text", "doc_id", "signature")
+    one = Window.partitionBy("key", "salt").orderBy("text", "doc_id", "signature")
     # a lag, not a rank: before a filter on ranks Spark would sort the texts on the map side too, and shuffle them twice
-    heads = base.withColumn("_later", F.lag(F.lit(True)).over(one)).filter("_later is null").join(edges, "key")
-    heads = heads.select(F.col("before").alias("key"), F.expr("left(text, cast(before_n / 2 as int))").alias("_head"), F.col("signature").alias("next_signature"))
-    joined = base.join(heads, "key")
+    heads = base.withColumn("_later", F.lag(F.lit(True)).over(one)).filter("_later is null").join(edges, ["key", "salt"])
+    parts = F.when(F.col("before") == NULL_ID, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    heads = heads.select(F.col("before").alias("key"), F.expr("left(text, cast(before_n / 2 as int))").alias("_head"), F.col("signature").alias("next_signature"), F.explode(parts).alias("salt"))
+    joined = base.join(heads, ["key", "salt"])
     return joined.select("doc_id", "text", "signature", F.expr("left(_head, cast(length(text) / 2 as int))").alias("next_text"), "next_signature")
 
 

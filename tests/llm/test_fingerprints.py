@@ -30,15 +30,12 @@ def direct(text, k=5, bins=64, width=2):
     if not hashes:
         return []
     kmers = [xx(hashes)] if len(hashes) < k else [xx(hashes[i : i + k]) for i in range(len(hashes) - k + 1)]
-    bits = 20 if len(kmers) < 1 << 20 else 31
     seen, items = {}, []
-    keys = [signed((x & M) >> bits << bits) >> bits for x in kmers]
-    whole = len(set(kmers)) == len(kmers)
     for i, x in enumerate(kmers):
-        number = seen.get(keys[i], 0)
-        seen[keys[i]] = number + 1
-        h = xx([(x,), 0 if whole else number])
-        items.append((((h >> bits) << bits) | i, i))
+        number = seen.get(x, 0)
+        seen[x] = number + 1
+        h = xx([(x,), number])
+        items.append((((h >> 31) << 31) | i, i))
     out = []
     by = {}
     for item, i in sorted(items):
@@ -93,6 +90,16 @@ def test_odd_rows(make):
     assert with_next(make([])).count() == 0
 
 
+def test_many_rows_without_an_id(make):
+    many = [(None, f"w{i} " * 8) for i in range(600)]
+    out = with_next(make([*many, (5, "abcd"), (7, "efgh")])).collect()
+    assert len(out) == 602
+    by = {r.doc_id: r for r in out if r.doc_id is not None}
+    # after 7 comes 5, after 5 one of the rows without an id, after each of those the first document again
+    assert by[7].next_text == "ab" and by[5].next_text in {t[:2] for _, t in many}
+    assert {r.next_text for r in out if r.doc_id is None} == {"efgh"}
+
+
 def test_query(spark, sf_dir):
     docs = sorted(((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()), reverse=True)
     got = {r.doc_id: r for r in queries.op1_order_minhash(spark, sf_dir).collect()}
