@@ -100,8 +100,7 @@ def judge(df: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", orde
     """The columns in keep, host, path, rule, verdict and score for each row.
 
     The urls that a rule judges teach the two models: all but a fifth, by hash, give counts, and that fifth sets the threshold.
-    score is the difference of log likelihoods per character (null where the row's url is only needed for its rule: never, all
-    are scored); a url that no rule fits is allowed at or above the threshold. What is scored is host and path, without scheme,
+    score is the difference of log likelihoods per character, of every url, also where a rule gives the verdict; a url that no rule fits is allowed at or above the threshold. What is scored is host and path, without scheme,
     query and fragment; a url without `://` is scored as it is, a null one as the empty string. Every distinct string is scored
     once, and its grams are joined with the distinct grams of the corpus; a gram or string that many rows share is joined apart.
     """

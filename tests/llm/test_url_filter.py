@@ -1,10 +1,12 @@
 import math
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 
 from millrace.llm import queries
-from millrace.llm.url_filter import ORDER, gram_scores, judge, ruled, threshold
+from millrace.llm.url_filter import ORDER, RULES, STEP, gram_scores, judge, ruled, threshold
 
 
 def test_rules(spark):
@@ -14,8 +16,6 @@ def test_rules(spark):
         "http://a.org": ("a.org", "", None), "http://a.org?x=/y": ("a.org", "", None), "http://h.net/a://b.org/": ("h.net", "/a://b.org/", None), "a.org/x": ("", "", None), "": ("", "", None), None: ("", "", None), "://org/": ("org", "/", "org/"), "http://É.org/": ("É.org", "/", "org/"),
     }
     df = spark.createDataFrame([*enumerate(cases)], "page_id long, url string")
-    from millrace.llm.url_filter import RULES
-
     for r in ruled(df, RULES).collect():
         assert (r.host, r.path, r.rule) == cases[r.url], r.url
 
@@ -69,3 +69,59 @@ def test_query(spark, sf_dir):
     rows = queries.op3_url_filter(spark, sf_dir).collect()
     assert len(rows) == spark.read.parquet(f"{sf_dir}/pages.parquet").count()
     assert {r.verdict for r in rows} == {"allow", "block"} and ORDER == 5
+
+
+def test_query_against_a_plain_model(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url").collect()
+    told, strings = {}, {}
+    for r in pages:
+        url = r.url or ""
+        rest = url.partition("://")[2]
+        host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+        path = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+        fits = [x for x in RULES if (host == x.host or host.endswith("." + x.host)) and path.startswith(x.path)]
+        rule = max(fits, key=lambda x: len(x.text), default=None)
+        string = f"//{host}{path}" if "://" in url else url
+        told[r.page_id] = (host, path, rule and rule.text, rule and rule.action, string)
+        strings.setdefault(string, []).append(rule and rule.action)
+    held = {s: xxhash.xxh64_intdigest(s.encode(), 42) for s in strings}
+    held = {s: (h - (1 << 64) if h >> 63 else h) % 5 == 0 for s, h in held.items()}
+    counts = {a: [Counter() for _ in range(ORDER + 1)] for a in ("allow", "block")}
+    for s, actions in strings.items():
+        padded = "\x02" * ORDER + s + "\x03"
+        for i in range(len(s) + 1):
+            for a in counts:
+                if n := 0 if held[s] else actions.count(a):
+                    for o in range(ORDER + 1):
+                        counts[a][o][padded[i + ORDER - o : i + ORDER + 1]] += n
+    after = {a: [defaultdict(lambda: [0, 0]) for _ in range(ORDER + 1)] for a in counts}
+    for a in counts:
+        for o, c in enumerate(counts[a]):
+            for g, n in c.items():
+                after[a][o][g[:-1]][0] += n
+                after[a][o][g[:-1]][1] += 1
+
+    def p(gram, a):
+        q = 1 / 256
+        for o in range(ORDER + 1):
+            g = gram[ORDER - o :]
+            c, t = after[a][o].get(g[:-1], (0, 0))
+            q = (counts[a][o][g] + t * q) / (c + t) if c else q
+        return q
+
+    score = {}
+    for s in strings:
+        padded = "\x02" * ORDER + s + "\x03"
+        grams = [padded[i : i + ORDER + 1] for i in range(len(s) + 1)]
+        score[s] = sum(math.log(p(g, "allow") / p(g, "block")) for g in grams) / len(grams)
+    histogram = [(round(max(-20, min(20, score[s])) / STEP) * STEP, a, 1) for s, actions in strings.items() if held[s] for a in actions if a]
+    least = threshold(histogram)
+    got = {r.page_id: r for r in queries.op3_url_filter(spark, sf_dir).collect()}
+    assert len(got) == len(told)
+    for k, (host, path, rule, action, string) in told.items():
+        r = got[k]
+        assert (r.host, r.path, r.rule) == (host, path, rule)
+        assert r.score == pytest.approx(score[string], abs=1e-9)
+        if action or abs(score[string] - least) > 1e-6:
+            assert r.verdict == (action or ("allow" if score[string] >= least else "block"))
