@@ -109,7 +109,8 @@ def _quoted(s: str) -> str:
 
 
 def _canonical_sql(text: str) -> str:
-    sql = f"trim(regexp_replace(regexp_replace(lower({text}), {_quoted(licenses.COPYRIGHT_LINES)}, ' ', 'g'), {_quoted(licenses.NO_WORD)}, ' ', 'g'))"
+    body = f"regexp_replace(lower({text}), {_quoted(licenses.BODY_LINES)}, ' copyright\\1', 'g')"
+    sql = f"trim(regexp_replace(regexp_replace({body}, {_quoted(licenses.COPYRIGHT_LINES)}, ' ', 'g'), {_quoted(licenses.NO_WORD)}, ' ', 'g'))"
     edges = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
     equal = f"replace({sql}, ' ', '  ')"
     for variant, word in licenses.SPELLINGS:
@@ -118,7 +119,7 @@ def _canonical_sql(text: str) -> str:
 
 
 OP8_SQL = f"""
-WITH k AS (SELECT sha256({_canonical_sql('t')}) AS digest, min(license) AS license FROM (VALUES {', '.join(f'({_quoted(a)}, {_quoted(b)})' for a, b in licenses.LICENSES)}) v(license, t) GROUP BY 1),
+WITH k AS (SELECT sha256({_canonical_sql('t')}) AS digest, min(license) AS license FROM (VALUES {', '.join(f'({_quoted(a)}, {_quoted(b)})' for a, b in licenses.forms())}) v(license, t) GROUP BY 1),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 u AS (SELECT r, doc_id, 0 AS line, t FROM d UNION ALL SELECT r, doc_id, 1, unnest(string_split(t, chr(10))) FROM d),
 c AS (SELECT r, doc_id, line, {_canonical_sql('t')} AS t FROM u WHERE line = 0 OR trim(t) <> ''),

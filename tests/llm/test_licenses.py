@@ -1,7 +1,9 @@
+import textwrap
+
 from oracle import rows_of, rows_of_frame
 
 from millrace.llm import queries
-from millrace.llm.licenses import LICENSES, known, scan
+from millrace.llm.licenses import LICENSES, TITLES, known, scan
 
 
 def test_forms_that_count_as_equal(spark, make):
@@ -19,5 +21,21 @@ def test_forms_that_count_as_equal(spark, make):
     assert scan(make([]), known(spark)).count() == 0
 
 
+def test_whole_licence_files(spark, make):
+    texts = {name: t for name, t in LICENSES if len(t.split()) >= 40}
+    rows, names = [], {}
+    for width in (40, 57, 60, 72, 76, 79):
+        for name, t in texts.items():
+            names[len(rows)] = name
+            title = TITLES.get(name, ("",))[0]
+            rows.append((len(rows), f"{title}\n\nCopyright (c) 2019-2024, The Authors. All rights reserved.\n\n" + "\n".join(textwrap.wrap(t, width))))
+    assert {"MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "Unlicense", "BSL-1.0"} == set(texts)
+    assert {r.doc_id: r.license for r in scan(make(rows), known(spark)).collect()} == names
+    bullets = texts["BSD-3-Clause"].replace(" 1. ", "\n * ").replace(" 2. ", "\n * ").replace(" 3. ", "\n * ")
+    more = spark.createDataFrame([("X-1", "some long licence of one's own")], "license string, text string")
+    got = {r.doc_id: r.license for r in scan(make([(1, bullets), (2, "Some long license of one's own!"), (3, "(c) You must retain\nall")]), known(spark, more=more)).collect()}
+    assert got == {1: "BSD-3-Clause", 2: "X-1", 3: None}
+
+
 def test_query_against_sql(spark, sf_dir):
     assert rows_of_frame(queries.op8_license_scan(spark, sf_dir)) == rows_of(queries.OP8_SQL, sf_dir)
