@@ -11,6 +11,8 @@ from .common import checkpointed
 
 #: Turns a bucket of a conversation's order has.
 BUCKET = 1024
+#: Stands for the turn of rows without one; buckets of such rows for each level.
+NO_TURN, SALTS = 2**62, 1024
 
 
 @dataclass(frozen=True)
@@ -83,8 +85,10 @@ def link(calls: DataFrame, results: DataFrame, fields: tuple[Field, ...]) -> Dat
     Calls and results meet by a hash join on (conv_id, call_id); a null or repeated identifier links nothing beyond its first
     call (lowest turn), and later calls with it are `repeated id`. A result comes after its call, a call after the results that
     it needs; position numbers a conversation's rows from 0 in such an order, which is that of the turns as far as can be. Rows
-    on a cycle of needs come last (`needs itself`), those without a turn before them. json has sorted keys and no spaces: for calls arguments, id, tool, type, turn; for results content, id, type, turn.
-    No step gathers a conversation: ranks are taken in buckets of BUCKET turns, of which only the counts are summed.
+    on a cycle of needs come last (`needs itself`), those without a turn before them. Rows without a conv_id are of no conversation
+    and their position is null. json has sorted keys and no spaces: for calls arguments, id, tool, type, turn; for results content, id, type, turn.
+    No step gathers a conversation: ranks are taken in buckets of BUCKET turns, of which only the counts are summed. Rows without a
+    turn are ranked by level and within it by hash, in SALTS buckets a level.
     """
     c = calls.select("conv_id", "turn", F.lit("call").alias("kind"), "call_id", "tool", "arguments", F.lit(None).cast("string").alias("content"), F.coalesce("needs", F.expr("cast(array() as array<string>)")).alias("needs"))
     r = results.select("conv_id", "turn", F.lit("result").alias("kind"), "call_id", F.lit(None).cast("string").alias("tool"), F.lit(None).cast("string").alias("arguments"), "content", F.expr("cast(array() as array<string>)").alias("needs"))
@@ -95,11 +99,15 @@ def link(calls: DataFrame, results: DataFrame, fields: tuple[Field, ...]) -> Dat
     pairs = checkpointed(first.join(answers, ["conv_id", "call_id"]))
     wanted = named.filter("kind = 'call'").select("conv_id", F.col("_row").alias("node"), F.explode("needs").alias("call_id"))
     edges = pairs.select(F.col("_result").alias("node"), F.col("_call").alias("needs")).union(wanted.join(pairs.select("conv_id", "call_id", F.col("_result").alias("needs")), ["conv_id", "call_id"]).select("node", "needs"))
-    level = levels(rows.select(F.col("_row").alias("node"), F.coalesce("turn", F.lit(2**62)).alias("turn")), edges)
+    level = levels(rows.select(F.col("_row").alias("node"), F.coalesce("turn", F.lit(NO_TURN)).alias("turn")), edges)
     linked = pairs.select(F.col("_result").alias("_row")).union(pairs.select(F.col("_call").alias("_row"))).distinct().withColumn("linked", F.lit(True))
     out = rows.join(level.withColumnRenamed("node", "_row"), "_row", "left").join(linked, "_row", "left").join(first.select(F.col("_call").alias("_row"), F.lit(True).alias("_first")), "_row", "left")
     faults = F.when(F.col("kind") == "call", F.array_join(F.array_compact(F.array(F.nullif(problems(F.col("tool"), F.col("arguments"), fields), F.lit("")), F.when(F.col("call_id").isNull(), "no id").when(F.col("_first").isNull() & F.col("conv_id").isNotNull(), "repeated id"), F.when(F.col("level").isNull(), "needs itself"))), "; ")).otherwise(F.when(F.col("linked").isNull(), "no call").otherwise(""))
-    out = out.withColumns({"linked": F.coalesce("linked", F.lit(False)), "problems": faults, "_place": F.coalesce("place", F.lit(2**63 - 1)), "_bucket": F.floor(F.coalesce("place", F.lit(2**63 - 1)) / BUCKET)})
+    salt = F.pmod(F.xxhash64("kind", "call_id", "tool", "arguments", "content"), F.lit(SALTS))
+    # buckets rise with (place, level), so that an order of buckets is one of their rows
+    of_turn = F.when(F.col("place") < NO_TURN, F.floor(F.col("place") / BUCKET)).when(F.col("level").isNotNull(), F.lit(NO_TURN // BUCKET) + F.col("level") * SALTS + salt).otherwise(F.lit(NO_TURN // BUCKET * 2) + salt)
+    bucket = F.when(F.col("conv_id").isNull(), F.pmod("_row", F.lit(SALTS))).otherwise(of_turn)
+    out = out.withColumns({"linked": F.coalesce("linked", F.lit(False)), "problems": faults, "_place": F.coalesce("place", F.lit(2**63 - 1)), "_bucket": bucket})
     keys = ["conv_id", "_bucket"]
     sums = Window.partitionBy("conv_id").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = out.groupBy(*keys).count().withColumn("_before", F.coalesce(F.sum("count").over(sums), F.lit(0))).drop("count")
@@ -107,8 +115,9 @@ def link(calls: DataFrame, results: DataFrame, fields: tuple[Field, ...]) -> Dat
     out = out.withColumn("_n", F.row_number().over(rank) - 1)
     k = [out[x].eqNullSafe(before[x]) for x in keys]
     out = out.join(before, k[0] & k[1]).select(*[out[x] for x in out.columns], "_before")
+    position = F.when(F.col("conv_id").isNotNull(), F.col("_n") + F.col("_before")).cast("long")
     body = F.when(F.col("kind") == "call", F.to_json(F.struct(F.coalesce(F.try_parse_json("arguments"), F.to_variant_object(F.struct(F.col("arguments").alias("text")))).alias("arguments"), F.col("call_id").alias("id"), "tool", "turn", F.col("kind").alias("type")))).otherwise(F.to_json(F.struct("content", F.col("call_id").alias("id"), "turn", F.col("kind").alias("type"))))
-    return out.select("conv_id", "turn", "kind", "call_id", "linked", "problems", (F.col("_n") + F.col("_before")).cast("long").alias("position"), body.alias("json"))
+    return out.select("conv_id", "turn", "kind", "call_id", "linked", "problems", position.alias("position"), body.alias("json"))
 
 
 #: Schemas of the two tools that turns of plain conversations call.

@@ -13,7 +13,7 @@ RESULTS = "conv_id long, turn long, call_id string, content string, linked int"
 def run(spark, calls, results):
     c = spark.createDataFrame([(*x, 0, 0) for x in calls], CALLS)
     r = spark.createDataFrame([(*x, 0) for x in results], RESULTS)
-    return sorted(link(c, r, FIELDS).collect(), key=lambda x: (str(x.conv_id), x.position))
+    return sorted(link(c, r, FIELDS).collect(), key=lambda x: (str(x.conv_id), x.position or 0))
 
 
 def test_arguments_against_schemas(spark):
@@ -43,9 +43,18 @@ def test_links_order_and_odd_rows(spark):
     two = [(r.kind, r.call_id, r.problems) for r in rows if r.conv_id == 2]
     assert two[0] == ("call", "y", "") and {x[2] for x in two[1:]} == {"needs itself", ""}
     assert [r.position for r in rows if r.conv_id == 1] == list(range(8))
+    assert [r.position for r in rows if r.conv_id is None] == [None, None]
     assert run(spark, [], []) == []
 
 
+def test_rows_without_a_turn_keep_their_order(spark):
+    calls = [(1, None, f"c{i}", "say", '{"words": []}', [f"c{i - 1}"] if i % 3 else None) for i in range(60)] + [(1, 3, "z", "say", '{"words": []}', None)]
+    rows = run(spark, calls, [(1, None, f"c{i}", "r") for i in range(60)])
+    assert [r.position for r in rows] == list(range(121)) and rows[0].call_id == "z"
+    at = {(r.kind, r.call_id): r.position for r in rows}
+    assert all(at["call", f"c{i}"] < at["result", f"c{i}"] and (i % 3 == 0 or at["result", f"c{i - 1}"] < at["call", f"c{i}"]) for i in range(60))
+
+
 def test_query_against_sql(spark, sf_dir):
     assert rows_of_frame(queries.op5_chat_formatting(spark, sf_dir)) == rows_of(queries.OP5_SQL, sf_dir)
 
