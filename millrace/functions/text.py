@@ -95,11 +95,24 @@ def strip_boilerplate(c: Column, platform: str) -> Column:
     return let(out, lambda t: let(F.struct(t.alias("body"), F.regexp_extract_all(t, F.lit(r"(#[^\s#]+)"), F.lit(1)).alias("tags")), capped))
 
 
+#: Ranges of code points that make a text one with emoji.
+ANY_EMOJI = "[\\x{1F600}-\\x{1F64F}\\x{1F300}-\\x{1F5FF}\\x{1F680}-\\x{1F6FF}\\x{1F1E0}-\\x{1F1FF}\\x{2600}-\\x{27BF}]"
+
+
 def emoji_density(c: Column) -> Column:
     n = F.length(F.translate(c, " \n", ""))
     return F.when(n > 0, F.regexp_count(c, F.lit(EMOJI_RANGES)) / n).otherwise(0.0)
 
 
+def excessive_emojis(c: Column, threshold: float = 0.5) -> Column:
+    """Whether more than this share of a text's characters are emoji; false for a null text."""
+    return F.coalesce(emoji_density(c) > threshold, F.lit(False))
+
+
+def contains_emoji(c: Column) -> Column:
+    return F.rlike(c, F.lit(ANY_EMOJI))
+
+
 def preview(c: Column, n: int = 120) -> Column:
     line = F.trim(F.replace(c, F.lit("\n"), F.lit(" ")))
     return F.when(F.length(line) > n, F.concat(F.left(line, F.lit(n)), F.lit("..."))).otherwise(line)

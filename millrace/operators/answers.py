@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rules import DEFAULT, RulePack
+from . import analysis
+
 NO_STRINGS = "cast(array() as array<string>)"
 #: Entity types that an answer may name, words that are no candidates, what is said where nothing is.
 TYPES = ("phone", "wechat", "qq", "telegram", "email", "url", "domain", "ip", "bank_card", "alipay", "crypto_wallet", "tool", "slang", "feature")
 COMMON = ("这个", "那个", "可以", "没有", "就是", "因为", "所以", "如果", "我们", "你们", "他们", "一个", "一些", "很多", "不是", "还是", "已经", "然后", "但是", "起来", "什么", "自己", "平台", "用户", "内容", "问题", "回答")
 NO_REASON, NO_MEANING = "LLM从上下文中识别出的疑似黑话", "待人工确认"
 
+#: What an entity of each type is evidence of, of any other type; confidence of evidence from rules and from entities.
+RISK_OF = {"wechat": "站外导流", "qq": "站外导流", "phone": "联系方式暴露", "url": "外链分发", "domain": "外链分发", "ip": "基础设施暴露", "bank_card": "资金链路", "alipay": "资金链路", "tool": "工具交易", "slang": "黑话风险", "feature": "风险特征"}
+OTHER_RISK = "实体线索"
+RULE_CONFIDENCE, ENTITY_CONFIDENCE = 0.92, 0.90
+
 
 def label(answer: Column) -> Column:
     """struct(label, sub_label, confidence) of a classifier's JSON; what is no such JSON gives the default with 0.5."""
@@ -74,6 +82,42 @@ def valid_evidence(spans: Column, text: Column) -> Column:
     return F.filter(spans, holds)
 
 
+def entity_evidence(found: DataFrame, df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """(key, ordinal, start, end, text, risk, reason, confidence, method): the surroundings of each entity as evidence.
+
+    found: key, entity_type, entity_value, ordinal, context. A context without the value gives way to `...value...`; without a
+    context it is 30 characters to both sides, and an entity that the text does not have is left out. Of spans of a text with the
+    same risk and the same first 40 characters the first stays. start and end are -1 for a value that the text does not have.
+    """
+    value, t = F.col("entity_value"), F.coalesce(F.col("_t"), F.lit(""))
+    rows = found.filter(F.coalesce(value, F.lit("")) != "").join(df.select(key, F.col(text).alias("_t")), key)
+    risk = F.create_map(*(F.lit(x) for kv in RISK_OF.items() for x in kv))[F.col("entity_type")]
+    at, left = F.instr(t, value) - 1, F.greatest(F.instr(t, value) - 30, F.lit(1))
+    near = F.when(at >= 0, F.substring(t, left, at + F.length(value) + 31 - left))
+    given = F.nullif(F.col("context"), F.lit(""))
+    span = F.when(given.isNull(), near).when(F.contains(given, value), given).otherwise(F.concat(F.lit("..."), value, F.lit("...")))
+    rows = rows.select(key, "ordinal", at.alias("start"), F.when(at >= 0, at + F.length(value)).otherwise(-1).alias("end"), span.alias("_span"), F.coalesce(risk, F.lit(OTHER_RISK)).alias("risk"), F.concat(F.lit("提取到"), "entity_type", F.lit("实体: "), value).alias("reason"))
+    first = Window.partitionBy(key, "risk", F.left("_span", F.lit(40))).orderBy("ordinal")
+    kept = rows.filter("_span is not null").withColumn("_n", F.row_number().over(first)).filter("_n = 1")
+    stripped = F.regexp_replace("_span", r"(?U)^\s+|\s+$", "")
+    return kept.select(key, "ordinal", "start", "end", stripped.alias("text"), "risk", "reason", F.lit(ENTITY_CONFIDENCE).alias("confidence"), F.lit("entity_context").alias("method"))
+
+
+def composed_evidence(df: DataFrame, found: DataFrame, key: str = "id", text: str = "text", label: str = "label", pack: RulePack = DEFAULT) -> DataFrame:
+    """(key, n, start, end, text, risk, confidence, method): all evidence of a text, the surest first, from n = 0.
+
+    Spans of the label's rules and those around entities are merged, checked against the text and put in order; what is gathered
+    for a text is its own spans.
+    """
+    rules = analysis.evidence(df, key, text, label, pack).select(key, F.lit(0).alias("k"), "start", "end", F.col("evidence").alias("text"), "risk", F.lit(RULE_CONFIDENCE).alias("confidence"), F.lit("rule").alias("method"), F.lit(0).alias("ordinal"))
+    around = entity_evidence(found, df, key, text).select(key, F.lit(1).alias("k"), F.col("start").cast("long"), F.col("end").cast("long"), "text", "risk", "confidence", "method", F.col("ordinal").cast("int"))
+    lists = rules.union(around).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", "ordinal", "start", "end", "text", "risk", "confidence", "method"))).alias("_spans"))
+    spans = valid_evidence(merged_evidence(F.col("_spans")), F.col("_t"))
+    surest = F.array_sort(spans, lambda a, b: F.signum(b["confidence"] - a["confidence"]).cast("int"))
+    out = lists.join(df.select(key, F.col(text).alias("_t")), key).select(key, F.posexplode(surest).alias("n", "_s"))
+    return out.select(key, "n", *(F.col(f"_s.{c}").alias(c) for c in ("start", "end", "text", "risk", "confidence", "method")))
+
+
 def candidate_grams(text: Column, tokens: Column | None = None, limit: int = 360, few: int = 12, most: int = 32) -> Column:
     """Distinct candidates for slang in order: tokens of 2 to 8 characters; if those are few, 2- and 3-grams until there are `most`.
 

@@ -165,6 +165,16 @@ def clean(df: DataFrame, pack: RulePack = DEFAULT) -> DataFrame:
     return out.drop("_embedded", "_system", "_filtered", "_score", "_relevance")
 
 
+def preview(df: DataFrame, key: str = "id", pack: RulePack = DEFAULT) -> DataFrame:
+    """What cleaning does to each post, side by side: (key, platform, original, cleaned, simhash, noise_score, noise_reasons, priority, should_discard, emojis, emoji_count)."""
+    raw = F.coalesce("content_raw", F.lit(""))
+    reasons = F.when(F.col("noise_reason") == "", F.expr("cast(array() as array<string>)")).otherwise(F.split("noise_reason", r" \| "))
+    return clean(df, pack).select(
+        key, "platform", raw.alias("original"), F.col("clean_text").alias("cleaned"), T.simhash_hex(F.col("simhash")).alias("simhash"), "noise_score", reasons.alias("noise_reasons"), "priority",
+        F.col("is_noise").alias("should_discard"), emojis(raw).alias("emojis"), F.size(emojis(raw)).alias("emoji_count"),
+    )
+
+
 def status(noise: Column, media: Column, duplicate: Column) -> Column:
     """What becomes of a post."""
     return F.when(media, "MEDIA_ONLY").when(noise, "DISCARDED").when(duplicate == "duplicate", "DISCARDED").when(duplicate == "similar", "SIMILAR").otherwise("CLEANED")

@@ -2,9 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Node label and edge type of each entity type, and those of all others; edges that the drawn graph shows.
+LABELS = {"wechat": "Account", "qq": "Account", "alipay": "Account", "telegram": "Account", "phone": "Contact", "email": "Contact", "bank_card": "Contact", "url": "Link", "domain": "Link", "ip": "Link", "tool": "Tool", "slang": "Slang", "crypto_wallet": "Wallet"}
+RELATIONS = {"wechat": "USES_ACCOUNT", "qq": "USES_ACCOUNT", "alipay": "USES_ACCOUNT", "telegram": "USES_ACCOUNT", "phone": "USES_CONTACT", "email": "USES_CONTACT", "bank_card": "USES_CONTACT", "url": "PROMOTES_LINK", "domain": "PROMOTES_LINK", "ip": "PROMOTES_LINK", "tool": "PROMOTES_TOOL", "slang": "USES_SLANG", "crypto_wallet": "USES_CONTACT"}
+OTHER_LABEL, OTHER_RELATION = "Contact", "MENTIONS"
+DRAWN = ("MENTIONS", "PROMOTES", "EXTRACTED_FROM")
+#: What a type is called in tables of neighbours; other types go by their own name.
+TYPE_NAMES = {"phone": "手机号", "wechat": "微信号", "qq": "QQ号", "email": "邮箱", "url": "链接", "domain": "域名", "ip": "IP地址", "bank_card": "银行卡", "alipay": "支付宝", "slang": "黑话", "tool": "工具/脚本", "crypto_wallet": "加密钱包", "feature": "风险特征"}
+PREVIEW = 200
+
+
+def _named(kind: Column, names: dict[str, str], other: Column) -> Column:
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in names.items() for x in kv))[kind], other)
+
+
+def intel_nodes(posts: DataFrame, key: str = "raw_id", text: str = "text") -> DataFrame:
+    """(key, platform, content_preview), a row for each row of posts."""
+    return posts.select(key, "platform", F.left(F.coalesce(text, F.lit("")), F.lit(PREVIEW)).alias("content_preview"))
+
+
+def entity_nodes(entities: DataFrame) -> DataFrame:
+    """(label, value, type, uuid) of entities (entity_type, entity_value): one node a label and value, under the last of its types by name."""
+    kind = F.col("entity_type")
+    nodes = entities.groupBy(_named(kind, LABELS, F.lit(OTHER_LABEL)).alias("label"), F.col("entity_value").alias("value")).agg(F.max(kind).alias("type"))
+    return nodes.withColumn("uuid", F.concat_ws(":", "type", "value"))
+
+
+def typed_edges(entities: DataFrame, key: str = "raw_id") -> DataFrame:
+    """(src, relation, label, dst), all strings: post to entity by the entity's type, and entity (type:value) back to post; each edge once."""
+    kind, post = F.col("entity_type"), F.col(key).cast("string")
+    there = entities.select(post.alias("src"), _named(kind, RELATIONS, F.lit(OTHER_RELATION)).alias("relation"), _named(kind, LABELS, F.lit(OTHER_LABEL)).alias("label"), F.col("entity_value").alias("dst"))
+    back = entities.select(F.concat_ws(":", "entity_type", "entity_value").alias("src"), F.lit("EXTRACTED_FROM").alias("relation"), F.lit("Intel").alias("label"), post.alias("dst"))
+    return there.union(back).distinct()
+
+
+def subgraph(posts: DataFrame, entities: DataFrame, search: str = "", limit: int | None = 50, key: str = "raw_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) to draw: nodes (id, label, group) and edges (from, to, label) of the relations in DRAWN.
+
+    Typed edges are not among those, so only entities of unknown types have a second edge. search keeps entities whose value has
+    it; the first `limit` edges by post, value and relation are drawn (None: all). An id has one node, a post's before an entity's.
+    """
+    kind, post = F.col("entity_type"), F.col(key).cast("string")
+    legacy = entities.select(post.alias("from"), F.col("entity_value").alias("to"), F.lit("EXTRACTED_FROM").alias("label"), kind.alias("type"), kind.alias("group"))
+    unknown = entities.filter(~kind.isin(*RELATIONS)).select(post.alias("from"), F.col("entity_value").alias("to"), F.lit(OTHER_RELATION).alias("label"), kind.alias("type"), F.lit(OTHER_LABEL.lower()).alias("group"))
+    shown = legacy.union(unknown).distinct().filter(F.contains("to", F.lit(search)) & F.col("label").isin(*DRAWN))
+    shown = shown if limit is None else shown.orderBy("from", "to", "label", "type").limit(limit)
+    ids = shown.select(F.col("from").alias("id")).distinct()
+    intel = posts.select(post.alias("id"), F.left(F.coalesce(text, F.lit("")), F.lit(25)).alias("label"), F.lit("intel").alias("group")).join(ids, "id", "left_semi")
+    ends = shown.select(F.col("to").alias("id"), F.concat_ws(":", "type", "to").alias("label"), "group")
+    both = intel.withColumn("_k", F.lit(0)).union(ends.withColumn("_k", F.lit(1)))
+    nodes = both.groupBy("id").agg(F.min(F.struct("_k", "label", "group")).alias("_n")).select("id", "_n.label", "_n.group")
+    return nodes, shown.select("from", "to", "label")
+
+
+def neighbour_table(related: DataFrame) -> DataFrame:
+    """(labels, relation, clue_type, clue_value, hops) of related nodes (labels array, type, value, uuid, raw_id, relation, hops).
+
+    Posts are left out; of rows that agree in all five one stays. What is unknown is `-`.
+    """
+    dash = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("-"))
+    labels = F.array_join("labels", ",")
+    kind = F.coalesce(F.nullif("type", F.lit("")), F.get("labels", F.lit(0)), F.lit("-"))
+    value = F.coalesce(F.nullif("value", F.lit("")), F.nullif("uuid", F.lit("")), F.lit("-"))
+    clues = related.filter(~F.array_contains("labels", "Intel") & (kind != "Intel") & (value != "-") & (F.coalesce(F.col("raw_id"), F.lit(0)) == 0))
+    return clues.select(dash(labels).alias("labels"), dash(F.col("relation")).alias("relation"), _named(kind, TYPE_NAMES, kind).alias("clue_type"), value.alias("clue_value"), "hops").distinct()
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     """(edge, a, b) both ways, edge being the edge's identifier."""
@@ -38,6 +103,17 @@ def shortest_lengths(edges: DataFrame, seeds: DataFrame, most: int = 6) -> DataF
     return seen
 
 
+def gang_paths(edges: DataFrame, least: int = 3) -> DataFrame:
+    """(a, b, shared), a < b: members with at least `least` paths over a common target; edges (member, target) count as often as they occur.
+
+    Edges are counted for each member and target before they meet, so parallel ones are never paired.
+    """
+    n = edges.filter("member is not null and target is not null").groupBy("member", "target").agg(F.count(F.lit(1)).alias("n"))
+    x, y = n.alias("x"), n.alias("y")
+    met = x.join(y, (F.col("x.target") == F.col("y.target")) & (F.col("x.member") < F.col("y.member")))
+    return met.groupBy(F.col("x.member").alias("a"), F.col("y.member").alias("b")).agg(F.sum(F.col("x.n") * F.col("y.n")).alias("shared")).filter(F.col("shared") >= least)
+
+
 def gangs(pairs: DataFrame, least: int = 3) -> DataFrame:
     """(a, b, shared), a < b: members that share at least `least` distinct targets of pairs (member, target)."""
     p = pairs.select("member", "target").distinct()

@@ -86,3 +86,16 @@ def report_samples(posts: DataFrame, entities: DataFrame, evidence: DataFrame) -
 def training_samples(posts: DataFrame, least: float = 0.85) -> DataFrame:
     """(text, label, source) of posts that are sure enough to teach."""
     return posts.filter((F.col("confidence") >= least) & F.col("label").isNotNull() & (F.coalesce("text", F.lit("")) != "")).select("text", "label", F.lit("rule").alias("source"))
+
+
+def throughput(df: DataFrame, by: str, at: str, failed: Column | None = None) -> DataFrame:
+    """(by, items, errors, elapsed_sec, items_per_sec): what each source brought over the whole time from the first row to the last.
+
+    failed marks rows that are errors and no items. Without any time passed, nothing a second.
+    """
+    bad = F.lit(False) if failed is None else F.coalesce(failed, F.lit(False))
+    t = F.col(at).cast("timestamp").cast("double")
+    parts = df.groupBy(by).agg(F.count_if(~bad).alias("items"), F.count_if(bad).alias("errors"), F.min(t).alias("_a"), F.max(t).alias("_b"))
+    span = parts.agg((F.max("_b") - F.min("_a")).alias("_span"))
+    elapsed = F.round("_span", 1)
+    return parts.join(F.broadcast(span)).select(by, "items", "errors", elapsed.alias("elapsed_sec"), F.when(F.col("_span") > 0, F.round(F.col("items") / F.col("_span"), 4)).otherwise(0.0).alias("items_per_sec"))

@@ -49,3 +49,32 @@ def apply_annotations(base: DataFrame, log: DataFrame, key: str, field: str) ->
     mine = log.filter((F.col("field_name") == field) & (F.coalesce("new_value", F.lit("")) != ""))
     last = mine.groupBy("target_id").agg(F.max_by("new_value", F.struct("annotated_at", "annotation_id")).alias("_value"))
     return base.join(last, base[key] == last.target_id, "left").withColumn(field, F.coalesce("_value", field)).drop("target_id", "_value")
+
+
+def with_changes(base: DataFrame, changes: DataFrame, key: str, allowed: tuple[str, ...]) -> DataFrame:
+    """base with the last change (key, field, value, at) of each field in `allowed`; changes of other fields and of unknown keys are dropped.
+
+    Unlike an upsert's, a null value is a change. Of changes at the same time the greatest value stays.
+    """
+    mine = changes.filter(F.col("field").isin(*allowed))
+    last = mine.groupBy(key).agg(*(F.max(F.when(F.col("field") == c, F.struct("at", "value"))).alias(f"_{c}") for c in allowed))
+    kinds = {f.name: f.dataType for f in base.schema}
+    new = lambda c: F.when(F.col(f"_{c}").isNotNull(), F.col(f"_{c}.value").cast(kinds[c])).otherwise(F.col(c)).alias(c)
+    return base.join(last, key, "left").select(*(new(c) if c in allowed else F.col(c) for c in base.columns))
+
+
+def relation_rows(new: DataFrame) -> DataFrame:
+    """Rows of the entity relation table: what new (src_entity_id, dst_entity_id, relation_type, ...) leaves out has its default."""
+    given = lambda c, kind, default: F.coalesce(F.col(c).cast(kind) if c in new.columns else F.lit(None).cast(kind), F.lit(default).cast(kind)).alias(c)
+    return new.select("src_entity_id", "dst_entity_id", "relation_type", given("relation_source", "string", "neo4j_sync"), given("evidence_raw_id", "bigint", None), given("confidence", "double", 1.0))
+
+
+def by_simhash(clean: DataFrame, raw: DataFrame, simhash: str, limit: int = 5) -> DataFrame:
+    """The first `limit` cleaned rows (id, raw_id, simhash, ...) with this hash, with platform and content_raw of their raw row (id, ...)."""
+    mine = clean.filter(F.col("simhash") == simhash).orderBy("id").limit(limit)
+    return mine.join(raw.select(F.col("id").alias("raw_id"), F.col("platform").alias("source_platform"), "content_raw"), "raw_id", "left")
+
+
+def recent_simhashes(clean: DataFrame, limit: int = 5000) -> DataFrame:
+    """The hashes of the last `limit` cleaned rows that have one, by falling id."""
+    return clean.filter(F.coalesce("simhash", F.lit("")) != "").orderBy(F.desc("id")).limit(limit).select("id", "simhash")

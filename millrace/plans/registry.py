@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cases, extras, operators, relational
+from . import cases, extras, followups, operators, relational
 
-MODULES: list = [operators, relational, extras, cases]
+MODULES: list = [operators, relational, extras, followups, cases]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

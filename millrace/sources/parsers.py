@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_html
+from ..schemas import COMMENT
+from .records import comment
 
 USER = "struct<id: string, screen_name: string>"
 WEIBO = f"id string, mid string, text_raw string, text string, isLongText boolean, pic_num bigint, user {USER}, retweeted_status struct<text_raw: string, user: {USER}>, created_at string, reposts_count bigint, comments_count bigint, attitudes_count bigint"
@@ -133,3 +135,39 @@ def offers(df: DataFrame, json: str = "json", depth: int = 10) -> DataFrame:
         inner = F.rlike("kind", F.lit("^(ARRAY|OBJECT)"))
         level = pairs.filter(inner & ~(F.coalesce(F.col("key").isin(*LISTS), F.lit(False)) & F.startswith("kind", F.lit("ARRAY")))).select("v")
     return found
+
+
+XHS_USER = "user_info: struct<user_id: string, nickname: string>"
+XHS_COMMENT = f"id: string, content: string, like_count: bigint, create_time: string, {XHS_USER}"
+XHS_PAGE = f"success boolean, data struct<comments: array<struct<{XHS_COMMENT}, sub_comments: array<struct<{XHS_COMMENT}, target_comment: struct<{XHS_USER}>>>>>>"
+DOUYIN_COMMENT = "cid: string, text: string, digg_count: bigint, create_time: string, user: struct<uid: string, nickname: string>"
+DOUYIN_PAGE = f"comments array<struct<{DOUYIN_COMMENT}, reply_comment: array<struct<{DOUYIN_COMMENT}>>>>"
+
+
+def _thread(df: DataFrame, comments: Column, replies: str, of, *keep: str) -> DataFrame:
+    """keep and a row for each comment and each reply to it, in their order."""
+    rows = df.select(*keep, F.explode(comments).alias("_c"))
+    empty = F.expr(f"cast(array() as array<{COMMENT}>)")
+    both = F.concat(F.array(of(F.col("_c"), "comment").cast(COMMENT)), F.coalesce(F.transform(F.col(f"_c.{replies}"), lambda r: of(r, "reply").cast(COMMENT)), empty))
+    return rows.select(*keep, F.explode(both).alias("_x")).select(*keep, "_x.*")
+
+
+def xiaohongshu_comments(df: DataFrame, json: str = "json", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Comments and replies of comment pages that succeeded; a reply names whom it answers."""
+
+    def of(c: Column, kind: str) -> Column:
+        to = {"reply_to": c["target_comment"]["user_info"]["nickname"]} if kind == "reply" else {}
+        return comment(id=c["id"], author_uid=c["user_info"]["user_id"], author_username=c["user_info"]["nickname"], content=c["content"], like_count=c["like_count"], created_at=c["create_time"], type=F.lit(kind), **to)
+
+    page = df.withColumn("_p", F.from_json(json, XHS_PAGE)).filter("_p.success")
+    return _thread(page, F.col("_p.data.comments"), "sub_comments", of, *keep)
+
+
+def douyin_comments(df: DataFrame, json: str = "json", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Comments and replies of comment pages; replies have no time."""
+
+    def of(c: Column, kind: str) -> Column:
+        at = {"created_at": c["create_time"]} if kind == "comment" else {}
+        return comment(id=c["cid"], author_uid=c["user"]["uid"], author_username=c["user"]["nickname"], content=c["text"], like_count=c["digg_count"], type=F.lit(kind), **at)
+
+    return _thread(df.withColumn("_p", F.from_json(json, DOUYIN_PAGE)), F.col("_p.comments"), "reply_comment", of, *keep)
