@@ -165,5 +165,5 @@ def field_sets(df: DataFrame, key: str, *fields: str) -> DataFrame:
     values = lambda f: F.col(f).cast("array<string>") if kinds[f].startswith("array") else F.array(F.col(f).cast("string"))
     tagged = lambda f: F.transform(F.coalesce(values(f), F.array(F.lit(None).cast("string"))), lambda v: F.struct(F.lit(f).alias("f"), v.alias("v")))
     # fields one below the other, so that the elements of several arrays are never multiplied
-    long = df.select(key, F.explode(F.concat(*(tagged(f) for f in fields))).alias("_x")).select(key, "_x.f", "_x.v").distinct()
+    long = df.select(key, F.explode_outer(F.concat(*(tagged(f) for f in fields))).alias("_x")).select(key, "_x.f", "_x.v").distinct()
     return long.groupBy(key).agg(*(F.array_sort(F.collect_list(F.when(F.col("f") == f, F.nullif("v", F.lit(""))))).alias(f) for f in fields))
