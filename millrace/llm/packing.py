@@ -16,30 +16,51 @@ from .common import freeing, text_of, written_table
 LENGTH, END = 1024, 2
 
 
+#: How a plain byte-level BPE file splits its text; a file that says anything else is left to `tokenizers`.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 def encoder(path: str, added: bool = False):
     """text -> ids of the byte-level BPE in a tokenizers JSON file.
 
     With added, the ids are those of `tokenizers` with add_special_tokens=False, which gives the file's added tokens their own ids
     where their strings stand in the text. Without, they are those with encode_special_tokens=True too: such strings are ordinary
     text (tests compare both). The file's vocabulary is run by tiktoken, four times as fast: ids of a byte-level BPE are its merge
-    ranks. Added tokens that are more than a plain string, or begin with another one, are left to `tokenizers`.
+    ranks. `tokenizers` itself takes what tiktoken can't: files with another split, a normalizer, or added tokens that are more than
+    a plain string or begin with another one; and each text on which tiktoken's split gives up, as it does on some million white
+    space characters in a row.
     """
     import tiktoken
-
-    model = json.loads(open(path, encoding="utf-8").read())
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(path)
+    slow.encode_special_tokens = not added
+
+    def whole(text: str) -> list[int]:
+        return slow.encode(text, add_special_tokens=False).ids
+
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    tokens, model = spec.get("added_tokens") or (), spec["model"]
+    special = {x["content"]: x["id"] for x in tokens}
+    odd = any(x.get(k) for x in tokens for k in ("single_word", "lstrip", "rstrip", "normalized")) or any(x != y and x.startswith(y) for x in special for y in special)
+    split = {k: (spec.get("pre_tokenizer") or {}).get(k) for k in BYTE_LEVEL}
+    if split != BYTE_LEVEL or spec.get("normalizer") or model.get("type", "BPE") != "BPE" or model.get("ignore_merges") or added and odd:
+        return whole
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-    special = {x["content"]: x["id"] for x in model.get("added_tokens", ())}
-    if added and (any(x.get(k) for x in model.get("added_tokens", ()) for k in ("single_word", "lstrip", "rstrip", "normalized")) or any(x != y and x.startswith(y) for x in special for y in special)):
-        from tokenizers import Tokenizer
+    ranks = {bytes(byte_of[c] for c in token): rank for token, rank in model["vocab"].items() if token not in special}
+    fast = tiktoken.Encoding("bpe", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special if added else {})
+    run = partial(fast.encode, allowed_special="all") if added and special else fast.encode_ordinary
+
+    def ids(text: str) -> list[int]:
+        try:
+            return run(text)
+        except ValueError:
+            return whole(text)
 
-        slow = Tokenizer.from_file(path)
-        return lambda text: slow.encode(text, add_special_tokens=False).ids
-    ranks = {bytes(byte_of[c] for c in token): rank for token, rank in model["model"]["vocab"].items() if token not in special}
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    if added and special:
-        return partial(tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special).encode, allowed_special="all")
-    return tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return ids
 
 
 def token_pieces(df: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, end: int | None = END) -> DataFrame:
@@ -47,7 +68,8 @@ def token_pieces(df: DataFrame, tokenizer: str, text: str = "text", doc_id: str
 
     A document is its text's ids and the id `end`. Longer ones are cut into pieces of `length`, of which the first is shorter
     unless the document is a multiple; so the short one is the one that shares a sequence. Every piece is whole in one sequence.
-    Null texts count as empty and give one piece, the end alone. Rows with the same doc_id are packed each for itself.
+    Null texts count as empty and give one piece, the end alone. Rows with the same doc_id are packed each for itself. A run of one
+    character may be of any length.
     """
 
     def tokenize(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -54,6 +54,31 @@ def test_ids_with_added_tokens_are_those_of_tokenizers(make):
     assert [got[i] for i in range(len(texts))] == [[*ids, 2] for ids in want]
 
 
+def test_very_long_runs_get_the_ids_of_tokenizers(make):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    slow = Tokenizer.from_file(path)
+    texts = ["x" + " " * 1_100_000 + "a", "x" + "\n" * 1_100_000 + "<|endoftext|>a", "a" * 300_000, "!?" * 100_000]
+    got = {}
+    for r in token_pieces(make(list(enumerate(texts))), path).orderBy("doc_id", "piece").collect():
+        got.setdefault(r.doc_id, []).append(np.frombuffer(r.ids, "<u4"))
+    for i, text in enumerate(texts):
+        assert np.concatenate(got[i]).tolist() == [*slow.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_files_with_another_split_are_left_to_tokenizers(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(queries.tokenizer_path(), encoding="utf-8"))
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    path = str(tmp_path / "prefixed.json")
+    json.dump(spec, open(path, "w", encoding="utf-8"))
+    assert encoder(path, added=True)("the end") == Tokenizer.from_file(path).encode("the end", add_special_tokens=False).ids != encoder(queries.tokenizer_path())("the end")
+
+
 def test_round_trip(make):
     from tokenizers import Tokenizer
 
