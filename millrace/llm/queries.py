@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, language_id, licenses, mixing, ngram_join, packing, suffix_dedup, tool_calls, url_filter
+from . import exact_dedup, fingerprints, language_id, licenses, mixing, ngram_join, packing, suffix_dedup, tool_calls, turn_repair, url_filter
 from .common import table, text_of
 
 
@@ -77,8 +77,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(turn_repair.damaged(table(spark, sf_dir, "conversations")), gone=F.col("gone"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_order_minhash, op2_best_fit_packing, op3_url_filter, op4_language_id, op5_chat_formatting, op6_suffix_dedup, op7_exact_dedup, op8_license_scan, op9_ngram_jaccard, op10_mixing)}
+    return {f.__name__: f for f in (op1_order_minhash, op2_best_fit_packing, op3_url_filter, op4_language_id, op5_chat_formatting, op6_suffix_dedup, op7_exact_dedup, op8_license_scan, op9_ngram_jaccard, op10_mixing, op11_turn_repair)}
 
 
 OP5_SQL = """
@@ -130,5 +134,37 @@ FROM f GROUP BY r, doc_id
 """
 
 
+def crc32_sql(s: str) -> str:
+    """The unsigned crc32 of a string's UTF-8, eight steps to a byte."""
+    steps = f"flatten([[c, 0, 0, 0, 0, 0, 0, 0] FOR c IN {s}])"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {steps}), lambda c, b: xor(xor(c, b) >> 1, CASE WHEN xor(c, b) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295)"
+
+
+_BYTES = "[ord(c)::BIGINT FOR c IN string_split({}, '')]"  # of a string in ASCII
+OP11_SQL = f"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32_sql(_BYTES.format("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')"))} % 20 AS kind FROM conversations),
+d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM k, range(2) copies(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen, left(role, 1) AS r, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\\z') AS cut, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS p FROM o),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (seen AND NOT blank) AS duplicate, count(*) FILTER (cut AND NOT blank AND NOT seen) AS truncated, count(*) FILTER (p || r NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM f GROUP BY conv_id),
+-- turns put in first, then what is done with a row; the roles 0 nothing, 1 system, 2 user, 3 assistant
+put(s, t, ins) AS (VALUES (0, 0, ''), (1, 1, ''), (2, 2, ''), (3, 3, ''), (0, 2, 'I'), (1, 2, 'I'), (3, 2, 'I'), (2, 3, 'I'), (0, 3, 'II'), (1, 3, 'II')),
+op(t, u, op, initial, price) AS (VALUES (0, 0, 'D', NULL, 4), (1, 1, 'D', NULL, 4), (2, 2, 'D', NULL, 4), (3, 3, 'D', NULL, 4), (0, 1, 'K', 's', 0), (0, 2, 'K', 'u', 0), (1, 2, 'K', 'u', 0), (3, 2, 'K', 'u', 0), (2, 3, 'K', 'a', 0), (0, 2, 'R', NULL, 3), (1, 2, 'R', NULL, 3), (3, 2, 'R', NULL, 3), (2, 3, 'R', NULL, 3)),
+w(conv_id, i, s, best) AS (
+  SELECT conv_id, 0::BIGINT, 0, {{'c': 0::BIGINT, 'a': '', 'said': ''}} FROM c
+  UNION ALL
+  SELECT w.conv_id, f.i, u, min({{'c': best.c + 3 * length(ins) + price + CASE WHEN op <> 'D' AND f.cut THEN 3 ELSE 0 END, 'a': best.a || ins || op,
+    'said': best.said || CASE ins WHEN '' THEN '' WHEN 'II' THEN chr(10) || 'user:' || chr(10) || 'assistant:' ELSE chr(10) || CASE w.s WHEN 2 THEN 'assistant:' ELSE 'user:' END END || CASE op WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || f.role || ':' || f.text ELSE chr(10) || CASE u WHEN 2 THEN 'user:' ELSE 'assistant:' END || f.text END}})
+  FROM w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1 JOIN put USING (s) JOIN op USING (t)
+  WHERE (initial IS NULL OR initial = f.r) AND (op = 'D' OR NOT (f.blank OR f.seen)) GROUP BY w.conv_id, f.i, u),
+e AS (SELECT w.conv_id, min({{'c': best.c + 3 * length(ins), 'a': best.a || ins, 'said': best.said || CASE ins WHEN '' THEN '' WHEN 'II' THEN chr(10) || 'user:' || chr(10) || 'assistant:' ELSE chr(10) || CASE w.s WHEN 2 THEN 'assistant:' ELSE 'user:' END END}}) AS best
+  FROM w JOIN c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.i JOIN put USING (s) WHERE t IN (0, 3) GROUP BY w.conv_id),
+a AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(substr(coalesce(best.said, ''), 2)) AS repaired_sha256
+FROM a LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op5_chat_formatting": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_license_scan": OP8_SQL}
+    return {"op5_chat_formatting": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_license_scan": OP8_SQL, "op11_turn_repair": OP11_SQL}
