@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, language_id, licenses, mixing, ngram_join, packing, suffix_dedup, tool_calls, turn_repair, url_filter
+from . import exact_dedup, fingerprints, language_id, licenses, mixing, ngram_join, packing, quality_rules, suffix_dedup, tool_calls, turn_repair, url_filter
 from .common import table, text_of
 
 
@@ -81,8 +81,14 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair(turn_repair.damaged(table(spark, sf_dir, "conversations")), gone=F.col("gone"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.judge(table(spark, sf_dir, "documents"), columns=("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_order_minhash, op2_best_fit_packing, op3_url_filter, op4_language_id, op5_chat_formatting, op6_suffix_dedup, op7_exact_dedup, op8_license_scan, op9_ngram_jaccard, op10_mixing, op11_turn_repair)}
+    return {f.__name__: f for f in (op1_order_minhash, op2_best_fit_packing, op3_url_filter, op4_language_id, op5_chat_formatting, op6_suffix_dedup, op7_exact_dedup, op8_license_scan, op9_ngram_jaccard, op10_mixing, op11_turn_repair, op12_quality_rules)}
 
 
 OP5_SQL = """
@@ -166,5 +172,25 @@ FROM a LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN e ON e.
 """
 
 
+OP12_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+l AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) x WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+s AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+w AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM s),
+n AS (SELECT r, count(*) AS n_words, sum(length(w)) AS word_chars, count(*) FILTER (regexp_matches(w, '\\p{L}')) AS n_lettered, count(*) FILTER (regexp_matches(w, '\\p{Lu}[^\\p{Ll}]*\\p{Lu}') AND NOT regexp_matches(w, '\\p{Ll}')) AS n_shouted FROM w GROUP BY r),
+p AS (SELECT r, max(c) AS n_top_pair FROM (SELECT r, w, v, count(*) AS c FROM (SELECT r, w, lead(w) OVER (PARTITION BY r ORDER BY i) AS v FROM w) y WHERE v IS NOT NULL GROUP BY r, w, v) z GROUP BY r),
+g AS (SELECT r, i, w AS a, lead(w) OVER o AS b, lead(w, 2) OVER o AS c FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
+h AS (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM g WHERE c IS NOT NULL),
+q AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM h, range(3) x(k) WHERE n > 1 GROUP BY r),
+m AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  coalesce(n_lines, 0) AS n_lines, coalesce(n_lettered, 0) AS n_lettered, coalesce(n_shouted, 0) AS n_shouted, coalesce(n_top_pair, 0) AS n_top_pair
+  FROM d LEFT JOIN l USING (r) LEFT JOIN n USING (r) LEFT JOIN p USING (r) LEFT JOIN q USING (r)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 2 * n_dup_lines > n_lines OR 10 * n_lettered < 7 * n_words OR 10 * n_shouted > 3 * n_words OR 5 * n_top_pair > n_words) AS kept
+FROM f
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op5_chat_formatting": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_license_scan": OP8_SQL, "op11_turn_repair": OP11_SQL}
+    return {"op5_chat_formatting": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_license_scan": OP8_SQL, "op11_turn_repair": OP11_SQL, "op12_quality_rules": OP12_SQL}
