@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, language_id, licenses, mixing, ngram_join, packing, quality_rules, suffix_dedup, tool_calls, turn_repair, url_filter
+from . import exact_dedup, fingerprints, language_id, licenses, mixing, ngram_join, packing, quality_rules, spelling, suffix_dedup, tool_calls, turn_repair, url_filter
 from .common import table, text_of
 
 
@@ -87,8 +87,12 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents"), doc_id="doc_id")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_order_minhash, op2_best_fit_packing, op3_url_filter, op4_language_id, op5_chat_formatting, op6_suffix_dedup, op7_exact_dedup, op8_license_scan, op9_ngram_jaccard, op10_mixing, op11_turn_repair, op12_quality_rules)}
+    return {f.__name__: f for f in (op1_order_minhash, op2_best_fit_packing, op3_url_filter, op4_language_id, op5_chat_formatting, op6_suffix_dedup, op7_exact_dedup, op8_license_scan, op9_ngram_jaccard, op10_mixing, op11_turn_repair, op12_quality_rules, op13_spelling_variants)}
 
 
 OP5_SQL = """
@@ -192,5 +196,23 @@ FROM f
 """
 
 
+# bytes of a letter in ASCII or up to U+00FF, two in UTF-8
+_LETTER_BYTES = "flatten([CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [(192 + (ord(c) >> 6))::BIGINT, (128 + (ord(c) & 63))::BIGINT] END FOR c IN string_split({}, '')])"
+OP13_SQL = f"""
+WITH RECURSIVE r AS (SELECT coalesce(doc_id::varchar, '') || ':' AS d, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS w FROM documents),
+c AS (SELECT d, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n FROM r GROUP BY ALL),
+h AS (SELECT w, n, {crc32_sql(_LETTER_BYTES.format("d || w"))} AS h FROM c),
+m AS (SELECT CASE WHEN h % 31 = 0 THEN left(w, (h % length(w))::INTEGER) || substr(w, (h % length(w))::INTEGER + 2) ELSE w END AS word, n FROM h),
+v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM m WHERE length(word) >= 7 GROUP BY word HAVING sum(n) > 1),
+x AS MATERIALIZED (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INTEGER AS i FROM v) y),
+p AS (SELECT a.word AS a, a.n AS a_n, b.word AS b, b.n AS b_n FROM x a JOIN x b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT x.word, x.n, v.word, v.n FROM x JOIN v ON x.rest = v.word UNION SELECT v.word, v.n, x.word, x.n FROM x JOIN v ON x.rest = v.word),
+s AS (SELECT a, a_n, count(*) AS n_near, min({{'less': -b_n, 'b': b}}) AS best FROM p GROUP BY a, a_n),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= 10 * n THEN best.b END AS form, CASE WHEN -best.less >= 10 * n THEN -best.less END AS form_n FROM v LEFT JOIN s ON a = word),
+t(word, root, step) AS (SELECT word, word, 0 FROM f UNION ALL SELECT t.word, f.form, step + 1 FROM t JOIN f ON f.word = t.root WHERE f.form IS NOT NULL)
+SELECT word, form, (SELECT arg_max(root, step) FROM t WHERE t.word = f.word) AS root, n, n_near, form_n FROM f
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op5_chat_formatting": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_license_scan": OP8_SQL, "op11_turn_repair": OP11_SQL, "op12_quality_rules": OP12_SQL}
+    return {"op5_chat_formatting": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_license_scan": OP8_SQL, "op11_turn_repair": OP11_SQL, "op12_quality_rules": OP12_SQL, "op13_spelling_variants": OP13_SQL}
