@@ -1,10 +1,14 @@
-"""Text functions, Column to Column: all run inside whole-stage code, none in Python."""
+"""Text functions, Column to Column: all but simhash64 run inside the JVM."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
+import hashlib
+import re
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +16,7 @@ from .rules import BOILERPLATE, EMOJI_RANGES, FULL_WIDTH, HTML_ENTITIES
 
 TAG, ENTITY = r"<[^>]+>", r"&[a-zA-Z]+;|&#\d+;"
 CJK = "[一-鿿]"
+HAN, ASCII_WORD = re.compile(CJK), re.compile("[a-zA-Z0-9]+")
 
 
 def fold(c: Column, steps, use: Callable) -> Column:
@@ -164,20 +169,44 @@ def refang(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(plain, "^hxxp", "http"), "^fxp", "ftp")
 
 
-def token_hashes(c: Column) -> Column:
-    """64-bit hashes (of MD5) of the CJK bigrams and the ASCII words; of the whole text if it has neither."""
-    cjk = F.array_join(F.regexp_extract_all(c, F.lit(f"({CJK})"), F.lit(1)), "")
-    bigrams = F.when(F.length(cjk) > 1, F.transform(F.sequence(F.lit(1), F.length(cjk) - 1), lambda i: F.substring(cjk, i, F.lit(2)))).otherwise(F.expr("cast(array() as array<string>)"))
-    tokens = F.concat(bigrams, F.regexp_extract_all(c, F.lit("([a-zA-Z0-9]+)"), F.lit(1)))
-    known = F.when(F.size(tokens) > 0, tokens).otherwise(F.array(c))
-    return F.transform(known, lambda t: F.conv(F.substring(F.md5(t), 1, 16), 16, -10).cast("long"))
+@lru_cache(maxsize=1)
+def _simhash():
+    @F.pandas_udf("long")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            known: dict[str, int] = {}
+            rows, places = [], []
+            for text in texts:
+                tokens = None if text is None else tokens_of(text)
+                rows.append(tokens)
+                places.append(None if tokens is None else np.fromiter((known.setdefault(t, len(known)) for t in tokens), np.int64, len(tokens)))
+            digests = b"".join(hashlib.md5(t.encode()).digest()[:8] for t in known)
+            bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)
+            out = []
+            for at in places:
+                if at is None:
+                    out.append(None)
+                    continue
+                of, n = np.unique(at, return_counts=True)
+                set_bits = 2 * (n @ bits[of].astype(np.int64)) > len(at)
+                out.append(int.from_bytes(np.packbits(set_bits).tobytes(), "big", signed=True))
+            yield pd.Series(out, dtype="Int64")
+
+    return run
+
+
+def tokens_of(text: str) -> list[str]:
+    """Bigrams of the Han characters, put together, and the ASCII words; the whole text if it has neither."""
+    han = "".join(HAN.findall(text))
+    return [*(han[i : i + 2] for i in range(len(han) - 1)), *ASCII_WORD.findall(text)] or [text]
 
 
 def simhash64(c: Column) -> Column:
-    """A bit is set if more hashes have it than not."""
-    one = lambda h, i: F.call_function("shiftright", h, i).bitwiseAND(F.lit(1).cast("long"))
-    of = lambda hs: F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, i: F.when(2 * F.aggregate(hs, F.lit(0).cast("long"), lambda n, h: n + one(h, i)) > F.size(hs), acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))).otherwise(acc))
-    return let(token_hashes(c), of)
+    """64 bits by the MD5 of a text's tokens, of which more have the bit than not; null for a null text.
+
+    Built-in functions would fold over all tokens once for each bit; Arrow batches hash every different token of a batch once.
+    """
+    return _simhash()(c)
 
 
 def simhash_hex(h: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..work import checkpointed
+
 #: Node label and edge type of each entity type, and those of all others; edges that the drawn graph shows.
 LABELS = {"wechat": "Account", "qq": "Account", "alipay": "Account", "telegram": "Account", "phone": "Contact", "email": "Contact", "bank_card": "Contact", "url": "Link", "domain": "Link", "ip": "Link", "tool": "Tool", "slang": "Slang", "crypto_wallet": "Wallet"}
 RELATIONS = {"wechat": "USES_ACCOUNT", "qq": "USES_ACCOUNT", "alipay": "USES_ACCOUNT", "telegram": "USES_ACCOUNT", "phone": "USES_CONTACT", "email": "USES_CONTACT", "bank_card": "USES_CONTACT", "url": "PROMOTES_LINK", "domain": "PROMOTES_LINK", "ip": "PROMOTES_LINK", "tool": "PROMOTES_TOOL", "slang": "USES_SLANG", "crypto_wallet": "USES_CONTACT"}
@@ -98,7 +100,7 @@ def shortest_lengths(edges: DataFrame, seeds: DataFrame, most: int = 6) -> DataF
         near = front.join(both, front.node == both.a).select("seed", F.col("b").alias("node")).distinct()
         front = near.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("length", F.lit(k))
         if k % 2 == 0:
-            front = front.checkpoint() if not edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty() else front.cache()
+            front = checkpointed(front)
         seen = seen.union(front)
     return seen
 

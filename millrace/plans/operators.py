@@ -206,16 +206,41 @@ def simhash64(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.simhash_hex(T.simhash64(F.col("text"))).alias("simhash"))
 
 
-@query(f"WITH {_SIM} SELECT a.doc_id AS id_a, b.doc_id AS id_b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM f a JOIN f b ON a.doc_id < b.doc_id AND bit_count(xor(a.h, b.h)) <= 3 AND length(to_hex(a.h)) = length(to_hex(b.h))")
+_NEAR = f"WITH {_SIM}, c AS (SELECT h, min(doc_id) AS doc_id FROM f GROUP BY h), p AS (SELECT a.h AS x, b.h AS y, least(a.doc_id, b.doc_id) AS id_a, greatest(a.doc_id, b.doc_id) AS id_b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM c a JOIN c b ON a.h < b.h AND bit_count(xor(a.h, b.h)) <= 3 AND length(to_hex(a.h)) = length(to_hex(b.h)))"
+
+
+def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.simhash64(F.col("text")).alias("simhash"))
+
+
+@query(f"{_NEAR} SELECT id_a, id_b, distance FROM p")
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.simhash64(F.col("text")).alias("simhash"))
-    return dedup.similar_pairs(d)
+    return dedup.similar_pairs(_hashed(spark, sf_dir))
 
 
-@query()
+@query(f"{_NEAR} SELECT f.doc_id AS id, c.doc_id AS class_id, (SELECT count(*) FROM p WHERE p.x = f.h OR p.y = f.h) AS links FROM f JOIN c USING (h)")
+def near_dup_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.classes(_hashed(spark, sf_dir))
+
+
+# the fold itself, a document at a time: `seen` has the remembered hashes in order, each with its authors and their first documents
+_AUTHORS = f"""WITH RECURSIVE {_SIM},
+d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id, h, CASE WHEN length(text) < 30 THEN 0 WHEN length(text) < 80 THEN 1 ELSE 3 END AS t, CAST(doc_id % 37 AS VARCHAR) AS a, doc_id % 11 = 0 AS noise, left(text, 80) AS quote FROM documents JOIN f USING (doc_id)),
+w(i, id, dup_type, similar_to, similar_note, seen) AS (
+  SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), '', CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST([] AS STRUCT(h UBIGINT, a VARCHAR[], ids BIGINT[], quotes VARCHAR[])[])
+  UNION ALL
+  SELECT i, id, kind, CASE kind WHEN 'duplicate' THEN m.ids[list_position(m.a, a)] WHEN 'similar' THEN m.ids[1] END, CASE kind WHEN 'duplicate' THEN m.quotes[list_position(m.a, a)] WHEN 'similar' THEN 'author(s): ' || array_to_string(m.a[1:3], ', ') END,
+    CASE WHEN kind NOT IN ('new', 'similar') THEN seen WHEN len(list_filter(seen, lambda x: x.h = h)) = 0 THEN list_append(seen, {{'h': h, 'a': [a], 'ids': [id], 'quotes': [quote]}})
+      ELSE list_transform(seen, lambda x: CASE WHEN x.h = h AND NOT list_contains(x.a, a) THEN {{'h': x.h, 'a': list_append(x.a, a), 'ids': list_append(x.ids, id), 'quotes': list_append(x.quotes, quote)}} ELSE x END) END
+  FROM (SELECT *, CASE WHEN noise THEN 'noise' WHEN m IS NULL THEN 'new' WHEN list_contains(m.a, a) THEN 'duplicate' ELSE 'similar' END AS kind
+    FROM (SELECT d.i, d.doc_id AS id, d.h, d.a, d.noise, d.quote, w.seen, list_filter(w.seen, lambda x: bit_count(xor(x.h, d.h)) <= d.t AND length(to_hex(x.h)) = length(to_hex(d.h)))[1] AS m FROM w JOIN d ON d.i = w.i + 1) y) z)
+SELECT id, dup_type, similar_to, similar_note FROM w WHERE i > 0"""
+
+
+@query(_AUTHORS)
 def author_aware_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("batch_seq"), T.simhash64(F.col("text")).alias("simhash"), F.col("text").alias("clean_text"), (F.col("doc_id") % 37).cast("string").alias("author"), (F.col("doc_id") % 11 == 0).alias("is_noise"))
-    return dedup.author_aware(d).select("id", "dup_type", "similar_to")
+    return dedup.author_aware(d).select("id", "dup_type", "similar_to", "similar_note")
 
 
 @query("SELECT md5(text) AS content_md5, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
