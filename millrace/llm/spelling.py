@@ -15,7 +15,8 @@ import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
+from functools import lru_cache
+from itertools import batched, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -35,30 +36,35 @@ MOST = 4096
 LONG, PARTS = 64, 8
 #: Code points of a text that are read together, and words that a task counts before it hands them on.
 SLICE, HELD = 1 << 20, 200_000
-RUN = re.compile("[A-Za-zÀ-ÿ]+")
+LETTERS = "[A-Za-zÀ-ÿ]"
 NO_LETTER = re.compile("[^A-Za-zÀ-ÿ]")
 LOWER = {c: c + 32 for c in range(65, 91)}
 PAD = ("\x02", "\x03")
 
 
-def runs(text: str) -> Counter:
-    """The text's runs of letters, A-Z in lower case, and how often each is there."""
-    raw, at = Counter(), 0
+@lru_cache
+def _run(least: int) -> re.Pattern:
+    return re.compile(f"{LETTERS}{{{least},}}")
+
+
+def runs(text: str, least: int = 1) -> Counter:
+    """The text's runs of at least so many letters, A-Z in lower case, and how often each is there."""
+    raw, at, run = Counter(), 0, _run(least)
     while at < len(text):
         gap = NO_LETTER.search(text, at + SLICE)  # a slice ends behind a run
         end = gap.start() if gap else len(text)
-        raw.update(RUN.findall(text, at, end))
+        raw.update(run.findall(text, at, end))
         at = end
-    out = Counter()
-    for run, n in raw.items():
-        out[run.translate(LOWER)] += n
+    out: Counter = Counter()
+    for word, n in raw.items():
+        out[word if word.islower() else word.translate(LOWER)] += n
     return out
 
 
-def misspelt(text: str, doc_id: str) -> Iterator[tuple[str, int]]:
+def misspelt(text: str, doc_id: str, least: int = 1) -> Iterator[tuple[str, int]]:
     """The text's runs and how often; of those whose crc32(doc_id:run) 31 divides, one code point is gone."""
     before = zlib.crc32(f"{doc_id}:".encode())
-    for run, n in runs(text).items():
+    for run, n in runs(text, least).items():
         h = zlib.crc32(run.encode(), before)
         if h % 31 == 0:
             k = h % len(run)
@@ -82,7 +88,7 @@ def vocabulary(docs: DataFrame, text: str = "text", doc_id: str | None = None, l
         for batch in stream:
             for i, x in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 said = x.as_py()
-                for word, n in runs(said).items() if i is None else misspelt(said, i):
+                for word, n in runs(said, least_length).items() if i is None else misspelt(said, i, least_length):
                     if len(word) >= least_length:
                         held[word] += n
                 if len(held) > HELD:
@@ -101,9 +107,9 @@ def grams(word: str) -> list[str]:
     return [padded[k : k + Q] for k in range(len(word) + Q - 1)]
 
 
-def _hash(*parts) -> int:
-    """64 bits, the same everywhere. Lists that share one by chance are told apart by their words' length and grams."""
-    return xxhash.xxh3_64_intdigest("\x00".join(map(str, parts)).encode()) - (1 << 63)
+def _hash(text: str) -> int:
+    """64 bits, the same everywhere; the last 16 are free for a place and a length."""
+    return (xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63)) & ~0xFFFF
 
 
 def gram_counts(words: DataFrame) -> np.ndarray:
@@ -125,25 +131,44 @@ def gram_counts(words: DataFrame) -> np.ndarray:
     return out
 
 
-def lists(word: str, counts: np.ndarray) -> Iterator[tuple[int, bool]]:
-    """The posting lists that a word is in, and whether it only visits: those of words longer by one, where it looks for partners.
-
-    A list is named by a gram, its place and its words' length. Lists of words longer than LONG are named by what is left without
-    one of PARTS parts, which the shorter word of a pair cuts.
-    """
-    size = len(word)
-    rare = heapq.nsmallest(Q + 1, ((counts[zlib.crc32(g.encode()) % BUCKETS], g, p) for p, g in enumerate(grams(word)))) if size <= LONG else []
-    for length, visits in ((size, False), (size + 1, True)):
-        if length <= LONG:
-            for _, g, p in rare:
-                for more in (0, 1) if visits else (0,):
-                    yield _hash(g, p + more, length), visits
-        else:
-            for short in (length - 1,) if visits else (length - 1, length):
-                width = -(-short // PARTS)
-                for k in range(0, short, width):
-                    behind = max(0, short - k - width)
-                    yield _hash("part", length, short, k, xxhash.xxh3_64_intdigest(word[:k].encode()), xxhash.xxh3_64_intdigest(word[size - behind :].encode())), visits
+class Lists:
+    """The posting lists that words are in, by how frequent grams are."""
+
+    def __init__(self, counts: np.ndarray):
+        self.counts, self.known = counts.tolist(), {}
+
+    def _gram(self, gram: str) -> tuple[int, str, int]:
+        if len(self.known) > HELD:
+            self.known.clear()
+        found = self.known[gram] = (self.counts[zlib.crc32(gram.encode()) % BUCKETS], gram, _hash(gram))
+        return found
+
+    def of(self, word: str) -> Iterator[tuple[int, bool]]:
+        """The names of a word's lists, and whether it only visits: those of words longer by one, where it looks for partners.
+
+        A list is named by a gram, its place and its words' length. Of two words that differ in length, the shorter one has its
+        gram at the same place or one before; one with padding can only be at the same place from that end. Lists of words longer
+        than LONG are named by what is left without one of PARTS parts, which the shorter word of a pair cuts.
+        """
+        size, known = len(word), self.known
+        if size <= LONG:
+            rare = sorted(((known.get(g) or self._gram(g)), p) for p, g in enumerate(grams(word)))[: Q + 1]
+            for (_, _, name), p in rare:
+                yield name | p << 8 | size, False
+            if size < LONG:
+                # a letter put in spoils Q - 1 grams of the shorter word, so one of Q is left
+                for (_, _, name), p in rare[:Q]:
+                    if p < size:
+                        yield name | p << 8 | size + 1, True
+                    if p >= Q - 1:
+                        yield name | p + 1 << 8 | size + 1, True
+        for length, visits in ((size, False), (size + 1, True)):
+            if length > LONG:
+                for short in (length - 1,) if visits else (length - 1, length):
+                    width = -(-short // PARTS)
+                    for k in range(0, short, width):
+                        behind = max(0, short - k - width)
+                        yield _hash(f"{length} {short} {k} {xxhash.xxh3_64_intdigest(word[:k].encode())} {xxhash.xxh3_64_intdigest(word[size - behind :].encode())}"), visits
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -184,17 +209,25 @@ def near_in_list(words: list[str], visitors: list[str]) -> Iterator[tuple[int, i
         for i, word in enumerate(visitors):
             yield from ((i, j, True) for j in range(len(words)) if one_edit(word, words[j]))
         return
-    index: dict[tuple[str, int], list[int]] = {}
+    index: list[dict[str, list[int]]] = [{} for _ in range(size + Q)]
     for i, word in enumerate(words):
-        places = [(g, p) for p, g in enumerate(grams(word))]
-        for j in in_enough([index[x] for x in places if x in index], size - 1):
-            if one_edit(word, words[j]):
-                yield i, j, False
-        for x in places:
-            index.setdefault(x, []).append(i)
+        own = grams(word)
+        if i:
+            for j in in_enough([at[g] for at, g in zip(index, own, strict=False) if g in at], size - 1):
+                if one_edit(word, words[j]):
+                    yield i, j, False
+        for at, g in zip(index, own, strict=False):
+            if g in at:
+                at[g].append(i)
+            else:
+                at[g] = [i]
     for i, word in enumerate(visitors):
-        places = [(g, p + more) for p, g in enumerate(grams(word)) for more in (0, 1)]
-        for j in in_enough([index[x] for x in places if x in index], size - 1):
+        found = []
+        for p, g in enumerate(grams(word)):
+            here, further = index[p].get(g), index[p + 1].get(g)
+            if here or further:
+                found.append(sorted({*here, *further}) if here and further else here or further)
+        for j in in_enough(found, size - 1):
             if one_edit(word, words[j]):
                 yield i, j, True
 
@@ -225,13 +258,10 @@ def _by_key(stream: Iterator[pa.RecordBatch], find) -> Iterator[pa.RecordBatch]:
 
 
 def _indexed(rows: list[tuple]) -> Iterator[tuple]:
-    # by length: keys are 64 bits, so that two lists might share one
-    for _, same in groupby(sorted(rows, key=lambda r: (len(r[1]) + r[3], r[3], r[1])), key=lambda r: len(r[1]) + r[3]):
-        both = list(dict.fromkeys(same))
-        own, visitors = [r for r in both if not r[3]], [r for r in both if r[3]]
-        for i, j, visits in near_in_list([r[1] for r in own], [r[1] for r in visitors]):
-            x, y = (visitors if visits else own)[i], own[j]
-            yield x[1], x[2], y[1], y[2]
+    own, visitors = [r for r in rows if not r[3]], [r for r in rows if r[3]]
+    for i, j, visits in near_in_list([r[1] for r in own], [r[1] for r in visitors]):
+        x, y = (visitors if visits else own)[i], own[j]
+        yield x[1], x[2], y[1], y[2]
 
 
 def _left_over(rows: list[tuple]) -> Iterator[tuple]:
@@ -250,10 +280,11 @@ def near_pairs(words: DataFrame) -> DataFrame:
     counts = gram_counts(words)
 
     def deal(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = Lists(counts)
         for batch in stream:
             out, size = [], 0
             for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                for key, visits in lists(word, counts):
+                for key, visits in lists.of(word):
                     out.append((key, word, n, visits))
                     size += len(word) + 20
                 if size > 4 << 20:
@@ -266,11 +297,19 @@ def near_pairs(words: DataFrame) -> DataFrame:
         for batch in stream:
             for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
                 left = {word, *(word[:k] + word[k + 1 :] for k in range(len(word)))}
-                yield _listed([(_hash("left", x), word, n, False) for x in left])
+                yield _listed([(_hash(x), word, n, False) for x in left])
 
     schema = "key long, word string, n long, visits boolean"
+    def keys(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = Lists(counts)
+        for batch in stream:
+            for some in batched((key for word in batch.column("word").to_pylist() for key, _ in lists.of(word)), HELD):
+                key, n = np.unique(np.array(some, np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+
     dealt = words.select("word", "n").mapInArrow(freeing(deal), schema)
-    crowded = checkpointed(dealt.groupBy("key").count().filter(F.col("count") > MOST).select("key"))
+    listed = words.select("word").mapInArrow(freeing(keys), "key long, n long")
+    crowded = checkpointed(listed.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > MOST).select("key"))
     n = crowded.count()
     pairs = []
     if n:
