@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.rules import DEFAULT, ENTITIES, EXPANDABLE, RulePack, category_rules
+from . import dictionary
 
 
 def classify(c: Column, pack: RulePack = DEFAULT) -> Column:
@@ -67,17 +68,9 @@ def entities(df: DataFrame, key: str = "id", text: str = "text", types=ENTITIES)
     return rows.select(key, "_e.entity_type", "_e.entity_value", "ordinal", T.context(F.col("_text"), F.col("_e.entity_value")).alias("context"))
 
 
-def dictionary_entities(df: DataFrame, terms: DataFrame, key: str = "id", text: str = "text", most_terms: int = 20_000) -> DataFrame:
-    """(key, term, meaning) for the dictionary's terms that occur in a text.
-
-    A dictionary of at most most_terms is broadcast and searched for by containment. A larger one is joined: every substring of the
-    text as long as some term is looked up, which is an equi-join.
-    """
-    if terms.limit(most_terms + 1).count() <= most_terms:
-        return df.select(key, F.col(text).alias("_t")).join(F.broadcast(terms), F.contains(F.col("_t"), F.col("term"))).select(key, "term", "meaning")
-    lengths = sorted(r[0] for r in terms.select(F.length("term")).distinct().collect())
-    pieces = F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, lengths)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(F.col(text), i, n)))))
-    return df.select(key, F.explode(pieces).alias("term")).join(terms, "term").select(key, "term", "meaning")
+def dictionary_entities(df: DataFrame, terms: DataFrame, key: str = "id", text: str = "text", **how) -> DataFrame:
+    """(key, term, meaning) for the dictionary's terms that occur in a text, by dictionary.occurrences()."""
+    return dictionary.occurrences(df, terms, key, text, **how)
 
 
 def slang_meanings(df: DataFrame, terms: DataFrame, key: str = "id", text: str = "text", label: str = "label") -> DataFrame:
