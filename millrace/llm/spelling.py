@@ -16,7 +16,8 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import batched, groupby
+from itertools import batched, compress, count, groupby
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ SLICE, HELD = 1 << 20, 200_000
 LETTERS = "[A-Za-zÀ-ÿ]"
 NO_LETTER = re.compile("[^A-Za-zÀ-ÿ]")
 LOWER = {c: c + 32 for c in range(65, 91)}
-PAD = ("\x02", "\x03")
+FRONT, BACK = "\x02" * (Q - 1), "\x03" * (Q - 1)
 
 
 @lru_cache
@@ -103,7 +104,7 @@ def vocabulary(docs: DataFrame, text: str = "text", doc_id: str | None = None, l
 
 
 def grams(word: str) -> list[str]:
-    padded = PAD[0] * (Q - 1) + word + PAD[1] * (Q - 1)
+    padded = FRONT + word + BACK
     return [padded[k : k + Q] for k in range(len(word) + Q - 1)]
 
 
@@ -177,7 +178,7 @@ def one_edit(a: str, b: str) -> bool:
         a, b = b, a
     if len(b) - len(a) > 1 or a == b:
         return False
-    k = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
+    k = next(compress(count(), map(ne, a, b)), len(a))
     return a[k + (len(a) == len(b)) :] == b[k + 1 :]
 
 
@@ -187,14 +188,16 @@ def in_enough(postings: list[list[int]], enough: int) -> Iterator[int]:
         return
     postings.sort(key=len)
     short, long = postings[: len(postings) - enough + 1], postings[len(postings) - enough + 1 :]
-    for at, same in groupby(heapq.merge(*short)):
-        have = sum(1 for _ in same)
-        for k, one in enumerate(long):
-            if have + len(long) - k < enough:
-                break
+    for at, same in groupby(heapq.merge(*short) if len(short) > 1 else short[0]):
+        have = sum(1 for _ in same) if len(short) > 1 else 1
+        spare = have + len(long) - enough
+        for one in long:
             i = bisect_left(one, at)
-            have += i < len(one) and one[i] == at
-        if have >= enough:
+            if i == len(one) or one[i] != at:
+                spare -= 1
+                if spare < 0:
+                    break
+        else:
             yield at
 
 
@@ -210,26 +213,23 @@ def near_in_list(words: list[str], visitors: list[str]) -> Iterator[tuple[int, i
             yield from ((i, j, True) for j in range(len(words)) if one_edit(word, words[j]))
         return
     index: list[dict[str, list[int]]] = [{} for _ in range(size + Q)]
+    behind, enough = index[1:], size - 1
     for i, word in enumerate(words):
         own = grams(word)
         if i:
-            for j in in_enough([at[g] for at, g in zip(index, own, strict=False) if g in at], size - 1):
-                if one_edit(word, words[j]):
-                    yield i, j, False
+            found = [x for x in map(dict.get, index, own) if x]
+            if len(found) >= enough:
+                yield from ((i, j, False) for j in in_enough(found, enough) if one_edit(word, words[j]))
         for at, g in zip(index, own, strict=False):
             if g in at:
                 at[g].append(i)
             else:
                 at[g] = [i]
     for i, word in enumerate(visitors):
-        found = []
-        for p, g in enumerate(grams(word)):
-            here, further = index[p].get(g), index[p + 1].get(g)
-            if here or further:
-                found.append(sorted({*here, *further}) if here and further else here or further)
-        for j in in_enough(found, size - 1):
-            if one_edit(word, words[j]):
-                yield i, j, True
+        own = grams(word)
+        found = [(x or y) if not (x and y) else sorted({*x, *y}) for x, y in zip(map(dict.get, index, own), map(dict.get, behind, own), strict=False) if x or y]
+        if len(found) >= enough:
+            yield from ((i, j, True) for j in in_enough(found, enough) if one_edit(word, words[j]))
 
 
 _PAIR = "a string, a_n long, b string, b_n long"
@@ -327,8 +327,11 @@ def near_pairs(words: DataFrame) -> DataFrame:
         dealt = part(False)
     pairs.append(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(freeing(lambda s: _by_key(s, _indexed)), _PAIR))
     found = pairs[0] if len(pairs) == 1 else pairs[0].union(pairs[1])
-    both = F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("a_n").alias("n"), F.col("b").alias("near"), F.col("b_n").alias("near_n")), F.struct(F.col("b").alias("word"), F.col("b_n").alias("n"), F.col("a").alias("near"), F.col("a_n").alias("near_n"))))
-    return found.select(both.alias("p")).select("p.*").distinct()
+    one, other = F.struct(F.col("a").alias("word"), F.col("a_n").alias("n")), F.struct(F.col("b").alias("word"), F.col("b_n").alias("n"))
+    # found in several lists, and then said both ways
+    found = found.select(F.least(one, other).alias("x"), F.greatest(one, other).alias("y")).distinct()
+    ways = F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"))))
+    return found.select(ways.alias("p")).select(F.col("p.x.word").alias("word"), F.col("p.x.n").alias("n"), F.col("p.y.word").alias("near"), F.col("p.y.n").alias("near_n"))
 
 
 def _listed(rows: list[tuple]) -> pa.RecordBatch:
