@@ -82,7 +82,7 @@ def threshold(histogram: list[tuple[float, str, int]]) -> float:
     """The score at and above which a url is allowed: it gives the best mean of both classes' shares of right verdicts.
 
     Of equally good ones, the middle of those nearest to 0. Without either class it is minus infinity: nothing is known to reject,
-    so everything is kept.
+    so everything is kept. judge() leaves a class out only if no url at all is of it.
     """
     total = {a: sum(n for _, x, n in histogram if x == a) for a in ("allow", "block")}
     if not all(total.values()):
@@ -99,7 +99,9 @@ def threshold(histogram: list[tuple[float, str, int]]) -> float:
 def judge(df: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", order: int = ORDER, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """The columns in keep, host, path, rule, verdict and score for each row.
 
-    The urls that a rule judges teach the two models: all but a fifth, by hash, give counts, and that fifth sets the threshold.
+    The urls that a rule judges teach the two models: all but a fifth, by hash, give counts, and that fifth sets the threshold. To
+    the fifth, at any size, comes one url of each class on its side of 0, where both models find a url equally likely: so few urls
+    that none of a class is in the fifth leave the threshold there. If no url at all is of one class, all others are allowed.
     score is the difference of log likelihoods per character, of every url, also where a rule gives the verdict; a url that no rule fits is allowed at or above the threshold. What is scored is host and path, without scheme,
     query and fragment; a url without `://` is scored as it is, a null one as the empty string. Every distinct string is scored
     once, and its grams are joined with the distinct grams of the corpus; a gram or string that many rows share is joined apart.
@@ -124,7 +126,9 @@ def judge(df: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", orde
     by_place = join_unique(places.select("_digest", "gram"), scores, "gram", "rows", total)
     scored = checkpointed(by_place.groupBy("_digest").agg(F.avg("score").alias("score")).join(strings.withColumn("_digest", F.md5("_string")), "_digest"))
     bins = scored.withColumn("_bin", F.round(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), F.col("score"))) / STEP)).groupBy("_bin").agg(F.sum("held_allow").alias("allow"), F.sum("held_block").alias("block")).collect()
-    least = threshold([(r["_bin"] * STEP, a, r[a]) for r in bins for a in ("allow", "block") if r[a]])
+    known = [a for a in ("allow", "block") if strings.filter((F.col(a) > 0) | (F.col(f"held_{a}") > 0)).limit(1).count()]
+    neutral = [(0.0, "allow", 1), (-STEP, "block", 1)] if len(known) == 2 else []
+    least = threshold([*neutral, *((r["_bin"] * STEP, a, r[a]) for r in bins for a in known if r[a])])
     rows = df.count()
     out = join_unique(judged, scored.select("_string", "n", "score"), "_string", "n", rows)
     verdict = F.coalesce("action", F.when(F.col("score") >= F.lit(least), "allow").otherwise("block"))

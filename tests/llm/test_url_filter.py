@@ -116,7 +116,7 @@ def test_query_against_a_plain_model(spark, sf_dir):
         grams = [padded[i : i + ORDER + 1] for i in range(len(s) + 1)]
         score[s] = sum(math.log(p(g, "allow") / p(g, "block")) for g in grams) / len(grams)
     histogram = [(round(max(-20, min(20, score[s])) / STEP) * STEP, a, 1) for s, actions in strings.items() if held[s] for a in actions if a]
-    least = threshold(histogram)
+    least = threshold([(0.0, "allow", 1), (-STEP, "block", 1), *histogram])
     got = {r.page_id: r for r in queries.op3_url_filter(spark, sf_dir).collect()}
     assert len(got) == len(told)
     for k, (host, path, rule, action, string) in told.items():
@@ -125,3 +125,11 @@ def test_query_against_a_plain_model(spark, sf_dir):
         assert r.score == pytest.approx(score[string], abs=1e-9)
         if action or abs(score[string] - least) > 1e-6:
             assert r.verdict == (action or ("allow" if score[string] >= least else "block"))
+
+
+@pytest.mark.parametrize("blocked", [0, 1, 2, 3, 5])
+def test_few_blocked_urls_are_enough_to_reject_what_is_like_them(spark, blocked):
+    urls = [f"http://shop{i}.org/page/{i}" for i in range(20)] + [f"http://shop.com/de/{i}" for i in range(blocked)]
+    rows = [(i, u) for i, u in enumerate(urls)] + [(100, "http://shop.net/de/12"), (101, "http://shop9.net/page/9"), (102, None)]
+    got = {r.page_id: r.verdict for r in judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got[100] == ("block" if blocked else "allow") and got[101] == "allow"
