@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, checkpointed, join_unique, one_of_each, running, written_table
@@ -70,27 +70,47 @@ def pivotal(p: np.ndarray, u: np.ndarray) -> np.ndarray:
     return p
 
 
+def _numbered(table: DataFrame) -> DataFrame:
+    """The table with _same: 0 for a row that no other repeats in everything, else its number among those, from 1.
+
+    Rows that are alike are counted in each part of the table, and the parts' counts are added up, so no task has all of them. Any
+    one of them may have any of the numbers.
+    """
+    keyed = table.withColumn("_alike", F.sha2(F.to_json(F.struct(*table.columns)), 256))
+    repeated = checkpointed(keyed.groupBy("_alike").agg(F.count(F.lit(1)).alias("_times")).filter("_times > 1"))
+    if repeated.isEmpty():
+        return table.withColumn("_same", F.lit(0).cast("long"))
+    told = join_unique(keyed, repeated, "_alike", "_times", table.count(), "left")
+    many = checkpointed(told.filter("_times is not null").drop("_times").withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    counts = many.groupBy("_alike", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_alike", "_part", F.coalesce(F.sum("_n").over(Window.partitionBy("_alike").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_alike", "_part").orderBy("_at"))
+    numbered = many.withColumn("_within", within).join(before, ["_alike", "_part"]).withColumn("_same", (F.col("_before") + F.col("_within")).cast("long"))
+    once = told.filter("_times is null").withColumn("_same", F.lit(0).cast("long"))
+    return once.select(*table.columns, "_same").union(numbered.select(*table.columns, "_same"))
+
+
 def mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST, seed: int = 0, per_group: int = 4096) -> DataFrame:
-    """(row, doc_id, source, size, source_size, target, copies) for a table (row, doc_id, source, size), row without repeats.
+    """(row, doc_id, source, size, source_size, target, copies) for a table (row, doc_id, source, size).
 
     A document of a source is due target / source_size copies: the whole part is given, the fraction is rounded. In groups of
     about `per_group` documents of one source, neighbours by size are paired; each group leaves at most one document undecided.
     Those meet again, `per_group` to a group, until a source has one group; its last document is decided by chance. So a
     source's words are off its target by about the gap between neighbours' sizes, and no step holds more than a group.
-    All randomness is a hash of row and seed. Documents without words are taken as any other and count nothing.
+    All randomness is a hash of seed, row, and its number among rows that repeat it; so any number of those is dealt over all groups. Documents without words are taken as any other and count nothing.
     """
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    sizes = written_table(sizes)
+    sizes = _numbered(written_table(sizes))
     per_source = checkpointed(targets(sizes, weights, total, most))
     named = F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
     rows = join_unique(sizes.withColumn("_source", named), per_source.withColumn("_source", named).drop("source"), "_source", "documents", sizes.count())
     rows = rows.withColumn("_due", due).withColumn("copies", F.floor("_due").cast("long")).withColumn("_p", F.col("_due") - F.floor("_due"))
-    rows = rows.withColumn("_groups", F.ceil(F.col("documents") / per_group)).withColumn("_u", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30))
+    rows = rows.withColumn("_groups", F.ceil(F.col("documents") / per_group)).withColumn("_u", F.pmod(F.xxhash64("row", "_same", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30))
     kept = ["row", "doc_id", "source", "size", "source_size", "target", "copies"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept, "_p", "_u", "_groups").schema.fields)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept, "_same", "_p", "_u", "_groups").schema.fields)
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "_u", "row"])
+        pdf = pdf.sort_values(["size", "_u", "row", "_same"])
         p = pivotal(pdf["_p"].to_numpy(float), pdf["_u"].to_numpy(float))
         last = pdf["_groups"].iloc[0] <= 1
         if last:
@@ -98,9 +118,9 @@ def mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOT
         return pdf.assign(_p=np.where(p >= 1, 0.0, p), copies=pdf["copies"] + (p >= 1).astype("int64"))
 
     decided = []
-    todo, level = rows.select(*kept, "_p", "_u", "_groups"), 0
+    todo, level = rows.select(*kept, "_same", "_p", "_u", "_groups"), 0
     while True:
-        dealt = todo.withColumn("_group", F.pmod(F.xxhash64("row", F.lit(seed), F.lit(level)), F.col("_groups")))
+        dealt = todo.withColumn("_group", F.pmod(F.xxhash64("row", "_same", F.lit(seed), F.lit(level)), F.col("_groups")))
         out = checkpointed(dealt.groupBy("source", "_groups", "_group").applyInPandas(lambda pdf: decide(pdf.drop(columns="_group")), schema))
         decided.append(out.filter("_p = 0"))
         todo = out.filter("_p > 0").withColumn("_groups", F.ceil(F.col("_groups") / per_group))

@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import queries
 from millrace.llm.mixing import mix, mixed_rows, pivotal, targets
@@ -58,6 +59,19 @@ def test_tree_of_groups(spark):
         assert abs(r["sum(taken)"] - r["max(target)"]) < 0.01 * r["max(target)"]
 
 
+def test_rows_that_repeat_are_dealt_over_all_groups(spark):
+    from millrace.llm import mixing
+
+    df = spark.range(9000).selectExpr("if(id % 3 < 2, 'same', cast(id as string)) as row", "cast(null as long) as doc_id", "'a' as source", "5L as size")
+    groups = mixing._numbered(df.repartition(5)).withColumn("g", F.pmod(F.xxhash64("row", "_same", F.lit(0), F.lit(0)), F.lit(45))).groupBy("g").count()
+    assert groups.agg(F.max("count")).first()[0] < 300
+    assert mixing._numbered(df).filter("row = 'same'").agg(F.count_distinct("_same"), F.min("_same"), F.max("_same")).first() == (6000, 1, 6000)
+    out = mix(df, per_group=200)
+    assert out.count() == 9000 and abs(out.agg(F.sum("copies")).first()[0] - 13500) <= 5
+    one, other = ({(r.row, r.copies): r["count"] for r in mix(x, per_group=200).groupBy("row", "copies").count().collect()} for x in (df, df.repartition(7)))
+    assert one == other
+
+
 def test_rows_of_odd_documents(make):
     docs = make([(1, None), (2, "a b c", None, None), (2, "a b c", None, None), (None, "d e f"), (3, ""), (4, "g h", "x", "t")])
     out = mixed_rows(docs)
