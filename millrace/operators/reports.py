@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 #: Advice by label and for other labels, as (action, detail, priority).
 ADVICE = {
     "直播违规": (("关键词监控", "将相关关键词加入直播平台风险词库", "high"), ("账号监控", "对涉及账号进行持续行为监控", "high")),
@@ -43,6 +45,19 @@ def advice(label: Column, entities: Column, gang: Column, case_id: Column) -> Co
     return F.concat(F.coalesce(known[label], items(DEFAULT_ADVICE)), more, F.when(gang, wider).otherwise(F.expr(f"cast(array() as {_ADVICE_TYPE})")))
 
 
+def two_decimals(score: Column) -> Column:
+    """A score from 0 to 1 with two decimals, rounded as the nearest double of it is, which the formatting of most languages does.
+
+    The double's bits times 100 fit into a long, so what lies below the second decimal is compared exactly. Scores under 2^-9 are 0.00.
+    """
+    x = score.cast("double")
+    shift = (53 + F.least(F.lit(9), F.greatest(F.lit(0), F.floor(-F.log2(x))))).cast("int")
+    one = F.lit(1).cast("long")
+    return F.when(x < 2.0**-9, "0.00").otherwise(
+        let(shift, lambda k: let((x * F.pow(F.lit(2.0), k)).cast("long") * 100, lambda bits: let(F.call_function("shiftright", bits, k), lambda whole: let(bits - F.call_function("shiftleft", whole, k), lambda rest: let(whole + F.when((rest > F.call_function("shiftleft", one, k - 1)) | ((rest == F.call_function("shiftleft", one, k - 1)) & (whole % 2 == 1)), 1).otherwise(0), lambda n: F.format_string("%d.%02d", F.floor(n / 100), n % 100))))))
+    )
+
+
 def report(posts: DataFrame, entities: DataFrame, evidence: DataFrame, slang: DataFrame | None = None, cases: DataFrame | None = None) -> DataFrame:
     """A report for each of posts (raw_id, label, sub_label, risk_score, risk_level).
 
@@ -63,7 +78,7 @@ def report(posts: DataFrame, entities: DataFrame, evidence: DataFrame, slang: Da
     gang = F.col("case_id").isNotNull()
     level = F.coalesce(F.create_map(*(F.lit(x) for kv in LEVELS.items() for x in kv))[F.col("risk_level")], F.col("risk_level"))
     sub = F.when(F.coalesce("sub_label", F.lit("")) != "", F.concat(F.lit("（"), "sub_label", F.lit("）"))).otherwise("")
-    conclusion = F.concat(F.lit("该情报经系统研判，判定为「"), "label", F.lit("」类黑灰产信息"), sub, F.lit("，风险等级为 "), level, F.lit("（评分 "), F.format_string("%.2f", F.col("risk_score").cast("double")), F.lit("）。"))
+    conclusion = F.concat(F.lit("该情报经系统研判，判定为「"), "label", F.lit("」类黑灰产信息"), sub, F.lit("，风险等级为 "), level, F.lit("（评分 "), two_decimals(F.col("risk_score")), F.lit("）。"))
     linked = F.concat(F.lit("该情报涉及实体与 "), F.col("_related").cast("string"), F.lit(" 个历史实体存在关联，已归入案件 "), F.col("case_id"))
     types = F.array_distinct(F.transform("_e", lambda e: e["type"]))
     grouped = F.transform(types, lambda t: F.struct(t.alias("type"), F.array_distinct(F.transform(F.filter("_e", lambda e: e["type"] == t), lambda e: e["value"])).alias("values")))

@@ -1,4 +1,5 @@
-"""Functions and the default rule pack on stated inputs: the SQL gives what each must return, so it shares nothing with the code."""
+"""Functions and the default rule pack on phrases of which each document brings one: the SQL gives what each must return, so it shares
+nothing with the code. The same phrases are unit tests in tests/test_cases.py."""
 
 from __future__ import annotations
 
@@ -19,18 +20,24 @@ def _q(v) -> str:
     return "CAST(NULL AS VARCHAR)" if v is None else "'" + str(v).replace("'", "''") + "'"
 
 
+#: What each query says of its phrases: name -> (function, {column: {phrase: what it must return}}).
+CASES: dict = {}
+
+
 def case(name: str, use: Callable[[Column], Column], **of: dict) -> None:
-    """Registers a query of (input, one string column for each of `of`); each column is given its value for every input."""
+    """Registers a query of (doc_id, input, one string column for each of `of`): a document brings the phrase that its id picks."""
     inputs = list(next(iter(of.values())))
+    CASES[name] = use, of
 
     def run(spark: SparkSession, sf_dir: str):
+        picked = F.get(F.array(*(F.lit(x).cast("string") for x in inputs)), F.pmod("doc_id", F.lit(len(inputs))).cast("int"))
         out = use(F.col("input"))
         columns = [(out if len(of) == 1 else out[c]).cast("string").alias(c) for c in of]
-        return spark.createDataFrame([(x,) for x in inputs], "input string").select("input", *columns)
+        return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", picked.alias("input")).select("doc_id", "input", *columns)
 
     QUERIES[name] = run
-    rows = ", ".join("(" + ", ".join([_q(x), *(_q(of[c][x]) for c in of)]) + ")" for x in inputs)
-    ORACLE[name] = f"SELECT * FROM (VALUES {rows}) v(input, {', '.join(of)})"
+    rows = ", ".join("(" + ", ".join([str(i), _q(x), *(_q(of[c][x]) for c in of)]) + ")" for i, x in enumerate(inputs))
+    ORACLE[name] = f"SELECT doc_id, input, {', '.join(of)} FROM documents JOIN (VALUES {rows}) v(pick, input, {', '.join(of)}) ON pick = doc_id % {len(inputs)}"
 
 
 case("defang_email_cases", T.defang_email, value={"user@sub.example.org": "user@sub[.]example[.]org"})

@@ -96,9 +96,10 @@ def analysed_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_SCORES}, l AS (SELECT *, CASE WHEN risk_score >= 0.85 THEN '严重' WHEN risk_score >= 0.65 THEN '高危' WHEN risk_score >= 0.35 THEN '普通' ELSE '低' END AS level FROM r)
-    SELECT doc_id AS raw_id, '风险研判报告 — ' || label AS title, '该情报经系统研判，判定为「' || label || '」类黑灰产信息' || CASE WHEN doc_id % 3 = 0 THEN '（高危组合）' ELSE '' END || '，风险等级为 ' || level AS conclusion,
+    SELECT doc_id AS raw_id, '风险研判报告 — ' || label AS title, '该情报经系统研判，判定为「' || label || '」类黑灰产信息' || CASE WHEN doc_id % 3 = 0 THEN '（高危组合）' ELSE '' END || '，风险等级为 ' || level || '（评分 ' || printf('%.2f', risk_score) || '）。' AS conclusion,
       CASE label WHEN '诈骗' THEN '诈骗模型更新:high;资金链路追踪:critical' ELSE '渠道封堵:high;域名监控:medium' END || CASE WHEN doc_id % 5 = 1 THEN ';微信号标记: wx' || doc_id || ':high' ELSE '' END || CASE WHEN doc_id % 7 = 0 THEN ';团伙扩线:critical' ELSE '' END AS advice,
-      CASE WHEN doc_id % 7 = 0 THEN '该情报涉及实体与 3 个历史实体存在关联，已归入案件 case-' || doc_id ELSE '未发现与历史情报的直接关联。该情报涉及的实体均为首次出现。' END AS graph_summary FROM l"""
+      CASE WHEN doc_id % 7 = 0 THEN '该情报涉及实体与 3 个历史实体存在关联，已归入案件 case-' || doc_id ELSE '未发现与历史情报的直接关联。该情报涉及的实体均为首次出现。' END AS graph_summary,
+      array_to_string([k || '=e' || k || ':' || label FOR k IN range(1, least(doc_id % 9, 5) + 1)], ';') AS evidence, CASE WHEN doc_id % 5 = 1 THEN 'wechat=wx' || doc_id ELSE '' END AS entities, CASE WHEN doc_id % 4 = 1 THEN 's' || doc_id || '=m:' || label ELSE '' END AS slang FROM l"""
 )
 def report_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
@@ -106,10 +107,15 @@ def report_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = table(spark, sf_dir, "documents").select(i.alias("raw_id"))
     found = ids.filter("raw_id % 5 = 1").select("raw_id", F.lit("wechat").alias("entity_type"), F.concat(F.lit("wx"), "raw_id").alias("entity_value"), F.lit(0).alias("ordinal"))
     cases = ids.filter("raw_id % 7 = 0").select("raw_id", F.concat(F.lit("case-"), "raw_id").alias("case_id"), F.lit(3).alias("related"))
-    spans = spark.createDataFrame([], "raw_id long, start int, evidence string, risk string")
-    out = reports.report(posts, found, spans, cases=cases)
-    advice = F.array_join(F.transform("disposal_advice", lambda a: F.concat_ws(":", a["action"], a["priority"])), ";")
-    return out.select("raw_id", "title", F.substring_index("conclusion", "（评分", 1).alias("conclusion"), advice.alias("advice"), "graph_summary")
+    k = F.col("k").cast("string")
+    spans = posts.select("raw_id", "label", F.explode(F.sequence(F.lit(0), F.col("raw_id") % 9)).alias("k")).filter("k > 0").select("raw_id", F.col("k").cast("int").alias("start"), F.concat(k, F.lit("=e"), k).alias("evidence"), F.col("label").alias("risk"))
+    slang = posts.filter("raw_id % 4 = 1").select("raw_id", F.concat(F.lit("s"), "raw_id").alias("term"), F.lit("m").alias("meaning"), F.col("label").alias("risk_category"))
+    out = reports.report(posts, found, spans, slang, cases=cases)
+    joined = lambda c, use, by=";": F.array_join(F.transform(c, use), by)
+    return out.select(
+        "raw_id", "title", "conclusion", joined("disposal_advice", lambda a: F.concat_ws(":", a["action"], a["priority"])).alias("advice"), "graph_summary", joined("evidence", lambda e: F.concat_ws(":", e["fragment"], e["risk_dimension"])).alias("evidence"),
+        joined("entities", lambda e: F.concat_ws("=", e["type"], F.array_join(e["values"], ","))).alias("entities"), joined("slang_terms", lambda t: F.concat(t["term"], F.lit("="), t["meaning"], F.lit(":"), t["risk_category"])).alias("slang"),
+    )
 
 
 @query("WITH t AS (SELECT 'licensed' AS term, 'l' AS meaning UNION ALL SELECT 'reserved', '') SELECT doc_id AS id, term, CASE WHEN meaning <> '' THEN meaning ELSE substring(text, greatest(instr(text, term) - 20, 1), instr(text, term) + length(term) + 20 - greatest(instr(text, term) - 20, 1)) END AS meaning, lang AS risk_category FROM documents JOIN t ON contains(text, term)")
@@ -133,10 +139,10 @@ def entities_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.entities_by_type(e).select("raw_id", F.array_join("values", ",").alias("domains"))
 
 
-@query("WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0) SELECT query_id, count(*) AS similar FROM q JOIN embeddings b ON q.query_id <> b.vec_id AND 1 - list_cosine_similarity(CAST(q.e AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) < 0.3 GROUP BY query_id")
+@query("WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0) SELECT query_id, count(*) AS similar FROM q JOIN embeddings b ON q.query_id <> b.vec_id AND 1 - list_cosine_similarity(CAST(q.e AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) < 0.65 GROUP BY query_id")
 def vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    near = vectors.within(e.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), e, 0.3)
+    near = vectors.within(e.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), e, 0.65)
     return near.groupBy("query_id").agg(F.count(F.lit(1)).alias("similar"))
 
 

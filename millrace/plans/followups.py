@@ -93,10 +93,12 @@ def entity_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.entity_evidence(_mails(spark, sf_dir), d, "raw_id").select("raw_id", "start", "end", "text", "risk", "reason")
 
 
-@query("SELECT 1 AS id, n, s AS \"start\", e AS \"end\", t AS text, r AS risk, c AS confidence, m AS method FROM (VALUES (0, 0, 6, '保证金先缴纳', '诈骗', 0.92::DOUBLE, 'rule'), (1, 9, 14, 'wx123', '站外导流', 0.9::DOUBLE, 'entity_context')) v(n, s, e, t, r, c, m)")
+@query("SELECT doc_id AS id, n, s AS \"start\", e AS \"end\", t AS text, r AS risk, c AS confidence, m AS method FROM documents, (VALUES (0, 0, 6, '保证金先缴纳', '诈骗', 0.92::DOUBLE, 'rule'), (1, 9, 14, 'wx123', '站外导流', 0.9::DOUBLE, 'entity_context')) v(n, s, e, t, r, c, m) WHERE doc_id % 3 = 0")
 def composed_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.createDataFrame([(1, "保证金先缴纳 加 wx123", "诈骗"), (2, "", "诈骗"), (3, None, None)], "id int, text string, label string")
-    found = spark.createDataFrame([(1, "wechat", "wx123", 0, "wx123"), (1, "wechat", "", 1, ""), (1, "phone", "gone", 2, "")], "id int, entity_type string, entity_value string, ordinal int, context string")
+    i = F.col("doc_id")
+    d = table(spark, sf_dir, "documents").select(i.alias("id"), F.when(i % 3 == 0, "保证金先缴纳 加 wx123").when(i % 3 == 1, "").alias("text"), F.when(i % 3 < 2, "诈骗").alias("label"))
+    entities = F.array(*(F.struct(*(F.lit(x).alias(c) for x, c in zip(e, ("entity_type", "entity_value", "ordinal", "context"), strict=True))) for e in (("wechat", "wx123", 0, "wx123"), ("wechat", "", 1, ""), ("phone", "gone", 2, ""))))
+    found = d.filter("id % 3 = 0").select("id", F.inline(entities))
     out = answers.composed_evidence(d, found)
     return out.withColumns({"start": F.col("start").cast("int"), "end": F.col("end").cast("int")})
 
@@ -181,10 +183,11 @@ def recent_simhashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warehouse.recent_simhashes(_clean(spark, sf_dir))
 
 
-@query("SELECT doc_id AS id, doc_id AS raw_id, md5('') AS simhash, source AS source_platform, text AS content_raw FROM documents WHERE doc_id % 3 > 0 AND text = '' ORDER BY doc_id LIMIT 5")
+@query("WITH w AS (SELECT min(md5(text)) AS simhash FROM documents WHERE doc_id % 3 > 0) SELECT doc_id AS id, doc_id AS raw_id, simhash, source AS source_platform, text AS content_raw FROM documents JOIN w ON md5(text) = simhash WHERE doc_id % 3 > 0 ORDER BY doc_id LIMIT 5")
 def rows_by_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("platform"), F.col("text").alias("content_raw"))
-    return warehouse.by_simhash(_clean(spark, sf_dir), raw, "d41d8cd98f00b204e9800998ecf8427e")
+    wanted = table(spark, sf_dir, "documents").filter("doc_id % 3 > 0").agg(F.min(F.md5("text"))).first()[0]
+    return warehouse.by_simhash(_clean(spark, sf_dir), raw, wanted)
 
 
 @query(
@@ -198,19 +201,26 @@ def term_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.term_variants(words, e.filter(i % 100 != 0).select(F.concat(F.lit("t"), i).alias("term"), "embedding"), 0.3).drop("similarity")
 
 
-_XHS = '{"success":true,"data":{"comments":[{"id":"1","content":"c","like_count":2,"create_time":5,"user_info":{"user_id":"u","nickname":"n"},"sub_comments":[{"id":"2","content":"r","user_info":null,"target_comment":{"user_info":{"nickname":"n"}}}]}]}}'
-_DOUYIN = '{"comments":[{"cid":7,"text":"c","digg_count":3,"create_time":9,"user":{"uid":1,"nickname":"a"},"reply_comment":[{"cid":8,"text":"r","digg_count":1,"user":{"uid":2,"nickname":"b"}}]},{"cid":9,"reply_comment":null}]}'
+_XHS = '{"success":true,"data":{"comments":[{"id":"TURN","content":"c","like_count":2,"create_time":5,"user_info":{"user_id":"u","nickname":"n"},"sub_comments":[{"id":"2","content":"r","user_info":null,"target_comment":{"user_info":{"nickname":"n"}}}]}]}}'
+_DOUYIN = '{"comments":[{"cid":7,"text":"c","digg_count":3,"create_time":9,"user":{"uid":1,"nickname":"TURN"},"reply_comment":[{"cid":8,"text":"r","digg_count":1,"user":{"uid":2,"nickname":"b"}}]},{"cid":9,"reply_comment":null}]}'
 _COLUMNS = "v(id, author_uid, author_username, content, like_count, reply_to, created_at, type)"
 
 
-@query(f"SELECT id, author_uid, author_username, content, like_count::BIGINT AS like_count, reply_to, created_at, type FROM (VALUES ('1', 'u', 'n', 'c', 2, '', '5', 'comment'), ('2', '', '', 'r', 0, 'n', '', 'reply')) {_COLUMNS}")
+def _answers(spark: SparkSession, sf_dir: str, *answers) -> DataFrame:
+    """(json): the platform's answers, of which each conversation's turn brings one, about the turn itself where it has a comment."""
+    c = table(spark, sf_dir, "conversations")
+    picked = F.get(F.array(*(F.lit(x).cast("string") for x in answers)), F.pmod("turn", F.lit(len(answers))).cast("int"))
+    return c.select(F.replace(picked, F.lit("TURN"), F.concat_ws("-", "conv_id", "turn")).alias("json"))
+
+
+@query(f"SELECT replace(id, 'TURN', conv_id || '-' || turn) AS id, author_uid, author_username, content, like_count::BIGINT AS like_count, reply_to, created_at, type FROM conversations, (VALUES ('TURN', 'u', 'n', 'c', 2, '', '5', 'comment'), ('2', '', '', 'r', 0, 'n', '', 'reply')) {_COLUMNS} WHERE turn % 4 = 0")
 def xiaohongshu_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsers.xiaohongshu_comments(spark.createDataFrame([(_XHS,), ('{"success":false}',), ("no json",), (None,)], "json string"))
+    return parsers.xiaohongshu_comments(_answers(spark, sf_dir, _XHS, '{"success":false}', "no json", None))
 
 
-@query(f"SELECT id, author_uid, author_username, content, like_count::BIGINT AS like_count, reply_to, created_at, type FROM (VALUES ('7', '1', 'a', 'c', 3, '', '9', 'comment'), ('8', '2', 'b', 'r', 1, '', '', 'reply'), ('9', '', '', '', 0, '', '', 'comment')) {_COLUMNS}")
+@query(f"SELECT id, author_uid, replace(author_username, 'TURN', conv_id || '-' || turn) AS author_username, content, like_count::BIGINT AS like_count, reply_to, created_at, type FROM conversations, (VALUES ('7', '1', 'TURN', 'c', 3, '', '9', 'comment'), ('8', '2', 'b', 'r', 1, '', '', 'reply'), ('9', '', '', '', 0, '', '', 'comment')) {_COLUMNS} WHERE turn % 3 = 0")
 def douyin_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsers.douyin_comments(spark.createDataFrame([(_DOUYIN,), ("{}",), (None,)], "json string"))
+    return parsers.douyin_comments(_answers(spark, sf_dir, _DOUYIN, "{}", None))
 
 
 @query("SELECT event_type, count(*) FILTER (WHERE value >= 5) AS items, count(*) FILTER (WHERE value < 5) AS errors, round(s, 1) AS elapsed_sec, round(count(*) FILTER (WHERE value >= 5) / s, 4) AS items_per_sec FROM events, (SELECT epoch(max(ts)) - epoch(min(ts)) AS s FROM events) t GROUP BY event_type, s")
@@ -224,9 +234,11 @@ def collected_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.field_sets(e, "user_id", "event_type", "days").select("user_id", F.array_join("event_type", ",").alias("types"), F.array_join("days", ",").alias("days"))
 
 
-@query("SELECT * FROM (VALUES (1, '出售接码平台💰 加微信', 1), (2, '', 0)) v(id, original, emoji_count)")
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 2 = 1 THEN '出售接码平台💰 加微信 ' || coalesce(text, '') ELSE coalesce(text, '') END AS original, doc_id::INTEGER % 2 AS emoji_count FROM documents")
 def cleaning_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = spark.createDataFrame([(1, "weibo", "出售接码平台💰 加微信", "a", "接码"), (2, "weibo", None, "a", None)], "id int, platform string, content_raw string, author_username string, source_keyword string")
+    i, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    raw = F.when(i % 2 == 1, F.concat(F.lit("出售接码平台💰 加微信 "), text)).otherwise(F.col("text"))
+    posts = table(spark, sf_dir, "documents").select(i.alias("id"), F.lit("weibo").alias("platform"), raw.alias("content_raw"), F.lit("a").alias("author_username"), F.when(i % 2 == 1, "接码").alias("source_keyword"))
     return cleaning.preview(posts).select("id", "original", "emoji_count")
 
 

@@ -50,7 +50,7 @@ SHARED = {
     "latest_by_time_per_row": f"WITH {ANALYSIS}, {RAW}, n AS (SELECT raw_id, risk_label, risk_score, row_number() OVER (PARTITION BY raw_id ORDER BY version DESC, id DESC) AS k FROM analysis) SELECT raw.id, n.risk_label, n.risk_score FROM raw LEFT JOIN n ON n.raw_id = raw.id AND n.k = 1",
     "id_list_rows": f"WITH {RAW} SELECT id, platform, CAST(length(content) AS BIGINT) AS n FROM raw WHERE id IN (3, 5, 8, 13, 21, 34, 55, 89, 144)",
     "wide_mart": f"WITH {LATEST}, {RAW}, e AS (SELECT o_custkey % 1000 AS raw_id, count(*) FILTER (WHERE o_orderstatus = 'F') AS phones, count(*) FILTER (WHERE o_orderstatus = 'O') AS urls, count(*) AS entities FROM {{orders}} GROUP BY 1) SELECT raw.id, platform, channel, risk_label, risk_score, coalesce(phones, 0) AS phones, coalesce(urls, 0) AS urls, coalesce(entities, 0) AS entities FROM raw LEFT JOIN latest ON latest.raw_id = raw.id LEFT JOIN e ON e.raw_id = raw.id",
-    "unseen_import_rows": "SELECT e.event_id, e.user_id FROM {events} e WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = e.user_id) AND NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = e.event_id)",
+    "unseen_import_rows": "SELECT e.event_id, e.user_id FROM {events} e WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = e.user_id AND o.o_orderkey < e.event_id) AND NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = e.event_id)",
     "known_import_rows": "SELECT e.event_id FROM {events} e WHERE EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = e.event_id)",
     "star_revenue": "SELECT n.n_name AS nation, count(*) AS lines, CAST(sum(CAST(l.l_extendedprice AS DECIMAL(18, 2)) * CAST(1 - l.l_discount AS DECIMAL(4, 2))) AS DOUBLE) AS revenue FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey JOIN {region} r ON n.n_regionkey = r.r_regionkey GROUP BY n.n_name",
     "supplier_part_levels": "SELECT s.s_name AS supplier, count(DISTINCT l.l_partkey) AS parts, max(p.p_size) AS largest FROM {lineitem} l JOIN {supplier} s ON l.l_suppkey = s.s_suppkey JOIN {part} p ON l.l_partkey = p.p_partkey GROUP BY s.s_name",
