@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cases, extras, followups, operators, relational
+from . import cases, extras, followups, operators, relational, streams
 
-MODULES: list = [operators, relational, extras, followups, cases]
+MODULES: list = [operators, relational, extras, followups, cases, streams]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
