@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions.rules import DEFAULT, LEGACY_STATUS, STATUSES, RulePack
 from .operators import analysis, cleaning, dedup, reports, warehouse
 from .schemas import WAREHOUSE
+from .tables import BUCKETS, Tables
 
 
 def normal_status(c):
@@ -20,53 +21,41 @@ def normal_status(c):
     return F.when(known.isin(*STATUSES), known).otherwise("RAW_COLLECTED")
 
 
+#: The column whose hash names the bucket of a row.
+KEYS = {"ods_raw_intel": "id", "dwd_clean_intel": "id", "dwd_intel_analysis": "raw_id", "dwd_entity": "raw_id", "dwd_entity_relation": "src_entity_id", "dim_slang_dict": "term", "ads_risk_case": "case_id", "agent_report": "raw_id", "annotation_log": "annotation_id", "analysis_job": "job_id"}
+
+
 class Engine:
-    """Tables are Parquet folders under root, each version in a numbered folder of its own; the highest whole one is the table.
+    """Warehouse tables under root, in hash buckets of their keys: a change writes only the buckets that it touches (tables.Tables).
 
-    A change writes the whole next version, which counts once its files are committed, so a reader sees the old or the new one and
-    a lost executor only repeats tasks. One writer at a time: a second one with the same number fails instead of overwriting. as_of stands for now wherever a time is written, so that runs can be repeated.
+    One writer at a time: a second one of the same version fails instead of overwriting. as_of stands for now wherever a time is
+    written, so that runs can be repeated.
     """
 
-    def __init__(self, spark: SparkSession, root: str, pack: RulePack = DEFAULT):
+    def __init__(self, spark: SparkSession, root: str, pack: RulePack = DEFAULT, buckets: int = BUCKETS):
         self.spark, self.root, self.pack = spark, root.rstrip("/"), pack
-
-    # -- tables --
-
-    def _versions(self, name: str) -> list[int]:
-        """Numbers of the versions that are whole: Spark's committer leaves _SUCCESS in a folder when all its files are there."""
-        top = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        fs = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(top):
-            return []
-        folders = [x.getPath() for x in fs.listStatus(top)]
-        return sorted(int(p.getName()[1:]) for p in folders if p.getName().startswith("v") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-
-    def table(self, name: str) -> DataFrame:
-        """A table; an empty one if it was never written."""
-        versions = self._versions(name)
-        if not versions:
-            return self.spark.createDataFrame([], WAREHOUSE[name])
-        return self.spark.read.schema(WAREHOUSE[name]).parquet(f"{self.root}/{name}/v{versions[-1]:012d}")
-
-    def write(self, name: str, df: DataFrame) -> None:
-        version = f"v{(self._versions(name) or [0])[-1] + 1:012d}"
-        wanted = self.spark.createDataFrame([], WAREHOUSE[name]).schema
-        columns = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted]
-        df.select(*columns).write.parquet(f"{self.root}/{name}/{version}")
-
-    def append(self, name: str, df: DataFrame) -> None:
-        self.write(name, self.table(name).unionByName(df, allowMissingColumns=True).select(*self.table(name).columns))
+        self.tables = Tables(spark, self.root, WAREHOUSE, KEYS, buckets)
+        self.table, self.write, self.append = self.tables.table, self.tables.write, self.tables.append
+        self._kept: list[str] = []
 
     def upsert(self, name: str, df: DataFrame, keys: list[str], fixed: tuple[str, ...] = ()) -> None:
-        base = self.table(name)
-        full = df.select(*(F.col(c).cast(t) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in base.dtypes))
-        self.write(name, warehouse.upsert(base, full, keys, fixed=fixed))
+        self.tables.upsert(name, df, keys, fixed)
 
     def kept(self, df: DataFrame) -> DataFrame:
-        """df written to a work folder and read again, so that what uses it several times works it out once."""
+        """df written to a work folder and read again, so that what uses it several times works it out once. tidy() drops it."""
         path = f"{self.root}/_work/{uuid.uuid4().hex}"
         df.write.parquet(path)
-        return self.spark.read.parquet(path)
+        self._kept.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def tidy(self) -> None:
+        """Drops the work folders of this engine, and versions of tables that are no longer the last two."""
+        for path in self._kept:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        self._kept.clear()
+        for name in KEYS:
+            self.tables.vacuum(name)
 
     # -- ingest --
 
@@ -98,7 +87,9 @@ class Engine:
         self.upsert("dwd_clean_intel", rows, ["id"])
         done = rows.select("id", F.when(F.col("clean_status") == "DISCARDED", "DISCARDED").otherwise("CLEANED").alias("raw_status"))
         self.upsert("ods_raw_intel", done, ["id"])
-        return {r.clean_status: r["count"] for r in rows.groupBy("clean_status").count().collect()}
+        counts = {r.clean_status: r["count"] for r in rows.groupBy("clean_status").count().collect()}
+        self.tidy()
+        return counts
 
     def preferred_text(self) -> DataFrame:
         """(raw_id, text): the merged text, else the clean one, else the raw one."""
@@ -122,12 +113,16 @@ class Engine:
         full = ruled.join(counts, "raw_id", "left").join(slang, "raw_id", "left").join(by_post, "raw_id", "left").na.fill(0, ["contacts", "links", "tools", "slang", "evidence"]).withColumns({"related": F.lit(0), "candidates": F.lit(0), "entity_types": F.coalesce("entity_types", F.expr("cast(array() as array<string>)"))})
         judged = self.kept(analysis.screen(analysis.risk_score(full)))
         rows = judged.select("raw_id", F.col("label").alias("risk_label"), F.col("sub_label").alias("risk_sub_label"), "risk_score", "risk_level", F.col("method").alias("classification_method"), "evidence_spans", F.col("decision").alias("analysis_status"), F.lit(as_of).cast("timestamp_ntz").alias("created_at"))
-        old = self.table("dwd_intel_analysis").drop("version", "is_latest", "id")
-        both = warehouse.versioned(old.unionByName(rows, allowMissingColumns=True), "raw_id", "created_at")
-        self.write("dwd_intel_analysis", both.withColumn("id", F.col("raw_id") * 1000 + F.col("version")))
-        self.write("dwd_entity", warehouse.replace_by_key(self.table("dwd_entity").select("raw_id", "entity_type", "entity_value", "context"), found.select("raw_id", "entity_type", "entity_value", "context"), ["raw_id"]).withColumns({"normalized_value": F.col("entity_value"), "extract_method": F.lit("regex"), "confidence": F.lit(0.9)}))
-        done = self.table("dwd_intel_analysis").filter("is_latest = 1").select(F.col("raw_id").alias("id"), F.when(F.col("analysis_status") == "LOW_RISK_ARCHIVED", "SCREENED").otherwise("ANALYZED").alias("raw_status"))
+        rows = self.kept(rows)
+        numbered = lambda old, new: warehouse.versioned(old.drop("version", "is_latest", "id").unionByName(new, allowMissingColumns=True), "raw_id", "created_at").withColumn("id", F.col("raw_id") * 1000 + F.col("version"))
+        self.tables.merge("dwd_intel_analysis", rows, numbered)
+        entities = found.select("raw_id", "entity_type", "entity_value", "context").withColumns({"normalized_value": F.col("entity_value"), "extract_method": F.lit("regex"), "confidence": F.lit(0.9)})
+        # posts that have no entity any more lose those they had
+        again = lambda old, posts: old.join(posts.select("raw_id").distinct(), "raw_id", "left_anti").unionByName(entities, allowMissingColumns=True)
+        self.tables.merge("dwd_entity", posts.select("raw_id"), again)
+        done = rows.select(F.col("raw_id").alias("id"), F.when(F.col("analysis_status") == "LOW_RISK_ARCHIVED", "SCREENED").otherwise("ANALYZED").alias("raw_status"))
         self.upsert("ods_raw_intel", done, ["id"])
+        self.tidy()
         return self.table("dwd_intel_analysis").filter("is_latest = 1").select("raw_id", F.col("analysis_status").alias("decision"))
 
     # -- reads --
@@ -185,15 +180,19 @@ class Engine:
 
     def sync_annotations(self) -> int:
         """Applies what is not synced yet: labels and levels of latest analyses, meanings of terms' ids are not touched."""
-        log = self.table("annotation_log")
-        todo = log.filter("synced = 0")
+        todo = self.kept(self.table("annotation_log").filter("synced = 0"))
         n = todo.count()
-        base = self.table("dwd_intel_analysis")
-        latest, rest = base.filter("is_latest = 1"), base.filter("is_latest = 0")
-        for field in ("risk_label", "risk_level"):
-            latest = warehouse.apply_annotations(latest, todo.filter("target_type = 'classification'"), "raw_id", field)
-        self.write("dwd_intel_analysis", latest.unionByName(rest))
-        self.write("annotation_log", log.withColumn("synced", F.lit(1)))
+        labels = todo.filter("target_type = 'classification'")
+
+        def applied(base: DataFrame, _: DataFrame) -> DataFrame:
+            latest, rest = base.filter("is_latest = 1"), base.filter("is_latest = 0")
+            for field in ("risk_label", "risk_level"):
+                latest = warehouse.apply_annotations(latest, labels, "raw_id", field)
+            return latest.unionByName(rest)
+
+        self.tables.merge("dwd_intel_analysis", labels.select(F.col("target_id").alias("raw_id")), applied)
+        self.upsert("annotation_log", todo.withColumn("synced", F.lit(1)), ["annotation_id"])
+        self.tidy()
         return n
 
     def submit(self, jobs: DataFrame, as_of: datetime.datetime) -> None:

@@ -5,6 +5,7 @@ from test_sources import parsed
 
 from millrace.engine import Engine
 from millrace.sources import records
+from millrace.tables import Tables
 
 NOW = datetime.datetime(2024, 5, 1, 12)
 
@@ -64,9 +65,55 @@ def test_half_a_version_is_no_table(spark, tmp_path):
     e = Engine(spark, str(tmp_path))
     e.put_slang(spark.createDataFrame([("a", "m")], "term string, normalized_meaning string"), NOW)
     (tmp_path / "dim_slang_dict" / "v000000000002").mkdir()
+    (tmp_path / "dim_slang_dict" / "data" / "000000000002-lost" / "_bucket=1").mkdir(parents=True)
     assert [r.term for r in e.table("dim_slang_dict").collect()] == ["a"]
 
 
+def test_changes_touch_their_buckets_only(spark, tmp_path):
+    schema = "id long, v string"
+    t = Tables(spark, str(tmp_path), {"t": schema}, {"t": "id"}, buckets=16)
+    rows = lambda *pairs: spark.createDataFrame([*pairs], schema)
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet") if "/data/" in str(p)}
+    have = lambda: sorted(map(tuple, t.table("t").collect()))
+    assert have() == []
+    t.write("t", rows(*((i, "a") for i in range(200))))
+    before, pieces = files(), t.pieces("t")
+    assert {b for b, _ in pieces} == set(range(16))
+    t.upsert("t", rows((3, "b"), (500, "new"), (4, None)), ["id"])
+    assert have() == [(i, "b" if i == 3 else "a") for i in range(200)] + [(500, "new")]
+    touched = len(set(t.pieces("t")) - set(pieces))
+    assert 1 <= touched <= 3 and all(files()[f] == at for f, at in before.items())
+    t.append("t", rows((501, "c")))
+    assert len(t.pieces("t")) == 17 and have()[-1] == (501, "c")
+    assert [tuple(r) for r in t.table("t", 1).filter("id = 3").collect()] == [(3, "a")]
+    t.merge("t", rows((7, None)), lambda base, new: base.join(new.select("id"), "id", "left_anti"))
+    assert not any(i == 7 for i, _ in have())
+    with pytest.raises(ValueError, match="in buckets of id"):
+        t.upsert("t", rows((1, "x")), ["v"])
+    want = have()
+    t.vacuum("t", keep=1)
+    assert have() == want and t.versions("t") == [4]
+    kept = {c for _, c in t.pieces("t")}
+    assert {p.name for p in (tmp_path / "t" / "data").iterdir() if p.is_dir()} == kept
+
+
+def test_a_second_writer_of_a_version_fails(spark, tmp_path, monkeypatch):
+    t = Tables(spark, str(tmp_path), {"t": "id long"}, {"t": "id"}, buckets=4)
+    t.write("t", spark.range(5))
+    late = Tables(spark, str(tmp_path), {"t": "id long"}, {"t": "id"}, buckets=4)
+    monkeypatch.setattr(late, "versions", lambda name: [])
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        late.write("t", spark.range(9))
+    assert t.table("t").count() == 5
+
+
+def test_buckets_with_many_pieces_are_written_anew(spark, tmp_path):
+    t = Tables(spark, str(tmp_path), {"t": "id long"}, {"t": "id"}, buckets=1)
+    for i in range(10):
+        t.append("t", spark.range(i, i + 1))
+    assert t.table("t").count() == 10 and len(t.pieces("t")) <= 8
+
+
 def test_top_k_in_blocks(spark):
     from millrace.operators import vectors
 
