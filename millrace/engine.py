@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.rules import DEFAULT, LEGACY_STATUS, STATUSES, RulePack
-from .operators import analysis, cleaning, dedup, reports, warehouse
+from .operators import analysis, answers, cleaning, dedup, followup, reports, vectors, warehouse
 from .schemas import WAREHOUSE
 from .tables import BUCKETS, Tables
 
@@ -98,32 +98,78 @@ class Engine:
         empty = lambda x: F.nullif(F.col(x), F.lit(""))
         return r.join(c, "raw_id", "left").select("raw_id", "raw_status", F.coalesce(empty("merged_text"), empty("clean_text"), "content_raw").alias("text"))
 
-    def analyse(self, as_of: datetime.datetime, model=None) -> DataFrame:
-        """Classifies, extracts, scores and screens what is CLEANED; writes analyses and entities; returns the decisions."""
-        posts = self.preferred_text().filter("raw_status = 'CLEANED'").drop("raw_status")
-        posts = self.kept(posts)
-        ruled = self.kept(analysis.cascade(posts, "text", model, pack=self.pack))
+    def _found(self, posts: DataFrame, ruled: DataFrame, embed=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """What is found in posts: their entities, a row a post of counts and evidence, and new terms near known ones (raw_id, term)."""
         found = self.kept(analysis.first_entities(analysis.entities(posts, "raw_id"), "raw_id"))
         terms = self.table("dim_slang_dict").filter("status = 'active'").select("term", F.col("normalized_meaning").alias("meaning"))
         slang = analysis.dictionary_entities(posts, terms, "raw_id").groupBy("raw_id").agg(F.count(F.lit(1)).alias("slang"))
         of = lambda *t: F.count_if(F.col("entity_type").isin(*t))
         counts = found.groupBy("raw_id").agg(of("wechat", "qq", "phone").alias("contacts"), of("url", "domain", "ip").alias("links"), of("tool").alias("tools"), F.collect_set("entity_type").alias("entity_types"))
-        spans = analysis.evidence(ruled, "raw_id", "text", "label", self.pack)
-        by_post = spans.groupBy("raw_id").agg(F.count(F.lit(1)).alias("evidence"), F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "evidence", "risk"))).alias("evidence_spans"))
-        full = ruled.join(counts, "raw_id", "left").join(slang, "raw_id", "left").join(by_post, "raw_id", "left").na.fill(0, ["contacts", "links", "tools", "slang", "evidence"]).withColumns({"related": F.lit(0), "candidates": F.lit(0), "entity_types": F.coalesce("entity_types", F.expr("cast(array() as array<string>)"))})
-        judged = self.kept(analysis.screen(analysis.risk_score(full)))
-        rows = judged.select("raw_id", F.col("label").alias("risk_label"), F.col("sub_label").alias("risk_sub_label"), "risk_score", "risk_level", F.col("method").alias("classification_method"), "evidence_spans", F.col("decision").alias("analysis_status"), F.lit(as_of).cast("timestamp_ntz").alias("created_at"))
-        rows = self.kept(rows)
-        numbered = lambda old, new: warehouse.versioned(old.drop("version", "is_latest", "id").unionByName(new, allowMissingColumns=True), "raw_id", "created_at").withColumn("id", F.col("raw_id") * 1000 + F.col("version"))
-        self.tables.merge("dwd_intel_analysis", rows, numbered)
+        spans = answers.composed_evidence(ruled.select("raw_id", "text", "label"), found, "raw_id", "text", "label", self.pack)
+        span = F.struct("n", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("text").alias("evidence"), "risk")
+        listed = spans.groupBy("raw_id").agg(F.count(F.lit(1)).alias("evidence"), F.array_sort(F.collect_list(span)).alias("_spans"))
+        by_post = listed.select("raw_id", "evidence", F.transform("_spans", lambda x: x.dropFields("n")).alias("evidence_spans"))
+        variants = self.spark.createDataFrame([], "raw_id long, term string")
+        if embed is not None:
+            grams = posts.select("raw_id", F.posexplode(answers.candidate_grams(F.col("text"))).alias("n", "word"))
+            near = vectors.term_variants(vectors.embedded(grams, "word", embed), vectors.embedded(terms, "term", embed), key="raw_id")
+            variants = self.kept(near.select("raw_id", F.col("word").alias("term")))
+        new = variants.groupBy("raw_id").agg(F.count(F.lit(1)).alias("candidates"))
+        full = posts.select("raw_id").join(counts, "raw_id", "left").join(slang, "raw_id", "left").join(by_post, "raw_id", "left").join(new, "raw_id", "left")
+        full = full.na.fill(0, ["contacts", "links", "tools", "slang", "evidence", "candidates"]).withColumn("entity_types", F.coalesce("entity_types", F.expr("cast(array() as array<string>)")))
+        return found, self.kept(full), variants
+
+    def _related(self, found: DataFrame) -> DataFrame:
+        """(raw_id, related): how many other posts, of now and before, have the values of a post's accounts, contacts, links and tools.
+
+        A post that shares several values counts for each. Values are counted before they are joined, so posts are never paired.
+        """
+        columns = ["raw_id", "entity_type", "entity_value"]
+        shared = F.col("entity_type").isin(*followup.GRAPH_TYPES["expansion"])
+        now = found.select(*columns).filter(shared)
+        before = self.table("dwd_entity").select(*columns).filter(shared).join(now.select("raw_id").distinct(), "raw_id", "left_anti")
+        posts = before.unionByName(now).distinct().groupBy("entity_type", "entity_value").agg((F.count(F.lit(1)) - 1).alias("others"))
+        return now.distinct().join(posts, ["entity_type", "entity_value"]).groupBy("raw_id").agg(F.sum("others").alias("related"))
+
+    def analyse(self, as_of: datetime.datetime, model=None, embed=None, auto: bool = True) -> DataFrame:
+        """Classifies, extracts, scores and screens what is CLEANED, and sends to a second pass what the screening asks for.
+
+        The first pass goes by rules and dictionary alone. If auto, posts that need a standard analysis get the model's label, those
+        that need the graph also the posts that share their values, and a second version of the analysis with the new score. model is
+        that of analysis.cascade(); embed, as of vectors.embedded(), finds words near known terms, which are screened as candidates
+        and put into the dictionary as such. Writes analyses, entities and statuses; returns the decisions.
+        """
+        posts = self.kept(self.preferred_text().filter("raw_status = 'CLEANED'").drop("raw_status"))
+        ruled = self.kept(analysis.cascade(posts, "text", None, pack=self.pack))
+        found, full, variants = self._found(posts, ruled, embed)
+        quick = ruled.join(full, "raw_id").withColumn("related", F.lit(0))
+        judged = self.kept(analysis.screen(analysis.risk_score(quick)).withColumn("options", followup.followup_options(F.col("decision"), F.lit(auto))))
+        self._write_analyses(judged, as_of)
+        second = judged.filter("options is not null")
+        if auto:
+            deep = self.kept(analysis.cascade(posts.join(second.select("raw_id"), "raw_id"), "text", model, pack=self.pack))
+            graph = self._related(found).join(second.filter("options.enable_graph_expand").select("raw_id"), "raw_id")
+            again = deep.join(full, "raw_id").join(second.select("raw_id", "decision"), "raw_id").join(graph, "raw_id", "left").na.fill(0, ["related"])
+            self._write_analyses(self.kept(analysis.risk_score(again)), as_of + datetime.timedelta(microseconds=1))
         entities = found.select("raw_id", "entity_type", "entity_value", "context").withColumns({"normalized_value": F.col("entity_value"), "extract_method": F.lit("regex"), "confidence": F.lit(0.9)})
         # posts that have no entity any more lose those they had
-        again = lambda old, posts: old.join(posts.select("raw_id").distinct(), "raw_id", "left_anti").unionByName(entities, allowMissingColumns=True)
+        again = lambda old, ids: old.join(ids.select("raw_id").distinct(), "raw_id", "left_anti").unionByName(entities, allowMissingColumns=True)
         self.tables.merge("dwd_entity", posts.select("raw_id"), again)
-        done = rows.select(F.col("raw_id").alias("id"), F.when(F.col("analysis_status") == "LOW_RISK_ARCHIVED", "SCREENED").otherwise("ANALYZED").alias("raw_status"))
-        self.upsert("ods_raw_intel", done, ["id"])
+        if embed is not None:
+            new = answers.new_slang(variants.select("term").distinct(), self.table("dim_slang_dict"))
+            self.put_slang(self.kept(new.withColumns({"normalized_meaning": F.lit(answers.NO_MEANING), "source": F.lit("embedding")})), as_of, "candidate")
+        settled = F.col("options").isNotNull() | (F.lit(auto) & F.col("decision").isin("LOW_RISK_ARCHIVED", "CONFIRMED_RISK"))
+        self.upsert("ods_raw_intel", self.kept(judged.select(F.col("raw_id").alias("id"), F.when(settled, "ANALYZED").otherwise("SCREENED").alias("raw_status"))), ["id"])
+        done = self.kept(judged.select("raw_id", "decision"))
+        self._kept.pop()  # what is returned outlives the rest
         self.tidy()
-        return self.table("dwd_intel_analysis").filter("is_latest = 1").select("raw_id", F.col("analysis_status").alias("decision"))
+        return done
+
+    def _write_analyses(self, judged: DataFrame, at: datetime.datetime) -> None:
+        """Another version of each post's analysis."""
+        rows = judged.select("raw_id", F.col("label").alias("risk_label"), F.col("sub_label").alias("risk_sub_label"), "risk_score", "risk_level", F.col("method").alias("classification_method"), "evidence_spans", F.col("decision").alias("analysis_status"), F.lit(at).cast("timestamp_ntz").alias("created_at"))
+        numbered = lambda old, new: warehouse.versioned(old.drop("version", "is_latest", "id").unionByName(new, allowMissingColumns=True), "raw_id", "created_at").withColumn("id", F.col("raw_id") * 1000 + F.col("version"))
+        self.tables.merge("dwd_intel_analysis", self.kept(rows), numbered)
 
     # -- reads --
 

@@ -43,6 +43,36 @@ def test_from_posts_to_reports(engine, spark):
     assert engine.history(raw_id).first().risk_label == "诈骗"
 
 
+def raw(spark, rows):
+    columns = "id long, source_platform string, content_raw string, raw_status string"
+    return spark.createDataFrame([(i, "weibo", t, "CLEANED") for i, t in rows], columns)
+
+
+def test_screening_sends_posts_to_their_second_pass(spark, tmp_path):
+    import pandas as pd
+
+    e = Engine(spark, str(tmp_path / "w"), buckets=4)
+    e.put_slang(spark.createDataFrame([("接码", "收短信")], "term string, normalized_meaning string"), NOW)
+    shared = "出售实名银行卡四件套 接码 加微信: abc12345 电话13800138000 http://evil.example.com/x"
+    e.append("ods_raw_intel", raw(spark, [(1, shared), (2, shared + " 再来"), (3, "今天天气真好，出去走走吧。"), (4, "今天的接玛行情"), (5, "刷播放量 包上热门")]))
+    model = lambda texts: pd.DataFrame({"label": ["诈骗"] * len(texts), "confidence": [0.9] * len(texts)})
+    embed = lambda texts: [[1.0, 0.0] if t in ("接码", "接玛") else [0.0, 1.0] for t in texts]
+    got = {r.raw_id: r.decision for r in e.analyse(NOW, model, embed).collect()}
+    assert got[1] == got[2] == "NEED_GRAPH_ANALYSIS" and got[4] == "NEED_STANDARD_ANALYSIS" and got[3] in ("LOW_RISK_ARCHIVED", "SCREENED_REVIEW")
+    rows = {(r.raw_id, r.version): r for r in e.table("dwd_intel_analysis").collect()}
+    # the graph adds to the score of posts that share their values; the model labels what no rule did
+    assert rows[1, 2].risk_score > rows[1, 1].risk_score and rows[1, 2].is_latest == 1 and rows[1, 1].is_latest == 0
+    assert (rows[4, 1].classification_method, rows[4, 2].classification_method, rows[4, 2].risk_label) == ("degraded", "model", "诈骗")
+    assert (3, 2) not in rows and rows[1, 1].evidence_spans and all(s.evidence for s in rows[1, 1].evidence_spans)
+    status = {r.id: r.raw_status for r in e.table("ods_raw_intel").collect()}
+    assert status[1] == status[2] == status[4] == "ANALYZED" and status[3] == ("ANALYZED" if got[3] == "LOW_RISK_ARCHIVED" else "SCREENED")
+    assert {r.term: r.status for r in e.table("dim_slang_dict").collect()} == {"接码": "active", "接玛": "candidate"}
+    assert [p.name for p in (tmp_path / "w" / "_work").iterdir() if p.is_dir()].__len__() == 1
+    e.append("ods_raw_intel", raw(spark, [(9, shared)]))
+    assert {r.raw_id: r.decision for r in e.analyse(NOW + datetime.timedelta(days=1), auto=False).collect()} == {9: "NEED_GRAPH_ANALYSIS"}
+    assert e.table("ods_raw_intel").filter("id = 9").first().raw_status == "SCREENED" and e.history(9).count() == 1
+
+
 def test_dictionary_jobs_and_migration(spark, tmp_path):
     e = Engine(spark, str(tmp_path / "w"))
     term = lambda *rows: spark.createDataFrame(rows, "term string, normalized_meaning string, source string")
