@@ -112,6 +112,29 @@ def comment_rows(posts: DataFrame) -> DataFrame:
     return rows.select("platform", F.lit("comment").alias("content_type"), F.concat("source_url", F.lit("#comment_"), key).alias("source_url"), F.col("c.content").alias("content_raw"), F.col("c.author_uid").alias("author_uid"), F.col("c.author_username").alias("author_username"), "post_id")
 
 
+#: Fixed value: platforms whose comments are fetched apart from their posts.
+COMMENTED = ("xiaohongshu", "douyin", "tieba")
+
+
+def with_comments(posts: DataFrame, comments: DataFrame) -> DataFrame:
+    """posts with the comments that were fetched for them behind their own; comment_count is at least the number of the fetched.
+
+    comments: platform, post_id, n (their order) and the fields of a comment, such as parsers give. Posts of platforms whose comments
+    come with them, posts without an id and posts for which none was fetched stay as they are. A post's comments are gathered into
+    its row, which is what the schema holds.
+    """
+    named = [f.split(":")[0].strip() for f in COMMENT.removeprefix("struct<").removesuffix(">").split(",")]
+    kinds = dict(x.strip().split(": ") for x in COMMENT.removeprefix("struct<").removesuffix(">").split(","))
+    one = F.struct(*(F.coalesce(F.col(c).cast(kinds[c]), F.lit(0 if kinds[c] == "bigint" else "").cast(kinds[c])).alias(c) for c in named))
+    fetched = comments.filter(F.col("platform").isin(*COMMENTED) & (F.coalesce("post_id", F.lit("")) != "")).select("platform", "post_id", F.struct("n", one.alias("c")).alias("_c"))
+    lists = fetched.groupBy("platform", "post_id").agg(F.transform(F.array_sort(F.collect_list("_c")), lambda x: x["c"]).alias("_fetched"))
+    out = posts.join(lists, ["platform", "post_id"], "left")
+    own = F.coalesce("comments", F.expr(f"cast(array() as array<{COMMENT}>)"))
+    some = F.col("_fetched").isNotNull()
+    out = out.withColumns({"comments": F.when(some, F.concat(own, "_fetched")).otherwise(F.col("comments")), "comment_count": F.when(some, F.greatest(F.coalesce("comment_count", F.lit(0)), F.size("_fetched").cast("long"))).otherwise(F.col("comment_count"))})
+    return out.select(*posts.columns)
+
+
 def media_urls(images: Column, cover: Column) -> Column:
     return F.when((F.coalesce(cover, F.lit("")) != "") & ~F.array_contains(images, cover), F.array_append(images, cover)).otherwise(images)
 

@@ -103,3 +103,12 @@ def test_new_rows_without_a_url_are_told_by_message(spark):
     rows = [("qq", "", "m0", "a"), ("qq", "", "m1", "b"), ("qq", None, "m2", "c"), ("qq", None, "m2", "c"), ("qq", "", "", "d"), ("qq", "", None, "e"), ("x", "u", None, "f"), ("x", "u", None, "f")]
     got = files.new_rows(spark.createDataFrame(rows, "platform string, source_url string, message_id string, text string"), known)
     assert sorted(r.text for r in got.collect()) == ["b", "c", "d", "e", "f"]
+
+
+def test_fetched_comments_join_their_posts(spark):
+    posts = records.tieba(parsed(spark, "tieba", content_raw="p", thread_id="1", reply_count=1, replies=[("u", "5", "own", "t")])).union(records.tieba(parsed(spark, "tieba", content_raw="q", thread_id="2", reply_count=9))).union(records.weibo(parsed(spark, "weibo", content_raw="w", weibo_id="1")))
+    rows = [("tieba", "1", 2, "b", "late", None), ("tieba", "1", 1, "a", "first", 4), ("tieba", "3", 1, "c", "no post", 0), ("weibo", "1", 1, "d", "not fetched", 0), ("tieba", None, 1, "e", "", 0)]
+    comments = spark.createDataFrame(rows, "platform string, post_id string, n int, id string, content string, like_count long").withColumns({c: F.lit("x") for c in ("author_uid", "author_username", "reply_to", "created_at", "type")})
+    got = {(r.platform, r.post_id): r for r in records.with_comments(posts, comments).collect()}
+    assert [(c.content, c.like_count) for c in got["tieba", "1"].comments] == [("own", 0), ("first", 4), ("late", 0)] and got["tieba", "1"].comment_count == 2
+    assert got["tieba", "2"].comments == [] and got["tieba", "2"].comment_count == 9 and got["weibo", "1"].comments == [] and len(got) == 3
