@@ -1,10 +1,8 @@
 import random
 
-import oracle_check
 import pytest
 
 from millrace.operators import dedup
-from millrace.plans import operators
 
 KIND = "id long, batch_seq long, simhash long, clean_text string, author string, is_noise boolean, is_media_only boolean, h string, at string, a string, t string"
 
@@ -105,8 +103,3 @@ def test_pairs_of_hashes_by_any_number_of_blocks(spark, equal):
     assert {(r.x, r.y) for r in dedup.similar_hashes(df, equal=equal).collect()} == want
     old, new = df.filter("simhash % 3 = 0"), df.filter("simhash % 3 <> 0")
     assert {(r.x, r.y) for r in dedup.similar_hashes(new, equal=equal, old=old).collect()} == {(x, y) for x, y in want if x % 3 or y % 3}
-
-
-@pytest.mark.parametrize("name", ["author_aware_dedup", "near_dup_pairs", "near_dup_classes", "simhash64"])
-def test_queries_are_their_sql(spark, sf_dir, name):
-    assert oracle_check.spark_rows(operators.QUERIES[name](spark, sf_dir)) == oracle_check.sql_rows(operators.ORACLE[name], sf_dir)
