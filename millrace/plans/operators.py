@@ -165,9 +165,22 @@ def entity_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.entities(d, types=(ENTITIES[4],)).select("id", "entity_value", "context").distinct()
 
 
-@query()
+_EVIDENCE = (("license", ("[Ll]icensed? .{0,12}under", "rights reserved")), ("prose", ("tion.{0,3}the", "thethe")))
+_PATTERNS = ", ".join(f"({o}, {q(risk)}, {q(p)})" for o, (risk, p) in enumerate((risk, p) for risk, ps in _EVIDENCE for p in ps))
+
+
+# a match begins behind the pieces and the matches before it; of all in order, each stays that meets none that stays
+@query(
+    f"""WITH c AS (SELECT doc_id, label FROM ({ORACLE["classify_first_match"]}) x), p(o, risk, pattern) AS (VALUES {_PATTERNS}),
+    h AS (SELECT doc_id, o, risk, regexp_extract_all(text, pattern) AS hits, regexp_split_to_array(text, pattern) AS pieces FROM documents JOIN c USING (doc_id) JOIN p ON risk = label OR label NOT IN ('license', 'prose')),
+    k AS (SELECT *, unnest(generate_series(1, len(hits))) AS k FROM h),
+    m AS (SELECT doc_id, o, risk, hits[k] AS t, (list_sum([length(x) FOR x IN pieces[1:k]]) + coalesce(list_sum([length(x) FOR x IN hits[1:k - 1]]), 0))::BIGINT AS s FROM k),
+    l AS (SELECT doc_id, list([{{'s': s, 'e': s + length(t), 't': t, 'r': risk}}] ORDER BY o, s) AS l FROM m GROUP BY doc_id),
+    f AS (SELECT doc_id, unnest(list_reduce(l, lambda kept, x: CASE WHEN len(list_filter(kept, lambda y: x[1].s <= y.e AND x[1].e >= y.s)) > 0 THEN kept ELSE list_concat(kept, x) END)) AS e FROM l)
+    SELECT doc_id, e.s AS "start", e.e AS "end", e.t AS evidence, e.r AS risk FROM f"""
+)
 def evidence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pack = replace(CORPUS, evidence=(("license", ("[Ll]icensed? .{0,12}under", "rights reserved")), ("prose", ("tion.{0,3}the", "thethe"))))
+    pack = replace(CORPUS, evidence=_EVIDENCE)
     d = table(spark, sf_dir, "documents").withColumn("label", analysis.classify(F.col("text"), CORPUS)["label"])
     return analysis.evidence(d, "doc_id", "text", "label", pack)
 
