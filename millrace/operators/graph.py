@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from operator import add
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..work import checkpointed
 
@@ -15,6 +22,9 @@ DRAWN = ("MENTIONS", "PROMOTES", "EXTRACTED_FROM")
 #: What a type is called in tables of neighbours; other types go by their own name.
 TYPE_NAMES = {"phone": "手机号", "wechat": "微信号", "qq": "QQ号", "email": "邮箱", "url": "链接", "domain": "域名", "ip": "IP地址", "bank_card": "银行卡", "alipay": "支付宝", "slang": "黑话", "tool": "工具/脚本", "crypto_wallet": "加密钱包", "feature": "风险特征"}
 PREVIEW = 200
+#: Pairs of members and targets of a block of members, least and most blocks; meetings and cells that a task holds at once.
+PAIRS_OF_BLOCK, BLOCKS = 2_000_000, (8, 64)
+MET, CELLS = 4_000_000, 8_000_000
 
 
 def _named(kind: Column, names: dict[str, str], other: Column) -> Column:
@@ -105,22 +115,104 @@ def shortest_lengths(edges: DataFrame, seeds: DataFrame, most: int = 6) -> DataF
     return seen
 
 
+def _block_of(pairs: DataFrame) -> tuple[Column, int]:
+    """The block of members that a member is in, and how many there are: ranges of numbers, by hash otherwise.
+
+    Members of near numbers often come from one import and share targets, which leaves fewer pairs of blocks to look at.
+    """
+    blocks = min(BLOCKS[1], max(BLOCKS[0], -(-pairs.count() // PAIRS_OF_BLOCK)))
+    if not isinstance(pairs.schema["member"].dataType, NumericType):
+        return F.pmod(F.xxhash64("member"), F.lit(blocks)).cast("int"), blocks
+    cuts = sorted(set(pairs.approxQuantile("member", [i / blocks for i in range(1, blocks)], 0.1 / blocks)))
+    above = [(F.col("member") >= F.lit(c)).cast("int") for c in cuts]
+    return reduce(add, above, F.lit(0)), len(cuts) + 1
+
+
+def _met(pairs: DataFrame, least: int) -> DataFrame:
+    """(a, b, shared), a < b: the sum of x.n * y.n over targets that both have, where it is at least `least`; pairs: distinct (member,
+    target) with n.
+
+    Pairs of members are never shuffled, as they are many more than the pairs of members and targets: members are in blocks, and for
+    each two blocks a task gets the rows of the targets that both have and multiplies them, a run of members at a time.
+    """
+    pairs = checkpointed(pairs.filter("member is not null and target is not null"))
+    block, _ = _block_of(pairs)
+    placed = pairs.withColumn("block", block)
+    among = placed.groupBy("target").agg(F.collect_set("block").alias("blocks"))
+    dealt = placed.join(among, "target").select("member", "target", "n", "block", F.explode("blocks").alias("other"))
+    dealt = dealt.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    kind = pairs.schema["member"].dataType.simpleString()
+    return dealt.select("lo", "hi", "block", "member", "target", "n").groupBy("lo", "hi").applyInArrow(_tile(least), f"a {kind}, b {kind}, shared long")
+
+
+def _tile(least: int):
+    def codes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        # of numbers as they are; names go in the order of their code points, which is that of their bytes
+        of = np.array(column.to_pylist(), object) if pa.types.is_string(column.type) else column.to_numpy()
+        names, at = np.unique(of, return_inverse=True)
+        return names, at.ravel()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        block, n = table.column("block").to_numpy(), table.column("n").to_numpy()
+        _, target = codes(table.column("target"))
+        names, member = codes(table.column("member"))
+        kind = table.schema.field("member").type
+        own, other = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        own, other = own[np.lexsort((target[own], member[own]))], other[np.lexsort((member[other], target[other]))]
+        of, place = np.unique(member[other], return_inverse=True)
+        place, width = place.ravel(), max(1, len(of))
+        begin, end = np.searchsorted(target[other], target[own]), np.searchsorted(target[other], target[own], "right")
+        if lo == hi:  # of a block with itself, only members behind
+            at = np.empty(len(n), np.int64)
+            at[other] = np.arange(len(other))
+            begin = at[own] + 1
+        many = end - begin
+        own, begin, many = own[many > 0], begin[many > 0], many[many > 0]
+        weights = None if (n[own] == 1).all() and (n[other] == 1).all() else n
+        starts = np.flatnonzero(np.diff(member[own], prepend=-1))  # rows at which a member begins
+        behind = np.concatenate([[0], np.cumsum(many)])
+        row = 0
+        while row < len(own):
+            # whole members: as many as have about MET meetings and CELLS cells, one at least
+            k = np.searchsorted(starts, row)
+            upto = np.searchsorted(behind, behind[row] + MET, "right") - 1
+            next_k = max(k + 1, min(np.searchsorted(starts, upto, "right") - 1 if upto < len(own) else len(starts), k + max(1, CELLS // width)))
+            stop = starts[next_k] if next_k < len(starts) else len(own)
+            count = many[row:stop]
+            met = np.repeat(begin[row:stop] - (behind[row:stop] - behind[row]), count) + np.arange(count.sum())
+            local = np.repeat(np.searchsorted(starts[k:next_k], np.arange(row, stop), "right") - 1, count)
+            cell = local * width + place[met]
+            weight = None if weights is None else np.repeat(n[own[row:stop]], count) * n[other[met]]
+            if (next_k - k) * width > 16 * len(cell):
+                found, inverse = np.unique(cell, return_inverse=True)
+                total = np.bincount(inverse.ravel(), weight)
+                found, total = found[total >= least], total[total >= least]
+            else:
+                total = np.bincount(cell, weight, (next_k - k) * width)
+                found = np.flatnonzero(total >= max(least, 1))
+                total = total[found]
+            x, y = member[own[starts[k:next_k]]][found // width], of[found % width]
+            a, b = names[np.minimum(x, y)], names[np.maximum(x, y)]
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind), pa.array(total.astype(np.int64))], ["a", "b", "shared"])
+            row = stop
+
+    return run
+
+
 def gang_paths(edges: DataFrame, least: int = 3) -> DataFrame:
     """(a, b, shared), a < b: members with at least `least` paths over a common target; edges (member, target) count as often as they occur.
 
     Edges are counted for each member and target before they meet, so parallel ones are never paired.
     """
-    n = edges.filter("member is not null and target is not null").groupBy("member", "target").agg(F.count(F.lit(1)).alias("n"))
-    x, y = n.alias("x"), n.alias("y")
-    met = x.join(y, (F.col("x.target") == F.col("y.target")) & (F.col("x.member") < F.col("y.member")))
-    return met.groupBy(F.col("x.member").alias("a"), F.col("y.member").alias("b")).agg(F.sum(F.col("x.n") * F.col("y.n")).alias("shared")).filter(F.col("shared") >= least)
+    return _met(edges.groupBy("member", "target").agg(F.count(F.lit(1)).alias("n")), least)
 
 
 def gangs(pairs: DataFrame, least: int = 3) -> DataFrame:
     """(a, b, shared), a < b: members that share at least `least` distinct targets of pairs (member, target)."""
-    p = pairs.select("member", "target").distinct()
-    x, y = p.alias("x"), p.alias("y")
-    return x.join(y, (F.col("x.target") == F.col("y.target")) & (F.col("x.member") < F.col("y.member"))).groupBy(F.col("x.member").alias("a"), F.col("y.member").alias("b")).agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
+    return _met(pairs.select("member", "target").distinct().withColumn("n", F.lit(1).cast("long")), least)
 
 
 def cooccurrences(df: DataFrame, key: str = "raw_id") -> DataFrame:
