@@ -82,3 +82,24 @@ def test_cascade_asks_the_model_only_where_no_rule_speaks(spark):
     df = spark.createDataFrame([(1, "接码"), (2, "x"), (3, "y")], "id long, text string")
     out = {r.id: (r.label, r.method) for r in analysis.cascade(df, "text", model).collect()}
     assert out == {1: ("账号黑产", "keyword"), 2: ("工具交易", "model"), 3: ("作弊", "degraded")}
+
+
+def test_simhash_of_very_many_tokens_takes_little_memory():
+    import hashlib
+    import tracemalloc
+
+    import pandas as pd
+
+    text = " ".join(f"t{i}" for i in range(200_000))
+    ones = [0] * 64
+    for t in text.split():
+        h = int.from_bytes(hashlib.md5(t.encode()).digest()[:8], "big")
+        for b in range(64):
+            ones[b] += h >> b & 1
+    want = sum(1 << b for b in range(64) if 2 * ones[b] > 200_000)
+    tracemalloc.start()
+    found = list(T._simhash().func(iter([pd.Series([text, None, "hello world hello"]), pd.Series([None, None])])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [int(x) & (1 << 64) - 1 for x in found[0].dropna()] == [want, 0x5D41402ABC4B2A76] and [len(x) for x in found] == [3, 2]
+    assert peak < 90e6
