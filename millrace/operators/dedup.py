@@ -61,14 +61,18 @@ def classes(df: DataFrame, key: str = "id", simhash: str = "simhash", most: int
 
 
 def similar_pairs(df: DataFrame, key: str = "id", simhash: str = "simhash", most: int = 3) -> DataFrame:
-    """(id_a, id_b, distance), id_a < id_b: classes of equal hashes at most `most` bits apart, named by their least keys.
+    """(id_a, id_b, distance): pairs of near classes of equal hashes, id_a < id_b, named by their least keys, and who is in a class:
 
-    classes() tells which rows a class stands for.
+    a row at distance 0 from the class's name for each other key that it stands for. So every row with a near one or a copy is there,
+    and what copies link to is what their class does.
     """
-    named = df.select(F.col(key).alias("id"), F.col(simhash).alias("h")).groupBy("h").agg(F.min("id").alias("id"))
+    rows = df.select(F.col(key).alias("id"), F.col(simhash).alias("h"))
+    named = rows.groupBy("h").agg(F.min("id").alias("id"))
     x, y = (named.select(F.col("h").alias(c), F.col("id").alias(f"id_{c}")) for c in "xy")
-    out = similar_hashes(named, most, "h").join(x, "x").join(y, "y")
-    return out.select(F.least("id_x", "id_y").alias("id_a"), F.greatest("id_x", "id_y").alias("id_b"), "distance")
+    met = similar_hashes(named, most, "h").join(x, "x").join(y, "y")
+    of = named.select(F.col("h").alias("of"), F.col("id").alias("class_id"))
+    copies = rows.join(of, F.col("h").eqNullSafe(F.col("of"))).filter("id <> class_id").select(F.col("class_id").alias("id_a"), F.col("id").alias("id_b"), F.lit(0).alias("distance"))
+    return met.select(F.least("id_x", "id_y").alias("id_a"), F.greatest("id_x", "id_y").alias("id_b"), "distance").union(copies)
 
 
 def effective_threshold(length: Column, most: int = 3) -> Column:

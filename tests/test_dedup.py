@@ -103,3 +103,8 @@ def test_pairs_of_hashes_by_any_number_of_blocks(spark, equal):
     assert {(r.x, r.y) for r in dedup.similar_hashes(df, equal=equal).collect()} == want
     old, new = df.filter("simhash % 3 = 0"), df.filter("simhash % 3 <> 0")
     assert {(r.x, r.y) for r in dedup.similar_hashes(new, equal=equal, old=old).collect()} == {(x, y) for x, y in want if x % 3 or y % 3}
+
+
+def test_pairs_have_the_copies_too(spark):
+    df = spark.createDataFrame([(1, 7), (2, 7), (3, 5), (4, 5), (5, 1 << 40), (6, None)], "id long, simhash long")
+    assert sorted(map(tuple, dedup.similar_pairs(df).collect())) == [(1, 2, 0), (1, 3, 1), (3, 4, 0)]
