@@ -108,3 +108,19 @@ def test_pairs_of_hashes_by_any_number_of_blocks(spark, equal):
 def test_pairs_have_the_copies_too(spark):
     df = spark.createDataFrame([(1, 7), (2, 7), (3, 5), (4, 5), (5, 1 << 40), (6, None)], "id long, simhash long")
     assert sorted(map(tuple, dedup.similar_pairs(df).collect())) == [(1, 2, 0), (1, 3, 1), (3, 4, 0)]
+
+
+def test_hashes_are_computed_once(spark):
+    counted = spark.sparkContext.accumulator(0)
+
+    def hashed(i):
+        counted.add(1)
+        return i % 5
+
+    from pyspark.sql.functions import udf
+
+    df = spark.range(40).select("id", udf(hashed, "long")("id").alias("simhash"))
+    for use in (dedup.classes, dedup.similar_pairs):
+        counted.value = 0
+        use(df).collect()
+        assert counted.value == 40
