@@ -32,3 +32,28 @@ def test_pairs_of_members_are_not_shuffled(spark):
     for use in (graph.gang_paths, graph.gangs):
         plan = use(edges)._jdf.queryExecution().executedPlan().toString()
         assert "FlatMapGroupsInArrow" in plan and "HashAggregate(keys=[a" not in plan
+
+
+def test_shortest_paths_from_more_seeds_than_a_row_has_bits(spark, monkeypatch):
+    monkeypatch.setattr(graph, "WORDS", 1)
+    r = random.Random(5)
+    ends = [(r.randrange(150), r.randrange(150, 190)) for _ in range(260)] + [(7, 7), (3, 160), (3, 160)]
+    edges = spark.createDataFrame([(i, *e) for i, e in enumerate(ends)], "edge long, src long, dst long")
+    near = {}
+    for a, b in ends:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = set()
+    for seed in range(150):
+        length, front = {seed: 0}, {seed}
+        for k in range(1, 5):
+            front = {n for f in front for n in near.get(f, ())} - length.keys()
+            length |= dict.fromkeys(front, k)
+        want |= {(seed, n, k) for n, k in length.items()}
+    seeds = spark.createDataFrame([(i,) for i in range(150)], "seed long")
+    found = graph.shortest_lengths(edges, seeds, 4)
+    rows = [tuple(x) for x in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    assert "MapInArrow" in found._jdf.queryExecution().toString()
+    assert {tuple(x) for x in graph.neighbourhood(edges, seeds, 3).collect()} == {x for x in want if 0 < x[2] < 4}
+    assert graph.shortest_lengths(edges, seeds.limit(0), 2).count() == 0
