@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions.emoji import MEANINGS, emojis
+from millrace.functions.rules import DEFAULT
+from millrace.operators import cleaning
 
 
 @pytest.fixture(scope="module")
@@ -41,3 +43,26 @@ def test_emojis_of_prose_cost_a_scan(spark, prose):
     known = {"ab": "1", "*️⃣": "2", "😀x": "3", "😀": "4", "é": "5"}
     assert spark.range(1).select(emojis(F.lit("zab😀x😀*️⃣éb"), known).alias("e")).first().e == ["ab", "😀x", "😀", "*️⃣", "é"]
     assert spark.range(1).select(emojis(F.lit("".join(MEANINGS))).alias("e")).first().e == list(MEANINGS)
+
+
+def test_a_text_is_cleaned_once_for_all_that_is_asked_of_it(prose):
+    assert plan(prose.select(T.apply_common(F.col("text")).alias("t"))).count("&hellip;") == 1
+    posts = prose.select("id", F.lit("qq_group").alias("platform"), F.col("text").alias("content_raw"), F.lit("a").alias("author_username"), F.lit("x").alias("source_keyword"))
+    assert plan(cleaning.clean(posts).select("id", "is_noise")).count("&hellip;") == 1
+
+
+def test_one_of_many_words_finds_what_each_word_finds(spark):
+    random.seed(2)
+    words = [*DEFAULT.signals, *DEFAULT.media_authors, "😀", "\U0001faff.", "a|b", "é"]
+    texts = [None, "", *words, *(w[:-1] + random.choice("xA号") for w in words), *("".join(random.choices("".join(words), k=6)) for _ in range(500))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", T.contains_any(F.col("t"), words).alias("any"), T.hits(F.col("t"), words).alias("hits"), T.contains_any(F.col("t"), words[-4:]).alias("few"), T.contains_any(F.col("t"), ("a", "")).alias("all")).collect()
+    for r in rows:
+        assert r.any == (None if r.t is None else any(w in r.t for w in words)) and r.few == (None if r.t is None else any(w in r.t for w in words[-4:]))
+        assert r.hits == [w for w in words if w in (r.t or "")] and r["all"] == (None if r.t is None else True)
+
+
+def test_translated_is_translate(spark):
+    df = spark.createDataFrame([(t,) for t in ("ab", "ａ。b", "x\xa0y​", "\r​\n", "中文，é", "", None)], "t string")
+    old, new = T.FULL_WIDTH[0] + "\xa0​", T.FULL_WIDTH[1] + " "
+    assert all(r.a == r.b for r in df.select(T.translated(F.col("t"), old, new).alias("a"), F.translate("t", old, new).alias("b")).collect())
