@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions.emoji import MEANINGS, emojis
-from millrace.functions.rules import DEFAULT
+from millrace.functions.rules import DEFAULT, EMOJI_RANGES
 from millrace.operators import cleaning
 
 
@@ -66,3 +66,12 @@ def test_translated_is_translate(spark):
     df = spark.createDataFrame([(t,) for t in ("ab", "ａ。b", "x\xa0y​", "\r​\n", "中文，é", "", None)], "t string")
     old, new = T.FULL_WIDTH[0] + "\xa0​", T.FULL_WIDTH[1] + " "
     assert all(r.a == r.b for r in df.select(T.translated(F.col("t"), old, new).alias("a"), F.translate("t", old, new).alias("b")).collect())
+
+
+def test_noise_score_of_prose_looks_for_emoji_once(spark, prose):
+    score = prose.select(cleaning.noise_score(F.col("text")).alias("s"))
+    assert plan(score).count("1FA00") == 1
+    assert seconds(score) < 10 * scan(prose)
+    df = spark.createDataFrame([(t,) for t in ("a\U0001f600\U0001f600", "", " \n", "中a \U0001faff☀‍", "⬈⭐️", None)], "t string")
+    old = F.regexp_count("t", F.lit(EMOJI_RANGES)) / F.nullif(F.length(F.translate("t", " \n", "")), F.lit(0))
+    assert all(r.a == r.b for r in df.select(T.emoji_density(F.col("t")).alias("a"), F.coalesce(old, F.lit(0.0)).alias("b")).collect())
