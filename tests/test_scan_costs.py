@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions.emoji import MEANINGS, emojis
-from millrace.functions.rules import DEFAULT, EMOJI_RANGES
-from millrace.operators import cleaning
+from millrace.functions.rules import DEFAULT, EMOJI_RANGES, ENTITIES
+from millrace.operators import analysis, cleaning
 
 
 @pytest.fixture(scope="module")
@@ -75,3 +75,22 @@ def test_noise_score_of_prose_looks_for_emoji_once(spark, prose):
     df = spark.createDataFrame([(t,) for t in ("a\U0001f600\U0001f600", "", " \n", "中a \U0001faff☀‍", "⬈⭐️", None)], "t string")
     old = F.regexp_count("t", F.lit(EMOJI_RANGES)) / F.nullif(F.length(F.translate("t", " \n", "")), F.lit(0))
     assert all(r.a == r.b for r in df.select(T.emoji_density(F.col("t")).alias("a"), F.coalesce(old, F.lit(0.0)).alias("b")).collect())
+
+
+def test_entities_of_prose_cost_few_scans(prose):
+    assert seconds(analysis.entities(prose)) < 5 * scan(prose)
+
+
+def test_sieves_lose_no_entity(spark):
+    random.seed(3)
+    parts = [
+        "a.com", "x-.com", "-a.b.cd", "a" * 63 + ".org", "b" * 64 + ".org", "c" * 130 + ".net", "a.bc1.d2", "a.com1.net", "1.2.3.4", "a..b.com", "http://x.com/y", "t.me/abc", "t.cn/", "u@v.co", "微信: abc12345", "wx abcde", "薇信:q_w-e1", "微：abcde", "VX vx_12", "QQ：12345", "扣扣 123456", "qq9999999",
+        "TG @abcde", "Telegram:abcde", "飞机 xyzzy1", "电报abcde", "13812345678", "6222021234567890", "62220212345678", "支付宝 13812345678", "zfb:a@b.cd", "T" + "a1" * 16 + "b", "0x" + "ab" * 20, "x0x" + "ab" * 20, "127.0.0.1", " ", " ", ".", "the", "-", "9",
+    ]
+    texts = ["".join(random.choices(parts, k=random.choice([1, 2, 5, 12]))) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    plain = df.select("id", *(F.transform(F.regexp_extract_all("text", F.lit(f"({p})" if g == 0 else p), F.lit(1)), lambda v: F.trim(v)).alias(t) for t, p, g in ENTITIES)).orderBy("id").collect()
+    want = [(r.id, t, v) for r in plain for t, _, _ in ENTITIES for v in r[t]]
+    got = analysis.entities(df).orderBy("id", "ordinal").collect()
+    assert {t for _, t, _ in want} == {t for t, _, _ in ENTITIES}
+    assert [(r.id, r.entity_type, r.entity_value) for r in got] == want
