@@ -1,6 +1,7 @@
 """What is looked for in whole texts costs about a scan of them, and finds the same as plain patterns do."""
 
 import random
+import re
 import time
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions.emoji import MEANINGS, emojis
-from millrace.functions.rules import DEFAULT, EMOJI_RANGES, ENTITIES
+from millrace.functions.rules import DEFAULT, EMOJI_RANGES, ENTITIES, needed_words
 from millrace.operators import analysis, cleaning
 
 
@@ -94,3 +95,23 @@ def test_sieves_lose_no_entity(spark):
     got = analysis.entities(df).orderBy("id", "ordinal").collect()
     assert {t for _, t, _ in want} == {t for t, _, _ in ENTITIES}
     assert [(r.id, r.entity_type, r.entity_value) for r in got] == want
+
+
+def test_needed_words_are_in_every_match():
+    told = {
+        "[Ll]icensed? .{0,12}under": ("icense",), "[a-z0-9]+@[a-z]+": ("@",), "(tion|ment).{0,4}(the|la)": ("tion", "ment"), "(接码|验证码.{0,3}(接|收))": ("接码", "验证码"), "ab|cd": (), "(a|b)?c*": (), "(a|b)?cd*": ("c",), r"\d{4}": (), r"\x41b": (), r"\Qab\E": (), "(?i)ab": (), "(a|)b?": (), r"\.x+\[ab": ("ab",),
+        "[]a]b": ("b",), "(a(b|c)|[x(])": (), "((ab|cd)e|f)": ("e", "f"), "a{0,2}": (), "(ab|cd){0,1}": (), "(ab)+": ("ab",), "(刷.{0,2}(播放|点赞))": ("刷",),
+    }
+    assert {p: needed_words(p) for p in told} == told
+    random.seed(4)
+    patterns = [*(p for c in DEFAULT.categories for p in c.regex), *(p for _, ps in DEFAULT.evidence for p in ps)]
+    assert [p for p in patterns if not needed_words(p)] == [r"[Qq薇微信]{1,2}.*\d{5,}"]
+    for p in filter(needed_words, patterns):
+        letters = re.sub(r"[\\(){}\[\]*+?,]", "", p) + "12345"
+        for _ in range(300):
+            x = "".join(random.choices([*letters.replace("|", ""), *re.findall(r"\w+", letters)], k=random.randint(2, 9)))
+            assert not re.search(p, x) or any(w in x for w in needed_words(p))
+
+
+def test_evidence_of_prose_costs_few_scans(prose):
+    assert seconds(analysis.evidence(prose.withColumn("label", F.lit("x")))) < 6 * scan(prose)
