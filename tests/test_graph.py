@@ -57,3 +57,50 @@ def test_shortest_paths_from_more_seeds_than_a_row_has_bits(spark, monkeypatch):
     assert "MapInArrow" in found._jdf.queryExecution().toString()
     assert {tuple(x) for x in graph.neighbourhood(edges, seeds, 3).collect()} == {x for x in want if 0 < x[2] < 4}
     assert graph.shortest_lengths(edges, seeds.limit(0), 2).count() == 0
+
+
+def _lengths(ends, seeds, most):
+    """Breadth first in plain Python; no path goes on from a null."""
+    near = {}
+    for a, b in ends:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    near.pop(None, None)
+    want = set()
+    for seed in seeds:
+        length, front = {seed: 0}, {seed}
+        for k in range(1, most + 1):
+            front = {n for f in front for n in near.get(f, ())} - length.keys()
+            length |= dict.fromkeys(front, k)
+        want |= {(seed, n, k) for n, k in length.items()}
+    return want
+
+
+@pytest.mark.parametrize("kind, narrow, turned", [("long", 10**6, False), ("long", 0, True), ("string", 0, False)])
+def test_shortest_paths_over_a_cover_with_nulls_heavy_nodes_and_seeds_of_both_sides(spark, monkeypatch, kind, narrow, turned):
+    for name, value in (("WORDS", 2), ("HEAVY", 6), ("NARROW", narrow), ("EDGES", 40), ("NODES", 7), ("ROWS_AT_ONCE", 3), ("PARTS", 2), ("TILES", 3)):
+        monkeypatch.setattr(graph, name, value)
+    r = random.Random(9)
+    ends = [(r.randrange(200), r.randrange(190, 230)) for _ in range(240)] + [(1, 215)] * 3 + [(2, h) for h in range(190, 200)] + [(4, 4), (5, None), (None, 191), (None, 7), (None, None), (199, 200)]
+    of = (lambda i: i if i is None else f"n{i}") if kind == "string" else (lambda i: i)
+    ends = [(of(b), of(a)) if turned else (of(a), of(b)) for a, b in ends]
+    seeds = [of(i) for i in (*range(0, 200, 2), 195, 201, 900)]
+    edges = spark.createDataFrame([(i, *e) for i, e in enumerate(ends)], f"edge long, src {kind}, dst {kind}")
+    found = graph.shortest_lengths(edges, spark.createDataFrame([(s,) for s in seeds] * 2, f"seed {kind}"), 5)
+    rows = [tuple(x) for x in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == _lengths(ends, seeds, 5)
+
+
+def test_a_search_writes_no_row_of_a_node_outside_of_the_cover(spark, monkeypatch):
+    written = []
+
+    def counted(df, use=graph.checkpointed):
+        out = use(df)
+        if "w0" in out.columns:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "checkpointed", counted)
+    edges = spark.range(3000).selectExpr("id AS edge", "id % 1000 AS src", "100000 + id % 7 AS dst")
+    found = graph.shortest_lengths(edges, spark.range(0, 1000, 10).toDF("seed"), 4)
+    assert found.count() == 100 * 1007 and max(written) <= 7
