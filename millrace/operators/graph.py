@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
-from operator import add
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import IntegralType
 
 from ..work import checkpointed
 
@@ -23,14 +23,15 @@ DRAWN = ("MENTIONS", "PROMOTES", "EXTRACTED_FROM")
 #: What a type is called in tables of neighbours; other types go by their own name.
 TYPE_NAMES = {"phone": "手机号", "wechat": "微信号", "qq": "QQ号", "email": "邮箱", "url": "链接", "domain": "域名", "ip": "IP地址", "bank_card": "银行卡", "alipay": "支付宝", "slang": "黑话", "tool": "工具/脚本", "crypto_wallet": "加密钱包", "feature": "风险特征"}
 PREVIEW = 200
-#: Pairs of members and targets of a block of members, least and most blocks; meetings and cells that a task holds at once.
-PAIRS_OF_BLOCK, BLOCKS = 2_000_000, (8, 64)
-MET, CELLS = 4_000_000, 8_000_000
+#: Pairs of members and targets of a block of members, blocks of a part, tasks, and pairs up to which blocks are dealt; meetings that a
+#: task holds at once, most cells of a table of sums, and the power of two of sums by which most meetings are left out where cells are more.
+PAIRS_OF_BLOCK, BLOCKS_OF_PART, TASKS, FEW_PAIRS = 2_000_000, 4, 256, 1_000_000
+MET, CELLS, BUCKETS = 4_000_000, 16_000_000, 22
 #: Words of 64 seeds in a row of a search, and such rows that become (seed, node) rows at once.
 WORDS, ROWS_AT_ONCE = 8, 1024
 #: Neighbours from which on a node is of the cover; nodes of a cover up to which a tile has all words of a block; most parts of blocks.
 HEAVY, NARROW, TILES = 64, 250_000, 32
-#: Parts of the nodes outside of the cover; edges of a row of them; nodes that a task works out at once.
+#: Parts of members, and of the nodes outside of the cover; edges of a row of those; nodes that a task works out at once.
 PARTS, EDGES, NODES = 32, 500_000, 8192
 
 
@@ -317,104 +318,172 @@ def _one_more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         yield _spelled(new[of], nodes.take(pa.array(at + of)), pa.array(np.full(len(of), length, np.int32)), seeds)
 
 
-def _block_of(pairs: DataFrame) -> tuple[Column, int]:
-    """The block of members that a member is in, and how many there are: ranges of numbers, by hash otherwise.
-
-    Members of near numbers often come from one import and share targets, which leaves fewer pairs of blocks to look at.
-    """
-    blocks = min(BLOCKS[1], max(BLOCKS[0], -(-pairs.count() // PAIRS_OF_BLOCK)))
-    if not isinstance(pairs.schema["member"].dataType, NumericType):
-        return F.pmod(F.xxhash64("member"), F.lit(blocks)).cast("int"), blocks
-    cuts = sorted(set(pairs.approxQuantile("member", [i / blocks for i in range(1, blocks)], 0.1 / blocks)))
-    above = [(F.col("member") >= F.lit(c)).cast("int") for c in cuts]
-    return reduce(add, above, F.lit(0)), len(cuts) + 1
+#: A block of members: their names, places of their targets among `targets` (member by member, from own_begins on), and the members of
+#: each target (from begins on), as numbers of 4 bytes; own_n and n are the weights in both orders, or nothing where all are 1.
+_OWN, _OTHER = ("names", "targets", "own_begins", "own", "own_n"), ("names", "targets", "begins", "members", "n")
 
 
 def _met(pairs: DataFrame, least: int) -> DataFrame:
     """(a, b, shared), a < b: the sum of x.n * y.n over targets that both have, where it is at least `least`; pairs: distinct (member,
-    target) with n.
+    target) with n, in PARTS parts by member.
 
-    Pairs of members are never shuffled, as they are many more than the pairs of members and targets: members are in blocks, and for
-    each two blocks a task gets the rows of the targets that both have and multiplies them, a run of members at a time.
+    Pairs of members are never shuffled, as they are many more than the pairs of members and targets: members are in packed blocks, and
+    a task multiplies two blocks, a run of members at a time. Few pairs are dealt to the tiles; of more, each tile reads its two blocks
+    from where they were written once, so that what is on disk follows the pairs.
     """
-    pairs = checkpointed(pairs.filter("member is not null and target is not null"))
-    block, _ = _block_of(pairs)
-    placed = pairs.withColumn("block", block)
-    among = placed.groupBy("target").agg(F.collect_set("block").alias("blocks"))
-    dealt = placed.join(among, "target").select("member", "target", "n", "block", F.explode("blocks").alias("other"))
-    dealt = dealt.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-    kind = pairs.schema["member"].dataType.simpleString()
-    return dealt.select("lo", "hi", "block", "member", "target", "n").groupBy("lo", "hi").applyInArrow(_tile(least), f"a {kind}, b {kind}, shared long")
-
-
-def _tile(least: int):
-    def codes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-        # of numbers as they are; names go in the order of their code points, which is that of their bytes
-        of = np.array(column.to_pylist(), object) if pa.types.is_string(column.type) else column.to_numpy()
-        names, at = np.unique(of, return_inverse=True)
-        return names, at.ravel()
+    kind, of = (pairs.schema[c].dataType.simpleString() for c in ("member", "target"))
+    numbers = isinstance(pairs.schema["target"].dataType, IntegralType)
+    schema = f"block long, pairs long, names array<{kind}>, targets {'binary' if numbers else f'array<{of}>'}, own_begins binary, own binary, own_n binary, begins binary, members binary, n binary"
+    blocks = checkpointed(pairs.sortWithinPartitions("member").mapInArrow(_packed(numbers), schema))
+    total, many = blocks.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.count(F.lit(1))).first()
+    found = f"a {kind}, b {kind}, shared long"
+    if total <= FEW_PAIRS:
+        dealt = blocks.crossJoin(F.broadcast(blocks.select(F.col("block").alias("other"))))
+        dealt = dealt.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("pairs", "other")
+
+        def grouped(table: pa.Table) -> pa.Table:
+            rows = table.combine_chunks().to_batches()[0]
+            ids = [rows.column(c)[0].as_py() for c in ("lo", "hi")]
+            lo, hi = (_block(rows.slice(rows.column("block").to_pylist().index(i), 1), numbers) for i in ids)
+            return pa.Table.from_batches(_meetings(lo, hi, ids[0] == ids[1], least), pa.schema([("a", lo["names"].type), ("b", lo["names"].type), ("shared", pa.int64())]))
+
+        return dealt.groupBy("lo", "hi").applyInArrow(grouped, found)
+    if many > BLOCKS_OF_PART * PARTS:  # a task holds the blocks of one part
+        blocks = checkpointed(blocks.repartition(-(-many // BLOCKS_OF_PART)))
+    lo = blocks.select(F.col("block").alias("lo"), *(F.col(c).alias(f"lo_{c}") for c in _OWN))
+    hi = blocks.select(F.col("block").alias("hi"), *(F.col(c).alias(f"hi_{c}") for c in _OTHER))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for r in range(whole.num_rows):
+                row = whole.slice(r, 1)
+                same = row.column("lo")[0].as_py() == row.column("hi")[0].as_py()
+                yield from _meetings(_block(row, numbers, "lo_"), _block(row, numbers, "hi_"), same, least)
+
+    once = F.expr("lo = hi or (lo < hi) = (pmod(lo + hi, 2) = 0)")  # of two blocks, either is the first as often
+    return lo.join(hi.hint("shuffle_replicate_nl"), once).coalesce(TASKS).mapInArrow(run, found)
+
+
+def _packed(numbers: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of about PAIRS_OF_BLOCK rows (member, target, n) in the order of members, each of whole members."""
+
+    def row(number: int, held: pa.Table) -> pa.RecordBatch:
+        names = held.column("member").combine_chunks().dictionary_encode()
+        member = names.indices.to_numpy().astype("<i4")
+        if numbers:
+            targets, own = np.unique(held.column("target").to_numpy().astype("<i8"), return_inverse=True)
+            targets = pa.array([targets.tobytes()])
+        else:
+            coded = held.column("target").combine_chunks().dictionary_encode()
+            own, targets = coded.indices.to_numpy(), pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+        own, n = own.ravel().astype("<i4"), held.column("n").to_numpy().astype("<i8")
+        order = np.argsort(own, kind="stable")
+        begins = np.concatenate([[0], np.cumsum(np.bincount(own))])
+        weights = [x.tobytes() if (n != 1).any() else b"" for x in (n, n[order])]
+        bytes_of = lambda x: pa.array([x.astype("<i4").tobytes()])
+        columns = {"block": pa.array([number]), "pairs": pa.array([len(n)]), "names": pa.ListArray.from_arrays(pa.array([0, len(names.dictionary)], pa.int32()), names.dictionary), "targets": targets}
+        columns |= {"own_begins": bytes_of(np.concatenate([[0], np.cumsum(np.bincount(member))])), "own": bytes_of(own), "own_n": pa.array(weights[:1]), "begins": bytes_of(begins), "members": bytes_of(member[order]), "n": pa.array(weights[1:])}
+        return pa.RecordBatch.from_pydict(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        block, n = table.column("block").to_numpy(), table.column("n").to_numpy()
-        _, target = codes(table.column("target"))
-        names, member = codes(table.column("member"))
-        kind = table.schema.field("member").type
-        own, other = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        own, other = own[np.lexsort((target[own], member[own]))], other[np.lexsort((member[other], target[other]))]
-        of, place = np.unique(member[other], return_inverse=True)
-        place, width = place.ravel(), max(1, len(of))
-        begin, end = np.searchsorted(target[other], target[own]), np.searchsorted(target[other], target[own], "right")
-        if lo == hi:  # of a block with itself, only members behind
-            at = np.empty(len(n), np.int64)
-            at[other] = np.arange(len(other))
-            begin = at[own] + 1
-        many = end - begin
-        own, begin, many = own[many > 0], begin[many > 0], many[many > 0]
-        weights = None if (n[own] == 1).all() and (n[other] == 1).all() else n
-        starts = np.flatnonzero(np.diff(member[own], prepend=-1))  # rows at which a member begins
-        behind = np.concatenate([[0], np.cumsum(many)])
-        row = 0
-        while row < len(own):
-            # whole members: as many as have about MET meetings and CELLS cells, one at least
-            k = np.searchsorted(starts, row)
-            upto = np.searchsorted(behind, behind[row] + MET, "right") - 1
-            next_k = max(k + 1, min(np.searchsorted(starts, upto, "right") - 1 if upto < len(own) else len(starts), k + max(1, CELLS // width)))
-            stop = starts[next_k] if next_k < len(starts) else len(own)
-            count = many[row:stop]
-            met = np.repeat(begin[row:stop] - (behind[row:stop] - behind[row]), count) + np.arange(count.sum())
-            local = np.repeat(np.searchsorted(starts[k:next_k], np.arange(row, stop), "right") - 1, count)
-            cell = local * width + place[met]
-            weight = None if weights is None else np.repeat(n[own[row:stop]], count) * n[other[met]]
-            if (next_k - k) * width > 16 * len(cell):
-                found, inverse = np.unique(cell, return_inverse=True)
-                total = np.bincount(inverse.ravel(), weight)
-                found, total = found[total >= least], total[total >= least]
-            else:
-                total = np.bincount(cell, weight, (next_k - k) * width)
-                found = np.flatnonzero(total >= max(least, 1))
-                total = total[found]
-            x, y = member[own[starts[k:next_k]]][found // width], of[found % width]
-            a, b = names[np.minimum(x, y)], names[np.maximum(x, y)]
-            if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind), pa.array(total.astype(np.int64))], ["a", "b", "shared"])
-            row = stop
+        first = TaskContext.get().partitionId()
+        held, rows, blocks = [], 0, 0
+        for batch in batches:
+            held, rows = [*held, batch], rows + batch.num_rows
+            if rows >= PAIRS_OF_BLOCK:
+                whole = pa.Table.from_batches(held)
+                member = whole.column("member")
+                last = pc.index(member, member[-1]).as_py()  # the last member may go on in the next batch
+                if last:
+                    yield row(first + (blocks << 32), whole.slice(0, last))
+                    blocks += 1
+                held, rows = whole.slice(last).to_batches(), rows - last
+        if rows:
+            yield row(first + (blocks << 32), pa.Table.from_batches(held))
 
     return run
 
 
+def _block(row: pa.RecordBatch, numbers: bool, prefix: str = "") -> dict:
+    out = {}
+    for name in {*_OWN, *_OTHER} & {c.removeprefix(prefix) for c in row.schema.names}:
+        column = row.column(prefix + name)
+        if name == "names" or (name == "targets" and not numbers):
+            out[name] = column.flatten()
+        else:
+            out[name] = np.frombuffer(column[0].as_buffer(), "<i8" if name in ("targets", "own_n", "n") else "<i4")
+    return out
+
+
+def _meetings(lo: dict, hi: dict, same: bool, least: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, shared) of a member of one block and one of the other, or of two of the same."""
+    own, begins = lo["own"], hi["begins"].astype(np.int64)
+    if isinstance(lo["targets"], np.ndarray):
+        place = np.minimum(np.searchsorted(hi["targets"], lo["targets"]), len(hi["targets"]) - 1)
+        met = hi["targets"][place] == lo["targets"]
+    else:
+        place = pc.index_in(lo["targets"], value_set=hi["targets"]).fill_null(-1).to_numpy()
+        met = place >= 0
+    begin, end = begins[place][own], np.where(met, begins[place + 1], begins[place])[own]
+    if same:  # only members behind
+        begin[np.argsort(own, kind="stable")] = np.arange(1, len(own) + 1)
+    many = end - begin
+    some = np.flatnonzero(many > 0)
+    member = np.repeat(np.arange(len(lo["names"])), np.diff(lo["own_begins"]))[some]
+    begin, many = begin[some], many[some]
+    own_n = lo["own_n"][some] if len(lo["own_n"]) else np.ones(1 if not len(hi["n"]) else len(some), np.int64)
+    weighted = bool(len(lo["own_n"]) or len(hi["n"]))
+    width = max(1, len(hi["names"]))
+    starts = np.flatnonzero(np.diff(member, prepend=-1))  # rows at which a member begins
+    behind = np.concatenate([[0], np.cumsum(many)])
+    row, k = 0, 0
+    while row < len(member):
+        # whole members: as many as have about MET meetings, one at least
+        upto = np.searchsorted(behind, behind[row] + MET, "right") - 1
+        next_k = max(k + 1, int(np.searchsorted(starts, upto, "right")) - 1 if upto < len(member) else len(starts))
+        stop = starts[next_k] if next_k < len(starts) else len(member)
+        count = many[row:stop]
+        at = np.repeat(begin[row:stop] - (behind[row:stop] - behind[row]), count) + np.arange(count.sum())
+        line = np.repeat(np.arange(next_k - k), np.diff(np.append(starts[k:next_k], stop)))  # of a row, its member
+        cell = np.repeat(line * width, count) + hi["members"][at]
+        weight = None
+        if weighted:
+            weight = np.repeat(own_n[row:stop], count)
+            weight = weight * hi["n"][at] if len(hi["n"]) else weight
+        if (next_k - k) * width <= min(CELLS, 4 * len(cell)):
+            total = np.bincount(cell, weight, (next_k - k) * width)
+            found = np.flatnonzero(total >= max(least, 1))
+            total = total[found]
+        else:
+            if least > 1:  # what falls into one of 2 ** BUCKETS has its sum at most
+                bucket = (cell.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BUCKETS)).astype(np.int64)
+                enough = np.flatnonzero((np.bincount(bucket, weight, 1 << BUCKETS) >= least)[bucket])
+                cell, weight = cell[enough], weight if weight is None else weight[enough]
+            found, inverse = np.unique(cell, return_inverse=True)
+            total = np.bincount(inverse.ravel(), weight, len(found))
+            found, total = found[total >= least], total[total >= least]
+        if len(found):
+            a, b = lo["names"].take(pa.array(member[starts[k:next_k]][found // width])), hi["names"].take(pa.array(found % width))
+            less = pc.less(a, b)
+            yield pa.RecordBatch.from_arrays([pc.if_else(less, a, b), pc.if_else(less, b, a), pa.array(total.astype(np.int64))], ["a", "b", "shared"])
+        row, k = stop, next_k
+
+
+def _parted(edges: DataFrame) -> DataFrame:
+    return edges.select("member", "target").filter("member is not null and target is not null").repartition(PARTS, "member").groupBy("member", "target")
+
+
 def gang_paths(edges: DataFrame, least: int = 3) -> DataFrame:
     """(a, b, shared), a < b: members with at least `least` paths over a common target; edges (member, target) count as often as they occur.
 
     Edges are counted for each member and target before they meet, so parallel ones are never paired.
     """
-    return _met(edges.groupBy("member", "target").agg(F.count(F.lit(1)).alias("n")), least)
+    return _met(_parted(edges).agg(F.count(F.lit(1)).alias("n")), least)
 
 
 def gangs(pairs: DataFrame, least: int = 3) -> DataFrame:
     """(a, b, shared), a < b: members that share at least `least` distinct targets of pairs (member, target)."""
-    return _met(pairs.select("member", "target").distinct().withColumn("n", F.lit(1).cast("long")), least)
+    return _met(_parted(pairs).agg(F.first(F.lit(1).cast("long")).alias("n")), least)
 
 
 def cooccurrences(df: DataFrame, key: str = "raw_id") -> DataFrame:

@@ -104,3 +104,27 @@ def test_a_search_writes_no_row_of_a_node_outside_of_the_cover(spark, monkeypatc
     edges = spark.range(3000).selectExpr("id AS edge", "id % 1000 AS src", "100000 + id % 7 AS dst")
     found = graph.shortest_lengths(edges, spark.range(0, 1000, 10).toDF("seed"), 4)
     assert found.count() == 100 * 1007 and max(written) <= 7
+
+
+@pytest.mark.parametrize("kind, of", [("long", "long"), ("string", "string"), ("string", "int")])
+def test_gangs_of_many_pairs_read_blocks_and_shuffle_none(spark, monkeypatch, kind, of):
+    for name, value in (("FEW_PAIRS", 0), ("PAIRS_OF_BLOCK", 30), ("BLOCKS_OF_PART", 2), ("PARTS", 2), ("MET", 40), ("CELLS", 20), ("BUCKETS", 3)):
+        monkeypatch.setattr(graph, name, value)
+    r = random.Random(3)
+    name = (lambda i: f"m{i}") if kind == "string" else (lambda i: i * 10**12 - 30)
+    target = (lambda i: f"t{i}") if of == "string" else (lambda i: i - 5)
+    rows = [(name(r.randrange(60)), target(r.randrange(25))) for _ in range(500)] + [(name(3), None), (None, target(4))] + [(name(i), target(99)) for i in range(60)]
+    edges = spark.createDataFrame(rows, f"member {kind}, target {of}")
+    n = Counter((m, t) for m, t in rows if m is not None and t is not None)
+    paths, shared = Counter(), Counter()
+    for (a, t), x in n.items():
+        for (b, u), y in n.items():
+            if t == u and a < b:
+                paths[a, b] += x * y
+                shared[a, b] += 1
+    for use, want, least in ((graph.gang_paths, paths, 8), (graph.gangs, shared, 4), (graph.gangs, shared, 1)):
+        out = use(edges, least)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Exchange" not in plan
+        found = [tuple(x) for x in out.collect()]
+        assert len(found) == len(set(found)) and set(found) == {(*p, k) for p, k in want.items() if k >= least}
