@@ -111,7 +111,7 @@ class Engine:
         by_post = listed.select("raw_id", "evidence", F.transform("_spans", lambda x: x.dropFields("n")).alias("evidence_spans"))
         variants = self.spark.createDataFrame([], "raw_id long, term string")
         if embed is not None:
-            grams = posts.select("raw_id", F.posexplode(answers.candidate_grams(F.col("text"))).alias("n", "word"))
+            grams = posts.select("raw_id", F.explode(answers.candidate_grams(F.col("text"), limit=None, most=None)).alias("word"))
             near = vectors.term_variants(vectors.embedded(grams, "word", embed), vectors.embedded(terms, "term", embed), key="raw_id")
             variants = self.kept(near.select("raw_id", F.col("word").alias("term")))
         new = variants.groupBy("raw_id").agg(F.count(F.lit(1)).alias("candidates"))

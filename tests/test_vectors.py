@@ -3,7 +3,9 @@ import random
 import numpy as np
 import pytest
 
-from millrace.operators import vectors
+from pyspark.sql import functions as F
+
+from millrace.operators import answers, vectors
 
 
 @pytest.mark.parametrize("kind", ["long", "string"])
@@ -42,3 +44,16 @@ def test_a_task_multiplies_batches_instead_of_folding_each_pair(spark):
     for found in (vectors.top_k(queries, base), vectors.within(queries, base, 0.5)):
         assert "NestedLoop" not in found._jdf.queryExecution().toString()
     assert vectors.top_k(queries.limit(0), base).count() == 0 and vectors.within(queries, base.limit(0), 0.5).count() == 0
+
+
+def test_variants_are_found_in_whole_texts(spark):
+    words = spark.createDataFrame([(1, i, f"w{i}", [1.0, 0.01 * i] if i == 40 else [0.0, 1.0]) for i in range(41)], "id long, n int, word string, embedding array<float>")
+    terms = spark.createDataFrame([("t", [1.0, 0.4]), ("w3", [-1.0, 0.0])], "term string, embedding array<float>")
+    assert [(r.id, r.word, r.similar_to) for r in vectors.term_variants(words, terms).collect()] == [(1, "w40", "t")]
+    text = "".join(chr(0x4E00 + i) for i in range(900)) + "\U0001f600接 玛"
+    df = spark.createDataFrame([(text,), (None,), ("接",), ("ab1",)], "text string")
+    got = [r[0] for r in df.select(answers.candidate_grams(F.col("text"), limit=None, most=None)).collect()]
+    want = [g.strip() for i in range(len(text) - 1) for g in (text[i : i + 2], text[i : i + 3] if i + 3 <= len(text) else "")]
+    assert got[0] == [g for g in dict.fromkeys(want) if g not in ("", "\U0001f600")] and got[1:] == [[], [], ["ab", "ab1", "b1"]]
+    long = vectors.embedded(spark.createDataFrame([("x" * 5000,)], "text string"), "text", lambda texts: [[float(len(t))] for t in texts])
+    assert long.first().embedding == [5000.0]
