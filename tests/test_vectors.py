@@ -2,10 +2,11 @@ import random
 
 import numpy as np
 import pytest
-
+from oracle_check import spark_rows, sql_rows
 from pyspark.sql import functions as F
 
 from millrace.operators import answers, vectors
+from millrace.plans import extras
 
 
 @pytest.mark.parametrize("kind", ["long", "string"])
@@ -57,3 +58,12 @@ def test_variants_are_found_in_whole_texts(spark):
     assert got[0] == [g for g in dict.fromkeys(want) if g not in ("", "\U0001f600")] and got[1:] == [[], [], ["ab", "ab1", "b1"]]
     long = vectors.embedded(spark.createDataFrame([("x" * 5000,)], "text string"), "text", lambda texts: [[float(len(t))] for t in texts])
     assert long.first().embedding == [5000.0]
+
+
+def test_every_vector_is_asked_for_and_none_goes_through_the_driver(spark, tmp_path):
+    rows = [(i, [1.0, 0.01 * i]) for i in range(150)] + [(150 + i, [-1.0, 5.0 * i]) for i in range(2)] + [(160, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = extras.vector_duplicates(spark, str(tmp_path))
+    names, want = sql_rows(extras.ORACLE["vector_duplicates"].replace("embeddings", f"'{tmp_path}/embeddings.parquet/*.parquet'"), "/root/testdata/sf0.001")
+    assert spark_rows(found) == (names, want) and len(want) > 150
+    assert "CartesianProduct" in found._jdf.queryExecution().toString()
